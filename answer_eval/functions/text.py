@@ -53,7 +53,12 @@ def py_strip(c) -> Column:
 
 
 # T1 -----------------------------------------------------------------------
-TAG_PATTERN = r"(?s)<(.*?)>(.*?)</\1>"
+# The tag grammar is the lazy findall of r"(?s)<(.*?)>(.*?)</\1>".  Its name
+# group never needs to cross a '>': when the shortest name (up to the first '>')
+# has no closing tag after it, no longer name can have one either, because every
+# longer closing tag begins with the shorter one.  So "[^>]*" yields exactly the
+# same matches while trying one name per '<' instead of one per later '>'.
+TAG_PATTERN = r"(?s)<([^>]*)>(.*?)</\1>"
 
 
 def parse_tags(c) -> Column:
@@ -63,12 +68,17 @@ def parse_tags(c) -> Column:
     backreference), attributes are part of the name, nested tags stay inside the
     outer body; a repeated name keeps its last body (needs
     ``spark.sql.mapKeyDedupPolicy=LAST_WIN``, set by ``session.configure``).
-    Whole texts are scanned; no length cap.
+    Whole texts are scanned, once; no length cap.
     """
-    c = _col(c)
-    names = F.regexp_extract_all(c, F.lit(TAG_PATTERN), 1)
-    bodies = F.transform(F.regexp_extract_all(c, F.lit(TAG_PATTERN), 2), py_strip)
-    return F.map_from_arrays(names, bodies)
+    matches = F.regexp_extract_all(_col(c), F.lit(TAG_PATTERN), 0)
+
+    def entry(m: Column) -> Column:
+        name = F.regexp_extract(m, r"^<([^>]*)>", 1)
+        n = F.length(name)
+        body = F.substring(m, n + F.lit(3), F.length(m) - n * F.lit(2) - F.lit(5))
+        return F.struct(name.alias("key"), py_strip(body).alias("value"))
+
+    return F.map_from_entries(F.transform(matches, entry))
 
 
 def tag_value(c, name: str) -> Column:
