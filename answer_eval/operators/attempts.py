@@ -51,12 +51,15 @@ def resolve_attempts(attempts: DataFrame, problems: DataFrame | None = None,
     first = F.col("_first")
     label_arr = F.array(*[F.lit(x) for x in LABELS])
     outcome_arr = F.array(*[F.lit(x) for x in _OUTCOMES])
+    # element_at with a NULL index is not reliably NULL: decode only when present
+    found = first.isNotNull()
     return per_problem.select(
         problem_col,
-        F.coalesce(F.element_at(label_arr, (first % 4).cast("int") + 1), F.lit(DEFAULT_LABEL)).alias("answer"),
-        F.coalesce(F.element_at(outcome_arr, ((first / 4).cast("bigint") % 4).cast("int") + 1),
-                   F.lit("exhausted")).alias("resolved_by"),
-        (first / 16).cast("bigint").alias("final_attempt"),
+        F.when(found, F.element_at(label_arr, (first % 4).cast("int") + 1))
+         .otherwise(F.lit(DEFAULT_LABEL)).alias("answer"),
+        F.when(found, F.element_at(outcome_arr, ((first / 4).cast("bigint") % 4).cast("int") + 1))
+         .otherwise(F.lit("exhausted")).alias("resolved_by"),
+        F.when(found, (first / 16).cast("bigint")).alias("final_attempt"),
         F.col("attempts_made").cast("bigint").alias("attempts_made"),
     )
 

@@ -251,10 +251,12 @@ def compact_replies(answers: DataFrame, key="story_id", participant_col: str = "
         raise ValueError(f"unknown dedupe {dedupe!r}")
     pred_arr = F.array(*[F.lit(v) for v in _PREDICTIONS])
     status_arr = F.array(*[F.lit(v) for v in _STATUSES])
+    # element_at with a NULL index is not reliably NULL: decode only when present
+    has = F.col("_code").isNotNull()
     return packed.select(
         *keys,
-        F.element_at(pred_arr, (F.col("_code") % 8).cast("int") + 1).alias("predicted"),
-        F.element_at(status_arr, (F.col("_code") / 8).cast("int") + 1).alias("status"),
+        F.when(has, F.element_at(pred_arr, (F.col("_code") % 8).cast("int") + 1)).alias("predicted"),
+        F.when(has, F.element_at(status_arr, (F.col("_code") / 8).cast("int") + 1)).alias("status"),
         *times,
     )
 

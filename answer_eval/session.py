@@ -32,8 +32,20 @@ DEFAULT_CONF = {
 }
 
 
+def _ship_package() -> None:
+    """Serialise this package's Python functions (pandas UDFs, state functions,
+    answerers) by value, so executors need not have the package installed."""
+    try:
+        from pyspark import cloudpickle
+        import answer_eval
+        cloudpickle.register_pickle_by_value(answer_eval)
+    except (ImportError, AttributeError, ValueError):  # older cloudpickle or already registered
+        pass
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the required settings to an existing session (idempotent)."""
+    _ship_package()
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
     for key, value in DEFAULT_CONF.items():
