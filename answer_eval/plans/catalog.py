@@ -118,8 +118,10 @@ def q_s7_request_errors(spark, sf):
 
 def q_t1_parse_tags(spark, sf):
     pages = I.table(spark, sf, "pages")
-    tags = pages.select("page_id", F.explode(X.parse_tags(F.col("html"))).alias("tag", "body"))
-    return tags
+    # explode_outer + filter: a plain explode gets an inferred size(...) > 0 filter
+    # that would run the tag scan a second time below the projection
+    tags = pages.select("page_id", F.explode_outer(X.parse_tags(F.col("html"))).alias("tag", "body"))
+    return tags.filter(F.col("tag").isNotNull())
 
 
 def q_t2_strip(spark, sf):
@@ -129,7 +131,8 @@ def q_t2_strip(spark, sf):
 
 def q_t3_split_formulas(spark, sf):
     d = I.table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(X.split_formulas(F.col("text"))).alias("idx", "formula"))
+    out = d.select("doc_id", F.posexplode_outer(X.split_formulas(F.col("text"))).alias("idx", "formula"))
+    return out.filter(F.col("idx").isNotNull())
 
 
 def q_t4_direct_prompt(spark, sf):

@@ -5,7 +5,7 @@ A body is JSON (participants as a list or as an object keyed by role, and
 ``config.max_examples``) or, only when it is not JSON, text with
 ``<white_agent_url>`` / ``<max_examples>`` tags.  Parsing is per row with
 VARIANT functions (``try_parse_json``, ``try_variant_get``) and the tag parser; the
-three branches are disjoint and unioned by name.  A request the evaluator would
+three branches are disjoint (a body is JSON or it is not).  A request the evaluator would
 reject (non-object JSON, a non-object participant entry, a non-object config, a
 non-integer tag value) or that names no participant becomes an error row; it
 never fails the job.
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answer_eval.functions.text import py_strip, tag_value
+from answer_eval.functions.text import py_strip
+from answer_eval.functions.text import parse_tags as X_tags
 
 # The tag names of the text form and the no-participant message.
 URL_TAG = "white_agent_url"
@@ -39,22 +40,24 @@ ERR_MAX_EXAMPLES = "ERROR: max_examples is not an integer"
 PARTICIPANT_COLUMNS = ("request_id", "position", "name", "agent_id", "endpoint", "max_examples")
 
 
-def _vtype(v: Column) -> Column:
-    return F.schema_of_variant(v)
+# A JSON value's kind is read from the first character of its canonical JSON
+# text (one serialisation per value, cheap for request-sized values).
+_ZERO_NUMBER = r"^-?0+(\.0*)?([eE][+-]?[0-9]+)?$"
 
 
-def _truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value held in a VARIANT (SQL NULL = missing)."""
-    t = _vtype(v)
-    return (
-        F.when(v.isNull(), F.lit(False))
-        .when(t == F.lit("VOID"), F.lit(False))
-        .when(t == F.lit("STRING"), F.try_variant_get(v, "$", "string") != F.lit(""))
-        .when(t == F.lit("BOOLEAN"), F.try_variant_get(v, "$", "boolean"))
-        .when(t.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
-        .when(t.startswith("OBJECT"), F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) > 0)
-        .otherwise(F.coalesce(F.try_variant_get(v, "$", "double") != F.lit(0.0), F.lit(True)))
-    )
+def _json_text(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def _truthy_text(j: Column) -> Column:
+    """Python truthiness of a JSON value from its canonical JSON text (NULL =
+    missing): null, "", false, 0, [], {} are falsy."""
+    return (j.isNotNull() & ~j.isin("null", '""', "false", "[]", "{}")
+            & ~j.rlike(_ZERO_NUMBER))
+
+
+def _is_object_text(j: Column) -> Column:
+    return j.startswith("{")
 
 
 def _get(v: Column, key: str, kind: str = "string") -> Column:
@@ -82,85 +85,100 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
       = role; ``role: {...}`` -> agent_id default role, endpoint may be NULL and is
       kept; other values dropped; tag form: one participant ``agent``.
     errors: request_id, error -- one row per rejected or empty request (S7).
+
+    One scan per output.  Per request: parse once, read the kinds of the
+    participants and config values, and (only for non-JSON bodies) scan the tags
+    once; the candidate entries of the one branch that applies (U2: branches are
+    disjoint) are exploded, and each entry is resolved by per-row expressions.
     """
-    v = F.try_parse_json(F.col(body_col))
-    base = requests.select(F.col(id_col).alias("request_id"), F.col(body_col).alias("_body"), v.alias("_v"))
-    base = base.withColumn("_json", _strict_json(F.col("_body"), F.col("_v")))
-
-    # ---- JSON branch (S4, S5) -------------------------------------------------
-    jv = F.col("_v")
-    parts = _get(jv, "participants", "variant")
-    ptype = _vtype(parts)
-    arr = F.try_variant_get(parts, "$", "array<variant>")
-    entries = F.map_entries(F.try_variant_get(parts, "$", "map<string,variant>"))
-    cfg = _get(jv, "config", "variant")
-    use_list = _truthy(parts) & ptype.startswith("ARRAY")
-    use_obj = _truthy(parts) & ptype.startswith("OBJECT")
-    bad_entry = F.exists(arr, lambda e: ~_vtype(e).startswith("OBJECT"))
-    error = (
-        F.when(~_vtype(jv).startswith("OBJECT"), F.lit(ERR_NOT_OBJECT))
-        .when(use_list & bad_entry, F.lit(ERR_ENTRY))
-        .when(cfg.isNotNull() & ~_vtype(cfg).startswith("OBJECT"), F.lit(ERR_CONFIG))
+    # Staged projections: every expensive expression (JSON parse, serialisation,
+    # tag scan, higher-order function) appears exactly once; later stages read it
+    # by name (these projections run interpreted, without subexpression sharing).
+    c = F.col
+    st = requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body"))
+    st = st.select("request_id", "_body", F.try_parse_json(c("_body")).alias("_v"))
+    st = st.select("request_id", "_body", "_v", _strict_json(c("_body"), c("_v")).alias("_json"))
+    st = st.select(
+        "request_id", "_v", "_json",
+        _json_text(_get(c("_v"), "participants", "variant")).alias("_pj"),
+        _json_text(_get(c("_v"), "config", "variant")).alias("_cj"),
+        F.when(c("_json"), _json_text(c("_v")).substr(1, 1)).alias("_vk"),
+        F.when(~c("_json"), X_tags(c("_body"))).alias("_tags"),
+        F.when(c("_json"), F.try_variant_get(c("_v"), "$.config.max_examples", "bigint")).alias("_jmax"),
     )
-    n_list = F.size(F.filter(arr, lambda e: _truthy(_get(e, "endpoint", "variant"))))
-    n_obj = F.size(F.filter(entries, lambda kv: (_vtype(kv["value"]) == F.lit("STRING"))
-                            | _vtype(kv["value"]).startswith("OBJECT")))
-    found = F.when(use_list, n_list).when(use_obj, n_obj).otherwise(F.lit(0))
-    json_req = base.filter(F.col("_json")).select(
-        "request_id", "_v",
-        error.alias("_error"), found.alias("_found"),
-        use_list.alias("_use_list"), use_obj.alias("_use_obj"),
-        F.try_variant_get(cfg, "$.max_examples", "bigint").alias("max_examples"),
+    st = st.select(
+        "request_id", "_v", "_json", "_cj", "_vk", "_jmax",
+        (c("_json") & _truthy_text(c("_pj")) & c("_pj").startswith("[")).alias("_use_list"),
+        (c("_json") & _truthy_text(c("_pj")) & c("_pj").startswith("{")).alias("_use_obj"),
+        F.element_at(c("_tags"), F.lit(URL_TAG)).alias("_url"),
+        F.element_at(c("_tags"), F.lit(MAX_EXAMPLES_TAG)).alias("_n_text"),
     )
-
-    # ---- tag branch (S6) ---------------------------------------------------------
-    url = tag_value(F.col("_body"), URL_TAG)
-    n_text = tag_value(F.col("_body"), MAX_EXAMPLES_TAG)
-    n_val = n_text.try_cast("bigint")
-    tag_error = F.when(n_text.isNotNull() & (n_text != F.lit("")) & n_val.isNull(), F.lit(ERR_MAX_EXAMPLES))
-    url_ok = url.isNotNull() & (url != F.lit(""))
-    tag_req = base.filter(~F.col("_json")).select(
-        "request_id", url.alias("_url"), tag_error.alias("_error"),
-        F.when(url_ok, 1).otherwise(0).alias("_found"),
-        F.when(n_text != F.lit(""), n_val).alias("max_examples"),
+    cand_type = "array<struct<pos:int,role:string,e:variant,url:string>>"
+    no_url = F.lit(None).cast("string")
+    from_list = F.transform(F.try_variant_get(c("_v"), "$.participants", "array<variant>"),
+                            lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("role"),
+                                                  e.alias("e"), no_url.alias("url")))
+    from_obj = F.transform(F.map_entries(F.try_variant_get(c("_v"), "$.participants", "map<string,variant>")),
+                           lambda kv, i: F.struct(i.alias("pos"), kv["key"].alias("role"), kv["value"].alias("e"),
+                                                  no_url.alias("url")))
+    url_ok = c("_url").isNotNull() & (c("_url") != F.lit(""))
+    from_tags = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("role"),
+                                 F.lit(None).cast("variant").alias("e"), c("_url").alias("url")))
+    st = st.select(
+        "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text",
+        F.when(c("_use_list"), from_list).when(c("_use_obj"), from_obj)
+         .when(~c("_json") & url_ok, from_tags).otherwise(F.array().cast(cand_type)).alias("_raw"),
+        c("_n_text").try_cast("bigint").alias("_n_val"),
     )
 
-    # ---- participants (U2: three disjoint branches) ---------------------------
-    ok_json = json_req.filter(F.col("_error").isNull())
-    lst = (ok_json.filter("_use_list")
-           .select("request_id", "max_examples",
-                   F.posexplode(F.try_variant_get(_get(jv, "participants", "variant"), "$", "array<variant>"))
-                   .alias("position", "_e")))
-    e = F.col("_e")
-    name = F.coalesce(_get(e, "name"), F.lit(DEFAULT_NAME))
-    from_list = (lst.filter(_truthy(_get(e, "endpoint", "variant")))  # F1
-                 .select("request_id", F.col("position").cast("int").alias("position"),
-                         name.alias("name"), F.coalesce(_get(e, "agent_id"), name).alias("agent_id"),
-                         _get(e, "endpoint").alias("endpoint"), "max_examples"))
-    obj = (ok_json.filter("_use_obj")
-           .select("request_id", "max_examples",
-                   F.posexplode(F.map_entries(F.try_variant_get(_get(jv, "participants", "variant"), "$",
-                                                                "map<string,variant>")))
-                   .alias("position", "_kv")))
-    role, val = F.col("_kv.key"), F.col("_kv.value")
-    vt = _vtype(val)
-    from_obj = (obj.filter((vt == F.lit("STRING")) | vt.startswith("OBJECT"))
-                .select("request_id", F.col("position").cast("int").alias("position"),
-                        role.alias("name"),
-                        F.when(vt == F.lit("STRING"), role)
-                         .otherwise(F.coalesce(_get(val, "agent_id"), role)).alias("agent_id"),
-                        F.when(vt == F.lit("STRING"), F.try_variant_get(val, "$", "string"))
-                         .otherwise(_get(val, "endpoint")).alias("endpoint"),
-                        "max_examples"))
-    from_tags = (tag_req.filter(F.col("_error").isNull() & (F.col("_found") > 0))
-                 .select("request_id", F.lit(0).alias("position"), F.lit(TAG_PARTICIPANT).alias("name"),
-                         F.lit(TAG_PARTICIPANT).alias("agent_id"), F.col("_url").alias("endpoint"),
-                         "max_examples"))
-    participants = from_list.unionByName(from_obj).unionByName(from_tags)
-
-    # ---- errors (S7) ---------------------------------------------------------------
-    req_state = (json_req.select("request_id", "_error", "_found")
-                 .unionByName(tag_req.select("request_id", "_error", "_found")))
-    errors = (req_state.filter(F.col("_error").isNotNull() | (F.col("_found") == 0))
-              .select("request_id", F.coalesce(F.col("_error"), F.lit(MSG_NO_PARTICIPANTS)).alias("error")))
+    def keep(x: Column) -> Column:  # a candidate entry that yields a participant
+        ej = _json_text(x["e"])
+        in_list = _truthy_text(_json_text(F.try_variant_get(x["e"], "$.endpoint", "variant")))
+        return (x["url"].isNotNull()
+                | (x["role"].isNull() & in_list)                                  # F1
+                | (x["role"].isNotNull() & (ej.startswith('"') | ej.startswith("{"))))
+
+    st = st.select(
+        "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text", "_n_val",
+        F.exists(c("_raw"), lambda x: x["url"].isNull() & ~_is_object_text(_json_text(x["e"]))).alias("_bad"),
+        F.filter(c("_raw"), keep).alias("_cands"),
+    )
+    st = st.select(
+        "request_id", "_cands",
+        F.when(c("_json"), (
+            F.when(c("_vk") != F.lit("{"), F.lit(ERR_NOT_OBJECT))
+            .when(c("_use_list") & c("_bad"), F.lit(ERR_ENTRY))
+            .when(c("_cj").isNotNull() & ~_is_object_text(c("_cj")), F.lit(ERR_CONFIG))
+        )).otherwise(F.when(c("_n_text").isNotNull() & (c("_n_text") != F.lit("")) & c("_n_val").isNull(),
+                            F.lit(ERR_MAX_EXAMPLES))).alias("_error"),
+        F.when(c("_json"), c("_jmax")).otherwise(F.when(c("_n_text") != F.lit(""), c("_n_val"))).alias("max_examples"),
+    )
+    # No Filter above these projections (it would be pushed down and re-inline the
+    # expensive expressions): both outputs are explodes of conditional arrays.
+    per_req = st.select(
+        "request_id", "max_examples",
+        F.when(c("_error").isNull(), c("_cands")).alias("_out"),
+        F.when(c("_error").isNotNull(), c("_error"))
+         .when(F.size(c("_cands")) == 0, F.lit(MSG_NO_PARTICIPANTS)).alias("_err"),
+    )
+    errors = per_req.select("request_id", F.explode(F.array_compact(F.array(c("_err")))).alias("error"))
+
+    # inline_outer + a filter on the generated column: a plain inline would get an
+    # inferred "size(_out) > 0" filter pushed below all the stages above, which
+    # re-evaluates them; a filter on generator output stays above the generator.
+    rows = per_req.select("request_id", "max_examples", F.inline_outer("_out"))
+    rows = rows.filter(c("pos").isNotNull()).withColumnRenamed("pos", "position")
+    e, role = c("e"), c("role")
+    rows = rows.select("*", _json_text(e).alias("_ej"),
+                       F.coalesce(_get(e, "name"), F.lit(DEFAULT_NAME)).alias("_lname"))
+    is_tag, is_list, ej = c("url").isNotNull(), role.isNull(), c("_ej")
+    participants = rows.select(
+        "request_id", c("position").cast("int").alias("position"),
+        F.when(is_tag, F.lit(TAG_PARTICIPANT)).when(is_list, c("_lname")).otherwise(role).alias("name"),
+        F.when(is_tag, F.lit(TAG_PARTICIPANT)).when(is_list, F.coalesce(_get(e, "agent_id"), c("_lname")))
+         .when(ej.startswith('"'), role).otherwise(F.coalesce(_get(e, "agent_id"), role)).alias("agent_id"),
+        F.when(is_tag, c("url")).when(ej.startswith('"'), F.try_variant_get(e, "$", "string"))
+         .otherwise(_get(e, "endpoint")).alias("endpoint"),
+        "max_examples",
+    )
     return participants, errors
