@@ -1,7 +1,9 @@
-"""Column functions for answer text (all JVM-side, codegen-friendly).
+"""Column functions for answer text (all JVM-side built-ins, no Python UDF).
 
-Every function here takes Columns (or column names) and returns a Column; none of
-them uses a Python UDF, so they stay inside whole-stage codegen.
+Every function here takes Columns (or column names) and returns a Column.  Plain
+expressions compile into whole-stage codegen; the array helpers built on
+higher-order functions (``transform``/``filter``) are evaluated by the JVM without
+codegen, still row-local and without any Python round trip.
 """
 
 from __future__ import annotations
@@ -188,14 +190,16 @@ def round_even(c, digits: int = 2) -> Column:
 
 
 def format_fixed(c, digits: int = 2) -> Column:
-    """Python ``f"{x:.2f}"``: round half-even first, then print."""
-    return F.format_string(f"%.{digits}f", round_even(_col(c).cast("double"), digits))
+    """Python ``f"{x:.2f}"``: round half-even first, then print; NULL stays NULL
+    (``format_string`` would print the text "null" cut to the precision)."""
+    x = _col(c).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_even(x, digits)))
 
 
 def format_percent(c, digits: int = 2) -> Column:
-    """Python ``f"{x:.2%}"`` for a ratio in [0, 1]."""
+    """Python ``f"{x:.2%}"`` for a ratio in [0, 1]; NULL stays NULL."""
     scaled = _col(c).cast("double") * F.lit(100.0)
-    return F.format_string(f"%.{digits}f%%", round_even(scaled, digits))
+    return F.when(scaled.isNotNull(), F.format_string(f"%.{digits}f%%", round_even(scaled, digits)))
 
 
 def right_align(c, width: int) -> Column:

@@ -85,6 +85,32 @@ def q_s1_problem_scan(spark, sf):
     return df.select(F.col("doc_id").alias("story_id"), "lang", "source", "n_chars")
 
 
+def q_s1_problem_csv(spark, sf):
+    """S1 over a real CSV: the problem table is written as a header CSV with the
+    reference column names (hyphens, quoted multi-line premises) into the scratch
+    area, then scanned through the candidate-path reader and label coercion."""
+    path = _scratch(spark, "problems-csv")
+    probs = I.problems(spark, sf)
+    probs.select(
+        "story_id", "premises", F.lit(None).cast("string").alias("premises-FOL"), "conclusion",
+        F.lit(None).cast("string").alias("conclusion-FOL"), "label", F.col("story_id").alias("example_id"),
+    ).write.option("header", True).option("escape", '"').csv(path)
+    df = S.read_problems(spark, [f"{path}-missing", path], fmt="csv")
+    return S.coerce_labels(df).select("story_id", "premises", "expected", "example_id")
+
+
+def q_s2_answer_log_scan(spark, sf):
+    """S2: the reply envelopes are written as a JSON-lines answer log, then scanned
+    with the declared nested log schema and decoded."""
+    from answer_eval.sources.answers import ENVELOPE_SCHEMA, read_answers
+    path = _scratch(spark, "answer-log")
+    env = I.answer_envelopes(spark, sf)
+    env.select("participant", "story_id", F.from_json("envelope", ENVELOPE_SCHEMA).alias("envelope")) \
+        .write.json(path)
+    log = read_answers(spark, path, fmt="json")
+    return decode_envelope(log).select("participant", "story_id", "reply_status", "answer", "error")
+
+
 def q_t16_coerce_labels(spark, sf):
     return _problems(spark, sf).select("story_id", "expected", "conclusion")
 
@@ -749,6 +775,8 @@ SELECT participant, story_id, expected, predicted, correct, status FROM ({GRADED
 }
 
 ORACLES["x1_conversation_stream"] = ORACLES["w4_conversation_history"]
+ORACLES["s2_answer_log_scan"] = ORACLES["s3_decode_envelope"]
+ORACLES["s1_problem_csv"] = f"SELECT story_id, premises, expected, story_id AS example_id FROM ({COERCED_SQL})"
 ORACLES["x2_gate_tasks_stream"] = ORACLES["x2_gate_tasks_batch"]
 
 
@@ -776,8 +804,37 @@ FROM c"""
 
 ORACLES["bench_big_log_report"] = _bench_sql()
 
+def _text_sql() -> str:
+    cat = []
+    for lab in X.LABELS:
+        q = lab.lower()
+        cat.append(f"CASE WHEN {q}_total > 0 THEN '    ' || {_lit(f'{lab:>9s}')} || ': ' || CAST({q}_correct AS VARCHAR)"
+                   f" || '/' || CAST({q}_total AS VARCHAR) || ' = ' || printf('%.2f', round_even({q}_accuracy, 2))"
+                   f" || '%' END")
+    nl = "chr(10)"
+    b = "'  • "
+    ratio = "CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END"
+    secs = lambda col: f"coalesce(printf('%.2f', round_even({col}, 2)) || 's', 'n/a')"
+    return f"""
+SELECT id, {nl} || 'Agent: ' || agent || {nl}
+  || {b}Total Cases: ' || CAST(total AS VARCHAR) || {nl}
+  || {b}Correct: ' || CAST(correct AS VARCHAR) || {nl}
+  || {b}Incorrect: ' || CAST(incorrect AS VARCHAR) || {nl}
+  || {b}Parse Errors: ' || CAST(parse_errors AS VARCHAR) || {nl}
+  || {b}Accuracy: ' || printf('%.2f%%', round_even({ratio} * 100.0, 2)) || {nl}
+  || {b}Per-category:' || {nl} || concat_ws({nl}, {", ".join(cat)}) || {nl}
+  || {b}Avg Time/Case: ' || {secs('avg_time_per_case')} || {nl}
+  || {b}Total Time: ' || {secs('time_used')} || {nl} AS text
+FROM ({REPORT_SQL})"""
+
+
+ORACLES["k2_participant_text"] = _text_sql()
+
+
 QUERIES: dict[str, QueryFn] = {
     "s1_problem_scan": q_s1_problem_scan,
+    "s1_problem_csv": q_s1_problem_csv,
+    "s2_answer_log_scan": q_s2_answer_log_scan,
     "t16_coerce_labels": q_t16_coerce_labels,
     "w1_sample_numbering": q_w1_sample_numbering,
     "l1_first_n": q_l1_first_n,
