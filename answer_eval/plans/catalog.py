@@ -196,6 +196,20 @@ def q_t10_normalise_answer(spark, sf):
                                         X.normalise_answer(F.col("answer")).alias("label"))
 
 
+def _numbered_expected(spark, sf):
+    probs = S.number_samples(_problems(spark, sf).select("story_id", "expected"), "story_id")
+    return expected_rows(probs, I.participants(spark, sf).select("participant"))
+
+
+def q_j1_expected_rows(spark, sf):
+    return _numbered_expected(spark, sf).select("participant", "sample_num", "story_id", "expected")
+
+
+def q_l2_in_sample_order(spark, sf):
+    graded = grade(_numbered_expected(spark, sf), decode_flat(I.answers(spark, sf)))
+    return S.in_sample_order(graded).select("participant", "sample_num", "story_id", "predicted", "status")
+
+
 def q_t11_t12_graded(spark, sf):
     return _graded(spark, sf).select("participant", "story_id", "expected", "predicted", "correct",
                                      "status", "error")
@@ -775,6 +789,16 @@ SELECT participant, story_id, expected, predicted, correct, status FROM ({GRADED
 }
 
 ORACLES["x1_conversation_stream"] = ORACLES["w4_conversation_history"]
+ORACLES["j1_expected_rows"] = f"""
+SELECT r.r_name AS participant, q.sample_num, q.story_id, q.expected
+FROM region r CROSS JOIN (
+  SELECT story_id, expected, CAST(row_number() OVER (ORDER BY story_id) AS BIGINT) AS sample_num
+  FROM ({COERCED_SQL})) q"""
+ORACLES["l2_in_sample_order"] = f"""
+SELECT g.participant, n.sample_num, g.story_id, g.predicted, g.status
+FROM ({GRADED_SQL}) g JOIN (
+  SELECT story_id, CAST(row_number() OVER (ORDER BY story_id) AS BIGINT) AS sample_num FROM ({COERCED_SQL})) n
+  ON g.story_id = n.story_id"""
 ORACLES["s2_answer_log_scan"] = ORACLES["s3_decode_envelope"]
 ORACLES["s1_problem_csv"] = f"SELECT story_id, premises, expected, story_id AS example_id FROM ({COERCED_SQL})"
 ORACLES["x2_gate_tasks_stream"] = ORACLES["x2_gate_tasks_batch"]
@@ -852,7 +876,9 @@ QUERIES: dict[str, QueryFn] = {
     "t8_extract_fenced": q_t8_extract_fenced,
     "t9_last_verdict_line": q_t9_last_verdict_line,
     "t10_normalise_answer": q_t10_normalise_answer,
+    "j1_expected_rows": q_j1_expected_rows,
     "t11_t12_graded": q_t11_t12_graded,
+    "l2_in_sample_order": q_l2_in_sample_order,
     "t13_default_answer": q_t13_default_answer,
     "t14_entailment_verdict": q_t14_entailment_verdict,
     "t15_elapsed_seconds": q_t15_elapsed_seconds,
