@@ -2,8 +2,9 @@
 classification (T11) and the correctness predicate (T12).
 
 Plan shape (see ``grade``): replies are normalised map-side and reduced to narrow
-columns *before* any shuffle; duplicates per (participant, key) are removed by an
-aggregate whose hash partitioning the join to the expected rows reuses.
+columns *before* any shuffle; duplicates per (participant, key) are removed after
+one hash exchange on that key, whose partitioning and sort order the join to the
+expected rows reuses.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from answer_eval.functions.text import (
     MSG_COULD_NOT_PARSE, PRED_ERROR, PRED_EXCEPTION, PRED_PARSE_ERROR,
@@ -93,10 +95,10 @@ def prepare_replies(answers: DataFrame, key="story_id", participant_col: str = "
     ended_at when the log has them.  Normalisation runs map-side so the long
     answer text never reaches a shuffle.
 
-    dedupe: ``first`` keeps one reply per key (smallest ``order_col``, or the
-    smallest reply when no order is given) through an aggregate with map-side
-    partial aggregation; ``error`` fails on a duplicate key (one extra pass);
-    ``none`` trusts the log to be unique (no shuffle at all).
+    dedupe: ``first`` keeps one reply per key (smallest ``order_col``, then the
+    smallest reply) through a row number over the key; ``error`` fails on a
+    duplicate key (one extra pass); ``none`` trusts the log to be unique (no
+    shuffle at all).
     """
     keys = [participant_col, *_key_list(key)]
     predicted, status, no_label = prediction(F.col("reply_status"), F.col("answer"), mode)
@@ -126,9 +128,14 @@ def prepare_replies(answers: DataFrame, key="story_id", participant_col: str = "
         return narrow.drop(*order)
     if dedupe != "first":
         raise ValueError(f"unknown dedupe {dedupe!r}")
-    reply = F.struct(*[F.col(c) for c in value_cols])
-    picked = F.min_by(reply, F.col(order_col)) if order_col else F.min(reply)
-    return narrow.groupBy(*keys).agg(picked.alias("_r")).select(*keys, "_r.*")
+    # One reply per key: row_number over the key (hash exchange + one reduce-side
+    # sort, which a following sort-merge join on the same key reuses).  Ties are
+    # broken by the reply columns so the pick is deterministic.
+    order = [F.col(order_col).asc_nulls_last()] if order_col else []
+    order += [F.col(c).asc_nulls_last() for c in value_cols]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return (narrow.withColumn("_rank", rank).filter(F.col("_rank") == 1)
+            .drop("_rank", *([order_col] if order_col else [])))
 
 
 def correctness(predicted: Column, expected: Column, status: Column) -> Column:
