@@ -781,7 +781,6 @@ SELECT participant AS id, {_pct('correct', 'total')} AS score, {_pct('correct',
   CAST(NULL AS DOUBLE) AS time_used, CAST(NULL AS DOUBLE) AS avg_time_per_case, total AS max_score,
   {_WIDE_RATES_SQL}
 FROM c""",
-    "k1_results_json": None,  # one JSON document; checked in pytest against Python's json
     "k3_write_results": f"""
 SELECT participant, story_id, expected, predicted, correct, status FROM ({GRADED_SQL})""",
     "k4_leaderboard": f"SELECT id, score, accuracy FROM ({REPORT_SQL})",
@@ -854,6 +853,12 @@ FROM ({REPORT_SQL})"""
 
 ORACLES["k2_participant_text"] = _text_sql()
 
+_REPORT_FIELDS = ", ".join(f"{c} := {c}" for c in M.REPORT_COLUMNS)
+ORACLES["k1_results_json"] = f"""
+SELECT CASE WHEN count(*) = 1 THEN CAST(to_json(first(struct_pack({_REPORT_FIELDS}))) AS VARCHAR)
+  ELSE CAST(to_json(struct_pack(data := list(struct_pack({_REPORT_FIELDS}) ORDER BY id))) AS VARCHAR) END AS json
+FROM ({REPORT_SQL})"""
+
 
 QUERIES: dict[str, QueryFn] = {
     "s1_problem_scan": q_s1_problem_scan,
