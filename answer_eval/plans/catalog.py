@@ -327,7 +327,7 @@ def q_w3_repair_messages(spark, sf):
 
 
 def q_w4_conversation_history(spark, sf):
-    return H.conversation_history(I.conversations(spark, sf))
+    return H.conversation_history(I.conversations(spark, sf)).select("conv_id", "position", "role", "content")
 
 
 def q_w4_conversation_prefixes(spark, sf):
@@ -338,7 +338,7 @@ def q_x1_conversation_stream(spark, sf):
     conv = _file_stream(spark, sf, "conversations")
     out, ckpt = _scratch(spark, "x1-out"), _scratch(spark, "x1-ckpt")
     ST.run_to_table(ST.conversation_stream(conv), out, ckpt)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("conv_id", "position", "role", "content")
 
 
 def _scored(spark, sf):
@@ -625,18 +625,18 @@ obj AS (
 SELECT request_id, position, coalesce(json_extract_string(v, '$.name'), 'unknown') AS name,
   coalesce(json_extract_string(v, '$.agent_id'), json_extract_string(v, '$.name'), 'unknown') AS agent_id,
   json_extract_string(v, '$.endpoint') AS endpoint,
-  CAST(json_extract(j, '$.config.max_examples') AS BIGINT) AS max_examples
+  coalesce(CAST(json_extract(j, '$.config.max_examples') AS BIGINT), 0) AS max_examples
 FROM lst WHERE coalesce(json_extract_string(v, '$.endpoint'), '') <> ''
 UNION ALL
 SELECT request_id, position, k AS name,
   CASE WHEN json_type(v) = 'VARCHAR' THEN k ELSE coalesce(json_extract_string(v, '$.agent_id'), k) END,
   CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE json_extract_string(v, '$.endpoint') END,
-  CAST(json_extract(j, '$.config.max_examples') AS BIGINT)
+  coalesce(CAST(json_extract(j, '$.config.max_examples') AS BIGINT), 0)
 FROM obj WHERE json_type(v) IN ('VARCHAR', 'OBJECT')
 UNION ALL
 SELECT request_id, 0, 'agent', 'agent',
   {_strip("regexp_extract(body, '(?s)<white_agent_url>(.*?)</white_agent_url>', 1)")},
-  TRY_CAST({_strip("regexp_extract(body, '(?s)<max_examples>(.*?)</max_examples>', 1)")} AS BIGINT)
+  coalesce(TRY_CAST({_strip("regexp_extract(body, '(?s)<max_examples>(.*?)</max_examples>', 1)")} AS BIGINT), 0)
 FROM req WHERE NOT json_valid(body) AND regexp_matches(body, '(?s)<white_agent_url>(.*?)</white_agent_url>')""",
     "s7_request_errors": f"""
 WITH req AS ({REQUESTS_SQL})
@@ -646,9 +646,10 @@ WHERE (json_valid(body) AND coalesce(json_type(body, '$.participants'), 'NULL')
     "t1_parse_tags": None,  # general form needs a backreference (DuckDB regex has none); pytest checks it
     "t2_strip": f"SELECT doc_id, {_strip('text')} AS stripped FROM documents",
     "t3_split_formulas": f"""
-SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS idx, unnest(l) AS formula FROM (
-  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}),
-                             lambda x: x <> '') AS l FROM documents)""",
+SELECT doc_id, CAST(i AS INTEGER) AS idx, formula FROM (
+  SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS formula FROM (
+    SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}),
+                               lambda x: x <> '') AS l FROM documents))""",
     "t4_direct_prompt": f"SELECT story_id, {_DIRECT_PROMPT_SQL} AS prompt FROM ({COERCED_SQL})",
     "t5_formalise_prompt": f"SELECT story_id, {_FORMALISE_PROMPT_SQL} AS prompt FROM ({COERCED_SQL})",
     "t6_chat_messages": _messages_sql(_DIRECT_PROMPT_SQL, P.DIRECT_SYSTEM),
@@ -787,6 +788,7 @@ SELECT participant, story_id, expected, predicted, correct, status FROM ({GRADED
     "bench_big_log_report": None,  # filled below
 }
 
+ORACLES["w4_conversation_history"] = f"SELECT conv_id, position, role, content FROM ({CONV_HISTORY_SQL})"
 ORACLES["x1_conversation_stream"] = ORACLES["w4_conversation_history"]
 ORACLES["j1_expected_rows"] = f"""
 SELECT r.r_name AS participant, q.sample_num, q.story_id, q.expected

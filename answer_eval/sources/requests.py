@@ -79,7 +79,8 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
                    id_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """-> (participants, errors).
 
-    participants: request_id, position, name, agent_id, endpoint, max_examples.
+    participants: request_id, position, name, agent_id, endpoint, max_examples
+      (0 = no limit, as a missing or zero limit both mean "all examples").
       list form: name default ``unknown``, agent_id default name, entries with a
       falsy endpoint dropped (F1); object form: ``role: "url"`` -> name = agent_id
       = role; ``role: {...}`` -> agent_id default role, endpoint may be NULL and is
@@ -151,7 +152,9 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
             .when(c("_cj").isNotNull() & ~_is_object_text(c("_cj")), F.lit(ERR_CONFIG))
         )).otherwise(F.when(c("_n_text").isNotNull() & (c("_n_text") != F.lit("")) & c("_n_val").isNull(),
                             F.lit(ERR_MAX_EXAMPLES))).alias("_error"),
-        F.when(c("_json"), c("_jmax")).otherwise(F.when(c("_n_text") != F.lit(""), c("_n_val"))).alias("max_examples"),
+        # 0 = no limit: the evaluator treats a missing limit and 0 alike ("all")
+        F.coalesce(F.when(c("_json"), c("_jmax")).otherwise(F.when(c("_n_text") != F.lit(""), c("_n_val"))),
+                   F.lit(0).cast("bigint")).alias("max_examples"),
     )
     # No Filter above these projections (it would be pushed down and re-inline the
     # expensive expressions): both outputs are explodes of conditional arrays.

@@ -13,6 +13,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+            "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -56,6 +60,9 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
+    otypes = {d[0]: str(d[1]).upper() for d in res.description}
+    for f in df.schema.fields:
+        assert TYPE_MAP.get(f.dataType.simpleString()) == otypes[f.name], (f.name, f.dataType, otypes[f.name])
     assert got == _rows(res.fetchall(), ocols)
 
 

@@ -139,13 +139,13 @@ def test_parse_requests_forms_and_errors(spark):
     assert p == [
         (1, 0, "a", "a", "http://a", 5),
         (1, 1, "unknown", "unknown", "http://b", 5),
-        (2, 0, "r1", "r1", "http://p", None),
-        (2, 1, "r2", "q", "http://q", None),
-        (2, 2, "r3", "r3", None, None),
+        (2, 0, "r1", "r1", "http://p", 0),
+        (2, 1, "r2", "q", "http://q", 0),
+        (2, 2, "r3", "r3", None, 0),
         (3, 0, "agent", "agent", "http://t", 10),
-        (9, 0, "agent", "agent", "z", None),
-        (10, 0, "unknown", "unknown", "http://2", None),
-        (12, 0, "agent", "agent", "w", None),
+        (9, 0, "agent", "agent", "z", 0),
+        (10, 0, "unknown", "unknown", "http://2", 0),
+        (12, 0, "agent", "agent", "w", 0),
     ]
     e = dict((r.request_id, r.error) for r in errors.collect())
     assert e[4] == MSG_NO_PARTICIPANTS and e[5] == MSG_NO_PARTICIPANTS
