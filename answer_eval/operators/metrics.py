@@ -18,7 +18,7 @@ from answer_eval.functions.text import (
     LABELS, PRED_ERROR, PRED_EXCEPTION, PRED_PARSE_ERROR, STATUS_ERROR_RESPONSE,
     STATUS_EXCEPTION, STATUS_OK, STATUS_PARSE_ERROR, epoch_micros, percent_of, round_even,
 )
-from answer_eval.operators.grade import correctness, prediction
+from answer_eval.operators.grade import BROADCAST_PARTICIPANTS_MAX, correctness, prediction
 
 REPORT_COLUMNS = (
     "id", "score", "accuracy", "agent", "agent_id", "pass_rate", "correct", "total",
@@ -274,7 +274,8 @@ def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataF
     ``broadcast_max`` rows -- a checked count -- else a shuffle join) and counted.
     A missing reply is a parse error that is never correct, so per participant:
     total = N, label totals = the problem table's, parse_errors += N - answered.
-    Only two scalars and three label totals reach the driver.
+    Only scalars (counts and three label totals) reach the driver; the known
+    participants are broadcast only below a checked count.
     """
     keys = [participant_col, *([key] if isinstance(key, str) else list(key))]
     gold = problems.select(*keys[1:], "expected")
@@ -285,8 +286,9 @@ def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataF
     replies = compact_replies(answers, key, participant_col, mode, dedupe, order_col)
     gold_side = F.broadcast(gold) if n_total <= broadcast_max else gold
     known = participants.select(participant_col).distinct()
+    known_side = F.broadcast(known) if known.count() <= BROADCAST_PARTICIPANTS_MAX else known
     answered = (replies.join(gold_side, keys[1:], "inner")
-                .join(F.broadcast(known), participant_col, "left_semi")
+                .join(known_side, participant_col, "left_semi")
                 .withColumn("correct", correctness(F.col("predicted"), F.col("expected"), F.col("status"))))
     has_time = "started_at" in answered.columns and "ended_at" in answered.columns
     aggs = [F.count(F.lit(1)).alias("_answered"), F.count_if(F.col("correct")).alias("correct"),

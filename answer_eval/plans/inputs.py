@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from answer_eval.operators.grade import expected_rows
+from answer_eval.sources.problems import number_within
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,11 +108,20 @@ def answer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("participant", "story_id", body.alias("envelope"))
 
 
+def _user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with a 0-based position per user in (ts, event_id) order, numbered
+    skew-safely (a very active user is not one task's sort)."""
+    ev = table(spark, sf_dir, "events")
+    return number_within(ev, "user_id", ["ts", "event_id"], col_name="_seq", start=0)
+
+
 def timed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> a timed reply log: one reply per event, participant = the user,
     started at the event, ended at that user's next event (or at once)."""
-    ev = table(spark, sf_dir, "events")
-    nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    ev = _user_sequence(spark, sf_dir)
+    following = ev.select("user_id", (F.col("_seq") - 1).alias("_seq"), F.col("ts").alias("_next_ts"))
+    ev = ev.join(following, ["user_id", "_seq"], "left")
+    nxt = F.col("_next_ts")
     kind = F.col("event_type")
     answer = (F.when(kind == "view", F.lit("True")).when(kind == "click", F.lit("false"))
               .when(kind == "signup", F.lit("It is uncertain")).when(kind == "purchase", F.lit("no idea")))
@@ -130,8 +139,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> attempt log: per user (problem), events in time order are attempts
     0, 1, 2, ...; error events fail (some with stderr), others succeed with a
     program output."""
-    ev = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    ev = _user_sequence(spark, sf_dir)
+    n = F.col("_seq")
     kind = F.col("event_type")
     is_err = kind == "error"
     stdout = (F.when(kind == "view", F.concat(F.lit("checking"), F.lit("\n"), F.lit("True")))
