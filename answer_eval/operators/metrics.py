@@ -286,7 +286,8 @@ def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataF
     replies = compact_replies(answers, key, participant_col, mode, dedupe, order_col)
     gold_side = F.broadcast(gold) if n_total <= broadcast_max else gold
     known = participants.select(participant_col).distinct()
-    known_side = F.broadcast(known) if known.count() <= BROADCAST_PARTICIPANTS_MAX else known
+    small_p = known.count() <= BROADCAST_PARTICIPANTS_MAX
+    known_side = F.broadcast(known) if small_p else known
     answered = (replies.join(gold_side, keys[1:], "inner")
                 .join(known_side, participant_col, "left_semi")
                 .withColumn("correct", correctness(F.col("predicted"), F.col("expected"), F.col("status"))))
@@ -302,7 +303,9 @@ def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataF
         participant_col,
         (F.col("agent_id") if "agent_id" in participants.columns else F.col(participant_col)).alias("agent_id"))
     zero_cols = ["_answered", "correct", "_parse", *[f"{lab.lower()}_correct" for lab in LABELS]]
-    counts = plist.join(counts, participant_col, "left").fillna(0, subset=zero_cols)
+    # at most one counts row per participant: broadcast under the same checked bound
+    counts = plist.join(F.broadcast(counts) if small_p else counts, participant_col, "left") \
+        .fillna(0, subset=zero_cols)
     counts = counts.select(
         "*",
         F.lit(n_total).cast("bigint").alias("total"),

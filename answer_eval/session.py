@@ -84,7 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def get_session(master: str | None = None, app_name: str = "answer_eval",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the required settings; UI stays off."""
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
