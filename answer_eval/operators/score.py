@@ -8,6 +8,10 @@ partitions and each task calls the answerer one row at a time, so at most
 error (by exception type) is retried with delay ``base_delay_s * 2**k``.
 Output is a decoded answer log: the input columns plus reply_status, answer,
 error, started_at, ended_at -- ready for ``grade`` / ``evaluate_report``.
+
+A task that is retried (lost executor) calls the answerer again for its rows; the
+rows kept are those of the attempt that succeeded.  Persist the result (write it
+or ``checkpoint()``) before using it twice, so the answerer is not re-run.
 """
 
 from __future__ import annotations

@@ -76,10 +76,18 @@ def results_text(report: DataFrame) -> DataFrame:
 
 # K3 -----------------------------------------------------------------------
 def write_results(graded: DataFrame, path: str, mode: str = "overwrite",
-                  participant_col: str = "participant") -> None:
-    """Per-example results, Parquet partitioned by participant (distributed write)."""
-    graded.repartition(participant_col, "story_id" if "story_id" in graded.columns else participant_col) \
-        .write.mode(mode).partitionBy(participant_col).parquet(path)
+                  participant_col: str = "participant", key: str = "story_id",
+                  max_records_per_file: int = 5_000_000) -> None:
+    """Per-example results, Parquet partitioned by participant (distributed write).
+
+    Range partitioning on (participant, key) gives every task a contiguous slice, so
+    a task writes into one or two participant folders (no participants x tasks
+    small files), while a participant holding a third of all rows still spans many
+    tasks.  Files are capped at ``max_records_per_file`` rows."""
+    keys = [participant_col] + ([key] if key in graded.columns else [])
+    (graded.repartitionByRange(*keys)
+     .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy(participant_col).parquet(path))
 
 
 # K4 -----------------------------------------------------------------------
