@@ -350,11 +350,21 @@ def q_d1_score(spark, sf):
     return _scored(spark, sf).select("story_id", "reply_status", "answer", "error")
 
 
+AGENT_PROMPT = "Agent {agent}\n" + P.DIRECT_TEMPLATE
+
+
 def q_d1_scored_report(spark, sf):
-    scored = _scored(spark, sf).withColumn("participant", F.lit("rule-agent")).drop("started_at", "ended_at")
-    parts = spark.range(1).select(F.lit("rule-agent").alias("participant"), F.lit("rule").alias("agent_id"))
-    probs = _problems(spark, sf).select("story_id", "expected")
-    return M.evaluate_report(probs, parts, scored)
+    """D1 feeding the minimum slice end to end: every participant's prompt for every
+    problem is answered by the answerer, and the answers are graded and reported."""
+    probs = _problems(spark, sf)
+    parts = I.participants(spark, sf)
+    expected = expected_rows(probs.select("story_id", "premises", "conclusion"), parts.select("participant"))
+    prompts = expected.select("participant", "story_id",
+                              P.render(AGENT_PROMPT, agent="participant", premises="premises",
+                                       conclusion="conclusion").alias("prompt"))
+    scored = score(prompts, rule_answerer, max_concurrency=8, timeout_s=30, retries=1, base_delay_s=0)
+    return M.evaluate_report(probs.select("story_id", "expected"), parts,
+                             scored.drop("started_at", "ended_at"))
 
 
 def q_k1_results_json(spark, sf):
@@ -768,20 +778,7 @@ SELECT story_id, CASE WHEN length(prompt) % 4 = 3 THEN 'exception' ELSE 'ok' END
   CASE length(prompt) % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Uncertain' END AS answer,
   CASE WHEN length(prompt) % 4 = 3 THEN 'answerer unavailable for this prompt' END AS error
 FROM ({_RULE_SQL})""",
-    "d1_scored_report": f"""
-WITH g AS (
-  SELECT expected, length(prompt) % 4 AS k,
-    CASE length(prompt) % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Uncertain' ELSE 'EXCEPTION' END AS predicted
-  FROM ({_RULE_SQL})),
-h AS (SELECT expected, k <> 3 AND lower(predicted) = lower(expected) AS correct,
-        CASE WHEN k = 3 THEN 'exception' ELSE 'ok' END AS status FROM g),
-c AS (SELECT 'rule-agent' AS participant, {_COUNT_SQL}, {_WIDE_SQL} FROM h)
-SELECT participant AS id, {_pct('correct', 'total')} AS score, {_pct('correct', 'total')} AS accuracy,
-  participant AS agent, 'rule' AS agent_id, {_pct('correct', 'total')} AS pass_rate, correct, total,
-  total - correct - parse_errors AS incorrect, parse_errors,
-  CAST(NULL AS DOUBLE) AS time_used, CAST(NULL AS DOUBLE) AS avg_time_per_case, total AS max_score,
-  {_WIDE_RATES_SQL}
-FROM c""",
+    "d1_scored_report": None,  # set below (needs the agent prompt SQL)
     "k3_write_results": f"""
 SELECT participant, story_id, expected, predicted, correct, status FROM ({GRADED_SQL})""",
     "k4_leaderboard": f"SELECT id, score, accuracy FROM ({REPORT_SQL})",
@@ -829,6 +826,25 @@ FROM c"""
 
 ORACLES["bench_big_log_report"] = _bench_sql()
 
+_AGENT_PROMPT_SQL = _render_sql(AGENT_PROMPT, agent="r.r_name", premises="q.premises", conclusion="q.conclusion")
+ORACLES["d1_scored_report"] = f"""
+WITH g AS (
+  SELECT r.r_name AS participant, q.expected, length({_AGENT_PROMPT_SQL}) % 4 AS k
+  FROM region r CROSS JOIN ({COERCED_SQL}) q),
+h AS (SELECT participant, expected,
+        CASE k WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Uncertain' ELSE 'EXCEPTION' END AS predicted,
+        CASE WHEN k = 3 THEN 'exception' ELSE 'ok' END AS status FROM g),
+i AS (SELECT participant, expected, status, k_ok AND lower(predicted) = lower(expected) AS correct
+      FROM (SELECT *, status = 'ok' AS k_ok FROM h)),
+c AS (SELECT participant, {_COUNT_SQL}, {_WIDE_SQL} FROM i GROUP BY participant),
+p AS (SELECT r_name AS participant, 'region-' || CAST(r_regionkey AS VARCHAR) AS agent_id FROM region)
+SELECT c.participant AS id, {_pct('correct', 'total')} AS score, {_pct('correct', 'total')} AS accuracy,
+  c.participant AS agent, p.agent_id, {_pct('correct', 'total')} AS pass_rate, correct, total,
+  total - correct - parse_errors AS incorrect, parse_errors,
+  CAST(NULL AS DOUBLE) AS time_used, CAST(NULL AS DOUBLE) AS avg_time_per_case, total AS max_score,
+  {_WIDE_RATES_SQL}
+FROM c JOIN p ON c.participant = p.participant"""
+
 def _text_sql() -> str:
     cat = []
     for lab in X.LABELS:
