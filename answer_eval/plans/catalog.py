@@ -653,7 +653,32 @@ WITH req AS ({REQUESTS_SQL})
 SELECT request_id, {_lit(MSG_NO_PARTICIPANTS)} AS error FROM req
 WHERE (json_valid(body) AND coalesce(json_type(body, '$.participants'), 'NULL') NOT IN ('ARRAY', 'OBJECT'))
    OR (NOT json_valid(body) AND NOT regexp_matches(body, '(?s)<white_agent_url>(.*?)</white_agent_url>'))""",
-    "t1_parse_tags": None,  # general form needs a backreference (DuckDB regex has none); pytest checks it
+    # DuckDB's regex has no backreference: the same left-to-right scan as a recursive
+    # CTE over tag starts (name up to the first '>', then the first matching close).
+    "t1_parse_tags": f"""
+WITH RECURSIVE scan(page_id, html, pos, tag, body, mpos) AS (
+  SELECT page_id, html, CAST(1 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT)
+  FROM pages
+  UNION ALL
+  SELECT page_id, html,
+    CASE WHEN c > 0 THEN gt + c - 1 + length(close) ELSE lt + 1 END,
+    CASE WHEN c > 0 THEN name END,
+    CASE WHEN c > 0 THEN substr(html, gt + 1, c - 1) END,
+    CASE WHEN c > 0 THEN lt END
+  FROM (
+    SELECT page_id, html, lt, gt, name, close, strpos(substr(html, gt + 1), close) AS c
+    FROM (
+      SELECT page_id, html, lt, gt, substr(html, lt + 1, gt - lt - 1) AS name,
+        '</' || substr(html, lt + 1, gt - lt - 1) || '>' AS close
+      FROM (
+        SELECT page_id, html, lt, lt + strpos(substr(html, lt + 1), '>') AS gt,
+          strpos(substr(html, lt + 1), '>') AS g
+        FROM (SELECT page_id, html, pos + strpos(substr(html, pos), '<') - 1 AS lt,
+                     strpos(substr(html, pos), '<') AS l
+              FROM scan WHERE pos <= length(html))
+        WHERE l > 0)
+      WHERE g > 0)))
+SELECT page_id, tag, arg_max({_strip('body')}, mpos) AS body FROM scan WHERE tag IS NOT NULL GROUP BY page_id, tag""",
     "t2_strip": f"SELECT doc_id, {_strip('text')} AS stripped FROM documents",
     "t3_split_formulas": f"""
 SELECT doc_id, CAST(i AS INTEGER) AS idx, formula FROM (
