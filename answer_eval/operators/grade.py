@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from answer_eval.functions.text import (
@@ -25,6 +26,9 @@ from answer_eval.sources.problems import number_rows
 # Participants are broadcast to the expected-row generator only up to this many
 # rows (checked with a count); above it the join shuffles on the index.
 BROADCAST_PARTICIPANTS_MAX = 100_000
+# Up to this many participants (checked by fetching at most one more) travel as a
+# literal array in the plan itself: one small job instead of numbering them.
+INLINE_PARTICIPANTS_MAX = 1_000
 
 # Error text of an expected row for which the log holds no reply (our wording).
 MSG_NO_REPLY = "No reply recorded for this sample"
@@ -42,12 +46,23 @@ def expected_rows(problems: DataFrame, participants: DataFrame,
                   broadcast_max: int = BROADCAST_PARTICIPANTS_MAX) -> DataFrame:
     """Every participant paired with every problem: exactly P x N output rows.
 
-    Participants get dense indices 0..P-1 (distributed numbering); each problem row
-    is replicated by ``explode(sequence(0, P-1))`` (a narrow Generate, no shuffle,
-    no nested-loop join) and the participant columns come back through an
-    equi-join on the index -- broadcast when P is at most ``broadcast_max`` (a
-    checked count), a shuffle join otherwise.
+    Small P (at most ``INLINE_PARTICIPANTS_MAX``, checked by fetching one row more):
+    the participant rows become a literal array and each problem row is replicated
+    by ``inline`` of it -- a narrow Generate, one small job, no join at all.
+    Larger P: participants get dense indices 0..P-1 (distributed numbering); each
+    problem row is replicated by ``explode(sequence(0, P-1))`` and the participant
+    columns come back through an equi-join on the index -- broadcast when P is at
+    most ``broadcast_max`` (a checked count), a shuffle join otherwise.  Never a
+    nested-loop join.
     """
+    head = participants.limit(INLINE_PARTICIPANTS_MAX + 1).collect()
+    if len(head) <= INLINE_PARTICIPANTS_MAX:
+        fields = participants.schema.fields
+        rows = sorted(head, key=lambda r: tuple((v is None, v) for v in r))
+        literal = F.array(*[
+            F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows
+        ]).cast(T.ArrayType(T.StructType(fields)))
+        return problems.select("*", F.inline(literal))
     indexed, p_count = number_rows(participants, [participant_col], col_name="_pidx", start=0)
     if p_count == 0:
         return (problems.limit(0)  # no participants: empty, same schema

@@ -139,3 +139,15 @@ def test_run_summary_and_combine(spark):
     assert s == {"a": "ERROR - x", "b": "Completed"}
     c = M.combine(runs.limit(1), runs.limit(1).withColumn("extra", F.lit(1)))
     assert c.count() == 2 and "extra" in c.columns
+
+
+def test_expected_rows_both_paths_agree(spark, frames, monkeypatch):
+    from answer_eval.operators import grade as G
+    probs, parts, _ = frames
+    inline = sorted(tuple(r) for r in G.expected_rows(probs, parts).collect())
+    monkeypatch.setattr(G, "INLINE_PARTICIPANTS_MAX", 0)      # force numbering + index join
+    indexed = sorted(tuple(r) for r in G.expected_rows(probs, parts).collect())
+    monkeypatch.setattr(G, "BROADCAST_PARTICIPANTS_MAX", 0)   # and the shuffle-join branch
+    shuffled = sorted(tuple(r) for r in G.expected_rows(probs, parts, broadcast_max=0).collect())
+    assert inline == indexed == shuffled
+    assert len(inline) == len(PROBLEMS) * len(PARTICIPANTS)
