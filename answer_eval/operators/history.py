@@ -17,9 +17,6 @@ from answer_eval.sources.problems import number_within
 # Task states after which a task is never processed again.
 TERMINAL_STATES = ("completed", "canceled", "failed", "rejected")
 
-# Distinct finished-task tables up to this many rows are broadcast.
-TASK_BROADCAST_MAX = 1_000_000
-
 
 # W4 -----------------------------------------------------------------------
 def conversation_history(log: DataFrame, system: str = DIRECT_SYSTEM, conv_col: str = "conv_id",
@@ -76,12 +73,10 @@ def finished_tasks(tasks: DataFrame, task_col: str = "task_id", state_col: str =
 # J3 -----------------------------------------------------------------------
 def skip_finished(requests: DataFrame, tasks: DataFrame, task_col: str = "task_id",
                   state_col: str = "state", seq_col: str | None = None) -> DataFrame:
-    """Requests whose task has not finished (left anti join on the task id); the
-    finished side is broadcast when its distinct count is small (checked)."""
+    """Requests whose task has not finished (left anti join on the task id)."""
     done = finished_tasks(tasks, task_col, state_col, seq_col)
-    n_done = done.count()
-    side = F.broadcast(done) if n_done <= TASK_BROADCAST_MAX else done
-    return requests.join(side, task_col, "left_anti")
+    # an aggregate stage: AQE broadcasts it only after measuring it small
+    return requests.join(done, task_col, "left_anti")
 
 
 # X2 batch twin ---------------------------------------------------------------
@@ -92,13 +87,13 @@ def gate_tasks_batch(tasks: DataFrame, task_col: str = "task_id", seq_col: str =
     unfinished tasks pass again, and the terminal message itself passes).
 
     First terminal sequence per task is one aggregate; the gate is an equi-join
-    back (broadcast when that table is small, a checked count) -- no window, so a
-    task with a third of all messages is not sorted in one task.
+    back -- no window, so a task with a third of all messages is not sorted in one
+    task.
     """
     first_term = (tasks.filter(F.col(state_col).isin(*TERMINAL_STATES))
                   .groupBy(task_col).agg(F.min(seq_col).alias("_first_terminal")))
-    n = first_term.count()
-    side = F.broadcast(first_term) if n <= TASK_BROADCAST_MAX else first_term
-    joined = tasks.join(side, task_col, "left")
+    # one row per task from an aggregate stage: AQE broadcasts it only after
+    # measuring it small, otherwise a shuffle join (skew join splits a hot task)
+    joined = tasks.join(first_term, task_col, "left")
     passes = F.col("_first_terminal").isNull() | (F.col(seq_col) <= F.col("_first_terminal"))
     return joined.filter(passes).drop("_first_terminal")

@@ -177,10 +177,6 @@ def in_sample_order(df: DataFrame, col_name: str = "sample_num") -> DataFrame:
     return df.orderBy(F.col(col_name).asc_nulls_last())
 
 
-# Per-(part, group) segment tables up to this many rows are broadcast back to the
-# data; larger ones are joined with a shuffle.
-SEGMENT_BROADCAST_MAX = 1_000_000
-
 
 def number_within(df: DataFrame, group, order_by, col_name: str = "position",
                   start: int = 0) -> DataFrame:
@@ -206,8 +202,8 @@ def number_within(df: DataFrame, group, order_by, col_name: str = "position",
                                                    F.min("_rid").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    n_seg = seg.count()
-    side = F.broadcast(seg) if n_seg <= SEGMENT_BROADCAST_MAX else seg
-    out = frozen.join(side, ["_part", *group_cols], "inner")
+    # The segment table is an aggregate stage: AQE measures its materialised size
+    # and broadcasts it only when that is below the broadcast threshold.
+    out = frozen.join(seg, ["_part", *group_cols], "inner")
     pos = F.col("_off") + (F.col("_rid") - F.col("_first")) + F.lit(start)
     return out.withColumn(col_name, pos.cast("bigint")).drop("_rid", "_part", "_first", "_off")
