@@ -103,7 +103,8 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
         "request_id", "_v", "_json",
         _json_text(_get(c("_v"), "participants", "variant")).alias("_pj"),
         _json_text(_get(c("_v"), "config", "variant")).alias("_cj"),
-        F.when(c("_json"), _json_text(c("_v")).substr(1, 1)).alias("_vk"),
+        # the body parses strictly, so its first non-blank character is the kind
+        F.when(c("_json"), py_strip(c("_body")).substr(1, 1)).alias("_vk"),
         F.when(~c("_json"), X_tags(c("_body"))).alias("_tags"),
         F.when(c("_json"), F.try_variant_get(c("_v"), "$.config.max_examples", "bigint")).alias("_jmax"),
     )
@@ -114,17 +115,24 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
         F.element_at(c("_tags"), F.lit(URL_TAG)).alias("_url"),
         F.element_at(c("_tags"), F.lit(MAX_EXAMPLES_TAG)).alias("_n_text"),
     )
-    cand_type = "array<struct<pos:int,role:string,e:variant,url:string>>"
-    no_url = F.lit(None).cast("string")
+    # candidate entries carry their JSON text (ej) and, for list entries, the JSON
+    # text of their endpoint (epj): each is serialised once, here.
+    cand_type = "array<struct<pos:int,role:string,e:variant,url:string,ej:string,epj:string>>"
+    no_text = F.lit(None).cast("string")
+
+    def cand(i, role, e, url, with_endpoint):
+        epj = _json_text(F.try_variant_get(e, "$.endpoint", "variant")) if with_endpoint else no_text
+        return F.struct(i.alias("pos"), role.alias("role"), e.alias("e"), url.alias("url"),
+                        _json_text(e).alias("ej"), epj.alias("epj"))
+
     from_list = F.transform(F.try_variant_get(c("_v"), "$.participants", "array<variant>"),
-                            lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("role"),
-                                                  e.alias("e"), no_url.alias("url")))
+                            lambda e, i: cand(i, no_text, e, no_text, True))
     from_obj = F.transform(F.map_entries(F.try_variant_get(c("_v"), "$.participants", "map<string,variant>")),
-                           lambda kv, i: F.struct(i.alias("pos"), kv["key"].alias("role"), kv["value"].alias("e"),
-                                                  no_url.alias("url")))
+                           lambda kv, i: cand(i, kv["key"], kv["value"], no_text, False))
     url_ok = c("_url").isNotNull() & (c("_url") != F.lit(""))
-    from_tags = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("string").alias("role"),
-                                 F.lit(None).cast("variant").alias("e"), c("_url").alias("url")))
+    from_tags = F.array(F.struct(F.lit(0).alias("pos"), no_text.alias("role"),
+                                 F.lit(None).cast("variant").alias("e"), c("_url").alias("url"),
+                                 no_text.alias("ej"), no_text.alias("epj")))
     st = st.select(
         "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text",
         F.when(c("_use_list"), from_list).when(c("_use_obj"), from_obj)
@@ -133,15 +141,14 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     )
 
     def keep(x: Column) -> Column:  # a candidate entry that yields a participant
-        ej = _json_text(x["e"])
-        in_list = _truthy_text(_json_text(F.try_variant_get(x["e"], "$.endpoint", "variant")))
+        ej = x["ej"]
         return (x["url"].isNotNull()
-                | (x["role"].isNull() & in_list)                                  # F1
+                | (x["role"].isNull() & _truthy_text(x["epj"]))                   # F1
                 | (x["role"].isNotNull() & (ej.startswith('"') | ej.startswith("{"))))
 
     st = st.select(
         "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text", "_n_val",
-        F.exists(c("_raw"), lambda x: x["url"].isNull() & ~_is_object_text(_json_text(x["e"]))).alias("_bad"),
+        F.exists(c("_raw"), lambda x: x["url"].isNull() & ~_is_object_text(x["ej"])).alias("_bad"),
         F.filter(c("_raw"), keep).alias("_cands"),
     )
     st = st.select(
@@ -172,9 +179,8 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     rows = per_req.select("request_id", "max_examples", F.inline_outer("_out"))
     rows = rows.filter(c("pos").isNotNull()).withColumnRenamed("pos", "position")
     e, role = c("e"), c("role")
-    rows = rows.select("*", _json_text(e).alias("_ej"),
-                       F.coalesce(_get(e, "name"), F.lit(DEFAULT_NAME)).alias("_lname"))
-    is_tag, is_list, ej = c("url").isNotNull(), role.isNull(), c("_ej")
+    rows = rows.select("*", F.coalesce(_get(e, "name"), F.lit(DEFAULT_NAME)).alias("_lname"))
+    is_tag, is_list, ej = c("url").isNotNull(), role.isNull(), c("ej")
     participants = rows.select(
         "request_id", c("position").cast("int").alias("position"),
         F.when(is_tag, F.lit(TAG_PARTICIPANT)).when(is_list, c("_lname")).otherwise(role).alias("name"),
