@@ -9,7 +9,6 @@ expected rows reuses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +29,10 @@ BROADCAST_PARTICIPANTS_MAX = 100_000
 # literal array in the plan itself: one small job instead of numbering them.
 INLINE_PARTICIPANTS_MAX = 1_000
 
+
 # Error text of an expected row for which the log holds no reply (our wording).
 MSG_NO_REPLY = "No reply recorded for this sample"
 
-GRADED_COLUMNS = ("participant", "expected", "predicted", "correct", "time", "status", "error")
-
 
 def _key_list(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)

@@ -7,7 +7,6 @@ Every query reads the driver's tables (through the stand-in builders of
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 

@@ -41,8 +41,6 @@ ANSWER_LOG_SCHEMA = T.StructType([
 # Fallback message of an error reply that carries no message.
 UNKNOWN_ERROR = "Unknown error"
 
-REPLY_COLUMNS = ("reply_status", "answer", "error")
-
 
 # S2 -----------------------------------------------------------------------
 def read_answers(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -31,14 +31,13 @@ TAG_PARTICIPANT = "agent"
 MSG_NO_PARTICIPANTS = "ERROR: No participants found in request (tried JSON and tags)"
 DEFAULT_NAME = "unknown"
 
+
 # Our wording for requests the evaluator would have failed on.
 ERR_NOT_OBJECT = "ERROR: request JSON is not an object"
 ERR_ENTRY = "ERROR: a participant entry is not an object"
 ERR_CONFIG = "ERROR: config is not an object"
 ERR_MAX_EXAMPLES = "ERROR: max_examples is not an integer"
 
-PARTICIPANT_COLUMNS = ("request_id", "position", "name", "agent_id", "endpoint", "max_examples")
-
 
 # A JSON value's kind is read from the first character of its canonical JSON
 # text (one serialisation per value, cheap for request-sized values).

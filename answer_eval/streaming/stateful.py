@@ -2,8 +2,8 @@
 
 X1 ``conversation_stream``: messages arrive per conversation; the output is the
 long-form history (same rows as the batch ``conversation_history``).  The state
-per conversation is two numbers (next position, whether anything was seen), not
-the message list, so a long conversation does not grow the state.
+per conversation is one number (the next position; its presence means the history
+is not empty), not the message list, so a long conversation does not grow it.
 
 X2 ``gate_tasks_stream``: a task message passes unless a terminal state was seen
 for its task before it; state per task is one boolean.
@@ -43,15 +43,12 @@ def _history_fn(system: str, timeout_ms: int | None):
             return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
         conv = key[0]
-        if state.exists:
-            pos = int(state.get[0])
-            prefix = []
-        else:
-            pos = 0
-            prefix = []
-            if len(pdf) and pdf["role"].iloc[0] != "system":
-                prefix = [(conv, 0, "system", system, None)]
-                pos = 1
+        pos = int(state.get[0]) if state.exists else 0
+        prefix = []
+        if not state.exists and len(pdf) and pdf["role"].iloc[0] != "system":
+            # empty history and no logged system message: the agent's goes first
+            prefix = [(conv, 0, "system", system, None)]
+            pos = 1
         n = len(pdf)
         out = pd.DataFrame({
             "conv_id": [conv] * n,

@@ -3,7 +3,6 @@
 import os
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from answer_eval.operators import attempts as W
 from answer_eval.operators import history as H
