@@ -13,13 +13,14 @@ from pyspark.sql.window import Window
 from answer_eval.functions.text import py_strip
 from answer_eval.session import ensure_checkpoint_dir
 
-# Declared problem schema in file column order (hyphenated names renamed).
+# Declared problem schema in file column order, with the file's own header names
+# (the reader renames hyphens to underscores afterwards).
 PROBLEM_SCHEMA = T.StructType([
     T.StructField("story_id", T.LongType()),
     T.StructField("premises", T.StringType()),
-    T.StructField("premises_fol", T.StringType()),
+    T.StructField("premises-FOL", T.StringType()),
     T.StructField("conclusion", T.StringType()),
-    T.StructField("conclusion_fol", T.StringType()),
+    T.StructField("conclusion-FOL", T.StringType()),
     T.StructField("label", T.StringType()),
     T.StructField("example_id", T.LongType()),
 ])
@@ -66,7 +67,7 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
     declared schema (never inferred: a True/False label column would become
     BOOLEAN).  Parquet/ORC/JSON are read as stored.  ``na_values`` turns the
     listed strings into NULL in string columns (``PANDAS_NA_VALUES`` mimics pandas).
-    Hyphenated column names are renamed with underscores.
+    Hyphenated column names are renamed with underscores, lower-cased (premises-FOL -> premises_fol).
     """
     candidates = [paths] if isinstance(paths, str) else list(paths)
     path = first_existing(spark, candidates)
@@ -82,7 +83,7 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
         df = reader.format(fmt).load(path)
     for name in df.columns:
         if "-" in name:
-            df = df.withColumnRenamed(name, name.replace("-", "_"))
+            df = df.withColumnRenamed(name, name.replace("-", "_").lower())
     if na_values:
         string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
         df = df.select(*[
