@@ -13,8 +13,21 @@ from pyspark.sql import functions as F
 
 from answer_eval.functions.text import LABELS, format_fixed, format_percent, right_align
 
-# Fixed layout of the per-participant text block.
-_BULLET = "  • "
+# ---------------------------------------------------------------------------
+# Layout of the per-participant text block, in output order.
+# ---------------------------------------------------------------------------
+AGENT_LINE = "\nAgent: "
+BULLET = "  • "
+LINE_TOTAL = "Total Cases: "
+LINE_CORRECT = "Correct: "
+LINE_INCORRECT = "Incorrect: "
+LINE_PARSE_ERRORS = "Parse Errors: "
+LINE_ACCURACY = "Accuracy: "
+LINE_PER_CATEGORY = "Per-category:"
+LINE_AVG_TIME = "Avg Time/Case: "
+LINE_TOTAL_TIME = "Total Time: "
+CATEGORY_INDENT = "    "
+CATEGORY_WIDTH = 9
 
 
 # K1 -----------------------------------------------------------------------
@@ -33,7 +46,7 @@ def _category_lines() -> Column:
     lines = []
     for lab in LABELS:
         p = lab.lower()
-        line = F.concat(F.lit("    "), right_align(F.lit(lab), 9), F.lit(": "),
+        line = F.concat(F.lit(CATEGORY_INDENT), right_align(F.lit(lab), CATEGORY_WIDTH), F.lit(": "),
                         F.col(f"{p}_correct").cast("string"), F.lit("/"), F.col(f"{p}_total").cast("string"),
                         F.lit(" = "), format_fixed(F.col(f"{p}_accuracy")), F.lit("%"))
         lines.append(F.when(F.col(f"{p}_total") > 0, line))
@@ -49,16 +62,17 @@ def participant_text(report: DataFrame) -> DataFrame:
     """(id, text): the text block of each participant.  Per-label lines only for
     labels present, in the order True, False, Uncertain."""
     ratio = F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0))
+    nl = F.lit("\n")
     text = F.concat(
-        F.lit("\nAgent: "), F.col("agent"), F.lit("\n"),
-        F.lit(_BULLET + "Total Cases: "), F.col("total").cast("string"), F.lit("\n"),
-        F.lit(_BULLET + "Correct: "), F.col("correct").cast("string"), F.lit("\n"),
-        F.lit(_BULLET + "Incorrect: "), F.col("incorrect").cast("string"), F.lit("\n"),
-        F.lit(_BULLET + "Parse Errors: "), F.col("parse_errors").cast("string"), F.lit("\n"),
-        F.lit(_BULLET + "Accuracy: "), format_percent(ratio), F.lit("\n"),
-        F.lit(_BULLET + "Per-category:\n"), _category_lines(), F.lit("\n"),
-        F.lit(_BULLET + "Avg Time/Case: "), _seconds("avg_time_per_case"), F.lit("\n"),
-        F.lit(_BULLET + "Total Time: "), _seconds("time_used"), F.lit("\n"),
+        F.lit(AGENT_LINE), F.col("agent"), nl,
+        F.lit(BULLET + LINE_TOTAL), F.col("total").cast("string"), nl,
+        F.lit(BULLET + LINE_CORRECT), F.col("correct").cast("string"), nl,
+        F.lit(BULLET + LINE_INCORRECT), F.col("incorrect").cast("string"), nl,
+        F.lit(BULLET + LINE_PARSE_ERRORS), F.col("parse_errors").cast("string"), nl,
+        F.lit(BULLET + LINE_ACCURACY), format_percent(ratio), nl,
+        F.lit(BULLET + LINE_PER_CATEGORY), nl, _category_lines(), nl,
+        F.lit(BULLET + LINE_AVG_TIME), _seconds("avg_time_per_case"), nl,
+        F.lit(BULLET + LINE_TOTAL_TIME), _seconds("time_used"), nl,
     )
     return report.select("id", text.alias("text"))
 
