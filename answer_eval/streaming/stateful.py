@@ -69,7 +69,13 @@ def _history_fn(system: str, timeout_ms: int | None):
 def conversation_stream(stream: DataFrame, system: str = DIRECT_SYSTEM,
                         timeout_ms: int | None = None) -> DataFrame:
     """X1: keyed history state per conversation (conv_id, turn, role, text) ->
-    long-form history rows.  ``timeout_ms`` forgets idle conversations."""
+    long-form history rows.
+
+    ``timeout_ms`` forgets a conversation idle for that long (its next message
+    starts a new history).  It uses processing-time timeouts, for which Spark keeps
+    scheduling (no-data) micro-batches: run such a query continuously (default or
+    processing-time trigger), not with ``availableNow``, which would never end.
+    """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     src = stream.select("conv_id", "turn", "role", "text")
     return src.groupBy("conv_id").applyInPandasWithState(
@@ -103,9 +109,20 @@ def gate_tasks_stream(stream: DataFrame) -> DataFrame:
         _gate_fn, GATE_SCHEMA, _GATE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _uses_processing_time_timeout(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().logical().toString()
+    return "ProcessingTimeTimeout" in plan
+
+
 def run_to_table(stream_result: DataFrame, out_path: str, checkpoint_path: str) -> None:
     """Run a stateful stream over everything available (availableNow) into a
-    Parquet sink and wait for it; read the result back with ``spark.read``."""
+    Parquet sink and wait for it; read the result back with ``spark.read``.
+
+    Streams with processing-time timeouts never finish under availableNow (Spark
+    schedules no-data batches for them forever) and are refused here."""
+    if _uses_processing_time_timeout(stream_result):
+        raise ValueError("processing-time timeouts need a continuously running query; "
+                         "start it with writeStream yourself instead of run_to_table")
     q = (stream_result.writeStream.format("parquet").outputMode("append")
          .option("path", out_path).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())

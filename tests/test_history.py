@@ -101,3 +101,49 @@ def test_open_and_skip_finished(spark):
     assert sorted(r.task_id for r in H.skip_finished(reqs, tasks).collect()) == [3, 4]
     assert sorted(r.task_id for r in H.skip_finished(reqs, tasks, seq_col="seq").collect()) == [1, 3, 4]
     assert H.open_tasks(tasks).count() == 2
+
+
+def _three_batches(spark, tmp_dir):
+    import time
+    src = os.path.join(tmp_dir, "conv")
+    batches = [[(1, 0, "user", "a"), (1, 1, "assistant", "b")], [(2, 0, "user", "c")], [(1, 2, "user", "d")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+            .coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # distinct modification times: the file source orders by them
+    schema = "conv_id long, turn long, role string, text string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_conversation_stream_timeout_forgets_idle_history(spark, tmp_dir):
+    import pytest
+    out = {}
+    for label, timeout in (("kept", None), ("expired", 1)):
+        d = os.path.join(tmp_dir, label)
+        os.makedirs(d)
+        result = ST.conversation_stream(_three_batches(spark, d), "SYS", timeout_ms=timeout)
+        if timeout:
+            with pytest.raises(ValueError):
+                ST.run_to_table(result, os.path.join(d, "x"), os.path.join(d, "xck"))
+        # a continuously running query (default trigger), stopped once all 4 input
+        # rows went through (with processing-time timeouts Spark keeps running
+        # no-data batches, so neither availableNow nor processAllAvailable ends)
+        q = (result.writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(d, "out")).option("checkpointLocation", os.path.join(d, "ck"))
+             .start())
+        try:
+            import time
+            deadline = time.time() + 90
+            while time.time() < deadline:
+                seen = sum(p["numInputRows"] for p in q.recentProgress)
+                if seen >= 4 and q.lastProgress and q.lastProgress["numInputRows"] == 0:
+                    break
+                time.sleep(0.5)
+        finally:
+            q.stop()
+        out[label] = sorted((r.conv_id, r.position, r.role, r.content)
+                            for r in spark.read.parquet(os.path.join(d, "out")).collect())
+    assert (1, 3, "user", "d") in out["kept"]
+    # idle through the second batch: conversation 1 restarts with a new system message
+    assert (1, 0, "system", "SYS") in out["expired"] and (1, 1, "user", "d") in out["expired"]
+    assert out["expired"].count((1, 0, "system", "SYS")) == 2
