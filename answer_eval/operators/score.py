@@ -3,7 +3,9 @@
 The answerer is an ordinary Python callable passed in by the caller (an HTTP
 client, a local model, a rule).  Rows are spread over ``max_concurrency``
 partitions and each task calls the answerer one row at a time, so at most
-``max_concurrency`` calls are in flight cluster-wide.  A failing row becomes an
+``max_concurrency`` calls are in flight cluster-wide -- except that a call that
+timed out cannot be killed (Python threads cannot be) and may still be running in
+the background while its task moves on to the next row.  A failing row becomes an
 ``exception`` row and never fails the job; each call has a timeout; a transient
 error (by exception type) is retried with delay ``base_delay_s * 2**k``.
 Output is a decoded answer log: the input columns plus reply_status, answer,
