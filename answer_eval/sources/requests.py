@@ -63,6 +63,14 @@ def _get(v: Column, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, f"$.{key}", kind)
 
 
+def _py_int(text: Column) -> Column:
+    """Python ``int(text)`` for ASCII digits: sign, surrounding whitespace and
+    single underscores between digit groups (``1_0`` -> 10); NULL when invalid."""
+    t = F.trim(text)
+    ok = t.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
+    return F.when(ok, F.regexp_replace(t, "_", "").try_cast("bigint"))
+
+
 def _strict_json(body: Column, v: Column) -> Column:
     """Parsed AND no trailing text: objects/arrays must end with their closing
     bracket, scalars must print back to the same text."""
@@ -136,7 +144,7 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
         "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text",
         F.when(c("_use_list"), from_list).when(c("_use_obj"), from_obj)
          .when(~c("_json") & url_ok, from_tags).otherwise(F.array().cast(cand_type)).alias("_raw"),
-        c("_n_text").try_cast("bigint").alias("_n_val"),
+        _py_int(c("_n_text")).alias("_n_val"),
     )
 
     def keep(x: Column) -> Column:  # a candidate entry that yields a participant

@@ -129,6 +129,8 @@ REQUESTS = [
     (10, '{"participants":[{"endpoint":"http://1"}],"participants":[{"endpoint":"http://2"}]}'),
     (11, '{"participants":["http://x"]}'),
     (12, "<white_agent_url>w</white_agent_url><max_examples></max_examples>"),
+    (13, "<white_agent_url>v</white_agent_url><max_examples>1_0</max_examples>"),
+    (14, "<white_agent_url>v</white_agent_url><max_examples>1__0</max_examples>"),
 ]
 
 
@@ -146,8 +148,9 @@ def test_parse_requests_forms_and_errors(spark):
         (9, 0, "agent", "agent", "z", 0),
         (10, 0, "unknown", "unknown", "http://2", 0),
         (12, 0, "agent", "agent", "w", 0),
+        (13, 0, "agent", "agent", "v", 10),
     ]
     e = dict((r.request_id, r.error) for r in errors.collect())
     assert e[4] == MSG_NO_PARTICIPANTS and e[5] == MSG_NO_PARTICIPANTS
-    assert set(e) == {4, 5, 6, 7, 8, 11}
+    assert set(e) == {4, 5, 6, 7, 8, 11, 14}
     assert "not an object" in e[6] and "config" in e[7] and "integer" in e[8] and "entry" in e[11]
