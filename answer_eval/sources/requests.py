@@ -10,10 +10,11 @@ reject (non-object JSON, a non-object participant entry, a non-object config, a
 non-integer tag value) or that names no participant becomes an error row; it
 never fails the job.
 
-Known differences from Python's ``json``: NaN/Infinity literals are not JSON here;
+Known differences from Python: NaN/Infinity literals are not JSON here;
 object-form participants come out in key order (VARIANT sorts object keys), so
-``position`` is the rank of the role name; trailing text after a JSON value is
-detected by the closing bracket (two objects in a row still pass as JSON).
+``position`` is the rank of the role name; the tag-form limit accepts ASCII digits
+only (Python's ``int`` also reads other Unicode digits).  Text after a complete JSON
+value makes the body non-JSON, as in Python.
 """
 
 from __future__ import annotations
@@ -71,13 +72,53 @@ def _py_int(text: Column) -> Column:
     return F.when(ok, F.regexp_replace(t, "_", "").try_cast("bigint"))
 
 
-def _strict_json(body: Column, v: Column) -> Column:
-    """Parsed AND no trailing text: objects/arrays must end with their closing
-    bracket, scalars must print back to the same text."""
-    s = py_strip(body)
+# A JSON string literal (escapes included), for removing strings before looking at
+# the bracket structure.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+# Pair-removal passes of the fast balance check: requests nest about three levels
+# ({participants: [{...}]}); deeper JSON falls through to the exact fold.
+_PAIR_PASSES = 3
+
+
+def _skeleton(s: Column) -> Column:
+    """Bracket skeleton of a JSON text: string literals removed, only brackets kept."""
+    # one pass: at a quote the whole string literal matches, elsewhere any non-bracket
+    return F.regexp_replace(s, _JSON_STRING + r"|[^\[\]{}]", "")
+
+
+def _single_container(skeleton: Column) -> Column:
+    """True when a bracket skeleton closes its first container exactly at its end.
+
+    Fast path: without its outer pair the skeleton must be balanced; removing
+    adjacent ``{}``/``[]`` pairs a few times empties it whenever it is balanced and
+    at most that deep.  Otherwise (trailing values, or deeper nesting) a fold over
+    the skeleton decides: depth never below zero and zero exactly once, at the end.
+    """
+    inner = F.when(F.length(skeleton) >= 2, skeleton.substr(F.lit(2), F.length(skeleton) - F.lit(2)))
+    for _ in range(_PAIR_PASSES):
+        inner = F.regexp_replace(inner, r"\{\}|\[\]", "")
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("zeros"), F.lit(0).alias("low"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        d = acc["d"] + F.when(ch.isin("{", "["), 1).otherwise(-1)
+        return F.struct(d.alias("d"), (acc["zeros"] + F.when(d == 0, 1).otherwise(0)).alias("zeros"),
+                        F.least(acc["low"], d).alias("low"))
+
+    end = F.aggregate(F.split(skeleton, ""), start, step)
+    by_fold = (end["d"] == 0) & (end["zeros"] == 1) & (end["low"] >= 0)
+    return F.when(inner == F.lit(""), F.lit(True)).otherwise(by_fold)
+
+
+def _strict_json(s: Column, skeleton: Column, v: Column) -> Column:
+    """Parsed AND nothing after the value (``try_parse_json`` accepts a valid prefix):
+    an object/array (``s`` is the stripped text, ``skeleton`` its brackets) must end
+    with its closing bracket and close exactly there; a scalar must print back to
+    the same text."""
     return v.isNotNull() & (
-        F.when(s.startswith("{"), s.endswith("}"))
-        .when(s.startswith("["), s.endswith("]"))
+        F.when(s.startswith("{"), s.endswith("}") & _single_container(skeleton))
+        .when(s.startswith("["), s.endswith("]") & _single_container(skeleton))
         .otherwise(F.to_json(v) == s)
     )
 
@@ -104,14 +145,19 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     # by name (these projections run interpreted, without subexpression sharing).
     c = F.col
     st = requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body"))
-    st = st.select("request_id", "_body", F.try_parse_json(c("_body")).alias("_v"))
-    st = st.select("request_id", "_body", "_v", _strict_json(c("_body"), c("_v")).alias("_json"))
+    st = st.select("request_id", "_body", F.try_parse_json(c("_body")).alias("_v"),
+                   py_strip(c("_body")).alias("_s"))
+    st = st.select("request_id", "_body", "_v", "_s",
+                   F.when(c("_v").isNotNull() & (c("_s").startswith("{") | c("_s").startswith("[")),
+                          _skeleton(c("_s"))).alias("_skel"))
+    st = st.select("request_id", "_body", "_v", "_s",
+                   _strict_json(c("_s"), c("_skel"), c("_v")).alias("_json"))
     st = st.select(
         "request_id", "_v", "_json",
         _json_text(_get(c("_v"), "participants", "variant")).alias("_pj"),
         _json_text(_get(c("_v"), "config", "variant")).alias("_cj"),
         # the body parses strictly, so its first non-blank character is the kind
-        F.when(c("_json"), py_strip(c("_body")).substr(1, 1)).alias("_vk"),
+        F.when(c("_json"), c("_s").substr(1, 1)).alias("_vk"),
         F.when(~c("_json"), X_tags(c("_body"))).alias("_tags"),
         F.when(c("_json"), F.try_variant_get(c("_v"), "$.config.max_examples", "bigint")).alias("_jmax"),
     )

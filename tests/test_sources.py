@@ -131,6 +131,12 @@ REQUESTS = [
     (12, "<white_agent_url>w</white_agent_url><max_examples></max_examples>"),
     (13, "<white_agent_url>v</white_agent_url><max_examples>1_0</max_examples>"),
     (14, "<white_agent_url>v</white_agent_url><max_examples>1__0</max_examples>"),
+    (15, '{"participants":[{"endpoint":"http://x"}]} {"b":1}'),
+    (16, '{"participants":[{"endpoint":"http://x"}]},{"b":1}'),
+    (17, '{"participants":[{"endpoint":"http://x"}]} <white_agent_url>u</white_agent_url> }'),
+    (18, '{"participants":[{"endpoint":"http://x\\"}{"}]}'),
+    (19, '{"participants":[{"endpoint":"http://deep","n":[[[[[1]]]]]}]}'),
+    (20, '{"participants":[{"endpoint":"http://deep","n":[[[[[1]]]]]}]} {"z":[[[]]]}'),
 ]
 
 
@@ -149,8 +155,11 @@ def test_parse_requests_forms_and_errors(spark):
         (10, 0, "unknown", "unknown", "http://2", 0),
         (12, 0, "agent", "agent", "w", 0),
         (13, 0, "agent", "agent", "v", 10),
+        (17, 0, "agent", "agent", "u", 0),
+        (18, 0, "unknown", "unknown", 'http://x"}{', 0),   # brackets inside a string
+        (19, 0, "unknown", "unknown", "http://deep", 0),   # deeper than the fast path
     ]
     e = dict((r.request_id, r.error) for r in errors.collect())
     assert e[4] == MSG_NO_PARTICIPANTS and e[5] == MSG_NO_PARTICIPANTS
-    assert set(e) == {4, 5, 6, 7, 8, 11, 14}
+    assert set(e) == {4, 5, 6, 7, 8, 11, 14, 15, 16, 20}
     assert "not an object" in e[6] and "config" in e[7] and "integer" in e[8] and "entry" in e[11]
