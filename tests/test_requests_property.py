@@ -54,7 +54,9 @@ tag_body = st.builds(
     st.one_of(st.none(), st.sampled_from(["", "http://t", " http://u "])),
     st.one_of(st.none(), st.sampled_from(["", "7", " 12 ", "ten"])),
 )
-body = st.one_of(json_body(), tag_body, st.sampled_from(["[1, 2]", "5", '"s"', "plain text"]))
+two_values = st.builds(lambda a, sep, b: a + sep + b, json_body(), st.sampled_from([" ", ",", "\n"]), json_body())
+body = st.one_of(json_body(), tag_body, two_values,
+                 st.sampled_from(["[1, 2]", "5", '"s"', "plain text", "[1] [2]"]))
 
 
 def _text(v):
