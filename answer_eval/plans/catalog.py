@@ -374,6 +374,10 @@ def q_k2_participant_text(spark, sf):
     return K.participant_text(M.report(_graded(spark, sf), I.participants(spark, sf)))
 
 
+def q_k2_results_text(spark, sf):
+    return K.results_text(M.report(_graded(spark, sf), I.participants(spark, sf)))
+
+
 def q_k3_write_results(spark, sf):
     path = _scratch(spark, "k3-results")
     K.write_results(_graded(spark, sf).select("participant", "story_id", "expected", "predicted",
@@ -894,6 +898,10 @@ FROM ({REPORT_SQL})"""
 
 
 ORACLES["k2_participant_text"] = _text_sql()
+ORACLES["k2_results_text"] = f"""
+SELECT {_lit(K.TEXT_HEADER)} || CAST(count(*) AS VARCHAR) || {_lit(K.TEXT_AGENTS)}
+  || string_agg(text, '' ORDER BY id) || {_lit(K.TEXT_FOOTER)} AS text
+FROM ({_text_sql()})"""
 
 _REPORT_FIELDS = ", ".join(f"{c} := {c}" for c in M.REPORT_COLUMNS)
 ORACLES["k1_results_json"] = f"""
@@ -955,6 +963,7 @@ QUERIES: dict[str, QueryFn] = {
     "d1_scored_report": q_d1_scored_report,
     "k1_results_json": q_k1_results_json,
     "k2_participant_text": q_k2_participant_text,
+    "k2_results_text": q_k2_results_text,
     "k3_write_results": q_k3_write_results,
     "k4_leaderboard": q_k4_leaderboard,
     "bench_big_log_report": q_bench_big_log_report,

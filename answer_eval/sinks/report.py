@@ -29,6 +29,11 @@ LINE_TOTAL_TIME = "Total Time: "
 CATEGORY_INDENT = "    "
 CATEGORY_WIDTH = 9
 
+# Our wording of the combined report's header and footer.
+TEXT_HEADER = "Evaluation complete\n\nEvaluated "
+TEXT_AGENTS = " agent(s):\n"
+TEXT_FOOTER = "\nPer-example results are in the results table.\n"
+
 
 # K1 -----------------------------------------------------------------------
 def results_json(report: DataFrame, order_col: str = "id") -> DataFrame:
@@ -83,8 +88,8 @@ def results_text(report: DataFrame) -> DataFrame:
     agg = blocks.agg(F.count(F.lit(1)).alias("_n"),
                      F.sort_array(F.collect_list(F.struct("id", "text"))).alias("_b"))
     body = F.array_join(F.transform("_b", lambda x: x["text"]), "")
-    text = F.concat(F.lit("Evaluation complete\n\nEvaluated "), F.col("_n").cast("string"),
-                    F.lit(" agent(s):\n"), body, F.lit("\nPer-example results are in the results table.\n"))
+    text = F.concat(F.lit(TEXT_HEADER), F.col("_n").cast("string"), F.lit(TEXT_AGENTS), body,
+                    F.lit(TEXT_FOOTER))
     return agg.select(text.alias("text"))
 
 
