@@ -32,9 +32,10 @@ PANDAS_NA_VALUES = (
     "nan", "null",
 )
 
-# A first-N larger than this is taken by distributed numbering instead of a
-# single-task TakeOrderedAndProject.
-TAKE_ORDERED_MAX = 100_000
+# A first-N up to this size uses orderBy().limit(): every map partition keeps its
+# top n and ONE task merges n rows per partition.  Larger n is taken by distributed
+# numbering instead, so no task ever merges n x partitions rows.
+TAKE_ORDERED_MAX = 1_000
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
 
@@ -159,8 +160,9 @@ def first_n(df: DataFrame, n: int | None, order_by) -> DataFrame:
     """pandas ``head(n)`` semantics after a full read.
 
     None or 0 -> all rows; n > 0 -> first n in order; n < 0 -> all but the last |n|.
-    Small n uses ``orderBy().limit()`` (per-partition top-n, then a merge of n rows);
-    large or negative n numbers the rows distributedly and filters.
+    Small n (at most ``TAKE_ORDERED_MAX``) uses ``orderBy().limit()``: per-partition
+    top-n, then one task merges n rows per partition; larger or negative n numbers
+    the rows distributedly and filters.
     """
     if not n:
         return df
