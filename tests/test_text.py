@@ -154,3 +154,9 @@ def test_error_text_and_elapsed(spark):
         ["boom", "Execution failed with return code 2", "Execution failed with return code 3"]
     t = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS a, TIMESTAMP_NTZ'2024-01-01 00:00:01.5' AS b")
     assert t.select(X.elapsed_seconds("a", "b")).first()[0] == 1.5
+
+
+def test_tag_value(spark):
+    values = ["<a>x</a><b> y </b><a>z</a>", "<b>only</b>", None]
+    assert one_col(spark, values, lambda df: X.tag_value(F.col("s"), "a")) == ["z", None, None]
+    assert one_col(spark, values, lambda df: X.tag_value(F.col("s"), "b")) == ["y", "only", None]
