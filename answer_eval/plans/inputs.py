@@ -89,9 +89,9 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same replies as JSON envelopes: error objects, non-message results,
-    replies without a text part, and messages whose first text part is the answer
-    (after a non-text part, before a second text part)."""
+    """The same replies as JSON envelopes: error objects, a non-success response
+    kind, non-message results, replies without a text part, and messages whose first
+    text part is the answer (after a non-text part, before a second text part)."""
     rows = _answer_rows(spark, sf_dir)
     res = F.col("_res")
     text_part = F.to_json(F.struct(F.lit("text").alias("kind"), _answer_text(res).alias("text")))
