@@ -163,3 +163,17 @@ def test_parse_requests_forms_and_errors(spark):
     assert e[4] == MSG_NO_PARTICIPANTS and e[5] == MSG_NO_PARTICIPANTS
     assert set(e) == {4, 5, 6, 7, 8, 11, 14, 15, 16, 20}
     assert "not an object" in e[6] and "config" in e[7] and "integer" in e[8] and "entry" in e[11]
+
+
+@pytest.mark.parametrize("numbering", [False, True])
+def test_first_n_matches_head_semantics(spark, monkeypatch, numbering):
+    import pandas as pd
+    if numbering:
+        monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 0)   # every positive n takes the numbering path
+    keys = [7, 3, 9, 1, 5, 8, 2, 10, 4, 6]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    pdf = pd.DataFrame({"k": sorted(keys)})
+    for n in range(-15, 16):
+        want = pdf.head(n)["k"].tolist() if n else pdf["k"].tolist()   # "if n:" -- 0 means all
+        got = [r.k for r in S.first_n(df, n, "k").orderBy("k").collect()]
+        assert got == want, n
