@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answer_eval.llm import minhash_dedup as O8
 from answer_eval.llm import substring_dedup as O1
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +24,14 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_minhash_dedup(spark, sf_dir):
+    """Documents whose 2-word shingle sets have a similarity of 0.8 or more, linked."""
+    return O8.minhash_dedup(spark, table(spark, sf_dir, "documents"), num=80, den=100, shingle=2)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
