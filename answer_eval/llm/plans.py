@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answer_eval.llm import fingerprint as O10
 from answer_eval.llm import minhash_dedup as O8
 from answer_eval.llm import substring_dedup as O1
 
@@ -29,9 +30,15 @@ def op8_minhash_dedup(spark, sf_dir):
     return O8.minhash_dedup(spark, table(spark, sf_dir, "documents"), num=80, den=100, shingle=2)
 
 
+def op10_fingerprint(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return O10.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
