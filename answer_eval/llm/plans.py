@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from answer_eval.llm import fingerprint as O10
 from answer_eval.llm import minhash_dedup as O8
+from answer_eval.llm import packing as O2
 from answer_eval.llm import substring_dedup as O1
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,11 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    return O2.best_fit_packing(spark, table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op8_minhash_dedup(spark, sf_dir):
     """Documents whose 2-word shingle sets have a similarity of 0.8 or more, linked."""
     return O8.minhash_dedup(spark, table(spark, sf_dir, "documents"), num=80, den=100, shingle=2)
@@ -37,6 +43,7 @@ def op10_fingerprint(spark, sf_dir):
 
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op10_fingerprint": op10_fingerprint,
 }
