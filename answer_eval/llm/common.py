@@ -72,6 +72,11 @@ def same(*pairs) -> F.Column:
     return cond
 
 
+def columns(df: DataFrame) -> list[F.Column]:
+    """All columns of df, whatever their names."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of df clashes with it."""
     taken = {c.lower() for c in df.columns}

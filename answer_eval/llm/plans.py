@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answer_eval.llm import fingerprint as O10
+from answer_eval.llm import line_dedup as O5
 from answer_eval.llm import minhash_dedup as O8
+from answer_eval.llm import mixing as O9
 from answer_eval.llm import packing as O2
 from answer_eval.llm import substring_dedup as O1
 
@@ -31,11 +33,22 @@ def op2_best_fit_packing(spark, sf_dir):
     return O2.best_fit_packing(spark, table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_line_dedup(spark, sf_dir):
+    """Lines covered by a three-line window that starts earlier are removed."""
+    out = O5.line_dedup(spark, table(spark, sf_dir, "documents"), width=3)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_minhash_dedup(spark, sf_dir):
     """Documents whose 2-word shingle sets have a similarity of 0.8 or more, linked."""
     return O8.minhash_dedup(spark, table(spark, sf_dir, "documents"), num=80, den=100, shingle=2)
 
 
+def op9_source_mixing(spark, sf_dir):
+    """Words taken of every document when sources are mixed to their target weights."""
+    return O9.mix_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark, sf_dir):
     """Fingerprints of every document and of its edited text, with their likeness."""
     return O10.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
@@ -44,7 +57,9 @@ def op10_fingerprint(spark, sf_dir):
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_source_mixing": op9_source_mixing,
     "op10_fingerprint": op10_fingerprint,
 }
 
@@ -65,6 +80,20 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op5_line_dedup": """
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+        win AS (SELECT doc_id, p, md5(array_to_string(l[p:p + 2], chr(10))) AS k
+                FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM d)),
+        later AS (SELECT doc_id, p FROM (
+                    SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM win)
+                  WHERE n > 1),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS q FROM later),
+        lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS q FROM d),
+        kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY q) AS t, count(*) AS n
+                 FROM lines ANTI JOIN covered USING (doc_id, q) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines,
+               (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS text_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
 
 
