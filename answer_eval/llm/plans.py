@@ -14,6 +14,7 @@ from answer_eval.llm import line_dedup as O5
 from answer_eval.llm import minhash_dedup as O8
 from answer_eval.llm import mixing as O9
 from answer_eval.llm import packing as O2
+from answer_eval.llm import quality as O7
 from answer_eval.llm import substring_dedup as O1
 
 from answer_eval.llm.common import Scratch
@@ -56,6 +57,11 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_quality(spark, sf_dir):
+    """Quality scores of all documents, learnt from labels that are not held out."""
+    return O7.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op8_minhash_dedup(spark, sf_dir):
     """Documents whose 2-word shingle sets have a similarity of 0.8 or more, linked."""
     return O8.minhash_dedup(spark, table(spark, sf_dir, "documents"), num=80, den=100, shingle=2)
@@ -76,6 +82,7 @@ QUERIES: dict[str, QueryFn] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
+    "op7_quality": op7_quality,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_fingerprint": op10_fingerprint,
