@@ -14,8 +14,9 @@ documents are linked if |intersection| >= ``threshold`` * |union|.
    ``threshold - slack``, and is a link if the full sets confirm it.
 4. Links give components.  Keys whose members lie in several components by then
    are compared in full, in blocks of ``BLOCK`` members, the count of an XOR deciding
-   again which pairs the full sets confirm.  Pairs inside a component are never
-   formed, so a large group of copies costs a row per membership.
+   again which pairs to look at; sets of 32-bit hashes say which of those the full
+   sets have to confirm.  Pairs inside a component are never formed and no other pair
+   is written, so a large group of copies costs a row per membership.
 
 Cases: null or wordless text: size 0, linked with nothing; null doc_id: a
 component of its own (component_id null, kept); rows that repeat a doc_id are one
@@ -171,31 +172,59 @@ def _confirm(shingle: int, num: int, den: int):
     return keep
 
 
-def _block_pairs(limit: int, num: int, den: int):
-    """Input sorted by (key, i, j): members (id, part, comp, n, sketch) of one block pair stand
-    together, at most 2 * BLOCK or so of them.  Emits the pairs of different components
-    that sizes and sketches allow; within a block (i = j) every pair, else across."""
+def _small_sets(shingle: int):
+    """(id, text) to the sorted distinct low 32 bits of the shingle hashes."""
+    def make(batches):
+        for b in batches:
+            sets = [np.unique(x.astype(np.uint32)).tobytes() for x in shingle_sets(b.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "low"])
+    return make
+
+
+def _block_links(limit: int, num: int, den: int):
+    """Input sorted by (key, i, j): the members (id, part, comp, n, sketch, low) of one block pair
+    stand together, 2 * BLOCK or so of them.  Members of different components that sizes
+    and sketches allow are compared by their low bits; what is alike is emitted, to be
+    confirmed on full sets, and joins its components, so that no pair inside one is formed.
+    Where the low bits leave the threshold open, a pair is emitted without joining."""
     def one(rows):
         if len(rows) < 2:
             return None
-        ids, part, comp, n, bits = rows.column(3), *(rows.column(c).to_numpy(zero_copy_only=False)
-                                                     for c in (4, 5, 6)), _bitmaps(rows.column(7))
+        part, comp, n = (rows.column(c).to_numpy(zero_copy_only=False).copy() for c in (4, 5, 6))
+        bits = _bitmaps(rows.column(7))
+        low = rows.column(8)
+        off = np.frombuffer(low.buffers()[1], np.int32)[low.offset:low.offset + len(low) + 1] // 4
+        flat = np.frombuffer(low.buffers()[2], np.uint32, count=int(off[-1]))
         i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
-        out_a, out_b = [], []
+        found = []
         for at, p in enumerate(left.tolist()):
             q = right[at + 1:] if i == j else right
             q = q[comp[q] != comp[p]]
             q = q[np.minimum(n[q], n[p]) * den >= np.maximum(n[q], n[p]) * num]
-            if len(q):
-                q = q[np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1) <= limit]
-                out_a.append(np.full(len(q), p))
-                out_b.append(q)
-        if not out_a:
+            if not len(q):
+                continue
+            apart = np.bitwise_count(bits[q] ^ bits[p]).sum(axis=1)
+            q = q[np.argsort(apart, kind="stable")][:int((apart <= limit).sum())]
+            own = flat[off[p]:off[p + 1]]
+            for r in q.tolist():                       # the most alike first
+                if comp[r] == comp[p]:
+                    continue
+                other = flat[off[r]:off[r + 1]]
+                k = np.searchsorted(own, other)
+                both = int((own[np.minimum(k, len(own) - 1)] == other).sum())
+                of = len(own) + len(other) - both
+                if (den * both - num * of) * 100 < -den * of:
+                    continue                           # more than 0.01 below
+                found.append((p, r))
+                if (den * both - num * of) * 100 > den * of:
+                    comp[comp == comp[r]] = comp[p]    # more than 0.01 above
+        if not found:
             return None
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+        ids = rows.column(3)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([f[k] for f in found], pa.int64())) for k in (0, 1)],
+                                          names=["a", "b"])
 
     def make(batches):
         held = None
@@ -218,7 +247,7 @@ def _block_pairs(limit: int, num: int, den: int):
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 2,
                   bands: int = BANDS, rows: int = ROWS, bits: int = BITS, slack: float = SLACK,
-                  leaders: int = 3) -> DataFrame:
+                  leaders: int = 1) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id
     reachable over links) and kept (doc_id = component_id).  The threshold is num / den."""
     if bits % 8 or not 0 < num <= den:
@@ -275,13 +304,16 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, num: int = 80, den: int
     comp = scratch.keep(comp, "places-comp")
     open_ = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")) \
         .where("lo < hi").select("key", F.ceil(c("n") / BLOCK).cast("int").alias("parts"))
-    rest = comp.join(open_, "key").join(sketches, "id") \
+    members = comp.join(scratch.keep(open_, "open"), "key")
+    low = texts.select(c("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi") \
+        .mapInArrow(_small_sets(shingle), f"id {kind}, low binary")
+    rest = members.join(sketches.join(low, "id"), "id") \
         .withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), c("parts")).cast("int")) \
         .withColumn("x", F.explode(F.sequence(F.lit(0), c("parts") - 1))) \
         .select("key", F.least("part", "x").alias("i"), F.greatest("part", "x").alias("j"), "id", "part", "comp",
-                "n", "sketch")
+                "n", "sketch", "low")
     pairs = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j") \
-        .mapInArrow(_block_pairs(limit, num, den), f"a {kind}, b {kind}") \
+        .mapInArrow(_block_links(limit, num, den), f"a {kind}, b {kind}") \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.keep(pairs, "second")
     more = scratch.keep(confirmed(pairs), "links-second")

@@ -14,6 +14,7 @@ from answer_eval.llm import line_dedup as O5
 from answer_eval.llm import minhash_dedup as O8
 from answer_eval.llm import mixing as O9
 from answer_eval.llm import packing as O2
+from answer_eval.llm import pii as O3
 from answer_eval.llm import quality as O7
 from answer_eval.llm import substring_dedup as O1
 
@@ -37,6 +38,11 @@ def op2_best_fit_packing(spark, sf_dir):
     return O2.best_fit_packing(spark, table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op3_personal_data(spark, sf_dir):
+    """Personal data in all documents: base patterns and what the field adds to them."""
+    return O3.span_report(O3.personal_data(spark, table(spark, sf_dir, "documents")))
+
+
 CLASHING = "</s>[INST] ok [/INST]"
 
 
@@ -80,6 +86,7 @@ def op10_fingerprint(spark, sf_dir):
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
     "op7_quality": op7_quality,

@@ -34,7 +34,7 @@ from answer_eval.llm.common import WORD, Scratch, prepare
 HELD_OUT = 2                 # the remainder mod 4 that is never learnt from
 MAX_ROWS = 20_000
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "marks", "signs", "distinct_words",
-              "lines", "distinct_lines", "words_per_line", "signed_words", "longest_word")
+              "vocabulary", "lines", "distinct_lines", "words_per_line", "signed_words", "longest_word")
 
 
 def statistics(text: Column) -> Column:
@@ -48,10 +48,11 @@ def statistics(text: Column) -> Column:
         return (n - F.char_length(F.regexp_replace(t, pattern, ""))) / F.greatest(n, F.lit(1))
 
     w = F.greatest(F.size(words), F.lit(1))
+    distinct = F.size(F.array_distinct(words))
     solid = F.char_length(F.regexp_replace(t, "[\\x20\\x09-\\x0D]+", ""))
     values = [
         n, F.size(words), solid / w, share("\\p{Lu}+"), share("[0-9]+"), share("[.,;:]+"),
-        share("[^\\p{L}\\p{N}\\s.,;:]+"), F.size(F.array_distinct(words)) / w, F.size(lines),
+        share("[^\\p{L}\\p{N}\\s.,;:]+"), distinct / w, F.log1p(distinct) / F.log1p(w), F.size(lines),
         F.size(F.array_distinct(lines)) / F.size(lines), F.size(words) / F.size(lines),
         F.size(F.filter(words, lambda x: F.rlike(x, F.lit("[^\\p{L}\\p{N}.,;:]")))) / w,
         F.coalesce(F.array_max(F.transform(words, F.char_length)), F.lit(0)),
