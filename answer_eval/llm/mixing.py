@@ -133,7 +133,8 @@ def _plan(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int, se
     c = F.col
     p = pieces(laid, block).select("sid", "chunk", "row", "start", "block", "lo", "hi")
     s = slots(sources, block, seed, shard_slots, parts)
-    taken = p.join(s, ["sid", "block"]) \
+    # slots come from a few rows, which no size estimate shows: never broadcast them
+    taken = p.join(s.hint("merge"), ["sid", "block"]) \
         .withColumn("hi", F.least("hi", c("block") * block + c("words"))).where("hi > lo") \
         .select("sid", "chunk", "row", "epoch", "shard", (c("lo") - c("start")).alias("lo"),
                 (c("hi") - c("start")).alias("hi"))
