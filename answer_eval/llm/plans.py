@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answer_eval.llm import chat as O4
+from answer_eval.llm import embedding_dedup as O6
 from answer_eval.llm import fingerprint as O10
 from answer_eval.llm import line_dedup as O5
 from answer_eval.llm import minhash_dedup as O8
@@ -63,6 +64,11 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    """Vectors of one label with a cosine of 0.93 or more, linked."""
+    return O6.embedding_dedup(spark, table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_quality(spark, sf_dir):
     """Quality scores of all documents, learnt from labels that are not held out."""
     return O7.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
@@ -89,6 +95,7 @@ QUERIES: dict[str, QueryFn] = {
     "op3_personal_data": op3_personal_data,
     "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_source_mixing": op9_source_mixing,
