@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from answer_eval.llm.common import Scratch, prepare
 
@@ -72,13 +72,13 @@ def likeness(a: bytes, b: bytes) -> float:
     return 1.0 - min(steps, BOUND) / BOUND
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """The hex digest of a string column (null: as empty)."""
     return pd.Series([digest((t or "").encode("utf-8", "surrogatepass")).hex() for t in texts], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two hex digests (null if either is null)."""
     return pd.Series([None if x is None or y is None else likeness(bytes.fromhex(x), bytes.fromhex(y))

@@ -46,6 +46,7 @@ LABELS = ("none", *KINDS)
 SKIPS = ("same", "digits", "tail", "local")          # sorts of shared keys
 SAMPLE_DOCS, MAX_SHAPES = 4000, 2000
 ROUNDS, DAMP = 12, 0.5
+SMOOTH = 5.0                                         # a shape seen a few times says little
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -286,7 +287,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = SAMPLE_DOCS, ma
     prior = np.array([2.0, 0.0, 0.0, 0.0, 0.0])
 
     def potential(counts) -> list[float]:
-        x = np.asarray(counts, float) + 0.5
+        x = np.asarray(counts, float) + SMOOTH
         return (prior + np.log(x / x.sum()).clip(-3.0, 0.0)).tolist()
 
     skip = {s: float(np.clip(math.log(v[1] / v[0]), 2.0, 4.0)) + {"same": 2.0, "digits": 2.0}.get(s, 1.0)
@@ -328,6 +329,9 @@ def listing(spans: Column) -> Column:
 def span_report(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans (all)."""
     base = F.filter("spans", lambda s: s["base"])
-    n = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-         for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    n = [count(k) for k in KINDS]
     return found.select("doc_id", *n, F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
