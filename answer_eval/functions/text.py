@@ -184,22 +184,29 @@ def error_text(stderr, returncode) -> Column:
 
 
 # T18 / T19 ----------------------------------------------------------------
+_INTEGRAL = 2.0 ** 52      # doubles from here on have no fraction
+
+
+def _decimals(x: Column, digits: int) -> Column:
+    """The double's exact value rounded to ``digits`` decimals, ties to even, as text
+    (``format_number`` rounds that way; ``bround`` rounds the printed decimal instead)."""
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def round_even(c, digits: int = 2) -> Column:
-    """Round half to even (Python ``round``), not half up."""
-    return F.bround(_col(c), digits)
+    """Python ``round(x, digits)``: the double nearest to the rounded exact value."""
+    x = _col(c).cast("double")
+    return F.when(F.abs(x) < _INTEGRAL, _decimals(x, digits).cast("double")).otherwise(x)
 
 
 def format_fixed(c, digits: int = 2) -> Column:
-    """Python ``f"{x:.2f}"``: round half-even first, then print; NULL stays NULL
-    (``format_string`` would print the text "null" cut to the precision)."""
-    x = _col(c).cast("double")
-    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_even(x, digits)))
+    """Python ``f"{x:.2f}"`` for |x| below 2**52; NULL stays NULL."""
+    return _decimals(_col(c).cast("double"), digits)
 
 
 def format_percent(c, digits: int = 2) -> Column:
     """Python ``f"{x:.2%}"`` for a ratio in [0, 1]; NULL stays NULL."""
-    scaled = _col(c).cast("double") * F.lit(100.0)
-    return F.when(scaled.isNotNull(), F.format_string(f"%.{digits}f%%", round_even(scaled, digits)))
+    return F.concat(_decimals(_col(c).cast("double") * F.lit(100.0), digits), F.lit("%"))
 
 
 def right_align(c, width: int) -> Column:

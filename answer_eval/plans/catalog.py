@@ -486,8 +486,13 @@ FROM (
 GRADED_SQL = _graded_sql()
 
 
+def _round(x: str) -> str:
+    """Two decimals of a double's exact value (the printed text is rounded correctly)."""
+    return f"CAST(format('{{:.2f}}', {x}) AS DOUBLE)"
+
+
 def _pct(c: str, t: str) -> str:
-    return f"CASE WHEN {t} > 0 THEN round_even(CAST({c} AS DOUBLE) / CAST({t} AS DOUBLE) * 100.0, 2) ELSE 0.0 END"
+    return f"CASE WHEN {t} > 0 THEN {_round(f'CAST({c} AS DOUBLE) / CAST({t} AS DOUBLE) * 100.0')} ELSE 0.0 END"
 
 
 _COUNT_SQL = """CAST(count(*) AS BIGINT) AS total,
@@ -717,8 +722,8 @@ SELECT problem_id, attempt, coalesce(nullif({_strip('stderr')}, ''),
 FROM ({ATTEMPTS_SQL}) WHERE returncode <> 0""",
     "t18_formats": f"""
 SELECT participant, expected,
-  printf('%.2f%%', round_even(CAST(c AS DOUBLE) / CAST(t AS DOUBLE) * 100.0, 2)) AS percent_text,
-  printf('%.2f', round_even({_pct('c', 't')}, 2)) AS accuracy_text,
+  format('{{:.2f}}%', CAST(c AS DOUBLE) / CAST(t AS DOUBLE) * 100.0) AS percent_text,
+  format('{{:.2f}}', {_pct('c', 't')}) AS accuracy_text,
   CASE WHEN length(expected) >= 9 THEN expected ELSE lpad(expected, 9, ' ') END AS label_text
 FROM (SELECT participant, expected, count(*) AS t, count_if(correct) AS c FROM ({GRADED_SQL}) GROUP BY ALL)""",
     "a1_outcome_counts": f"""
@@ -749,7 +754,7 @@ SELECT participant AS agent, CAST(count(*) AS BIGINT) AS runs, CAST(count(error_
   CASE WHEN min(error_message) IS NULL THEN 'Completed' ELSE 'ERROR - ' || min(error_message) END AS status
 FROM ({ANSWERS_SQL}) GROUP BY participant""",
     "a8_total_time": f"""
-SELECT participant, round_even((max(epoch_us(ended_at)) - min(epoch_us(started_at))) / 1000000.0, 2) AS time_used
+SELECT participant, {_round('(max(epoch_us(ended_at)) - min(epoch_us(started_at))) / 1000000.0')} AS time_used
 FROM ({TIMED_SQL}) GROUP BY participant""",
     "a9_breakdown_with_totals": f"""
 SELECT participant, expected, CASE WHEN grouping(expected) = 1 THEN 'overall' ELSE 'label' END AS level,
@@ -878,19 +883,19 @@ def _text_sql() -> str:
     for lab in X.LABELS:
         q = lab.lower()
         cat.append(f"CASE WHEN {q}_total > 0 THEN '    ' || {_lit(f'{lab:>9s}')} || ': ' || CAST({q}_correct AS VARCHAR)"
-                   f" || '/' || CAST({q}_total AS VARCHAR) || ' = ' || printf('%.2f', round_even({q}_accuracy, 2))"
+                   f" || '/' || CAST({q}_total AS VARCHAR) || ' = ' || format('{{:.2f}}', {q}_accuracy)"
                    f" || '%' END")
     nl = "chr(10)"
     b = "'  • "
     ratio = "CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END"
-    secs = lambda col: f"coalesce(printf('%.2f', round_even({col}, 2)) || 's', 'n/a')"
+    secs = lambda col: f"coalesce(format('{{:.2f}}', {col}) || 's', 'n/a')"
     return f"""
 SELECT id, {nl} || 'Agent: ' || agent || {nl}
   || {b}Total Cases: ' || CAST(total AS VARCHAR) || {nl}
   || {b}Correct: ' || CAST(correct AS VARCHAR) || {nl}
   || {b}Incorrect: ' || CAST(incorrect AS VARCHAR) || {nl}
   || {b}Parse Errors: ' || CAST(parse_errors AS VARCHAR) || {nl}
-  || {b}Accuracy: ' || printf('%.2f%%', round_even({ratio} * 100.0, 2)) || {nl}
+  || {b}Accuracy: ' || format('{{:.2f}}%', {ratio} * 100.0) || {nl}
   || {b}Per-category:' || {nl} || concat_ws({nl}, {", ".join(cat)}) || {nl}
   || {b}Avg Time/Case: ' || {secs('avg_time_per_case')} || {nl}
   || {b}Total Time: ' || {secs('time_used')} || {nl} AS text
