@@ -1,4 +1,5 @@
-"""Column functions for answer text (all JVM-side built-ins, no Python UDF).
+"""Column functions for answer text (JVM-side built-ins; only the tag parser, whose
+grammar needs an index of closing tags, is an Arrow function).
 
 Every function here takes Columns (or column names) and returns a Column.  Plain
 expressions compile into whole-stage codegen; the array helpers built on
@@ -8,10 +9,14 @@ codegen, still row-local and without any Python round trip.
 
 from __future__ import annotations
 
+import bisect
 import sys
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the evaluated system's for right results.
@@ -55,32 +60,75 @@ def py_strip(c) -> Column:
 
 
 # T1 -----------------------------------------------------------------------
-# The tag grammar is the lazy findall of r"(?s)<(.*?)>(.*?)</\1>".  Its name
-# group never needs to cross a '>': when the shortest name (up to the first '>')
-# has no closing tag after it, no longer name can have one either, because every
-# longer closing tag begins with the shorter one.  So "[^>]*" yields exactly the
-# same matches while trying one name per '<' instead of one per later '>'.
-TAG_PATTERN = r"(?s)<([^>]*)>(.*?)</\1>"
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+def tag_pairs(text: str) -> list[tuple[str, str]]:
+    """(name, stripped body) of the tags of a text, from left to right, in linear time.
+
+    A tag may begin at any "<"; its name reaches to the next ">".  It is closed by the
+    first later "<" whose own name is "/" and that name.  So names are compared, as
+    prefix-sum hashes of the code points, with an index of the closing tags, and
+    a hit is checked on the text; the scan goes on behind the closing tag."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    opens, ends = np.flatnonzero(points == ord("<")), np.flatnonzero(points == ord(">"))
+    to = np.searchsorted(ends, opens)
+    opens, to = opens[to < len(ends)], to[to < len(ends)]
+    if not len(opens):
+        return []
+    ends = ends[to]
+    n = len(points)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
+    down = _powers(pow(_BASE, -1, 1 << 64), n + 1)
+
+    def name_hash(first, last):
+        return (sums[last] - sums[first]) * down[first]
+
+    closing = points[opens + 1] == ord("/")
+    where: dict[tuple[int, int], list[int]] = {}
+    first, last = opens[closing] + 2, ends[closing]
+    for key, size, at in zip(name_hash(first, last).tolist(), (last - first).tolist(), opens[closing].tolist()):
+        where.setdefault((key, size), []).append(at)
+    out, done = [], 0
+    keys = name_hash(opens + 1, ends).tolist()
+    for at, end, key in zip(opens.tolist(), ends.tolist(), keys):
+        if at < done:
+            continue
+        found = where.get((key, end - at - 1))
+        if not found:
+            continue
+        k = bisect.bisect_right(found, end)
+        if k == len(found):
+            continue
+        name = text[at + 1:end]
+        if text.startswith(name, found[k] + 2):
+            out.append((name, text[end + 1:found[k]].strip()))
+            done = found[k] + len(name) + 3
+    return out
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def _parse_tags(texts: pa.Array) -> pa.Array:
+    found = [None if t is None else list(dict(tag_pairs(t)).items()) for t in texts.to_pylist()]
+    return pa.array(found, pa.map_(pa.string(), pa.string()))
 
 
 def parse_tags(c) -> Column:
     """``<name>body</name>`` pairs -> MAP<name, stripped body>.
 
-    Lazy, dot matches newline, closing name must equal the opening one (a
-    backreference), attributes are part of the name, nested tags stay inside the
-    outer body; a repeated name keeps its last body (needs
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN``, set by ``session.configure``).
-    Whole texts are scanned, once; no length cap.
+    The shortest body counts, it may hold newlines and other tags, the closing name must
+    equal the opening one (attributes are part of the name), and a repeated name keeps
+    its last body.  Whole texts, in time linear in their length.
     """
-    matches = F.regexp_extract_all(_col(c), F.lit(TAG_PATTERN), 0)
-
-    def entry(m: Column) -> Column:
-        name = F.regexp_extract(m, r"^<([^>]*)>", 1)
-        n = F.length(name)
-        body = F.substring(m, n + F.lit(3), F.length(m) - n * F.lit(2) - F.lit(5))
-        return F.struct(name.alias("key"), py_strip(body).alias("value"))
-
-    return F.map_from_entries(F.transform(matches, entry))
+    return _parse_tags(_col(c))
 
 
 def tag_value(c, name: str) -> Column:

@@ -3,7 +3,7 @@ message lists (W3), solver verdicts (T14 over a table)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.prompts import REPAIR_SYSTEM, REPAIR_TEMPLATE, message, render
@@ -16,6 +16,13 @@ MSG_PREVIOUS_FAILED = "Previous code execution failed"
 _OUTCOMES = ("no_output", "timeout", "success")
 
 
+def _terminal(cols: list[str]) -> tuple[Column, Column, Column]:
+    """The three ways an attempt ends the run: no program, timed out, return code 0."""
+    no_output = F.col("code").isNull() if "code" in cols else F.lit(False)
+    timed_out = F.coalesce(F.col("timed_out"), F.lit(False)) if "timed_out" in cols else F.lit(False)
+    return no_output, timed_out, F.coalesce(F.col("returncode") == 0, F.lit(False))
+
+
 # W2 -----------------------------------------------------------------------
 def resolve_attempts(attempts: DataFrame, problems: DataFrame | None = None,
                      max_repairs: int = MAX_REPAIRS, problem_col: str = "problem_id") -> DataFrame:
@@ -32,9 +39,7 @@ def resolve_attempts(attempts: DataFrame, problems: DataFrame | None = None,
     """
     cols = attempts.columns
     a = attempts.filter((F.col("attempt") >= 0) & (F.col("attempt") <= max_repairs))
-    no_output = F.col("code").isNull() if "code" in cols else F.lit(False)
-    timed_out = F.coalesce(F.col("timed_out"), F.lit(False)) if "timed_out" in cols else F.lit(False)
-    success = F.col("returncode") == 0
+    no_output, timed_out, success = _terminal(cols)
     terminal = no_output | timed_out | success
     outcome = F.when(no_output, 0).when(timed_out, 1).otherwise(2)
     verdict = F.when(no_output | timed_out, F.lit(DEFAULT_LABEL)).otherwise(last_verdict_line(F.col("stdout")))
@@ -68,19 +73,27 @@ def resolve_attempts(attempts: DataFrame, problems: DataFrame | None = None,
 def repair_messages(attempts: DataFrame, problem_text_col: str = "problem_text",
                     max_repairs: int = MAX_REPAIRS, problem_col: str = "problem_id",
                     system: str = REPAIR_SYSTEM, template: str = REPAIR_TEMPLATE) -> DataFrame:
-    """For every attempt k in 1..max_repairs: the [system, user] messages built
-    from the original problem and the code and error text of attempt k-1.
+    """For every attempt k in 1..max_repairs that was made because all attempts before it
+    failed: the [system, user] messages built from the original problem and the code and
+    error text of attempt k-1.  An attempt after a terminal one (see
+    ``resolve_attempts``) is no repair and has no messages.
 
-    The previous attempt is found by an equi-join on (problem, attempt - 1): no
-    window, so a problem with a very long log is not one task's sort.
+    The first terminal attempt is a pre-aggregated minimum per problem; the previous
+    attempt is found by an equi-join on (problem, attempt - 1): no window, so a
+    problem with a very long log is not one task's sort.
     """
-    prev = attempts.select(
+    made = attempts.filter((F.col("attempt") >= 0) & (F.col("attempt") <= max_repairs))
+    prev = made.select(
         problem_col, (F.col("attempt") + 1).alias("attempt"),
         F.col("code").alias("previous_code"),
         error_text(F.col("stderr"), F.col("returncode")).alias("previous_error"),
     )
-    cur = attempts.filter((F.col("attempt") >= 1) & (F.col("attempt") <= max_repairs))
-    joined = cur.select(problem_col, "attempt", problem_text_col).join(prev, [problem_col, "attempt"], "left")
+    no_output, timed_out, success = _terminal(attempts.columns)
+    ends = made.groupBy(problem_col).agg(
+        F.min(F.when(no_output | timed_out | success, F.col("attempt"))).alias("_end"))
+    cur = made.filter(F.col("attempt") >= 1).select(problem_col, "attempt", problem_text_col) \
+        .join(ends, problem_col).filter(F.col("_end").isNull() | (F.col("attempt") <= F.col("_end"))).drop("_end")
+    joined = cur.join(prev, [problem_col, "attempt"], "left")
     err = F.coalesce(F.col("previous_error"), F.lit(MSG_PREVIOUS_FAILED))
     user = render(template, na_text="None", problem=F.col(problem_text_col),
                   code=F.col("previous_code"), error=err)

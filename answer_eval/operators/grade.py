@@ -9,10 +9,8 @@ expected rows reuses.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from answer_eval.functions.text import (
@@ -20,56 +18,46 @@ from answer_eval.functions.text import (
     STATUS_ERROR_RESPONSE, STATUS_EXCEPTION, STATUS_OK, STATUS_PARSE_ERROR,
     elapsed_seconds, last_verdict_line, normalise_answer,
 )
-from answer_eval.sources.problems import number_rows
-
-# Participants are broadcast to the expected-row generator only up to this many
-# rows (checked with a count); above it the join shuffles on the index.
-BROADCAST_PARTICIPANTS_MAX = 100_000
-# Up to this many participants (checked by fetching at most one more) travel as a
-# literal array in the plan itself: one small job instead of numbering them.
-INLINE_PARTICIPANTS_MAX = 1_000
-
-
 # Error text of an expected row for which the log holds no reply (our wording).
 MSG_NO_REPLY = "No reply recorded for this sample"
 
 
+# Parts of the participants in a product with the problems.
+PRODUCT_PARTS = 16
+# Columns that name one row of the problem table, best first.
+ROW_KEYS = ("example_id", "sample_num")
+
+
 def _key_list(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def row_key(key, *tables: DataFrame) -> list[str]:
+    """The given key, else the first of ``ROW_KEYS`` that all tables have.
+
+    Every problem row is graded by itself, so the key must name rows: a story's id does
+    not, where a story has several examples."""
+    if key is not None:
+        return _key_list(key)
+    for name in ROW_KEYS:
+        if all(name in t.columns for t in tables):
+            return [name]
+    raise ValueError(f"no row key: name one, or give all tables one of {', '.join(ROW_KEYS)}")
+
+
 # J1 -----------------------------------------------------------------------
-def expected_rows(problems: DataFrame, participants: DataFrame,
-                  participant_col: str = "participant",
-                  broadcast_max: int = BROADCAST_PARTICIPANTS_MAX) -> DataFrame:
+def expected_rows(problems: DataFrame, participants: DataFrame) -> DataFrame:
     """Every participant paired with every problem: exactly P x N output rows.
 
-    Small P (at most ``INLINE_PARTICIPANTS_MAX``, checked by fetching one row more):
-    the participant rows become a literal array and each problem row is replicated
-    by ``inline`` of it -- a narrow Generate, one small job, no join at all.
-    Larger P: participants get dense indices 0..P-1 (distributed numbering); each
-    problem row is replicated by ``explode(sequence(0, P-1))`` and the participant
-    columns come back through an equi-join on the index -- broadcast when P is at
-    most ``broadcast_max`` (a checked count), a shuffle join otherwise.  Never a
-    nested-loop join.
+    One way for any number of participants: they fall into ``PRODUCT_PARTS`` parts by hash,
+    a problem has one copy per part, and an equi-join on the part pairs them, so either
+    side may be the large one and no task gets all of a side.  Nothing runs before the
+    result is used.
     """
-    head = participants.limit(INLINE_PARTICIPANTS_MAX + 1).collect()
-    if len(head) <= INLINE_PARTICIPANTS_MAX:
-        fields = participants.schema.fields
-        rows = sorted(head, key=lambda r: tuple((v is None, v) for v in r))
-        literal = F.array(*[
-            F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows
-        ]).cast(T.ArrayType(T.StructType(fields)))
-        return problems.select("*", F.inline(literal))
-    indexed, p_count = number_rows(participants, [participant_col], col_name="_pidx", start=0)
-    if p_count == 0:
-        return (problems.limit(0)  # no participants: empty, same schema
-                .select(*problems.columns, *[F.lit(None).cast(f.dataType).alias(f.name)
-                                             for f in participants.schema.fields]))
-    side = F.broadcast(indexed) if p_count <= broadcast_max else indexed
-    replicated = problems.withColumn(
-        "_pidx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p_count - 1).cast("bigint"))))
-    return replicated.join(side, "_pidx").drop("_pidx")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in participants.columns]), F.lit(PRODUCT_PARTS))
+    copies = problems.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                               F.lit(PRODUCT_PARTS - 1).cast("bigint"))))
+    return copies.join(participants.withColumn("_part", part), "_part").drop("_part")
 
 
 # T10/T11 on replies ---------------------------------------------------------
@@ -99,8 +87,8 @@ def prediction(reply_status: Column, answer: Column, mode: str = "substring") ->
     return predicted, status, no_label
 
 
-def prepare_replies(answers: DataFrame, key="story_id", participant_col: str = "participant",
-                    mode: str = "substring", dedupe: str = "first",
+def prepare_replies(answers: DataFrame, key=None, participant_col: str = "participant",
+                    mode: str = "substring", dedupe: str | None = None,
                     order_col: str | None = None) -> DataFrame:
     """Decoded replies -> one narrow row per (participant, key).
 
@@ -108,12 +96,17 @@ def prepare_replies(answers: DataFrame, key="story_id", participant_col: str = "
     ended_at when the log has them.  Normalisation runs map-side so the long
     answer text never reaches a shuffle.
 
-    dedupe: ``first`` keeps one reply per key (smallest ``order_col``, then the
-    smallest reply) through a row number over the key; ``error`` fails on a
-    duplicate key (one extra pass); ``none`` trusts the log to be unique (no
-    shuffle at all).
+    dedupe: ``first`` keeps the first reply per key in the order of ``order_col`` (ties: the
+    smallest reply); ``error`` fails the job at a second reply; ``none`` trusts the log
+    to be unique (no shuffle at all).  By default ``first`` with an ``order_col`` and
+    ``error`` without: no reply is dropped without being asked for.
     """
-    keys = [participant_col, *_key_list(key)]
+    dedupe = dedupe or ("first" if order_col else "error")
+    if dedupe not in ("first", "error", "none"):
+        raise ValueError(f"unknown dedupe {dedupe!r}")
+    if dedupe == "first" and not order_col:
+        raise ValueError("dedupe='first' needs an order_col")
+    keys = [*_key_list(participant_col), *row_key(key, answers)]
     predicted, status, no_label = prediction(F.col("reply_status"), F.col("answer"), mode)
     error = F.when(no_label, F.lit(MSG_COULD_NOT_PARSE)).otherwise(F.col("error"))
     cols = answers.columns
@@ -134,21 +127,17 @@ def prepare_replies(answers: DataFrame, key="story_id", participant_col: str = "
     value_cols = ["predicted", "status", "error", "time", *extra]
     if dedupe == "none":
         return narrow.drop(*order)
-    if dedupe == "error":
-        dup = narrow.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-        if dup:
-            raise ValueError(f"duplicate replies for key {dup[0].asDict()}")
-        return narrow.drop(*order)
-    if dedupe != "first":
-        raise ValueError(f"unknown dedupe {dedupe!r}")
     # One reply per key: row_number over the key (hash exchange + one reduce-side
     # sort, which a following sort-merge join on the same key reuses).  Ties are
     # broken by the reply columns so the pick is deterministic.
-    order = [F.col(order_col).asc_nulls_last()] if order_col else []
-    order += [F.col(c).asc_nulls_last() for c in value_cols]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (narrow.withColumn("_rank", rank).filter(F.col("_rank") == 1)
-            .drop("_rank", *([order_col] if order_col else [])))
+    sort = [F.col(c).asc_nulls_last() for c in [*order, *value_cols]]
+    ranked = narrow.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)))
+    if dedupe == "error":
+        text = F.concat(F.lit("duplicate reply for key "), F.to_json(F.struct(*keys)))
+        kept = ranked.filter(F.assert_true(F.col("_rank") == 1, text).isNull())
+    else:
+        kept = ranked.filter(F.col("_rank") == 1)
+    return kept.drop("_rank", *order)
 
 
 def correctness(predicted: Column, expected: Column, status: Column) -> Column:
@@ -158,16 +147,18 @@ def correctness(predicted: Column, expected: Column, status: Column) -> Column:
 
 
 # J2 / T11 / T12 -------------------------------------------------------------
-def grade(expected: DataFrame, answers: DataFrame, key="story_id",
+def grade(expected: DataFrame, answers: DataFrame, key=None,
           participant_col: str = "participant", mode: str = "substring",
-          dedupe: str = "first", order_col: str | None = None) -> DataFrame:
+          dedupe: str | None = None, order_col: str | None = None) -> DataFrame:
     """Graded rows: every expected row survives (left outer equi-join on
     participant + key); a missing reply is an ``exception`` row with time 0.0.
 
-    ``expected`` needs participant, key and ``expected`` (the coerced gold label);
+    ``expected`` needs participant (one column or several), key and ``expected`` (the
+    coerced gold label);
     ``answers`` the decoded reply columns (``reply_status``, ``answer``, ``error``).
     """
-    keys = [participant_col, *_key_list(key)]
+    key = row_key(key, expected, answers)
+    keys = [*_key_list(participant_col), *key]
     replies = prepare_replies(answers, key, participant_col, mode, dedupe, order_col)
     reply_cols = [c for c in replies.columns if c not in keys]
     joined = expected.join(replies.withColumn("_hit", F.lit(True)), keys, "left")
@@ -187,7 +178,7 @@ def grade(expected: DataFrame, answers: DataFrame, key="story_id",
     return out.select(*ordered)
 
 
-def grade_inline(log: DataFrame, key="story_id", participant_col: str = "participant",
+def grade_inline(log: DataFrame, key, participant_col: str = "participant",
                  expected_col: str = "expected", mode: str = "substring") -> DataFrame:
     """Grade a decoded log whose rows already carry the gold label (each row is
     one expected sample): map-side only -- no join, no shuffle."""

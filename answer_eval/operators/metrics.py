@@ -8,17 +8,15 @@ DOUBLE, rounding is half-to-even like Python's ``round``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.text import (
-    LABELS, PRED_ERROR, PRED_EXCEPTION, PRED_PARSE_ERROR, STATUS_ERROR_RESPONSE,
-    STATUS_EXCEPTION, STATUS_OK, STATUS_PARSE_ERROR, epoch_micros, percent_of, round_even,
+    LABELS, STATUS_EXCEPTION, STATUS_PARSE_ERROR, epoch_micros, percent_of, round_even,
 )
-from answer_eval.operators.grade import BROADCAST_PARTICIPANTS_MAX, correctness, prediction
+from answer_eval.operators.grade import correctness, prepare_replies, row_key
 
 REPORT_COLUMNS = (
     "id", "score", "accuracy", "agent", "agent_id", "pass_rate", "correct", "total",
@@ -160,7 +158,7 @@ def label_breakdown_with_totals(graded: DataFrame, by="participant") -> DataFram
                       "parse_errors", percent_of(F.col("correct"), F.col("total")).alias("accuracy"))
 
 
-def _report_from_counts(counts: DataFrame, participant_col: str, has_time: bool) -> DataFrame:
+def _report_from_counts(counts: DataFrame, participant_col: str, has_time: bool, lead=()) -> DataFrame:
     name = F.col(participant_col)
     score = percent_of(F.col("correct"), F.col("total"))
     if has_time:
@@ -169,7 +167,7 @@ def _report_from_counts(counts: DataFrame, participant_col: str, has_time: bool)
     else:
         time_used = avg = F.lit(None).cast("double")
     return counts.select(
-        name.alias("id"), score.alias("score"), score.alias("accuracy"), name.alias("agent"),
+        *lead, name.alias("id"), score.alias("score"), score.alias("accuracy"), name.alias("agent"),
         F.col("agent_id"), score.alias("pass_rate"), "correct", "total", "incorrect",
         "parse_errors", time_used.alias("time_used"), avg.alias("avg_time_per_case"),
         F.col("total").alias("max_score"), *_wide_rates(),
@@ -177,119 +175,64 @@ def _report_from_counts(counts: DataFrame, participant_col: str, has_time: bool)
 
 
 def _attach_participants(counts: DataFrame, participants: DataFrame | None,
-                         participant_col: str) -> DataFrame:
+                         participant_col: str, keys: list[str]) -> DataFrame:
     count_cols = ["total", "correct", "parse_errors",
                   *[f"{lab.lower()}_{k}" for lab in LABELS for k in ("correct", "total")]]
     if participants is None:
         return counts.withColumn("agent_id", F.col(participant_col))
     plist = participants.select(
-        participant_col,
+        *dict.fromkeys([*keys, participant_col]),
         (F.col("agent_id") if "agent_id" in participants.columns else F.col(participant_col)).alias("agent_id"))
-    out = plist.join(counts, participant_col, "left").fillna(0, subset=count_cols)
+    out = plist.join(counts, keys, "left").fillna(0, subset=count_cols)
     return out
 
 
 # A6 -----------------------------------------------------------------------
 def report(graded: DataFrame, participants: DataFrame | None = None,
-           participant_col: str = "participant") -> DataFrame:
+           participant_col: str = "participant", by=None) -> DataFrame:
     """One report row per participant (A1 + A2 + A3 + A5, rounded half-even).
 
     ``score = accuracy = pass_rate`` (percent, 2 decimals), ``id = agent``,
     ``max_score = total``.  Time columns need ``started_at``/``ended_at`` on the
     graded rows (wall clock); without them they are NULL.  With ``participants``
     (participant, agent_id) every participant gets a row, zero counts included.
+
+    ``by`` names the columns that tell participants apart where names do not (a request's
+    id and the position in it); they come first in the output.
     """
+    keys = _by(by) or [participant_col]
     has_time = "started_at" in graded.columns and "ended_at" in graded.columns
     aggs = [*_count_aggs(), *_wide_aggs()]
     if has_time:
         aggs.append(_wall_clock("started_at", "ended_at").alias("_wall"))
-    counts = graded.groupBy(participant_col).agg(*aggs)
-    counts = _with_incorrect(_attach_participants(counts, participants, participant_col))
+    counts = graded.groupBy(*keys).agg(*aggs)
+    counts = _with_incorrect(_attach_participants(counts, participants, participant_col, keys))
     if has_time:
         counts = counts.withColumn("_wall", F.coalesce(F.col("_wall"), F.lit(0.0)))
-    return _report_from_counts(counts, participant_col, has_time)
-
-
-_PREDICTIONS = (*LABELS, PRED_ERROR, PRED_PARSE_ERROR, PRED_EXCEPTION)
-_STATUSES = (STATUS_OK, STATUS_ERROR_RESPONSE, STATUS_PARSE_ERROR, STATUS_EXCEPTION)
-
-
-def _code_of(values: Sequence[str], c: Column) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(c == F.lit(v), F.lit(i)) if expr is None else expr.when(c == F.lit(v), F.lit(i))
-    return expr
-
-
-def compact_replies(answers: DataFrame, key="story_id", participant_col: str = "participant",
-                    mode: str = "substring", dedupe: str = "first",
-                    order_col: str | None = None) -> DataFrame:
-    """Replies reduced to (participant, key, predicted, status[, started_at,
-    ended_at]) for counting.  The outcome is packed into one small integer before
-    de-duplication so the per-key aggregate is a HashAggregate (string buffers
-    would force a sort-based aggregate); started/ended become the key's min/max.
-    ``first`` keeps the reply with the smallest ``order_col`` (or the smallest
-    outcome code when no order is given)."""
-    keys = [participant_col, *([key] if isinstance(key, str) else list(key))]
-    predicted, status, _ = prediction(F.col("reply_status"), F.col("answer"), mode)
-    code = _code_of(_STATUSES, status) * F.lit(8) + _code_of(_PREDICTIONS, predicted)
-    has_time = "started_at" in answers.columns and "ended_at" in answers.columns
-    times = ["started_at", "ended_at"] if has_time else []
-    order = [order_col] if order_col else []
-    packed = answers.select(*keys, *order, code.alias("_code"), *times)
-    if dedupe == "error":
-        dup = packed.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-        if dup:
-            raise ValueError(f"duplicate replies for key {dup[0].asDict()}")
-    elif dedupe == "first":
-        pick = F.min_by("_code", order_col) if order_col else F.min("_code")
-        aggs = [pick.alias("_code")]
-        if has_time:
-            aggs += [F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at")]
-        packed = packed.groupBy(*keys).agg(*aggs)
-    elif dedupe != "none":
-        raise ValueError(f"unknown dedupe {dedupe!r}")
-    pred_arr = F.array(*[F.lit(v) for v in _PREDICTIONS])
-    status_arr = F.array(*[F.lit(v) for v in _STATUSES])
-    # element_at with a NULL index is not reliably NULL: decode only when present
-    has = F.col("_code").isNotNull()
-    return packed.select(
-        *keys,
-        F.when(has, F.element_at(pred_arr, (F.col("_code") % 8).cast("int") + 1)).alias("predicted"),
-        F.when(has, F.element_at(status_arr, (F.col("_code") / 8).cast("int") + 1)).alias("status"),
-        *times,
-    )
+    return _report_from_counts(counts, participant_col, has_time, _by(by))
 
 
 def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataFrame,
-                    key="story_id", participant_col: str = "participant",
-                    mode: str = "substring", dedupe: str = "first",
-                    order_col: str | None = None,
-                    broadcast_max: int = 2_000_000) -> DataFrame:
+                    key=None, participant_col: str = "participant",
+                    mode: str = "substring", dedupe: str | None = None,
+                    order_col: str | None = None) -> DataFrame:
     """A6 straight from problems, participants and a decoded answer log, without
     materialising the P x N expected rows.
 
-    Replies are normalised map-side, de-duplicated per (participant, key), joined
-    to the gold labels (broadcast when the problem table has at most
-    ``broadcast_max`` rows -- a checked count -- else a shuffle join) and counted.
-    A missing reply is a parse error that is never correct, so per participant:
-    total = N, label totals = the problem table's, parse_errors += N - answered.
-    Only scalars (counts and three label totals) reach the driver; the known
-    participants are broadcast only below a checked count.
+    Replies are normalised map-side and de-duplicated as ``grade`` does it
+    (``prepare_replies``), joined to the gold labels and counted.  A missing reply is a
+    parse error that is never correct, so per participant: total = N, label totals =
+    the problem table's, parse_errors += N - answered.  No job runs before the result is
+    used, and join sides are left to the engine, which measures them.
     """
-    keys = [participant_col, *([key] if isinstance(key, str) else list(key))]
-    gold = problems.select(*keys[1:], "expected")
-    totals = gold.agg(F.count(F.lit(1)).alias("n"),
-                      *[F.count_if(F.col("expected") == F.lit(lab)).alias(lab) for lab in LABELS]).first()
-    n_total = int(totals["n"])
-    label_totals = {lab: int(totals[lab]) for lab in LABELS}
-    replies = compact_replies(answers, key, participant_col, mode, dedupe, order_col)
-    gold_side = F.broadcast(gold) if n_total <= broadcast_max else gold
+    key = row_key(key, problems, answers)
+    gold = problems.select(*key, "expected")
+    totals = {"total": F.count(F.lit(1))} | {
+        f"{lab.lower()}_total": F.count_if(F.col("expected") == F.lit(lab)) for lab in LABELS}
+    replies = prepare_replies(answers, key, participant_col, mode, dedupe, order_col).drop("error", "time")
     known = participants.select(participant_col).distinct()
-    small_p = known.count() <= BROADCAST_PARTICIPANTS_MAX
-    known_side = F.broadcast(known) if small_p else known
-    answered = (replies.join(gold_side, keys[1:], "inner")
-                .join(known_side, participant_col, "left_semi")
+    answered = (replies.join(gold, key, "inner")
+                .join(known, participant_col, "left_semi")
                 .withColumn("correct", correctness(F.col("predicted"), F.col("expected"), F.col("status"))))
     has_time = "started_at" in answered.columns and "ended_at" in answered.columns
     aggs = [F.count(F.lit(1)).alias("_answered"), F.count_if(F.col("correct")).alias("correct"),
@@ -299,19 +242,13 @@ def evaluate_report(problems: DataFrame, participants: DataFrame, answers: DataF
     if has_time:
         aggs.append(_wall_clock("started_at", "ended_at").alias("_wall"))
     counts = answered.groupBy(participant_col).agg(*aggs)
-    plist = participants.select(
+    people = participants.select(
         participant_col,
         (F.col("agent_id") if "agent_id" in participants.columns else F.col(participant_col)).alias("agent_id"))
     zero_cols = ["_answered", "correct", "_parse", *[f"{lab.lower()}_correct" for lab in LABELS]]
-    # at most one counts row per participant: broadcast under the same checked bound
-    counts = plist.join(F.broadcast(counts) if small_p else counts, participant_col, "left") \
-        .fillna(0, subset=zero_cols)
-    counts = counts.select(
-        "*",
-        F.lit(n_total).cast("bigint").alias("total"),
-        (F.col("_parse") + F.lit(n_total) - F.col("_answered")).alias("parse_errors"),
-        *[F.lit(label_totals[lab]).cast("bigint").alias(f"{lab.lower()}_total") for lab in LABELS],
-    )
+    counts = people.join(counts, participant_col, "left").fillna(0, subset=zero_cols) \
+        .withColumns({name: gold.agg(n).scalar() for name, n in totals.items()}) \
+        .withColumn("parse_errors", F.col("_parse") + F.col("total") - F.col("_answered"))
     counts = _with_incorrect(counts)
     if has_time:
         counts = counts.withColumn("_wall", F.coalesce(F.col("_wall"), F.lit(0.0)))

@@ -1,24 +1,30 @@
 """D1: apply a user-supplied answerer (prompt -> text) to every row.
 
 The answerer is an ordinary Python callable passed in by the caller (an HTTP
-client, a local model, a rule).  Rows are spread over ``max_concurrency``
-partitions and each task calls the answerer one row at a time, so at most
-``max_concurrency`` calls are in flight cluster-wide -- except that a call that
-timed out cannot be killed (Python threads cannot be) and may still be running in
-the background while its task moves on to the next row.  A failing row becomes an
-``exception`` row and never fails the job; each call has a timeout; a transient
-error (by exception type) is retried with delay ``base_delay_s * 2**k``.
-Output is a decoded answer log: the input columns plus reply_status, answer,
-error, started_at, ended_at -- ready for ``grade`` / ``evaluate_report``.
-
-A task that is retried (lost executor) calls the answerer again for its rows; the
-rows kept are those of the attempt that succeeded.  Persist the result (write it
-or ``checkpoint()``) before using it twice, so the answerer is not re-run.
+client, a local model, a rule).  A task answers its partition with up to
+``calls_per_task`` calls in flight; as many tasks run as the session has slots, so the
+calls in flight cluster-wide are bounded by slots x ``calls_per_task`` (give the job a
+resource profile or fewer cores to lower the slots).  Partitions are the input's, or
+``partitions`` many: small ones, since a lost task repeats its calls.
+
+A call runs in a daemon thread.  One that is not back after ``timeout_s`` becomes an
+``exception`` row and is left behind: it can not be killed, but neither the task nor the
+worker's end waits for it.  A failing row becomes an ``exception`` row and never
+fails the job; a transient error (by exception type) is retried with delay
+``base_delay_s * 2**k``.  An empty or missing text is a reply without text, or, with
+``empty_mode`` (see ``default_answer``), the default label.  Output is a decoded answer
+log: the input columns plus reply_status, answer, error, started_at, ended_at -- ready
+for ``grade`` / ``evaluate_report``.
+
+Persist the result (write it or ``checkpoint()``) before using it twice, so the
+answerer is not re-run.
 """
 
 from __future__ import annotations
 
 import concurrent.futures as cf
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -26,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from answer_eval.functions.text import DEFAULT_LABEL, MSG_NO_TEXT
+
 REPLY_FIELDS = [
     T.StructField("reply_status", T.StringType()),
     T.StructField("answer", T.StringType()),
@@ -37,14 +45,31 @@ REPLY_FIELDS = [
 MSG_TIMEOUT = "Timed out after {} s"
 
 
-def _call(fn, prompt, timeout_s, retries, base_delay_s, transient, pool):
+def _once(fn, prompt, timeout_s):
+    """fn(prompt) in a daemon thread; TimeoutError if it is not back in time."""
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run():
+        try:
+            done.put((fn(prompt), None))
+        except BaseException as exc:  # noqa: BLE001  handed to the caller
+            done.put((None, exc))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        text, exc = done.get(timeout=timeout_s)
+    except queue.Empty:
+        raise TimeoutError(MSG_TIMEOUT.format(timeout_s)) from None
+    if exc is not None:
+        raise exc
+    return text
+
+
+def _call(fn, prompt, timeout_s, retries, base_delay_s, transient):
     attempt = 0
     while True:
-        fut = pool.submit(fn, prompt)
         try:
-            return fut.result(timeout=timeout_s)
-        except cf.TimeoutError:
-            raise TimeoutError(MSG_TIMEOUT.format(timeout_s)) from None
+            return _once(fn, prompt, timeout_s)
         except transient:
             if attempt + 1 >= retries:
                 raise
@@ -53,42 +78,39 @@ def _call(fn, prompt, timeout_s, retries, base_delay_s, transient, pool):
 
 
 def score(df: DataFrame, fn: Callable[[str], str | None], prompt_col: str = "prompt",
-          max_concurrency: int = 10, timeout_s: float = 120.0, retries: int = 5,
-          base_delay_s: float = 7.0, transient: tuple[type[BaseException], ...] = ()) -> DataFrame:
+          calls_per_task: int = 1, partitions: int | None = None, timeout_s: float = 120.0, retries: int = 5,
+          base_delay_s: float = 7.0, transient: tuple[type[BaseException], ...] = (),
+          empty_mode: str | None = None) -> DataFrame:
     """Answer every row's prompt with ``fn``; see the module docstring."""
+    if empty_mode not in (None, "direct", "code"):
+        raise ValueError(f"unknown empty_mode {empty_mode!r}")
     out_schema = T.StructType([*df.schema.fields, *REPLY_FIELDS])
     transient = tuple(transient) or (_NeverRaised,)
 
+    def answer(prompt):
+        start = pd.Timestamp.now(tz="UTC")
+        try:
+            text = _call(fn, prompt, timeout_s, retries, base_delay_s, transient)
+            if empty_mode and (text is None or empty_mode == "direct" and text == ""):
+                text = DEFAULT_LABEL
+            out = ("parse_error", None, MSG_NO_TEXT) if text is None else ("ok", str(text).strip(), None)
+        except Exception as exc:  # a failing row never fails the job
+            out = ("exception", None, str(exc))
+        return (*out, start, pd.Timestamp.now(tz="UTC"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with cf.ThreadPoolExecutor(max_workers=1) as pool:
+        # every worker of the pool waits for its call no longer than the timeouts, so leaving it is bounded
+        with cf.ThreadPoolExecutor(max_workers=calls_per_task) as pool:
             for pdf in batches:
-                status, answers, errors, starts, ends = [], [], [], [], []
-                for prompt in pdf[prompt_col].tolist():
-                    start = pd.Timestamp.now(tz="UTC")
-                    try:
-                        text = _call(fn, prompt, timeout_s, retries, base_delay_s, transient, pool)
-                        if text is None:
-                            status.append("parse_error"); answers.append(None)
-                            errors.append("No text in response")
-                        else:
-                            status.append("ok"); answers.append(str(text).strip()); errors.append(None)
-                    except Exception as exc:  # a failing row never fails the job
-                        status.append("exception"); answers.append(None); errors.append(str(exc))
-                        if isinstance(exc, TimeoutError):
-                            # the stuck call keeps its worker; give later rows a fresh one
-                            pool.shutdown(wait=False, cancel_futures=True)
-                            pool = cf.ThreadPoolExecutor(max_workers=1)
-                    starts.append(start)
-                    ends.append(pd.Timestamp.now(tz="UTC"))
+                rows = list(pool.map(answer, pdf[prompt_col].tolist()))
                 out = pdf.copy()
-                out["reply_status"] = status
-                out["answer"] = answers
-                out["error"] = errors
-                out["started_at"] = pd.Series(starts, dtype="datetime64[us, UTC]")
-                out["ended_at"] = pd.Series(ends, dtype="datetime64[us, UTC]")
+                for k, name in enumerate(("reply_status", "answer", "error")):
+                    out[name] = pd.Series([r[k] for r in rows], index=pdf.index, dtype=object)
+                for k, name in ((3, "started_at"), (4, "ended_at")):
+                    out[name] = pd.Series([r[k] for r in rows], index=pdf.index, dtype="datetime64[us, UTC]")
                 yield out
 
-    return df.repartition(max_concurrency).mapInPandas(run, out_schema)
+    return (df.repartition(partitions) if partitions else df).mapInPandas(run, out_schema)
 
 
 class _NeverRaised(Exception):

@@ -42,12 +42,12 @@ def _problems(spark, sf):
 def _graded(spark, sf, mode="substring"):
     probs = _problems(spark, sf).select("story_id", "expected")
     parts = I.participants(spark, sf).select("participant")
-    return grade(expected_rows(probs, parts), decode_flat(I.answers(spark, sf)), mode=mode)
+    return grade(expected_rows(probs, parts), decode_flat(I.answers(spark, sf)), key="story_id", mode=mode)
 
 
 def _timed_replies(spark, sf):
     from answer_eval.operators.grade import prepare_replies
-    return prepare_replies(decode_flat(I.timed_answers(spark, sf)), dedupe="none")
+    return prepare_replies(decode_flat(I.timed_answers(spark, sf)), key="story_id", dedupe="none")
 
 
 def _file_stream(spark, sf, name):
@@ -81,7 +81,7 @@ def rule_answerer(prompt: str) -> str:
 def q_s1_problem_scan(spark, sf):
     paths = [f"{sf}/problems_missing.parquet", f"{sf}/documents.parquet"]
     df = S.read_problems(spark, paths, fmt="parquet", schema=None, na_values=S.PANDAS_NA_VALUES)
-    return df.select(F.col("doc_id").alias("story_id"), "lang", "source", "n_chars")
+    return df.select(F.col("doc_id").alias("story_id"), F.col("text").alias("premises"), "lang", "source", "n_chars")
 
 
 def q_s1_problem_csv(spark, sf):
@@ -205,7 +205,7 @@ def q_j1_expected_rows(spark, sf):
 
 
 def q_l2_in_sample_order(spark, sf):
-    graded = grade(_numbered_expected(spark, sf), decode_flat(I.answers(spark, sf)))
+    graded = grade(_numbered_expected(spark, sf), decode_flat(I.answers(spark, sf)), key="story_id")
     return S.in_sample_order(graded).select("participant", "sample_num", "story_id", "predicted", "status")
 
 
@@ -270,7 +270,7 @@ def q_a6_report(spark, sf):
 
 def q_a6_report_compact(spark, sf):
     return M.evaluate_report(_problems(spark, sf), I.participants(spark, sf),
-                             decode_flat(I.answers(spark, sf)))
+                             decode_flat(I.answers(spark, sf)), key="story_id")
 
 
 def q_a7_run_summary(spark, sf):
@@ -342,7 +342,7 @@ def q_x1_conversation_stream(spark, sf):
 
 def _scored(spark, sf):
     prompts = _problems(spark, sf).select("story_id", "expected", P.direct_prompt().alias("prompt"))
-    return score(prompts, rule_answerer, max_concurrency=8, timeout_s=30, retries=1, base_delay_s=0)
+    return score(prompts, rule_answerer, partitions=8, timeout_s=30, retries=1, base_delay_s=0)
 
 
 def q_d1_score(spark, sf):
@@ -361,9 +361,9 @@ def q_d1_scored_report(spark, sf):
     prompts = expected.select("participant", "story_id",
                               P.render(AGENT_PROMPT, agent="participant", premises="premises",
                                        conclusion="conclusion").alias("prompt"))
-    scored = score(prompts, rule_answerer, max_concurrency=8, timeout_s=30, retries=1, base_delay_s=0)
+    scored = score(prompts, rule_answerer, partitions=8, timeout_s=30, retries=1, base_delay_s=0)
     return M.evaluate_report(probs.select("story_id", "expected"), parts,
-                             scored.drop("started_at", "ended_at"))
+                             scored.drop("started_at", "ended_at"), key="story_id")
 
 
 def q_k1_results_json(spark, sf):
@@ -613,6 +613,7 @@ _REPAIR_USER_SQL = _render_sql(P.REPAIR_TEMPLATE, na_text="None", problem="c.pro
 ORACLES: dict[str, str | None] = {
     "s1_problem_scan": f"""
 SELECT doc_id AS story_id,
+  CASE WHEN text IN ({", ".join(_lit(v) for v in S.PANDAS_NA_VALUES)}) THEN NULL ELSE text END AS premises,
   CASE WHEN lang IN ({", ".join(_lit(v) for v in S.PANDAS_NA_VALUES)}) THEN NULL ELSE lang END AS lang,
   CASE WHEN source IN ({", ".join(_lit(v) for v in S.PANDAS_NA_VALUES)}) THEN NULL ELSE source END AS source,
   n_chars FROM documents""",
@@ -793,7 +794,9 @@ SELECT n.problem_id, coalesce(f.verdict, 'Uncertain') AS answer,
 FROM n LEFT JOIN (SELECT * FROM f WHERE rn = 1) f ON n.problem_id = f.problem_id""",
     "w3_repair_messages": f"""
 WITH a AS ({ATTEMPTS_SQL}),
-c AS (SELECT * FROM a WHERE attempt BETWEEN 1 AND 3),
+c AS (SELECT * FROM a WHERE attempt BETWEEN 1 AND 3
+      AND NOT EXISTS (SELECT 1 FROM a b WHERE b.problem_id = a.problem_id AND b.attempt < a.attempt
+                      AND b.returncode = 0)),
 p AS (SELECT problem_id, attempt + 1 AS attempt, code,
         coalesce(nullif({_strip('stderr')}, ''), 'Execution failed with return code ' || CAST(returncode AS VARCHAR))
           AS err FROM a),

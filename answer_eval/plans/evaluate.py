@@ -1,7 +1,7 @@
-"""End-to-end evaluation job: one request -> graded rows -> reports.
+"""End-to-end evaluation job: requests -> graded rows -> reports.
 
-The request (JSON or tag text) names the participants and the example limit; every
-participant is graded on the first N problems (file order = the order key) from the
+A request (JSON or tag text) names the participants and the example limit; every
+participant is graded on the first N problems (in the file's order) from the
 answer log, and the report is written as JSON, text and a per-example table.
 
     spark-submit answer_eval/plans/evaluate.py \\
@@ -25,41 +25,57 @@ from pyspark.sql import functions as F
 if __package__ in (None, ""):  # run as a script by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from answer_eval.operators.grade import expected_rows, grade  # noqa: E402
+from answer_eval.operators.grade import expected_rows, grade, row_key  # noqa: E402
 from answer_eval.operators.metrics import report  # noqa: E402
 from answer_eval.session import configure  # noqa: E402
 from answer_eval.sinks.report import results_json, results_text, write_results  # noqa: E402
 from answer_eval.sources.answers import decode_envelope, read_answers  # noqa: E402
-from answer_eval.sources.problems import coerce_labels, first_n, read_problems  # noqa: E402
+from answer_eval.sources.problems import FILE_ORDER, coerce_labels, number_rows, read_problems  # noqa: E402
 from answer_eval.sources.requests import parse_requests  # noqa: E402
 
 
+REQUEST_KEY = ["request_id", "position"]
+
+
 @dataclass
 class Evaluation:
-    report: DataFrame      # one row per participant (22 report fields)
+    report: DataFrame      # one row per participant of a request: request_id, position, 22 report fields
     graded: DataFrame      # one row per participant x problem
-    errors: DataFrame      # request error rows (empty when the request was usable)
-
-
-def evaluate(problems: DataFrame, request: DataFrame, answers: DataFrame,
-             key: str = "story_id", order_by=("story_id",), mode: str = "substring") -> Evaluation:
-    """Grade the participants named by ``request`` (one row: request_id, body).
-
-    ``problems`` needs ``key`` and ``label``; ``answers`` the decoded reply columns
-    with ``participant`` (= the participant's name) and ``key``.  The example limit
-    follows the evaluator: missing or 0 = all, N > 0 = first N, N < 0 = all but the
-    last |N| (``first_n``).  A request without participants yields no report rows and
-    its error row.
+    people: DataFrame      # request_id, position, participant, agent_id
+    errors: DataFrame      # request error rows (empty when the requests were usable)
+
+
+def evaluate(problems: DataFrame, requests: DataFrame, answers: DataFrame, key=None, order_by=None,
+             mode: str = "substring", order_col: str | None = None) -> Evaluation:
+    """Grade the participants named by ``requests`` (request_id, body; any number of them).
+
+    ``problems`` needs a row key (``key``, else example_id or sample_num, see ``row_key``) and
+    ``label``; ``answers`` the decoded reply columns with the same key and the
+    participant: by request_id and position if it has both, else by the participant's
+    name.  Problems are numbered in the order of ``order_by`` (default: the file's order
+    where the table has it, else the key), and every request's limit is applied to
+    those numbers: missing or 0 = all, N > 0 = first N, N < 0 = all but the last |N|.
+    Participants are told apart by request and position, so equal names stay apart.  A
+    request without participants yields no report rows and its error row.
+    ``order_col`` picks the first of several replies to one row; without it a second
+    reply fails the job.
     """
-    participants, errors = parse_requests(request)
-    limits = participants.select("max_examples").distinct().collect()
-    if len(limits) > 1:
-        raise ValueError("one request per evaluation: participants carry different limits")
-    n = int(limits[0]["max_examples"]) if limits else 0
-    gold = first_n(coerce_labels(problems).select(key, "expected"), n or None, list(order_by))
-    people = participants.select(F.col("name").alias("participant"), "agent_id").dropDuplicates(["participant"])
-    graded = grade(expected_rows(gold, people.select("participant")), answers, key=key, mode=mode)
-    return Evaluation(report(graded, people), graded, errors)
+    participants, errors = parse_requests(requests)
+    people = participants.select(*REQUEST_KEY, F.col("name").alias("participant"), "agent_id", "max_examples")
+    if order_by is None:
+        order_by = FILE_ORDER if set(FILE_ORDER) <= set(problems.columns) else row_key(key, problems)
+    given = [c for c in dict.fromkeys(["story_id", *row_key(key, answers)]) if c in problems.columns]
+    numbered, total = number_rows(
+        coerce_labels(problems, order_by=order_by).select(*given, *[c for c in order_by if c not in given], "expected"),
+        list(order_by))
+    gold = numbered.select(*given, "sample_num", "expected")
+    n, num = F.col("max_examples"), F.col("sample_num")
+    wanted = (n == 0) | ((n > 0) & (num <= n)) | ((n < 0) & (num <= F.lit(total) + n))
+    expected = expected_rows(gold, people.drop("agent_id")).filter(wanted).drop("max_examples")
+    who = REQUEST_KEY if set(REQUEST_KEY) <= set(answers.columns) else ["participant"]
+    graded = grade(expected, answers, key=key, participant_col=who, mode=mode, order_col=order_col)
+    people = people.drop("max_examples")
+    return Evaluation(report(graded, people, by=REQUEST_KEY), graded, people, errors)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -71,19 +87,25 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--request", required=True, help="file holding the request text (JSON or tags)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--mode", default="substring", choices=("substring", "last_line"))
+    ap.add_argument("--key", help="row key of problems and answers (default: example_id, else sample_num)")
+    ap.add_argument("--reply-order", help="column that orders several replies to one row")
     args = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("answer_eval").getOrCreate())
-    problems = read_problems(spark, args.problems, fmt=args.problems_format)
+    problems = read_problems(spark, args.problems, fmt=args.problems_format,
+                             file_order=args.problems_format == "csv")
     request = (spark.read.text(args.request, wholetext=True)
                .select(F.lit(0).cast("bigint").alias("request_id"), F.col("value").alias("body")))
     answers = decode_envelope(read_answers(spark, args.answers, fmt=args.answers_format))
-    ev = evaluate(problems, request, answers, mode=args.mode)
+    ev = evaluate(problems, request, answers, key=args.key, mode=args.mode, order_col=args.reply_order)
     out = args.out.rstrip("/")
+    # graded once: the report is made from the written rows, the documents from the written report
     write_results(ev.graded, f"{out}/results")
-    ev.report.write.mode("overwrite").parquet(f"{out}/report")
-    results_json(ev.report).write.mode("overwrite").text(f"{out}/report_json")
-    results_text(ev.report).write.mode("overwrite").text(f"{out}/report_text")
+    graded = spark.read.schema(ev.graded.schema).parquet(f"{out}/results")
+    report(graded, ev.people, by=REQUEST_KEY).write.mode("overwrite").parquet(f"{out}/report")
+    written = spark.read.parquet(f"{out}/report")
+    results_json(written, order_col="position").write.mode("overwrite").text(f"{out}/report_json")
+    results_text(written, order_col="position").write.mode("overwrite").text(f"{out}/report_text")
     ev.errors.write.mode("overwrite").json(f"{out}/request_errors")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.text import LABELS, format_fixed, format_percent, right_align
+from answer_eval.operators.metrics import REPORT_COLUMNS
 
 # ---------------------------------------------------------------------------
 # Layout of the per-participant text block, in output order.
@@ -36,15 +37,28 @@ TEXT_FOOTER = "\nPer-example results are in the results table.\n"
 
 
 # K1 -----------------------------------------------------------------------
-def results_json(report: DataFrame, order_col: str = "id") -> DataFrame:
-    """One row, column ``json``: the report row itself for one participant, else
-    ``{"data": [rows...]}`` in ``order_col`` order.  NULL fields are kept."""
+def participant_json(report: DataFrame) -> DataFrame:
+    """The report's columns besides its fields, and ``json``: one participant per row, so any
+    number of them is written distributed."""
+    lead = [c for c in report.columns if c not in REPORT_COLUMNS]
+    fields = F.struct(*[c for c in REPORT_COLUMNS if c in report.columns])
+    return report.select(*lead, F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def results_json(report: DataFrame, order_col="id", by: str | None = None) -> DataFrame:
+    """One row (per value of ``by``), column ``json``: the report row itself for one
+    participant, else ``{"data": [rows...]}`` in the order of ``order_col`` (one column or
+    several).  NULL fields are kept.  The document is one row by nature; for very many
+    participants take ``participant_json``."""
     opts = {"ignoreNullFields": "false"}
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_o"), F.struct(*report.columns).alias("r"))))
-    agg = report.agg(F.count(F.lit(1)).alias("_n"), rows.alias("_rows"))
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    fields = F.struct(*[c for c in REPORT_COLUMNS if c in report.columns])
+    rows = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), fields.alias("r"))))
+    grouped = report.groupBy(by) if by else report
+    agg = grouped.agg(F.count(F.lit(1)).alias("_n"), rows.alias("_rows"))
     single = F.to_json(F.col("_rows")[0]["r"], opts)
     many = F.to_json(F.struct(F.transform("_rows", lambda x: x["r"]).alias("data")), opts)
-    return agg.select(F.when(F.col("_n") == 1, single).otherwise(many).alias("json"))
+    return agg.select(*([by] if by else []), F.when(F.col("_n") == 1, single).otherwise(many).alias("json"))
 
 
 def _category_lines() -> Column:
@@ -63,8 +77,8 @@ def _seconds(c: str) -> Column:
 
 
 # K2 -----------------------------------------------------------------------
-def participant_text(report: DataFrame) -> DataFrame:
-    """(id, text): the text block of each participant.  Per-label lines only for
+def participant_text(report: DataFrame, lead=()) -> DataFrame:
+    """(id, text), after the ``lead`` columns: the text block of each participant.  Per-label lines only for
     labels present, in the order True, False, Uncertain."""
     ratio = F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0))
     nl = F.lit("\n")
@@ -79,23 +93,26 @@ def participant_text(report: DataFrame) -> DataFrame:
         F.lit(BULLET + LINE_AVG_TIME), _seconds("avg_time_per_case"), nl,
         F.lit(BULLET + LINE_TOTAL_TIME), _seconds("time_used"), nl,
     )
-    return report.select("id", text.alias("text"))
+    return report.select(*lead, "id", text.alias("text"))
 
 
-def results_text(report: DataFrame) -> DataFrame:
-    """One row, column ``text``: header, every participant's block (by id), footer."""
-    blocks = participant_text(report)
-    agg = blocks.agg(F.count(F.lit(1)).alias("_n"),
-                     F.sort_array(F.collect_list(F.struct("id", "text"))).alias("_b"))
+def results_text(report: DataFrame, order_col="id", by: str | None = None) -> DataFrame:
+    """One row (per value of ``by``), column ``text``: header, every participant's block in the
+    order of ``order_col``, footer; for very many participants take ``participant_text``."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    blocks = participant_text(report, [c for c in dict.fromkeys([*order, *([by] if by else [])]) if c != "id"])
+    grouped = blocks.groupBy(by) if by else blocks
+    agg = grouped.agg(F.count(F.lit(1)).alias("_n"),
+                      F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("_o"), "text"))).alias("_b"))
     body = F.array_join(F.transform("_b", lambda x: x["text"]), "")
     text = F.concat(F.lit(TEXT_HEADER), F.col("_n").cast("string"), F.lit(TEXT_AGENTS), body,
                     F.lit(TEXT_FOOTER))
-    return agg.select(text.alias("text"))
+    return agg.select(*([by] if by else []), text.alias("text"))
 
 
 # K3 -----------------------------------------------------------------------
 def write_results(graded: DataFrame, path: str, mode: str = "overwrite",
-                  participant_col: str = "participant", key: str = "story_id",
+                  participant_col: str = "participant", key: str | None = None,
                   max_records_per_file: int = 5_000_000) -> None:
     """Per-example results, Parquet partitioned by participant (distributed write).
 
@@ -103,7 +120,8 @@ def write_results(graded: DataFrame, path: str, mode: str = "overwrite",
     a task writes into one or two participant folders (no participants x tasks
     small files), while a participant holding a third of all rows still spans many
     tasks.  Files are capped at ``max_records_per_file`` rows."""
-    keys = [participant_col] + ([key] if key in graded.columns else [])
+    order = [key] if key else [c for c in ("example_id", "sample_num", "story_id") if c in graded.columns][:1]
+    keys = [participant_col, *order]
     (graded.repartitionByRange(*keys)
      .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(participant_col).parquet(path))

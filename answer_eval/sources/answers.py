@@ -1,7 +1,7 @@
 """Answer logs (S2) and reply-envelope decoding (S3).
 
 An answer log has one row per reply actually received: who answered (participant),
-which problem (story_id), and either a reply envelope (nested, or JSON text) or a
+which problem row (example_id, else sample_num; story_id is carried along), and either a reply envelope (nested, or JSON text) or a
 flat (error_message, answer) pair.  Decoding yields the reply columns the grader
 reads: ``reply_status``, ``answer``, ``error``.
 """
@@ -32,6 +32,8 @@ ENVELOPE_SCHEMA = T.StructType([
 
 ANSWER_LOG_SCHEMA = T.StructType([
     T.StructField("participant", T.StringType()),
+    T.StructField("example_id", T.LongType()),
+    T.StructField("sample_num", T.LongType()),
     T.StructField("story_id", T.LongType()),
     T.StructField("envelope", ENVELOPE_SCHEMA),
     T.StructField("started_at", T.TimestampType()),

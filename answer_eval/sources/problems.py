@@ -32,10 +32,9 @@ PANDAS_NA_VALUES = (
     "nan", "null",
 )
 
-# A first-N up to this size uses orderBy().limit(): every map partition keeps its
-# top n and ONE task merges n rows per partition.  Larger n is taken by distributed
-# numbering instead, so no task ever merges n x partitions rows.
-TAKE_ORDERED_MAX = 1_000
+# Columns without which a problem table is of no use, and the order key of its files.
+REQUIRED_COLUMNS = ("premises", "conclusion", "label")
+FILE_ORDER = ("file_path", "file_row")
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
 
@@ -53,40 +52,53 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     for p in paths:
         if path_exists(spark, p):
             return p
-    raise FileNotFoundError(
-        "Could not find the problem table. Tried:\n" + "\n".join(f"  - {p}" for p in paths)
-    )
+    raise FileNotFoundError(f"no problem table at any of these paths: {', '.join(paths)}")
 
 
 # S1 -----------------------------------------------------------------------
 def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv",
                   schema: T.StructType | None = PROBLEM_SCHEMA,
-                  na_values: Sequence[str] | None = None) -> DataFrame:
+                  na_values: Sequence[str] | None = None, file_order: bool = False) -> DataFrame:
     """Read the first existing candidate path as a problem table.
 
-    CSV: header row, quoted multi-line fields (``multiLine`` + ``escape='"'``),
-    declared schema (never inferred: a True/False label column would become
-    BOOLEAN).  Parquet/ORC/JSON are read as stored.  ``na_values`` turns the
-    listed strings into NULL in string columns (``PANDAS_NA_VALUES`` mimics pandas).
-    Hyphenated column names are renamed with underscores, lower-cased (premises-FOL -> premises_fol).
+    CSV: header row, quoted multi-line fields (``multiLine`` + ``escape='"'``), columns by
+    their header names in any order, read as text and cast to the declared type
+    (never inferred: a True/False label column would become BOOLEAN).  A declared
+    column that the header lacks is NULL, but ``REQUIRED_COLUMNS`` must be there;
+    further columns stay, as text.  Parquet/ORC/JSON are read as stored.
+    ``na_values`` turns the listed strings into NULL in string columns
+    (``PANDAS_NA_VALUES`` mimics pandas).  Hyphenated column names are renamed with
+    underscores, lower-cased (premises-FOL -> premises_fol).
+
+    ``file_order`` adds the columns of ``FILE_ORDER``: the file's path and a number that
+    grows with the row's place in its file (a multi-line CSV file is read by one task),
+    the order key for numbering and for the first N in the order of the file.
     """
     candidates = [paths] if isinstance(paths, str) else list(paths)
     path = first_existing(spark, candidates)
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        if file_order:
+            df = _with_file_order(df)
         if schema is not None:
-            reader = reader.schema(schema)
-        df = reader.csv(path)
+            lacking = [c for c in REQUIRED_COLUMNS if c in schema.names and c not in df.columns]
+            if lacking:
+                raise ValueError(f"the problem table has no column {', '.join(lacking)}")
+            declared = [(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in schema.fields]
+            df = df.select(*declared, *[F.col(f"`{c}`") for c in df.columns if c not in schema.names])
     else:
         if schema is not None and fmt == "json":
             reader = reader.schema(schema)
         df = reader.format(fmt).load(path)
+        if file_order:
+            df = _with_file_order(df)
     for name in df.columns:
         if "-" in name:
             df = df.withColumnRenamed(name, name.replace("-", "_").lower())
     if na_values:
-        string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+        string_cols = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)} - {FILE_ORDER[0]}
         df = df.select(*[
             F.when(F.col(c).isin(*na_values), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
             if c in string_cols else F.col(c)
@@ -95,6 +107,11 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
     return df
 
 
+def _with_file_order(df: DataFrame) -> DataFrame:
+    return df.select("*", F.col("_metadata.file_path").alias(FILE_ORDER[0]),
+                     F.monotonically_increasing_id().alias(FILE_ORDER[1]))
+
+
 # T16 ----------------------------------------------------------------------
 def coerce_labels(df: DataFrame, label_col: str = "label", out_col: str = "expected",
                   story_col: str = "story_id", order_by: Sequence | None = None) -> DataFrame:
@@ -160,15 +177,12 @@ def first_n(df: DataFrame, n: int | None, order_by) -> DataFrame:
     """pandas ``head(n)`` semantics after a full read.
 
     None or 0 -> all rows; n > 0 -> first n in order; n < 0 -> all but the last |n|.
-    Small n (at most ``TAKE_ORDERED_MAX``) uses ``orderBy().limit()``: per-partition
-    top-n, then one task merges n rows per partition; larger or negative n numbers
-    the rows distributedly and filters.
+    One way for every n: the rows are numbered distributedly and filtered, so no task
+    merges the first rows of all partitions.
     """
     if not n:
         return df
     keys = _keys(order_by)
-    if 0 < n <= TAKE_ORDERED_MAX:
-        return df.orderBy(*keys).limit(n)
     numbered, total = number_rows(df, keys, col_name="_n", start=1)
     keep = n if n > 0 else total + n
     return numbered.filter(F.col("_n") <= F.lit(keep)).drop("_n")

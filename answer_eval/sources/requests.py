@@ -10,10 +10,12 @@ reject (non-object JSON, a non-object participant entry, a non-object config, a
 non-integer tag value) or that names no participant becomes an error row; it
 never fails the job.
 
-Known differences from Python: NaN/Infinity literals are not JSON here;
-object-form participants come out in key order (VARIANT sorts object keys), so
-``position`` is the rank of the role name; the tag-form limit accepts ASCII digits
-only (Python's ``int`` also reads other Unicode digits).  Text after a complete JSON
+Limits: a missing or falsy one (null, 0, "", false, [], {}) means all examples, a JSON
+integer is taken, anything else is an error row.  ``position`` is the place of the
+entry in the request, for both JSON forms.
+
+Known differences from Python: NaN/Infinity literals are not JSON here; the tag-form
+limit accepts ASCII digits only (Python's ``int`` also reads other Unicode digits).  Text after a complete JSON
 value makes the body non-JSON, as in Python.
 """
 
@@ -22,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answer_eval.functions.text import py_strip
 from answer_eval.functions.text import parse_tags as X_tags
 
 # The tag names of the text form and the no-participant message.
@@ -72,55 +73,15 @@ def _py_int(text: Column) -> Column:
     return F.when(ok, F.regexp_replace(t, "_", "").try_cast("bigint"))
 
 
-# A JSON string literal (escapes included), for removing strings before looking at
-# the bracket structure.
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
-
-
-# Pair-removal passes of the fast balance check: requests nest about three levels
-# ({participants: [{...}]}); deeper JSON falls through to the exact fold.
-_PAIR_PASSES = 3
-
-
-def _skeleton(s: Column) -> Column:
-    """Bracket skeleton of a JSON text: string literals removed, only brackets kept."""
-    # one pass: at a quote the whole string literal matches, elsewhere any non-bracket
-    return F.regexp_replace(s, _JSON_STRING + r"|[^\[\]{}]", "")
+def _whole_json(body: Column) -> Column:
+    """The body's JSON value, or NULL when the body is anything but one JSON value.
 
-
-def _single_container(skeleton: Column) -> Column:
-    """True when a bracket skeleton closes its first container exactly at its end.
-
-    Fast path: without its outer pair the skeleton must be balanced; removing
-    adjacent ``{}``/``[]`` pairs a few times empties it whenever it is balanced and
-    at most that deep.  Otherwise (trailing values, or deeper nesting) a fold over
-    the skeleton decides: depth never below zero and zero exactly once, at the end.
-    """
-    inner = F.when(F.length(skeleton) >= 2, skeleton.substr(F.lit(2), F.length(skeleton) - F.lit(2)))
-    for _ in range(_PAIR_PASSES):
-        inner = F.regexp_replace(inner, r"\{\}|\[\]", "")
-    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("zeros"), F.lit(0).alias("low"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        d = acc["d"] + F.when(ch.isin("{", "["), 1).otherwise(-1)
-        return F.struct(d.alias("d"), (acc["zeros"] + F.when(d == 0, 1).otherwise(0)).alias("zeros"),
-                        F.least(acc["low"], d).alias("low"))
-
-    end = F.aggregate(F.split(skeleton, ""), start, step)
-    by_fold = (end["d"] == 0) & (end["zeros"] == 1) & (end["low"] >= 0)
-    return F.when(inner == F.lit(""), F.lit(True)).otherwise(by_fold)
-
-
-def _strict_json(s: Column, skeleton: Column, v: Column) -> Column:
-    """Parsed AND nothing after the value (``try_parse_json`` accepts a valid prefix):
-    an object/array (``s`` is the stripped text, ``skeleton`` its brackets) must end
-    with its closing bracket and close exactly there; a scalar must print back to
-    the same text."""
-    return v.isNotNull() & (
-        F.when(s.startswith("{"), s.endswith("}") & _single_container(skeleton))
-        .when(s.startswith("["), s.endswith("]") & _single_container(skeleton))
-        .otherwise(F.to_json(v) == s)
-    )
+    ``try_parse_json`` also accepts a value with text behind it, so the body is parsed as
+    the first element of an array that a mark closes, the mark being a digest of the
+    body: only a whole value leaves exactly the two of them."""
+    mark = F.md5(body)
+    both = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]')))
+    return F.struct(both.alias("both"), mark.alias("mark"))
 
 
 def parse_requests(requests: DataFrame, body_col: str = "body",
@@ -145,24 +106,30 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     # by name (these projections run interpreted, without subexpression sharing).
     c = F.col
     st = requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body"))
-    st = st.select("request_id", "_body", F.try_parse_json(c("_body")).alias("_v"),
-                   py_strip(c("_body")).alias("_s"))
-    st = st.select("request_id", "_body", "_v", "_s",
-                   F.when(c("_v").isNotNull() & (c("_s").startswith("{") | c("_s").startswith("[")),
-                          _skeleton(c("_s"))).alias("_skel"))
-    st = st.select("request_id", "_body", "_v", "_s",
-                   _strict_json(c("_s"), c("_skel"), c("_v")).alias("_json"))
+    st = st.select("request_id", "_body", _whole_json(c("_body")).alias("_w"))
+    st = st.select("request_id", "_body", F.try_variant_get(c("_w.both"), "$", "array<variant>").alias("_a"),
+                   c("_w.mark").alias("_mark"))
+    whole = (F.size("_a") == 2) & F.coalesce(
+        F.try_variant_get(F.get(c("_a"), F.lit(1)), "$", "string") == c("_mark"), F.lit(False))
+    st = st.select("request_id", "_body", F.when(whole, F.get(c("_a"), F.lit(0))).alias("_v"),
+                   F.coalesce(whole, F.lit(False)).alias("_json"))
     st = st.select(
         "request_id", "_v", "_json",
         _json_text(_get(c("_v"), "participants", "variant")).alias("_pj"),
         _json_text(_get(c("_v"), "config", "variant")).alias("_cj"),
-        # the body parses strictly, so its first non-blank character is the kind
-        F.when(c("_json"), c("_s").substr(1, 1)).alias("_vk"),
-        F.when(~c("_json"), X_tags(c("_body"))).alias("_tags"),
-        F.when(c("_json"), F.try_variant_get(c("_v"), "$.config.max_examples", "bigint")).alias("_jmax"),
+        # one value and nothing else, so its first non-blank character is the kind
+        F.when(c("_json"), F.ltrim(c("_body"), F.lit(" \t\r\n")).substr(1, 1)).alias("_vk"),
+        X_tags(F.when(~c("_json"), c("_body"))).alias("_tags"),
+        # keys in the order of the text (a variant sorts them)
+        F.when(c("_json"), F.json_object_keys(F.get_json_object(c("_body"), "$.participants"))).alias("_keys"),
+        F.when(c("_json"), F.try_variant_get(c("_v"), "$.config.max_examples", "variant")).alias("_limit"),
     )
+    st = st.select("*", _json_text(c("_limit")).alias("_lj"),
+                   F.when(F.schema_of_variant(c("_limit")) == "BIGINT",
+                          F.try_variant_get(c("_limit"), "$", "bigint")).alias("_jmax"))
     st = st.select(
-        "request_id", "_v", "_json", "_cj", "_vk", "_jmax",
+        "request_id", "_v", "_json", "_cj", "_vk", "_jmax", "_keys",
+        (_truthy_text(c("_lj")) & c("_jmax").isNull()).alias("_bad_limit"),
         (c("_json") & _truthy_text(c("_pj")) & c("_pj").startswith("[")).alias("_use_list"),
         (c("_json") & _truthy_text(c("_pj")) & c("_pj").startswith("{")).alias("_use_obj"),
         F.element_at(c("_tags"), F.lit(URL_TAG)).alias("_url"),
@@ -178,16 +145,19 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
         return F.struct(i.alias("pos"), role.alias("role"), e.alias("e"), url.alias("url"),
                         _json_text(e).alias("ej"), epj.alias("epj"))
 
+    def place(role, i):                      # of a key in the request's text
+        return F.coalesce(F.nullif(F.array_position("_keys", role).cast("int"), F.lit(0)) - 1, i)
+
     from_list = F.transform(F.try_variant_get(c("_v"), "$.participants", "array<variant>"),
                             lambda e, i: cand(i, no_text, e, no_text, True))
     from_obj = F.transform(F.map_entries(F.try_variant_get(c("_v"), "$.participants", "map<string,variant>")),
-                           lambda kv, i: cand(i, kv["key"], kv["value"], no_text, False))
+                           lambda kv, i: cand(place(kv["key"], i), kv["key"], kv["value"], no_text, False))
     url_ok = c("_url").isNotNull() & (c("_url") != F.lit(""))
     from_tags = F.array(F.struct(F.lit(0).alias("pos"), no_text.alias("role"),
                                  F.lit(None).cast("variant").alias("e"), c("_url").alias("url"),
                                  no_text.alias("ej"), no_text.alias("epj")))
     st = st.select(
-        "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text",
+        "request_id", "_json", "_cj", "_vk", "_jmax", "_bad_limit", "_use_list", "_n_text",
         F.when(c("_use_list"), from_list).when(c("_use_obj"), from_obj)
          .when(~c("_json") & url_ok, from_tags).otherwise(F.array().cast(cand_type)).alias("_raw"),
         _py_int(c("_n_text")).alias("_n_val"),
@@ -200,7 +170,7 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
                 | (x["role"].isNotNull() & (ej.startswith('"') | ej.startswith("{"))))
 
     st = st.select(
-        "request_id", "_json", "_cj", "_vk", "_jmax", "_use_list", "_n_text", "_n_val",
+        "request_id", "_json", "_cj", "_vk", "_jmax", "_bad_limit", "_use_list", "_n_text", "_n_val",
         F.exists(c("_raw"), lambda x: x["url"].isNull() & ~_is_object_text(x["ej"])).alias("_bad"),
         F.filter(c("_raw"), keep).alias("_cands"),
     )
@@ -210,6 +180,7 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
             F.when(c("_vk") != F.lit("{"), F.lit(ERR_NOT_OBJECT))
             .when(c("_use_list") & c("_bad"), F.lit(ERR_ENTRY))
             .when(c("_cj").isNotNull() & ~_is_object_text(c("_cj")), F.lit(ERR_CONFIG))
+            .when(c("_bad_limit"), F.lit(ERR_MAX_EXAMPLES))
         )).otherwise(F.when(c("_n_text").isNotNull() & (c("_n_text") != F.lit("")) & c("_n_val").isNull(),
                             F.lit(ERR_MAX_EXAMPLES))).alias("_error"),
         # 0 = no limit: the evaluator treats a missing limit and 0 alike ("all")

@@ -24,13 +24,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from answer_eval.functions.prompts import DIRECT_SYSTEM
 from answer_eval.operators.history import TERMINAL_STATES
 
-HISTORY_SCHEMA = T.StructType([
-    T.StructField("conv_id", T.LongType()),
-    T.StructField("position", T.LongType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
-    T.StructField("turn", T.LongType()),
-])
+def _field(df: DataFrame, name: str) -> T.StructField:
+    """The column's own type: ids may be numbers or strings."""
+    return T.StructField(name, df.schema[name].dataType)
+
+
+def history_schema(src: DataFrame) -> T.StructType:
+    return T.StructType([
+        _field(src, "conv_id"),
+        T.StructField("position", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("content", T.StringType()),
+        _field(src, "turn"),
+    ])
+
+
 _HISTORY_STATE = T.StructType([
     T.StructField("next_position", T.LongType()),
 ])
@@ -62,7 +70,7 @@ def _history_fn(system: str, timeout_ms: int | None):
         state.update((pos + n,))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        yield out.astype({"conv_id": "int64", "position": "int64"})
+        yield out.astype({"position": "int64"})
     return fn
 
 
@@ -79,34 +87,28 @@ def conversation_stream(stream: DataFrame, system: str = DIRECT_SYSTEM,
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     src = stream.select("conv_id", "turn", "role", "text")
     return src.groupBy("conv_id").applyInPandasWithState(
-        _history_fn(system, timeout_ms), HISTORY_SCHEMA, _HISTORY_STATE, "append", timeout)
+        _history_fn(system, timeout_ms), history_schema(src), _HISTORY_STATE, "append", timeout)
 
 
-GATE_SCHEMA = T.StructType([
-    T.StructField("task_id", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("state", T.StringType()),
-])
 _GATE_STATE = T.StructType([T.StructField("terminal_seen", T.BooleanType())])
 
 
 def _gate_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
     seen = bool(state.get[0]) if state.exists else False
-    keep = []
-    for st in pdf["state"].tolist():
-        keep.append(not seen)
-        if st in TERMINAL_STATES:
-            seen = True
-    state.update((seen,))
-    yield pdf[keep][["task_id", "seq", "state"]]
+    final = pdf["state"].isin(TERMINAL_STATES)
+    # a message passes if no message before it was terminal
+    passes = final.cumsum() - final == 0
+    state.update((seen or bool(final.any()),))
+    yield pdf[passes & (not seen)][["task_id", "seq", "state"]]
 
 
 def gate_tasks_stream(stream: DataFrame) -> DataFrame:
     """X2: (task_id, seq, state) stream -> messages that pass the gate."""
     src = stream.select("task_id", "seq", "state")
     return src.groupBy("task_id").applyInPandasWithState(
-        _gate_fn, GATE_SCHEMA, _GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+        _gate_fn, T.StructType([_field(src, "task_id"), _field(src, "seq"), T.StructField("state", T.StringType())]),
+        _GATE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def _uses_processing_time_timeout(df: DataFrame) -> bool:

@@ -53,6 +53,9 @@ def py_grade():
     return out
 
 
+KEY = "story_id"           # the fixture's stories have one row each
+
+
 @pytest.fixture()
 def frames(spark):
     probs = coerce_labels(spark.createDataFrame(PROBLEMS, "story_id long, label string")).select("story_id", "expected")
@@ -64,7 +67,7 @@ def frames(spark):
 
 def test_graded_rows_match_model(spark, frames):
     probs, parts, answers = frames
-    g = grade(expected_rows(probs, parts.select("participant")), answers)
+    g = grade(expected_rows(probs, parts.select("participant")), answers, KEY)
     got = {(r.participant, r.story_id): (r.expected, r.predicted, r.correct, r.status) for r in g.collect()}
     assert got == py_grade()
     times = {(r.participant, r.story_id): r.time for r in g.collect()}
@@ -73,9 +76,9 @@ def test_graded_rows_match_model(spark, frames):
 
 def test_report_invariants_and_compact_plan_agree(spark, frames):
     probs, parts, answers = frames
-    g = grade(expected_rows(probs, parts.select("participant")), answers)
+    g = grade(expected_rows(probs, parts.select("participant")), answers, KEY)
     full = {r.id: r.asDict() for r in M.report(g, parts).collect()}
-    compact = {r.id: r.asDict() for r in M.evaluate_report(probs, parts, answers).collect()}
+    compact = {r.id: r.asDict() for r in M.evaluate_report(probs, parts, answers, KEY).collect()}
     assert full == compact
     model = py_grade()
     for p, agent_id in PARTICIPANTS:
@@ -93,7 +96,7 @@ def test_report_invariants_and_compact_plan_agree(spark, frames):
 
 def test_label_breakdowns(spark, frames):
     probs, parts, answers = frames
-    g = grade(expected_rows(probs, parts.select("participant")), answers)
+    g = grade(expected_rows(probs, parts.select("participant")), answers, KEY)
     long = {(r.participant, r.expected): (r.total, r.correct) for r in M.label_breakdown(g).collect()}
     assert long[("alice", "true")] == (1, 1)      # lower-case label is its own group
     assert long[("alice", "nan")] == (1, 0)
@@ -111,19 +114,39 @@ def test_label_breakdowns(spark, frames):
 def test_duplicates_first_and_error(spark, frames):
     probs, parts, answers = frames
     dup = answers.unionByName(answers.filter(F.col("participant") == "bob").withColumn("answer", F.lit("True")))
-    with pytest.raises(ValueError):
-        grade(expected_rows(probs, parts.select("participant")), dup, dedupe="error")
-    g = grade(expected_rows(probs, parts.select("participant")), dup, dedupe="first")
-    assert g.count() == 18
+    expected = expected_rows(probs, parts.select("participant"))
+    for run in (lambda: grade(expected, dup, KEY), lambda: M.evaluate_report(probs, parts, dup, KEY)):
+        with pytest.raises(Exception, match="duplicate reply for key"):
+            run().collect()
+    with pytest.raises(ValueError, match="order_col"):
+        grade(expected, dup, KEY, dedupe="first")
+    seq = dup.withColumn("seq", F.monotonically_increasing_id())
+    assert grade(expected, seq, KEY, order_col="seq").count() == 18
+
+
+def test_rows_are_graded_not_stories(spark):
+    probs = spark.createDataFrame([(1, 10, "True"), (1, 11, "False"), (2, 12, "True")],
+                                  "story_id long, example_id long, expected string")
+    parts = spark.createDataFrame([("a", "A")], "participant string, agent_id string")
+    log = decode_flat(spark.createDataFrame([("a", 1, 10, None, "true"), ("a", 1, 11, None, "false")],
+                                            "participant string, story_id long, example_id long, "
+                                            "error_message string, answer string"))
+    g = grade(expected_rows(probs, parts.select("participant")), log.drop("story_id"))
+    assert sorted((r.example_id, r.correct) for r in g.collect()) == [(10, True), (11, True), (12, False)]
+    full = [tuple(r) for r in M.report(g, parts).collect()]
+    assert full == [tuple(r) for r in M.evaluate_report(probs, parts, log.drop("story_id")).collect()]
+    assert full[0][6:10] == (2, 3, 0, 1)
+    with pytest.raises(ValueError, match="row key"):
+        grade(expected_rows(probs, parts.select("participant")), log.drop("example_id"))
 
 
 def test_accuracy_zero_participant_and_last_line_mode(spark, frames):
     probs, parts, answers = frames
-    g = grade(expected_rows(probs, parts.select("participant")), answers)
+    g = grade(expected_rows(probs, parts.select("participant")), answers, KEY)
     more = parts.unionByName(spark.createDataFrame([("dave", "D")], "participant string, agent_id string"))
     acc = {r.participant: (r.total, r.accuracy) for r in M.accuracy(g, participants=more).collect()}
     assert acc["dave"] == (0, 0.0)
-    ll = grade(expected_rows(probs, parts.select("participant")), answers, mode="last_line")
+    ll = grade(expected_rows(probs, parts.select("participant")), answers, KEY, mode="last_line")
     preds = {(r.participant, r.story_id): r.predicted for r in ll.collect()}
     assert preds[("bob", 3)] == "Uncertain" and preds[("alice", 1)] == "PARSE_ERROR"
 
@@ -141,16 +164,13 @@ def test_run_summary_and_combine(spark):
     assert c.count() == 2 and "extra" in c.columns
 
 
-def test_expected_rows_both_paths_agree(spark, frames, monkeypatch):
-    from answer_eval.operators import grade as G
-    probs, parts, _ = frames
-    inline = sorted(tuple(r) for r in G.expected_rows(probs, parts).collect())
-    monkeypatch.setattr(G, "INLINE_PARTICIPANTS_MAX", 0)      # force numbering + index join
-    indexed = sorted(tuple(r) for r in G.expected_rows(probs, parts).collect())
-    monkeypatch.setattr(G, "BROADCAST_PARTICIPANTS_MAX", 0)   # and the shuffle-join branch
-    shuffled = sorted(tuple(r) for r in G.expected_rows(probs, parts, broadcast_max=0).collect())
-    assert inline == indexed == shuffled
-    assert len(inline) == len(PROBLEMS) * len(PARTICIPANTS)
+@pytest.mark.parametrize("n", [5, 5000])
+def test_expected_rows_of_any_number_of_participants(spark, n):
+    probs = spark.range(3).selectExpr("id AS example_id", "'True' AS expected")
+    parts = spark.range(n).selectExpr("concat('p', id) AS participant", "named_struct('x', id, 'y', array(id)) AS info")
+    rows = expected_rows(probs, parts).collect()
+    assert len(rows) == 3 * n == len({(r.example_id, r.participant) for r in rows})
+    assert all(r.participant == f"p{r.info.x}" for r in rows)
 
 
 def test_dedupe_by_order_column_on_both_plans(spark, frames):
@@ -161,10 +181,10 @@ def test_dedupe_by_order_column_on_both_plans(spark, frames):
         .withColumn("reply_status", F.lit("ok")).withColumn("error", F.lit(None).cast("string")) \
         .withColumn("seq", F.lit(2))
     log = first.unionByName(later)
-    g = grade(expected_rows(probs, parts.select("participant")), log, order_col="seq")
-    base = grade(expected_rows(probs, parts.select("participant")), answers)
+    g = grade(expected_rows(probs, parts.select("participant")), log, KEY, order_col="seq")
+    base = grade(expected_rows(probs, parts.select("participant")), answers, KEY)
     cols = ["participant", "story_id", "predicted", "status", "correct"]
     assert sorted(tuple(r) for r in g.select(cols).collect()) == sorted(tuple(r) for r in base.select(cols).collect())
     full = {r.id: r.asDict() for r in M.report(g, parts).collect()}
-    compact = {r.id: r.asDict() for r in M.evaluate_report(probs, parts, log, order_col="seq").collect()}
+    compact = {r.id: r.asDict() for r in M.evaluate_report(probs, parts, log, KEY, order_col="seq").collect()}
     assert full == compact

@@ -2,6 +2,8 @@
 
 import json
 
+from test_text import scan_tags
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,7 +36,7 @@ participants = st.one_of(
     st.dictionaries(st.sampled_from(["r1", "r2", "b", "a"]), object_value, max_size=4),
     st.sampled_from([None, "str", 5]),
 )
-config = st.one_of(st.just({}), st.fixed_dictionaries({"max_examples": st.one_of(st.none(), st.integers(0, 50))}),
+config = st.one_of(st.just({}), st.fixed_dictionaries({"max_examples": st.one_of(st.none(), st.integers(0, 50), st.sampled_from(["", "4", 1.5]))}),
                    st.sampled_from([None, [], "x"]))
 
 
@@ -69,10 +71,7 @@ def model(text):
     try:
         data = json.loads(text)
     except json.JSONDecodeError:
-        tags = {}
-        import re
-        for k, v in re.findall(r"<(.*?)>(.*?)</\1>", text, re.DOTALL):
-            tags[k] = v.strip()
+        tags = scan_tags(text)
         n = tags.get("max_examples")
         if n:
             try:
@@ -97,7 +96,7 @@ def model(text):
             if p.get("endpoint"):
                 found.append((i, nm, aid, _text(p["endpoint"]), None))
     elif parts and isinstance(parts, dict):
-        for i, role in enumerate(sorted(parts)):  # key order: sorted (documented)
+        for i, role in enumerate(parts):
             v = parts[role]
             if isinstance(v, str):
                 found.append((i, role, role, v, None))
@@ -107,6 +106,8 @@ def model(text):
     if not isinstance(cfg, dict):
         return [], ERR_CONFIG
     n = cfg.get("max_examples") or 0
+    if not isinstance(n, int):
+        return [], ERR_MAX_EXAMPLES
     if not found:
         return [], MSG_NO_PARTICIPANTS
     return [(i, nm, aid, ep, n) for i, nm, aid, ep, _ in found], None

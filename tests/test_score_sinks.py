@@ -35,7 +35,7 @@ def test_score_failures_never_fail_the_job(spark):
 
     df = spark.createDataFrame([(i, p) for i, p in enumerate(["ok", "boom", "slow", "none", "flaky1"])],
                                "story_id long, prompt string")
-    out = score(df, answerer, max_concurrency=2, timeout_s=1, retries=3, base_delay_s=0, transient=(Flaky,))
+    out = score(df, answerer, partitions=2, timeout_s=1, retries=3, base_delay_s=0, transient=(Flaky,))
     got = {r.prompt: (r.reply_status, r.answer, r.error) for r in out.collect()}
     assert got["ok"] == ("ok", "True", None)
     assert got["boom"] == ("exception", None, "agent down")
@@ -45,6 +45,36 @@ def test_score_failures_never_fail_the_job(spark):
     assert out.filter(F.col("ended_at") < F.col("started_at")).count() == 0
 
 
+def test_a_call_that_never_returns_ends_with_its_timeout(spark):
+    def answerer(prompt):
+        if prompt.startswith("stuck"):
+            import threading
+            threading.Event().wait()
+        return prompt
+
+    df = spark.createDataFrame([(i, "stuck" if i % 4 == 0 else f"p{i}") for i in range(12)], "k long, prompt string")
+    score(df.limit(1), lambda p: p, partitions=1).collect()          # workers are up
+    t = time.time()
+    out = score(df, answerer, calls_per_task=4, partitions=1, timeout_s=1, retries=1).collect()
+    assert time.time() - t < 8
+    assert [r.reply_status for r in sorted(out, key=lambda r: r.k)] == ["exception", "ok", "ok", "ok"] * 3
+
+
+def test_empty_texts_become_the_default_label_when_asked(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string")
+    fn = lambda p: "" if p == "a" else None
+    got = {m: sorted((r.prompt, r.reply_status, r.answer) for r in score(df, fn, empty_mode=m).collect())
+           for m in (None, "direct", "code")}
+    assert got[None] == [("a", "ok", ""), ("b", "parse_error", None)]
+    assert got["direct"] == [("a", "ok", "Uncertain"), ("b", "ok", "Uncertain")]
+    assert got["code"] == [("a", "ok", ""), ("b", "ok", "Uncertain")]
+
+
+def test_partitions_follow_the_input(spark):
+    df = spark.range(0, 64, 1, 16).selectExpr("cast(id as string) AS prompt")
+    assert score(df, lambda p: p).rdd.getNumPartitions() == 16
+
+
 def _report(spark):
     rows = [("a", 10, 5, 1, 4, 3, 2, 3, 2, 4, 1), ("b", 4, 1, 2, 1, 0, 1, 1, 2, 0, 1)]
     df = spark.createDataFrame(rows, "participant string, total long, correct long, parse_errors long, "

@@ -64,10 +64,21 @@ def test_first_n(spark, n, expect):
     assert got == list(range(expect))
 
 
-def test_first_n_large_uses_numbering(spark, monkeypatch):
-    monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 3)
-    df = spark.range(10).withColumnRenamed("id", "k")
-    assert [r["k"] for r in S.first_n(df, 6, "k").orderBy("k").collect()] == list(range(6))
+def test_csv_columns_are_taken_by_header_name(spark, tmp_dir):
+    path = _write_csv(tmp_dir, "label,example_id,note,conclusion,premises,story_id\nTrue,7,n,c,p,1\nFalse,8,m,d,q,1\n")
+    rows = S.read_problems(spark, path, file_order=True).orderBy("file_row").collect()
+    assert [(r.label, r.example_id, r.note, r.conclusion, r.premises, r.story_id, r.premises_fol) for r in rows] == [
+        ("True", 7, "n", "c", "p", 1, None), ("False", 8, "m", "d", "q", 1, None)]
+    assert rows[0].file_path.endswith("problems.csv")
+    with pytest.raises(ValueError, match="label"):
+        S.read_problems(spark, _write_csv(tmp_dir, "premises,conclusion\np,c\n"))
+
+
+def test_file_order_is_the_order_of_the_lines(spark, tmp_dir):
+    keys = [7, 3, 9, 1, 5]
+    path = _write_csv(tmp_dir, "premises,conclusion,label,example_id\n" + "".join(f"p,c,True,{k}\n" for k in keys))
+    df = S.first_n(S.read_problems(spark, path, file_order=True), 3, list(S.FILE_ORDER))
+    assert sorted(r.example_id for r in df.collect()) == [3, 7, 9]
 
 
 def test_number_within_skewed_group(spark):
@@ -147,8 +158,8 @@ def test_parse_requests_forms_and_errors(spark):
     assert p == [
         (1, 0, "a", "a", "http://a", 5),
         (1, 1, "unknown", "unknown", "http://b", 5),
-        (2, 0, "r1", "r1", "http://p", 0),
-        (2, 1, "r2", "q", "http://q", 0),
+        (2, 0, "r2", "q", "http://q", 0),       # in the order of the request
+        (2, 1, "r1", "r1", "http://p", 0),
         (2, 2, "r3", "r3", None, 0),
         (3, 0, "agent", "agent", "http://t", 10),
         (9, 0, "agent", "agent", "z", 0),
@@ -157,7 +168,7 @@ def test_parse_requests_forms_and_errors(spark):
         (13, 0, "agent", "agent", "v", 10),
         (17, 0, "agent", "agent", "u", 0),
         (18, 0, "unknown", "unknown", 'http://x"}{', 0),   # brackets inside a string
-        (19, 0, "unknown", "unknown", "http://deep", 0),   # deeper than the fast path
+        (19, 0, "unknown", "unknown", "http://deep", 0),
     ]
     e = dict((r.request_id, r.error) for r in errors.collect())
     assert e[4] == MSG_NO_PARTICIPANTS and e[5] == MSG_NO_PARTICIPANTS
@@ -165,15 +176,34 @@ def test_parse_requests_forms_and_errors(spark):
     assert "not an object" in e[6] and "config" in e[7] and "integer" in e[8] and "entry" in e[11]
 
 
-@pytest.mark.parametrize("numbering", [False, True])
-def test_first_n_matches_head_semantics(spark, monkeypatch, numbering):
+def test_first_n_matches_head_semantics(spark):
     import pandas as pd
-    if numbering:
-        monkeypatch.setattr(S, "TAKE_ORDERED_MAX", 0)   # every positive n takes the numbering path
     keys = [7, 3, 9, 1, 5, 8, 2, 10, 4, 6]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     pdf = pd.DataFrame({"k": sorted(keys)})
-    for n in range(-15, 16):
+    for n in (-15, -10, -9, -1, 0, 1, 4, 10, 15):
         want = pdf.head(n)["k"].tolist() if n else pdf["k"].tolist()   # "if n:" -- 0 means all
         got = [r.k for r in S.first_n(df, n, "k").orderBy("k").collect()]
         assert got == want, n
+
+
+LIMITS = [("null", 0), ("0", 0), ('""', 0), ("[]", 0), ("{}", 0), ("false", 0), ("0.0", 0), ("3", 3), ("-2", -2),
+          ('"abc"', None), ('"2"', None), ("2.5", None), ("2.0", None), ("1e2", None), ("[1]", None), ('{"a":1}', None),
+          ("true", None)]
+
+
+def test_json_limits_are_integers_or_errors(spark):
+    rows = [(k, f'{{"participants":[{{"endpoint":"e"}}],"config":{{"max_examples":{x}}}}}') for k, (x, _) in enumerate(LIMITS)]
+    parts, errors = parse_requests(spark.createDataFrame(rows, "request_id long, body string"))
+    assert {r.request_id: r.max_examples for r in parts.collect()} == {k: n for k, (_, n) in enumerate(LIMITS) if n is not None}
+    assert {r.request_id for r in errors.collect()} == {k for k, (_, n) in enumerate(LIMITS) if n is None}
+
+
+def test_bodies_with_very_long_strings(spark):
+    big, esc = "x" * 1_000_000, "\\\\" * 500_000
+    rows = [(1, json.dumps({"participants": [{"name": big, "endpoint": "e"}]})),
+            (2, '{"participants":[{"name":"' + esc + '","endpoint":"e"}]}'),
+            (3, json.dumps({"participants": [{"name": big, "endpoint": "e"}]}) + " x"), (4, "<a>" * 300_000)]
+    parts, errors = parse_requests(spark.createDataFrame(rows, "request_id long, body string"))
+    assert sorted((r.request_id, len(r.name)) for r in parts.collect()) == [(1, 1_000_000), (2, 500_000)]
+    assert sorted(r.request_id for r in errors.collect()) == [3, 4]

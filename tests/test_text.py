@@ -1,7 +1,6 @@
 """Column functions against small independent Python models (property checks)."""
 
 import random
-import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,46 +12,43 @@ from conftest import one_col
 WS_SAMPLE = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0       　"
 
 
-def py_normalise(t):
-    low = t.lower().strip()
-    if low == "true":
-        return "True"
-    if low == "false":
-        return "False"
-    if low == "uncertain":
-        return "Uncertain"
-    if "uncertain" in low:
-        return "Uncertain"
-    if "true" in low and "false" not in low:
-        return "True"
-    if "false" in low and "true" not in low:
-        return "False"
-    for label in ["True", "False", "Uncertain"]:
-        if label.lower() in low:
-            return label
-    return None
-
-
-def py_last_line(out):
-    out = out.strip()
-    lines = out.split("\n") if out else []
-    for line in reversed(lines):
-        line = line.strip()
-        if line in ["True", "False", "Uncertain"]:
-            return line
-    return "Uncertain"
-
-
-def py_fenced(code):
-    if "```python" in code:
-        return code.split("```python")[1].split("```")[0].strip()
-    if "```" in code:
-        return code.split("```")[1].split("```")[0].strip()
-    return code
-
-
-def py_tags(s):
-    return {t: b.strip() for t, b in re.findall(r"<(.*?)>(.*?)</\1>", s, re.DOTALL)}
+# What is said -> the label, row by row of the rule: "uncertain" anywhere, else "true"
+# anywhere, else "false" anywhere, in any case.
+ANSWERS = [
+    ("both true and false", "True"), ("false, or true", "True"), ("not uncertain: TRUE", "Uncertain"),
+    ("false and Uncertain", "Uncertain"), ("untrue", "True"), ("FALSE\n", "False"), ("\xa0True\xa0", "True"),
+    ("unCERTain", "Uncertain"), ("falsehood", "False"), ("", None), ("no idea", None), ("tru e", None), ("uncertai", None),
+]
+# Output -> the verdict in its last line that is a label and nothing else.
+OUTPUTS = [
+    ("True\nFalse", "False"), ("True.\nTrue ", "True"), ("true", "Uncertain"), ("False\r\nTrue\r\n", "True"),
+    ("", "Uncertain"), ("x\n Uncertain \n y", "Uncertain"), ("  \n  ", "Uncertain"), ("False\nTrue!", "False"),
+    ("\u3000True\x1c\nno", "True"), ("TrueFalse", "Uncertain"),
+]
+# Reply -> the code in its fence.
+FENCED = [
+    ("a```python\n code \n```b", "code"), ("```\nplain\n```", "plain"), ("```python\nunclosed", "unclosed"),
+    ("```a```b```c```", "a"), ("no fence ", "no fence "), ("```python x ```python y ```", "x"),
+    ("``` first ``` then ```python second ```", "second"), ("```python```", ""), ("```", ""), ("", ""),
+]
+
+
+def scan_tags(s):
+    """Tags by walking through the text: at every "<" the name up to the next ">", closed by the
+    nearest "</name>" behind it; the walk goes on behind what was closed."""
+    out, at = {}, 0
+    while (at := s.find("<", at)) >= 0:
+        end = s.find(">", at)
+        if end < 0:
+            break
+        closing = "</" + s[at + 1:end + 1]
+        stop = s.find(closing, end + 1)
+        if stop < 0:
+            at += 1
+            continue
+        out[s[at + 1:end]] = s[end + 1:stop].strip()
+        at = stop + len(closing)
+    return out
 
 
 WORDS = ["true", "True", "FALSE", "false", "uncertain", "Uncertain", "untrue", "no", "idea", "x",
@@ -75,27 +71,49 @@ def test_strip_matches_python(spark):
     assert got == [v.strip() for v in values]
 
 
-def test_normalise_matches_python(spark):
-    values = ["both true and false", "not uncertain: TRUE", "untrue", "FALSE\n", "\xa0True\xa0", "",
-              "The answer is true.", "true or false", "no idea"] + _texts(500, 2)
-    got = one_col(spark, values, lambda df: X.normalise_answer(F.col("s")))
-    assert got == [py_normalise(v) for v in values]
-    assert got[:4] == ["True", "Uncertain", "True", "False"]
-
-
-def test_last_verdict_line_matches_python(spark):
-    values = ["True\nFalse", "True.\nTrue ", "true", "False\r\nTrue\r\n", "", "x\n Uncertain \n y",
-              "  \n  "] + _texts(500, 3)
-    got = one_col(spark, values, lambda df: X.last_verdict_line(F.col("s")))
-    assert got == [py_last_line(v) for v in values]
-    assert got[:5] == ["False", "True", "Uncertain", "True", "Uncertain"]
+def test_normalise_answers(spark):
+    got = one_col(spark, [x for x, _ in ANSWERS], lambda df: X.normalise_answer(F.col("s")))
+    assert got == [y for _, y in ANSWERS]
 
 
-def test_extract_fenced_matches_python(spark):
-    values = ["a```python\n code \n```b", "```\nplain\n```", "```python\nunclosed", "```a```b```c```",
-              "no fence", "```python x ```python y ```"] + _texts(300, 4)
-    got = one_col(spark, values, lambda df: X.extract_fenced(F.col("s")))
-    assert got == [py_fenced(v) for v in values]
+def test_normaliser_properties(spark):
+    values = _texts(500, 2)
+    got = one_col(spark, values, lambda df: X.normalise_answer(F.col("s")))
+    for v, g in zip(values, got):
+        words = {w for w in ("uncertain", "true", "false") if w in v.lower()}
+        assert (g is None) == (not words)
+        assert g is None or g.lower() in words
+        assert ("uncertain" in words) == (g == "Uncertain")
+        assert words != {"false"} or g == "False"
+    # surrounding blanks and case never matter
+    again = one_col(spark, [f" \t{v.upper()}\n" for v in values], lambda df: X.normalise_answer(F.col("s")))
+    assert again == got
+
+
+def test_last_verdict_line(spark):
+    got = one_col(spark, [x for x, _ in OUTPUTS], lambda df: X.last_verdict_line(F.col("s")))
+    assert got == [y for _, y in OUTPUTS]
+    values = _texts(300, 3)
+    # a label line put at the end decides; a line that is none changes nothing
+    base = one_col(spark, values, lambda df: X.last_verdict_line(F.col("s")))
+    assert one_col(spark, [v + "\n False\t" for v in values],
+                   lambda df: X.last_verdict_line(F.col("s"))) == ["False"] * len(values)
+    assert one_col(spark, [v + "\nnothing" for v in values], lambda df: X.last_verdict_line(F.col("s"))) == [
+        "Uncertain" if b not in v else b for v, b in zip([_lines(v) for v in values], base)]
+
+
+def _lines(text):
+    return {line.strip() for line in text.split("\n")}
+
+
+def test_extract_fenced(spark):
+    got = one_col(spark, [x for x, _ in FENCED], lambda df: X.extract_fenced(F.col("s")))
+    assert got == [y for _, y in FENCED]
+    plain = [v for v in _texts(300, 4) if "`" not in v]
+    assert one_col(spark, plain, lambda df: X.extract_fenced(F.col("s"))) == plain
+    wrapped = one_col(spark, [f"see\n```python\n{v}\n```\n```other```" for v in plain],
+                      lambda df: X.extract_fenced(F.col("s")))
+    assert wrapped == [v.strip() for v in plain]
 
 
 def test_split_formulas(spark):
@@ -108,14 +126,37 @@ def test_parse_tags_matches_python(spark):
     values = ["<a>x</a>", "<a><b>in</b></a>", "<a>1</a><a>2</a>", '<p class="x">y</p>', "<a>unclosed",
               "<a>\n multi \n</a>", "<a>b>c</a>b>", "<>e</>", "<a b>q</a b>", "<<a>>x</<a>>"] + _texts(400, 5)
     got = one_col(spark, values, lambda df: X.parse_tags(F.col("s")))
-    assert [dict(g) for g in got] == [py_tags(v) for v in values]
+    assert [dict(g) for g in got] == [scan_tags(v) for v in values]
 
 
 def test_parse_tags_whole_pages_match_python(spark):
     import pandas as pd
     pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet")["html"].tolist()
     got = one_col(spark, pages, lambda df: X.parse_tags(F.col("s")))
-    assert [dict(g) for g in got] == [py_tags(p) for p in pages]
+    assert [dict(g) for g in got] == [scan_tags(p) for p in pages]
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    import time
+    texts = ["<a>" * 350_000, "<" * 1_000_000 + ">", "<a><b></a>" * 100_000, "</a>" * 250_000]
+    one_col(spark, ["<a>x</a>"], lambda df: X.parse_tags(F.col("s")))
+    t = time.time()
+    got = one_col(spark, texts, lambda df: X.parse_tags(F.col("s")))
+    assert [len(g) for g in got] == [0, 0, 1, 0] and time.time() - t < 20
+
+
+doubles = st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.integers(-10**9, 10**9).map(lambda k: k / 1000),
+                    st.integers(0, 10**13).map(lambda k: k / 1e6), st.integers(0, 10**6).map(lambda k: k / 200),
+                    st.sampled_from([1.015, 2.675, 8.345, 1.145, 0.125, -0.125, 12345678901234.105]))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(doubles, min_size=1, max_size=200))
+def test_rounding_matches_python(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select(X.round_even("x", 2).alias("r"), X.format_fixed("x").alias("f")).collect()
+    assert [r.r for r in rows] == [float(round(v, 2)) for v in values]
+    assert [r.f for r, v in zip(rows, values) if abs(v) < 1e12] == [f"{v:.2f}" for v in values if abs(v) < 1e12]
 
 
 @settings(max_examples=30, deadline=None)
