@@ -186,13 +186,11 @@ def q_t8_extract_fenced(spark, sf):
 
 
 def q_t9_last_verdict_line(spark, sf):
-    return I.attempts(spark, sf).select("problem_id", "attempt",
-                                         X.last_verdict_line(F.col("stdout")).alias("verdict"))
+    return I.spoken_answers(spark, sf).select("story_id", X.last_verdict_line(F.col("output")).alias("verdict"))
 
 
 def q_t10_normalise_answer(spark, sf):
-    return I.answers(spark, sf).select("participant", "story_id",
-                                        X.normalise_answer(F.col("answer")).alias("label"))
+    return I.spoken_answers(spark, sf).select("story_id", X.normalise_answer(F.col("answer")).alias("label"))
 
 
 def _numbered_expected(spark, sf):
@@ -215,8 +213,8 @@ def q_t11_t12_graded(spark, sf):
 
 
 def q_t13_default_answer(spark, sf):
-    a = I.answers(spark, sf)
-    return a.select("participant", "story_id",
+    a = I.spoken_answers(spark, sf)
+    return a.select("story_id",
                     X.default_answer(F.col("answer"), "direct").alias("direct_answer"),
                     X.default_answer(F.col("answer"), "code").alias("code_answer"))
 
@@ -450,6 +448,17 @@ FROM ({ANSWER_ROWS_SQL})
 """
 
 
+SPOKEN_SQL = f"""
+SELECT doc_id AS story_id,
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' ELSE
+    text[:length(text) // 2] || ' ' || [{", ".join(_lit(x) for x in I.SPOKEN)}][doc_id % 8 + 1] || ' '
+    || text[length(text) // 2 + 1:] END AS answer,
+  text || chr(10) || [{", ".join(_lit(x) for x in I.LINES)}][doc_id % 8 + 1]
+    || CASE WHEN doc_id % 2 = 1 THEN chr(10) || text ELSE '' END AS output
+FROM documents
+"""
+
+
 def _label_of(ans: str) -> str:
     low = f"lower({ans})"
     return (f"CASE WHEN contains({low}, 'uncertain') THEN 'Uncertain' WHEN contains({low}, 'true') THEN 'True' "
@@ -627,10 +636,10 @@ SELECT story_id, expected FROM (
   SELECT story_id, expected, row_number() OVER (ORDER BY story_id) AS n, count(*) OVER () AS t
   FROM ({COERCED_SQL})) WHERE n <= t - 7""",
     "s3_decode_envelope": f"""
-SELECT participant, story_id, {_ENVELOPE_CASE_STATUS} AS reply_status,
-  CASE WHEN res NOT IN (10, 9, 8, 7) THEN {_strip(_ANSWER_CASE)} END AS answer,
+SELECT 'agent-' || CAST(story_id % 5 AS VARCHAR) AS participant, story_id, {_ENVELOPE_CASE_STATUS} AS reply_status,
+  CASE WHEN res NOT IN (10, 9, 8, 7) THEN {_strip("coalesce(answer, '')")} END AS answer,
   {_ENVELOPE_CASE_ERROR} AS error
-FROM ({ANSWER_ROWS_SQL})""",
+FROM (SELECT *, story_id % 12 AS res FROM ({SPOKEN_SQL}))""",
     "s4_s6_request_participants": f"""
 WITH req AS ({REQUESTS_SQL}),
 js AS (SELECT request_id, CAST(body AS JSON) AS j FROM req WHERE json_valid(body)),
@@ -705,12 +714,12 @@ SELECT doc_id, CASE WHEN contains(reply, '```python')
   WHEN contains(reply, '```') THEN {_strip("split_part(reply, '```', 2)")} ELSE reply END AS code
 FROM ({_FENCED_SQL})""",
     "t9_last_verdict_line": f"""
-SELECT problem_id, attempt, coalesce({_last_line_of('stdout')}, 'Uncertain') AS verdict FROM ({ATTEMPTS_SQL})""",
-    "t10_normalise_answer": f"SELECT participant, story_id, {_label_of('answer')} AS label FROM ({ANSWERS_SQL})",
+SELECT story_id, coalesce({_last_line_of('output')}, 'Uncertain') AS verdict FROM ({SPOKEN_SQL})""",
+    "t10_normalise_answer": f"SELECT story_id, {_label_of('answer')} AS label FROM ({SPOKEN_SQL})",
     "t11_t12_graded": f"SELECT participant, story_id, expected, predicted, correct, status, error FROM ({GRADED_SQL})",
     "t13_default_answer": f"""
-SELECT participant, story_id, CASE WHEN answer IS NULL OR answer = '' THEN 'Uncertain' ELSE answer END AS direct_answer,
-  coalesce(answer, 'Uncertain') AS code_answer FROM ({ANSWERS_SQL})""",
+SELECT story_id, CASE WHEN answer IS NULL OR answer = '' THEN 'Uncertain' ELSE answer END AS direct_answer,
+  coalesce(answer, 'Uncertain') AS code_answer FROM ({SPOKEN_SQL})""",
     "t14_entailment_verdict": """
 SELECT l_orderkey AS problem_id, l_linenumber AS check_id,
   CASE WHEN l_returnflag = 'A' THEN 'True' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'False'

@@ -88,13 +88,34 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is said in the middle of a document's text, and the line behind it, by doc_id mod 8.
+SPOKEN = ("TRUE", "so it is False, or", "uncertain", "untrue", "true or false", "nothing", "FALSE", "Uncertain? true")
+LINES = ("True", " False ", "Uncertain\t", "true", "True.", "", "no verdict", "False\nUncertain")
+
+
+def spoken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> long answers: (story_id, answer, output).  The answer is the whole text with
+    words spliced into its middle (every eleventh is NULL, every thirteenth empty); the
+    output is the text with a line behind it and, for odd ids, the text once more."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    i, t = F.col("doc_id"), F.col("text")
+    word = F.get(F.array(*[F.lit(x) for x in SPOKEN]), (i % 8).cast("int"))
+    line = F.get(F.array(*[F.lit(x) for x in LINES]), (i % 8).cast("int"))
+    half = F.floor(F.length(t) / 2).cast("int")
+    spoken = F.concat(t.substr(F.lit(1), half), F.lit(" "), word, F.lit(" "), t.substr(half + 1, F.length(t)))
+    answer = F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, F.lit("")).otherwise(spoken)
+    output = F.concat(t, F.lit("\n"), line, F.when(i % 2 == 1, F.concat(F.lit("\n"), t)).otherwise(F.lit("")))
+    return d.select(i.alias("story_id"), answer.alias("answer"), output.alias("output"))
+
+
 def answer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same replies as JSON envelopes: error objects, a non-success response
+    """The spoken answers as JSON envelopes: error objects, a non-success response
     kind, non-message results, replies without a text part, and messages whose first
     text part is the answer (after a non-text part, before a second text part)."""
-    rows = _answer_rows(spark, sf_dir)
+    rows = spoken_answers(spark, sf_dir).withColumn("_res", F.col("story_id") % 12) \
+        .withColumn("participant", F.concat(F.lit("agent-"), _s(F.col("story_id") % 5)))
     res = F.col("_res")
-    text_part = F.to_json(F.struct(F.lit("text").alias("kind"), _answer_text(res).alias("text")))
+    text_part = F.to_json(F.struct(F.lit("text").alias("kind"), F.coalesce("answer", F.lit("")).alias("text")))
     body = (
         F.when(res == 10, F.lit('{"response_kind":"error","error_message":"rpc failure"}'))
         .when(res == 9, F.lit('{"response_kind":"success","result_kind":"message","parts":[]}'))
