@@ -47,11 +47,28 @@ def conversation_prefixes(log: DataFrame, system: str = DIRECT_SYSTEM, conv_col:
     """For every user turn: how many messages were sent with it (system first if
     the history was empty, all earlier turns, then this one) -- the prefix of the
     long-form history ending at this turn.  (conv_id, turn, position, messages_sent)."""
-    hist = conversation_history(log, system, conv_col, turn_col, role_col, text_col)
+    # positions need no texts: none is shuffled for them
+    slim = log.select(conv_col, turn_col, role_col, F.lit(None).cast("string").alias(text_col))
+    hist = conversation_history(slim, system, conv_col, turn_col, role_col, text_col)
     return (hist.filter(F.col("role") == F.lit("user"))
             .select(conv_col, turn_col, "position", (F.col("position") + 1).alias("messages_sent")))
 
 
+def messages_sent(history: DataFrame, turns: DataFrame, conv_col: str = "conv_id",
+                  turn_col: str = "turn") -> DataFrame:
+    """The messages sent for chosen turns: ``history`` as ``conversation_history`` gives it,
+    ``turns`` the wanted (conv_id, turn).  (conv_id, turn, messages), the messages being an
+    array of (position, role, content) up to and with that turn.  A turn that the history
+    lacks gives no row; each result is one row, as the list itself is one request."""
+    ends = turns.select(conv_col, turn_col).distinct() \
+        .join(history.select(conv_col, turn_col, F.col("position").alias("_end")), [conv_col, turn_col])
+    ends = ends.groupBy(conv_col, turn_col).agg(F.max("_end").alias("_end"))
+    sent = history.select(conv_col, "position", "role", "content").join(ends, conv_col) \
+        .filter(F.col("position") <= F.col("_end"))
+    return sent.groupBy(conv_col, turn_col).agg(
+        F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("messages"))
+
+
 # F3 -----------------------------------------------------------------------
 def open_tasks(tasks: DataFrame, state_col: str = "state") -> DataFrame:
     """Task messages whose state is not terminal."""

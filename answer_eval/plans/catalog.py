@@ -331,6 +331,16 @@ def q_w4_conversation_prefixes(spark, sf):
     return H.conversation_prefixes(I.conversations(spark, sf))
 
 
+def q_w4_messages_sent(spark, sf):
+    """The whole message list of every conversation's last user turn."""
+    conv = I.conversations(spark, sf)
+    last = conv.filter(F.col("role") == "user").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    out = H.messages_sent(H.conversation_history(conv), last)
+    text = F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"]))
+    return out.select("conv_id", "turn", F.size("messages").cast("bigint").alias("n_messages"),
+                      F.array_join(text, "\n").alias("sent"))
+
+
 def q_x1_conversation_stream(spark, sf):
     conv = _file_stream(spark, sf, "conversations")
     out, ckpt = _scratch(spark, "x1-out"), _scratch(spark, "x1-ckpt")
@@ -818,6 +828,13 @@ FROM j""",
     "w4_conversation_history": CONV_HISTORY_SQL,
     "w4_conversation_prefixes": f"""
 SELECT conv_id, turn, position, position + 1 AS messages_sent FROM ({CONV_HISTORY_SQL}) WHERE role = 'user'""",
+    "w4_messages_sent": f"""
+WITH h AS ({CONV_HISTORY_SQL}),
+w AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+e AS (SELECT w.conv_id, w.turn, h.position AS last FROM w JOIN h ON h.conv_id = w.conv_id AND h.turn = w.turn)
+SELECT e.conv_id, e.turn, CAST(count(*) AS BIGINT) AS n_messages,
+  string_agg(h.role || ':' || h.content, chr(10) ORDER BY h.position) AS sent
+FROM h JOIN e ON h.conv_id = e.conv_id AND h.position <= e.last GROUP BY e.conv_id, e.turn""",
     "d1_score": f"""
 SELECT story_id, CASE WHEN length(prompt) % 4 = 3 THEN 'exception' ELSE 'ok' END AS reply_status,
   CASE length(prompt) % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN 'Uncertain' END AS answer,
@@ -975,6 +992,7 @@ QUERIES: dict[str, QueryFn] = {
     "w3_repair_messages": q_w3_repair_messages,
     "w4_conversation_history": q_w4_conversation_history,
     "w4_conversation_prefixes": q_w4_conversation_prefixes,
+    "w4_messages_sent": q_w4_messages_sent,
     "x1_conversation_stream": q_x1_conversation_stream,
     "d1_score": q_d1_score,
     "d1_scored_report": q_d1_scored_report,

@@ -131,6 +131,14 @@ def _keys(order_by) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in order_by]
 
 
+def _tie_break(df: DataFrame) -> Column:
+    """A hash of the row's plain columns: equal order keys (a hot value) are spread over range
+    partitions by it, and their order does not depend on the input's partitions."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields
+             if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    return F.xxhash64(*plain)
+
+
 def number_rows(df: DataFrame, order_by, col_name: str = "sample_num",
                 start: int = 1) -> tuple[DataFrame, int]:
     """Distributed dense numbering in ``order_by`` order; returns (df, row count).
@@ -144,7 +152,7 @@ def number_rows(df: DataFrame, order_by, col_name: str = "sample_num",
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    keys = _keys(order_by)
+    keys = [*_keys(order_by), _tie_break(df)]
     tagged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_rid", F.monotonically_increasing_id()))
     frozen = tagged.checkpoint(eager=True)
@@ -210,7 +218,7 @@ def number_within(df: DataFrame, group, order_by, col_name: str = "position",
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     group_cols = [group] if isinstance(group, str) else list(group)
-    keys = [*_keys(group_cols), *_keys(order_by)]
+    keys = [*_keys(group_cols), *_keys(order_by), _tie_break(df)]
     frozen = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_rid", F.monotonically_increasing_id())
               .checkpoint(eager=True)

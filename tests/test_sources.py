@@ -81,6 +81,18 @@ def test_file_order_is_the_order_of_the_lines(spark, tmp_dir):
     assert sorted(r.example_id for r in df.collect()) == [3, 7, 9]
 
 
+def test_equal_order_keys_are_spread_and_numbered_alike(spark):
+    df = spark.range(0, 4000, 1, 5).selectExpr("1 AS k", "id")
+    one = {r.id: r.sample_num for r in S.number_samples(df, "k").collect()}
+    two = {r.id: r.sample_num for r in S.number_samples(df.repartition(7, "id"), "k").collect()}
+    assert one == two and sorted(one.values()) == list(range(1, 4001))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # else few rows are one partition
+    try:
+        assert S.number_samples(df, "k").groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_number_within_skewed_group(spark):
     # one group holds most rows; positions must still be dense per group
     df = spark.range(0, 3000, 1, 6).select(
