@@ -210,7 +210,9 @@ def matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int =
     d = docs.select("doc_id", "text")
     anchors = scratch.keep(
         d.mapInArrow(_anchor_rows(width, gram), f"h long, doc_id {kind}, start long"), "anchors")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # kept before they are joined: both sides of the join are then shuffled for it, and the
+    # rows of a hot block can be split
+    repeated = scratch.keep(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     wanted = scratch.keep(anchors.join(repeated, "h", "left_semi").select("doc_id", "start"), "wanted")
     scratch.drop("anchors")
 
@@ -239,12 +241,13 @@ def matches(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int =
         .select("doc_id", "tag", "start", "windows", "ref_doc", "ref_start")
 
     # first occurrences: windows that another class has earlier
-    shared = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    shared = scratch.keep(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "shared")
     wins = classes.join(shared, "h", "left_semi").select("h", "w", "doc_id", "tag", "start") \
         .mapInArrow(_window_rows, f"h long, r long, doc_id {kind}, tag long, start long")
     wins = scratch.keep(wins, "windows")
     least = wins.groupBy("h", "r").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1") \
         .select("h", "r", "f")
+    least = scratch.keep(least, "least")
     inner = wins.join(least, ["h", "r"]).where(~same((place, F.col("f")))) \
         .select("doc_id", "tag", "start", F.lit(1).cast("long").alias("windows"),
                 c("f.doc_id").alias("ref_doc"), c("f.start").alias("ref_start"))
@@ -332,7 +335,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 20, gram:
     scratch = Scratch(spark, "substring-dedup")
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = scratch.keep(matches(spark, docs, scratch, width, gram), "matches")
-    for t in ("segments", "classes", "windows"):
+    for t in ("repeated", "segments", "classes", "shared", "windows", "least"):
         scratch.drop(t)
     entry = F.collect_list(F.struct("start", "windows", "ref_doc", "ref_start"))
     m = found.groupBy("doc_id", "tag").agg(entry.alias("found")) \
