@@ -128,7 +128,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int = 20,
-        depth: int = 3, penalty: float = 0.0005, seed: int = 7) -> RuleModel:
+        depth: int = 3, penalty: float = 0.0001, seed: int = 7) -> RuleModel:
     """Fits the ensemble on docs (doc_id, text) and labels (doc_id, quality 0 or 1)."""
     prepare(spark)
     sample = Scratch(spark, "quality").keep(labelled(docs, labels, max_rows), "sample")
