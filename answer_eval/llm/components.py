@@ -12,17 +12,25 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) joined to (u, m).  The second key says nothing new, but the minima are not
+    partitioned by it, so both sides are shuffled for the join and the engine can
+    split the rows of a hot u."""
+    key = F.xxhash64("u").alias("k")
+    return edges.select("u", "v", key).join(least.select("u", "m", key), ["u", "k"])
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above u is linked to the least of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     m = _least(both).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both.where("v > u"), m).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """u and every neighbour below it are linked to the least of those."""
     m = _least(edges)
-    moved = edges.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, m).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
