@@ -4,23 +4,24 @@ Base spans are found per kind, leftmost and without overlap: email, ip (four par
 to 255), card (14 to 19 digits that pass the Luhn test) and phone (10 to 15 digits after
 "+").  A match that fails its test is dropped and not retried.
 
-The field then reads the document again.  Its nodes are the base spans, whose labels
-are observed, and the tokens that share a key with another node: the same characters
-(case and punctuation aside), the same digits, the same last seven digits, or an
-address's local part.  Potentials:
+The field then reads every document again.  Its nodes are the base spans, whose labels
+are observed, every other token with a digit or "@", and the tokens that share a key with
+another node: the same characters (case and punctuation aside), the same digits, the same
+last seven digits, or an address's local part.  Potentials:
 
-* node: how often a token of this shape carries each label;
+* node: how often a node of this shape carries each label; the shape of what reads as a
+  card number tells whether it passes the Luhn test;
 * chain: between nodes that are neighbours in the text;
 * skip: between nodes that share a key, however far apart, one weight per sort of key.
 
 Loopy sum-product passes messages over both sorts of edges, so that what is said about
 one mention reaches the others; a token whose marginal prefers a label over "none" is
-added as a span of it.  Nodes sharing a key form a chain of occurrences, each also tied
-to the first, so edges grow with nodes.  Without a base span no label is observed and
-nothing is added.
+added as a span of it, be it by its shape alone and in a document without base spans.
+Nodes sharing a key form a chain of occurrences, each also tied to the first, so edges
+grow with nodes.
 
 The weights are fitted piecewise, on about ``sample_docs`` documents drawn by hash:
-counts of (shape, label), (label, next label) and agreement over shared keys, smoothed;
+counts of (shape, label) and (label, next label), a base span counting once, and agreement over shared keys, smoothed;
 the table is bounded by ``max_shapes`` shapes.
 
 Cases: null or empty text: no spans; a text of any length is scanned in linear time;
@@ -46,6 +47,7 @@ LABELS = ("none", *KINDS)
 SKIPS = ("same", "digits", "tail", "local")          # sorts of shared keys
 SAMPLE_DOCS, MAX_SHAPES = 4000, 2000
 ROUNDS, DAMP = 12, 0.5
+MESSAGES = 65536                                     # updated at a time
 SMOOTH = 5.0                                         # a shape seen a few times says little
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -101,7 +103,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(token: str) -> str:
-    """Letters as one a, a run of digits as its length, other characters as they are."""
+    """Letters as one a, a run of digits as its length, other characters as they are; what reads
+    as a card number: the number of its digits, with a star if it passes the Luhn test."""
+    if len(token) >= 14 and _CARD.fullmatch(token):
+        digits = _NOT_DIGIT.sub("", token)
+        if 14 <= len(digits) <= 19:
+            return f"<{len(digits)}>" + "*" * luhn(digits)
     out = re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 20)}>", re.sub(r"[^\W\d_]+", "a", token))
     return out if len(out) <= 40 else out[:39] + "~"
 
@@ -125,9 +132,15 @@ def keys(token: str) -> list[tuple[str, str]]:
     return out
 
 
+def candidate(token: str) -> bool:
+    """May be a span by itself."""
+    return any(c.isdigit() or c == "@" for c in token)
+
+
 def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
-    """Nodes (start, end, label index or -1, keys), in text order: base spans and the tokens
-    beside them that share a key with some node; and the chain and skip edges (i, j, sort)."""
+    """Nodes (start, end, label index or -1, keys), in text order: base spans, the tokens beside
+    them with a digit or "@", and those that share a key with some node; and the chain and skip
+    edges (i, j, sort)."""
     found = [(a, b, LABELS.index(k), keys(text[a:b])) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     at = 0
@@ -142,7 +155,8 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
             at += 1
         if not body or at < len(taken) and taken[at][0] < b:
             continue
-        if own := keys(body):
+        own = keys(body)
+        if own or candidate(body):
             found.append((a, b, -1, own))
     found.sort(key=lambda n: (n[0], n[1]))
     by_key = defaultdict(list)
@@ -156,7 +170,7 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
             edges.add((members[0], y, sort))
     edges = {(x, y, s) for x, y, s in edges if x != y}
     linked = {i for x, y, _ in edges for i in (x, y)}
-    keep = [i for i, n in enumerate(found) if n[2] >= 0 or i in linked]
+    keep = [i for i, n in enumerate(found) if n[2] >= 0 or i in linked or candidate(text[n[0]:n[1]])]
     new = {i: k for k, i in enumerate(keep)}
     best: dict[tuple[int, int], str] = {}
     for x, y, s in edges:
@@ -187,17 +201,21 @@ class Field:
                 node[k, label] = 0.0
         if not edges:
             return _soft(node)
-        pair = np.array([np.eye(size) * self.skip[s] if s != "chain" else self.chain for _, _, s in edges])
+        sorts = [*SKIPS, "chain"]
+        table = np.array([np.eye(size) * self.skip[s] for s in SKIPS] + [self.chain])
+        table = np.concatenate([table, table.transpose(0, 2, 1)])
+        pair = np.array([sorts.index(s) for _, _, s in edges])
+        pair = np.concatenate([pair, pair + len(sorts)])
         src = np.array([x for x, _, _ in edges] + [y for _, y, _ in edges])
         dst = np.array([y for _, y, _ in edges] + [x for x, _, _ in edges])
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         msg = np.zeros((len(src), size))
         for _ in range(ROUNDS):
             belief = node.copy()
             np.add.at(belief, dst, msg)
             out = belief[src] - msg[back]
-            new = _logsum(out[:, :, None] + pair)
+            new = np.concatenate([_logsum(out[k:k + MESSAGES, :, None] + table[pair[k:k + MESSAGES]])
+                                  for k in range(0, len(out), MESSAGES)])
             new -= _logsum(new[:, :, None])
             msg = DAMP * msg + (1 - DAMP) * new
         belief = node.copy()
@@ -205,8 +223,6 @@ class Field:
         return _soft(belief)
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        if not base:
-            return []
         found, edges = nodes(text, base)
         if len(found) == len(base):
             return []
@@ -233,15 +249,20 @@ def _counts(batches):
             text = text or ""
             base = base_spans(text)
             covered = [(a, e, LABELS.index(k)) for k, a, e in base]
-            at, last = 0, None
+            for a, e, label in covered:
+                total["shape", shape(text[a:e]), label, 0] += 1
+            at, last, span = 0, None, None
             for m in _TOKEN.finditer(text):
                 while at < len(covered) and covered[at][1] <= m.start():
                     at += 1
                 hit = at < len(covered) and covered[at][0] < m.end()
+                if hit and span == at:                   # within one span
+                    continue
+                span = at if hit else None
                 label = covered[at][2] if hit else 0
                 token = m.group().strip(_EDGE)
-                if hit or any(c.isdigit() or c == "@" for c in token):
-                    total["shape", shape(token), label, 0] += 1
+                if not hit and candidate(token):
+                    total["shape", shape(token), 0, 0] += 1
                 if last is not None:
                     total["chain", "", last, label] += 1
                 last = label

@@ -159,6 +159,25 @@ def test_the_field_adds_what_other_mentions_support(spark):
     assert D.personal_data(spark, K.frame(spark, [])).collect() == []
 
 
+def test_the_field_adds_what_its_shape_supports(spark):
+    def card(k):
+        head = f"40418949{k:07d}"
+        return head + next(c for c in "0123456789" if D.luhn(head + c))
+
+    rows = [(k, f"some words {card(k)} and {k} more", "en", "s", 1, *K.EXTRA) for k in range(300)]
+    rows += [(k, f"an order {card(k)[:-1]}{(int(card(k)[-1]) + 1) % 10} here", "en", "s", 1, *K.EXTRA)
+             for k in range(300, 340)]
+    lost = f"{card(901)} {card(902)}"                    # one match of 32 digits, and dropped
+    assert not D.base_spans(lost)
+    rows += [(400, f"no base span {lost} here", "en", "s", 1, *K.EXTRA),
+             (401, f"a card {card(903)} first, then {lost} here", "en", "s", 1, *K.EXTRA)]
+    out = {r.doc_id: r.spans for r in D.personal_data(spark, K.frame(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    added = {i: [(s.kind, text[i][s.start:s.end]) for s in spans if not s.base] for i, spans in out.items()}
+    both = [("card", x) for x in lost.split()]
+    assert {i: a for i, a in added.items() if a} == {400: both, 401: both}
+
+
 # -- chat ------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
