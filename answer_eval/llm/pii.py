@@ -5,9 +5,11 @@ to 255), card (14 to 19 digits that pass the Luhn test) and phone (10 to 15 digi
 "+").  A match that fails its test is dropped and not retried.
 
 The field then reads every document again.  Its nodes are the base spans, whose labels
-are observed, every other token with a digit or "@", and the tokens that share a key with
-another node: the same characters (case and punctuation aside), the same digits, the same
-last seven digits, or an address's local part.  Potentials:
+are observed, every other token with a digit or "@", runs of digit groups (see ``runs``),
+and the tokens that share a key with another node: the same characters (case and
+punctuation aside), the same digits, the same last seven digits, or an address's local
+part (of letters only: if a base address of the text has it and it names no role, as
+"info" does).  Potentials:
 
 * node: how often a node of this shape carries each label; the shape of what reads as a
   card number tells whether it passes the Luhn test;
@@ -18,7 +20,7 @@ Loopy sum-product passes messages over both sorts of edges, so that what is said
 one mention reaches the others; a token whose marginal prefers a label over "none" is
 added as a span of it, be it by its shape alone and in a document without base spans.
 Nodes sharing a key form a chain of occurrences, each also tied to the first, so edges
-grow with nodes.
+grow with nodes.  Of added spans that overlap, the likelier stays, then the longer.
 
 The weights are fitted piecewise, on about ``sample_docs`` documents drawn by hash:
 counts of (shape, label) and (label, next label), a base span counting once, and agreement over shared keys, smoothed;
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -57,6 +60,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_RUN = re.compile(r"\+?\(?[0-9]+(?:[ ().-]{1,3}[0-9]+)+")
+_GROUP = re.compile(r"(?:\+?\()?[0-9]+|\+[0-9]+")
+# mailboxes named after what they are for (RFC 2142 and the like) are nobody's name
+_ROLES = frozenset("abuse admin contact enquiries ftp hello help hostmaster info inquiries mail marketing news noc "
+                   "noreply office postmaster press sales security service support team usenet uucp webmaster "
+                   "www".split())
 _EDGE = "()[]{}<>.,;:!?\"'*#&%$|"
 
 
@@ -137,16 +146,54 @@ def candidate(token: str) -> bool:
     return any(c.isdigit() or c == "@" for c in token)
 
 
+def runs(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Stretches of two or more digit groups beside the base spans: in every run of groups, from
+    the left, the longest stretch whose joined digits end the digits of a base span, 7 at least;
+    and the whole run where it has 7 to 19 digits and none of those."""
+    ends = {d[k:] for _, a, b in base for d in [_NOT_DIGIT.sub("", text[a:b])] for k in range(len(d) - 6)}
+    cuts, out, at = [], [], 0
+    for _, a, b in sorted(base, key=lambda s: s[1]):              # the text between base spans
+        if a > at:
+            cuts.append((at, a))
+        at = max(at, b)
+    cuts.append((at, len(text)))
+    for lo, hi in cuts:
+        for m in _RUN.finditer(text, lo, hi):
+            groups = [(g.start(), g.end(), _NOT_DIGIT.sub("", g.group())) for g in _GROUP.finditer(text, *m.span())]
+            i, n, linked = 0, len(groups), False
+            while ends and i < n:
+                joined, best = "", -1
+                for j in range(i, n):
+                    joined += groups[j][2]
+                    if len(joined) > 19:
+                        break
+                    if j > i and joined in ends:
+                        best = j
+                if best >= 0:
+                    out.append((groups[i][0], groups[best][1]))
+                    linked = True
+                i = max(i, best) + 1
+            if not linked and 7 <= sum(len(g[2]) for g in groups) <= 19:
+                out.append(m.span())
+    return out
+
+
 def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
     """Nodes (start, end, label index or -1, keys), in text order: base spans, the tokens beside
-    them with a digit or "@", and those that share a key with some node; and the chain and skip
-    edges (i, j, sort)."""
+    them with a digit or "@", runs of digit groups, and tokens that share a key with some node;
+    and the chain and skip edges (i, j, sort), none between nodes that overlap."""
     found = [(a, b, LABELS.index(k), keys(text[a:b])) for k, a, b in base]
+    names = set()
+    for k, (kind, a, b) in enumerate(base):
+        local = text[a:b].split("@", 1)[0].lower()
+        if kind == "email" and len(local) >= 5 and local not in _ROLES and any(c.isalpha() for c in local):
+            names.add(local)
+            found[k] = (*found[k][:3], list(dict.fromkeys([*found[k][3], ("local", local)])))
     taken = sorted((a, b) for _, a, b in base)
     at = 0
     for m in _TOKEN.finditer(text):
         token = m.group()
-        if not any(c.isdigit() or c in "@._" for c in token):
+        if not any(c.isdigit() or c in "@._" for c in token) and not names:
             continue
         body = token.strip(_EDGE)
         a = m.start() + token.find(body) if body else m.start()
@@ -156,8 +203,12 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
         if not body or at < len(taken) and taken[at][0] < b:
             continue
         own = keys(body)
+        if body.lower() in names and ("local", body.lower()) not in own:
+            own.append(("local", body.lower()))
         if own or candidate(body):
             found.append((a, b, -1, own))
+    tokens = {n[:2] for n in found}
+    found += [(a, b, -1, keys(text[a:b])) for a, b in runs(text, base) if (a, b) not in tokens]
     found.sort(key=lambda n: (n[0], n[1]))
     by_key = defaultdict(list)
     for i, n in enumerate(found):
@@ -168,7 +219,7 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
         for x, y in zip(members, members[1:]):
             edges.add((x, y, sort))
             edges.add((members[0], y, sort))
-    edges = {(x, y, s) for x, y, s in edges if x != y}
+    edges = {(x, y, s) for x, y, s in edges if x != y and found[x][1] <= found[y][0]}
     linked = {i for x, y, _ in edges for i in (x, y)}
     keep = [i for i, n in enumerate(found) if n[2] >= 0 or i in linked or candidate(text[n[0]:n[1]])]
     new = {i: k for k, i in enumerate(keep)}
@@ -179,7 +230,7 @@ def nodes(text: str, base: list[tuple[str, int, int]]) -> tuple[list, list]:
             best[pair] = s
     out = [found[i] for i in keep]
     for k in range(len(out) - 1):
-        if out[k + 1][0] - out[k][1] <= 1:
+        if 0 <= out[k + 1][0] - out[k][1] <= 1:
             best.setdefault((k, k + 1), "chain")
     return out, [(x, y, s) for (x, y), s in sorted(best.items())]
 
@@ -228,7 +279,16 @@ class Field:
             return []
         p = self.marginals(text, found, edges)
         top = p.argmax(axis=1)
-        return [(LABELS[k], a, b) for (a, b, label, _), k in zip(found, top.tolist()) if label < 0 and k > 0]
+        said = [(float(p[i, k]), a, b, k) for i, ((a, b, label, _), k) in enumerate(zip(found, top.tolist()))
+                if label < 0 and k > 0]
+        starts: list[int] = []
+        out: list[tuple[str, int, int]] = []
+        for _, a, b, k in sorted(said, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+            i = bisect_left(starts, a)
+            if (i == 0 or out[i - 1][2] <= a) and (i == len(out) or b <= out[i][1]):
+                starts.insert(i, a)
+                out.insert(i, (LABELS[k], a, b))
+        return out
 
 
 def _logsum(x: np.ndarray) -> np.ndarray:
@@ -249,8 +309,6 @@ def _counts(batches):
             text = text or ""
             base = base_spans(text)
             covered = [(a, e, LABELS.index(k)) for k, a, e in base]
-            for a, e, label in covered:
-                total["shape", shape(text[a:e]), label, 0] += 1
             at, last, span = 0, None, None
             for m in _TOKEN.finditer(text):
                 while at < len(covered) and covered[at][1] <= m.start():
@@ -260,13 +318,13 @@ def _counts(batches):
                     continue
                 span = at if hit else None
                 label = covered[at][2] if hit else 0
-                token = m.group().strip(_EDGE)
-                if not hit and candidate(token):
-                    total["shape", shape(token), 0, 0] += 1
                 if last is not None:
                     total["chain", "", last, label] += 1
                 last = label
             found, edges = nodes(text, base)
+            for a, e, label, _ in found:
+                if label >= 0 or candidate(text[a:e]):
+                    total["shape", shape(text[a:e]), max(label, 0), 0] += 1
             for x, y, s in edges:
                 if s != "chain" and (found[x][2] >= 0 or found[y][2] >= 0):
                     total["skip", s, int(found[x][2] == found[y][2]), 0] += 1

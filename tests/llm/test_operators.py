@@ -178,6 +178,32 @@ def test_the_field_adds_what_its_shape_supports(spark):
     assert {i: a for i, a in added.items() if a} == {400: both, 401: both}
 
 
+def test_mentions_of_several_tokens_and_plain_names(spark):
+    say = " some words that mean nothing at all here "
+    rows = [(k, f"mail user{k}.{k}x@host.example.com or call +1 (456) 555-{1000 + k} or pay 4111 1111 1111 1111", "en",
+             "s", 1, *K.EXTRA) for k in range(200)]
+    told = {300: ("4111 1111 1111 1111" + say + "order 12 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+            301: ("+1 (456) 555-2186" + say + "456 555 2186", [("phone", "456 555 2186")]),
+            302: ("+1 (456) 555-2186" + say + "(456) 555-2186", [("phone", "(456) 555-2186")]),
+            303: ("jsmith@x.com" + say + "Jsmith, or jsmithers", [("email", "Jsmith")]),
+            304: ("+1 (826) 555-4081 190.137.22.7" + say, [("phone", "+1 (826) 555-4081")]),
+            305: ("support@x.com" + say + "our support", []),
+            306: (say + "12 4111 1111 1111 1112 and 456 555 2186 and jsmith", [])}
+    rows += [(k, t, "en", "s", 1, *K.EXTRA) for k, (t, _) in told.items()]
+    out = {r.doc_id: r.spans for r in D.personal_data(spark, K.frame(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    added = {i: [(s.kind, text[i][s.start:s.end]) for s in spans if not s.base] for i, spans in out.items()}
+    assert {i: a for i, a in added.items() if a} == {i: a for i, (_, a) in told.items() if a}
+
+
+def test_runs_of_long_texts_take_linear_time():
+    import time
+    t = time.time()
+    for x in ("1 " * 200_000, "12 4111 1111 1111 1111 " * 20_000, "+1 (456) 555-2186 x " * 10_000, "1.2 (" * 100_000):
+        D.runs(x, D.base_spans(x))
+    assert time.time() - t < 20
+
+
 # -- chat ------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
