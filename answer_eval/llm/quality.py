@@ -14,7 +14,7 @@ may be broadcast to fetch its texts).
 
 Cases: null text: as empty, and empty texts have a score like others; null or
 conflicting labels, null doc_id: not learnt from (a null doc_id is not held out); no
-labels: every score is 0.5; labels of one class: every score is their share; rows
+labels to learn from: every score is 0.5, and ``keep_good`` keeps every row; labels of one class: every score is their share; rows
 that repeat a doc_id are scored each; an empty table gives an empty result;
 other columns are not read.
 """
@@ -81,6 +81,7 @@ class Rule:
 class RuleModel:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
+    learnt: bool = True          # False: there were no rows to learn from
 
     def score(self, stats: Column) -> Column:
         """The compiled score, between 0 and 1."""
@@ -134,7 +135,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     sample = Scratch(spark, "quality").keep(labelled(docs, labels, max_rows), "sample")
     seen = sample.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     if not seen["n"]:
-        return RuleModel(0.0, ())
+        return RuleModel(0.0, (), learnt=False)
     if seen["p"] in (0.0, 1.0):
         return RuleModel(40.0 if seen["p"] else -40.0, ())
     rows = sample.coalesce(8).select(array_to_vector("stats").alias("features"), "stats", "label").cache()
@@ -165,6 +166,9 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
               max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs that the classifier accepts, unchanged."""
+    """The rows of docs that the classifier accepts, unchanged; all rows if there was nothing to
+    learn from, as nothing speaks against any of them then."""
     model = fit(spark, docs, labels, max_rows)
+    if not model.learnt:
+        return docs
     return docs.where(model.score(statistics(docs["text"])) >= threshold)

@@ -323,6 +323,18 @@ def test_a_bounded_sample_of_labels(spark):
     assert 20 <= Q.labelled(docs, labels, max_rows=60).count() <= 110
 
 
+def test_every_document_stays_where_no_label_can_be_learnt_from(spark):
+    df = K.frame(spark, K.documents())
+    want = Counter(df.select("doc_id", "text").collect())
+    held = next(i for i in range(20, 60) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for labels in ([], [(held, 1), (1, None), (None, 1), (12, 0), (12, 1)]):
+        kept = Q.keep_good(spark, df, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert kept.columns == df.columns and Counter(kept.select("doc_id", "text").collect()) == want
+    seen = [i for i in range(20, 60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = spark.createDataFrame([(i, 0) for i in seen], "doc_id long, quality int")
+    assert Q.keep_good(spark, df, bad).count() == 0      # learnt: all bad
+
+
 # -- mixing ----------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [4, 64])
