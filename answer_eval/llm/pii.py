@@ -17,7 +17,7 @@ part (of letters only: if a base address of the text has it and it names no role
 * skip: between nodes that share a key, however far apart, one weight per sort of key.
 
 Loopy sum-product passes messages over both sorts of edges, so that what is said about
-one mention reaches the others; a token whose marginal prefers a label over "none" is
+one mention reaches the others; a token whose marginal prefers a label over "none", and clearly over the other labels, is
 added as a span of it, be it by its shape alone and in a document without base spans.
 Nodes sharing a key form a chain of occurrences, each also tied to the first, so edges
 grow with nodes.  Of added spans that overlap, the likelier stays, then the longer.
@@ -280,7 +280,7 @@ class Field:
         p = self.marginals(text, found, edges)
         top = p.argmax(axis=1)
         said = [(float(p[i, k]), a, b, k) for i, ((a, b, label, _), k) in enumerate(zip(found, top.tolist()))
-                if label < 0 and k > 0]
+                if label < 0 and k > 0 and p[i, k] > 2 * np.sort(p[i, 1:])[-2]]   # no label by neighbours alone
         starts: list[int] = []
         out: list[tuple[str, int, int]] = []
         for _, a, b, k in sorted(said, key=lambda x: (-x[0], x[1] - x[2], x[1])):

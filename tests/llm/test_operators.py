@@ -188,6 +188,7 @@ def test_mentions_of_several_tokens_and_plain_names(spark):
             303: ("jsmith@x.com" + say + "Jsmith, or jsmithers", [("email", "Jsmith")]),
             304: ("+1 (826) 555-4081 190.137.22.7" + say, [("phone", "+1 (826) 555-4081")]),
             305: ("support@x.com" + say + "our support", []),
+            307: ("a.b1@x.com zz9%q 10.0.0.1 q=7~z" + say, []),
             306: (say + "12 4111 1111 1111 1112 and 456 555 2186 and jsmith", [])}
     rows += [(k, t, "en", "s", 1, *K.EXTRA) for k, (t, _) in told.items()]
     out = {r.doc_id: r.spans for r in D.personal_data(spark, K.frame(spark, rows)).collect()}
