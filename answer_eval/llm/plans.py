@@ -17,6 +17,7 @@ from answer_eval.llm import mixing as O9
 from answer_eval.llm import packing as O2
 from answer_eval.llm import pii as O3
 from answer_eval.llm import quality as O7
+from answer_eval.llm import resampling as O12
 from answer_eval.llm import substring_dedup as O1
 
 from answer_eval.llm.common import Scratch
@@ -89,6 +90,13 @@ def op10_fingerprint(spark, sf_dir):
     return O10.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark, sf_dir):
+    """A tenth of the documents, drawn by how much their words are like the benchmark's."""
+    out = O12.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                       n=1, buckets=10000, min_words=20, percent=10, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -100,6 +108,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
