@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answer_eval.llm import chat as O4
+from answer_eval.llm import divergence as O11
 from answer_eval.llm import embedding_dedup as O6
 from answer_eval.llm import fingerprint as O10
 from answer_eval.llm import line_dedup as O5
@@ -90,6 +91,11 @@ def op10_fingerprint(spark, sf_dir):
     return O10.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    """How the sources of each language differ in the shares of their terms."""
+    return O11.divergence_audit(spark, table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def op12_importance_resampling(spark, sf_dir):
     """A tenth of the documents, drawn by how much their words are like the benchmark's."""
     out = O12.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
@@ -108,6 +114,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op11_source_divergence": op11_source_divergence,
     "op12_importance_resampling": op12_importance_resampling,
 }
 
@@ -142,6 +149,32 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines,
                (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS text_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+                   FROM documents),
+        occ AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        grp AS (SELECT DISTINCT lang, source FROM d),
+        cnt AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        dense AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n
+                  FROM grp JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS p
+              FROM dense WINDOW g AS (PARTITION BY lang, source)),
+        whole AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term),
+        q AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS q
+              FROM whole WINDOW g AS (PARTITION BY lang)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                 FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+        term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value
+                 FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+                   FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }
 
 
