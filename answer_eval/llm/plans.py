@@ -20,6 +20,7 @@ from answer_eval.llm import pii as O3
 from answer_eval.llm import quality as O7
 from answer_eval.llm import resampling as O12
 from answer_eval.llm import substring_dedup as O1
+from answer_eval.llm import suffix_tree as O13
 
 from answer_eval.llm.common import Scratch
 
@@ -103,6 +104,11 @@ def op12_importance_resampling(spark, sf_dir):
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_suffix_tree_scores(spark, sf_dir):
+    """The probability of every document by a suffix tree over words of the documents not held out."""
+    return O13.suffix_tree_scores(spark, table(spark, sf_dir, "documents"), O13.held_out_rows("doc_id", 7, 2))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -116,6 +122,7 @@ QUERIES: dict[str, QueryFn] = {
     "op10_fingerprint": op10_fingerprint,
     "op11_source_divergence": op11_source_divergence,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_suffix_tree_scores": op13_suffix_tree_scores,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
