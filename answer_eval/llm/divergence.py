@@ -47,8 +47,8 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 OTHER = re.compile(rb"[^a-z\x80-\xff]")
 PIECE = 1 << 20             # bytes of a text searched at once
 HELD = 300_000              # entries counted by name before a task writes them out
-SHARD_KEYS = 50_000
-DENSE_CELLS = 12_000_000    # 96 MB of counts
+SHARD_KEYS = 10_000
+DENSE_CELLS = 24_000_000    # 96 MB of counts
 KEY_BYTES = 16              # of a key in a shard, beside its own
 ONE = 1_000_000_000
 
@@ -154,119 +154,167 @@ def vocabulary(shards: DataFrame) -> DataFrame:
     return shards.mapInArrow(run, "slot long, lang string, term string")
 
 
-_COUNTS = "shard int, lang string, source string, slot long, term string, n long"
-_NAMES = ["shard", "lang", "source", "slot", "term", "n"]
+# Counts on their way: a row per (shard, group) and write-out of a task.  ``items`` are slots (int32)
+# of a broadcast shard, or terms joined by a line feed, which no term holds.
+_PACKED = "shard int, lang string, source string, named boolean, items binary, counts binary"
+_COUNTS = "lang string, source string, slot long, n long"
 
 
-def _slot_rows(lang, source, shard, cells) -> pa.RecordBatch:
-    at = np.flatnonzero(cells)
-    n = len(at)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, shard, np.int32)), pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
-         pa.array(at + (shard << 32)), pa.nulls(n, pa.string()), pa.array(cells[at])], names=_NAMES)
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                      names=["shard", "lang", "source", "named", "items", "counts"])
 
 
 def recount(spark: SparkSession, docs: DataFrame, shards: DataFrame, heads: int, tails: int) -> DataFrame:
-    """(shard, lang, source, slot, term, n) from (lang, source, text): hits of broadcast shards by
-    slot; terms that may be keys of the other shards by name."""
+    """``_PACKED`` rows from (lang, source, text): hits of broadcast shards by slot; terms that may be
+    keys of the other shards by name."""
     rows = shards.where(F.col("shard") < heads).orderBy("shard").collect()   # within the broadcast's bound
     shared = spark.sparkContext.broadcast([(r["shard"], r["sizes"], bytes(r["bits"]), bytes(r["ends"]),
                                             bytes(r["keys"])) for r in rows])
 
-    def named(held):
+    def by_slot(pages):
+        out = []
+        for (group, shard), cells in pages.items():
+            at = np.flatnonzero(cells)
+            out.append((shard, *group, False, at.astype(np.int32).tobytes(), cells[at].astype(np.int64).tobytes()))
+        for i in range(0, len(out), 500):
+            yield _packed(out[i:i + 500])
+
+    def by_name(held):
         for (lang, source), c in held.items():
-            names = list(c)
-            h = hashes(binary(_keys(lang, names)))
-            k = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((h % np.uint64(tails)).astype(np.int32) + np.int32(heads)), pa.array([lang] * k, pa.string()),
-                 pa.array([source] * k, pa.string()), pa.nulls(k, pa.int64()), binary(names).cast(pa.string()),
-                 pa.array(list(c.values()), pa.int64())], names=_NAMES)
+            names, counts = list(c), np.fromiter(c.values(), np.int64, len(c))
+            shard = (hashes(binary(_keys(lang, names))) % np.uint64(tails)).astype(np.int64) + heads
+            order = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.diff(shard[order])) + 1
+            out = [(int(shard[own[0]]), lang, source, True, b"\n".join([names[i] for i in own.tolist()]),
+                    counts[own].tobytes()) for own in np.split(order, cut) if len(own)]
+            if out:
+                yield _packed(out)
+
+    def find(tables, lang, names):
+        """(shard, slot) of the names, slot -1 where a broadcast shard does not hold one."""
+        keys = binary(_keys(lang, names))
+        h = hashes(keys)
+        shard = (h % np.uint64(max(1, heads))).astype(np.int64)
+        slot = np.full(len(names), -1, np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order])) + 1
+        for own in np.split(order, cut):
+            if len(own) and int(shard[own[0]]) in tables:
+                slot[own] = tables[int(shard[own[0]])].find(keys.take(pa.array(own)), h[own])
+        return shard, slot
 
     def run(batches):
         tables = {shard: PerfectHash(*parts) for shard, *parts in shared.value}
         pages: dict[tuple, np.ndarray] = {}
         held: dict[tuple, Counter] = {}
+        cells = seen = names_held = 0
         for b in batches:
-            found: dict[tuple, Counter] = {}
+            found: dict[str, dict[str, Counter]] = {}
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2))):
-                c = found.setdefault((lang, source), Counter())
+                c = found.setdefault(lang, {}).setdefault(source, Counter())
                 for piece in terms(text):
                     c.update(piece)
-            for group, c in found.items():
-                names, counts = list(c), np.fromiter(c.values(), np.int64, len(c))
-                keys = binary(_keys(group[0], names))
-                h = hashes(keys)
-                shard = (h % np.uint64(max(1, heads))).astype(np.int64)
-                missed = np.ones(len(names), bool)
-                for s in np.unique(shard).tolist():
-                    if s not in tables:
-                        continue
-                    own = np.flatnonzero(shard == s)
-                    slot = tables[s].find(keys.take(pa.array(own)), h[own])
-                    hit = slot >= 0
-                    page = pages.setdefault((*group, s), None)
-                    if page is None:
-                        page = pages[(*group, s)] = np.zeros(len(tables[s]), np.int64)
-                    page[slot[hit]] += counts[own[hit]]
-                    missed[own[hit]] = False
-                if tails:
-                    left = held.setdefault(group, Counter())
-                    for i in np.flatnonzero(missed).tolist():
-                        left[names[i]] += int(counts[i])
-                if sum(map(len, pages.values())) > DENSE_CELLS:
-                    for (lang, source, s), cells in pages.items():
-                        yield _slot_rows(lang, source, s, cells)
-                    pages = {}
-            if sum(map(len, held.values())) > HELD:
-                yield from named(held)
-                held = {}
-        for (lang, source, s), cells in pages.items():
-            yield _slot_rows(lang, source, s, cells)
-        yield from named(held)
-
-    return docs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
+                    seen += len(piece)
+            for lang, sources in found.items():
+                # every term of the batch is looked up once
+                place = {t: i for i, t in enumerate(set().union(*sources.values()))}
+                shard, slot = find(tables, lang, list(place))
+                for source, c in sources.items():
+                    at = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+                    counts, known = np.fromiter(c.values(), np.int64, len(c)), slot[at] >= 0
+                    own, ns = at[known], counts[known]
+                    for s in np.unique(shard[own]).tolist():
+                        page = pages.get(((lang, source), s))
+                        if page is None:
+                            page = pages[(lang, source), s] = np.zeros(len(tables[s]), np.int32)
+                            cells += len(page)
+                        one = shard[own] == s
+                        page[slot[own[one]]] += ns[one].astype(np.int32)
+                    if tails:
+                        left = held.setdefault((lang, source), Counter())
+                        names_held -= len(left)
+                        left.update({t: n for t, n, k in zip(c, c.values(), known.tolist()) if not k})
+                        names_held += len(left)
+            if cells > DENSE_CELLS or seen > 1 << 30:
+                yield from by_slot(pages)
+                pages, cells, seen = {}, 0, 0
+            if names_held > HELD:
+                yield from by_name(held)
+                held, names_held = {}, 0
+        yield from by_slot(pages)
+        yield from by_name(held)
+
+    return docs.select("lang", "source", "text").mapInArrow(run, _PACKED)
+
+
+def _streamed(rows: DataFrame, parts: int, *keys: str):
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
+class _Cells:
+    """The dense slots of the group that streams by."""
+
+    def __init__(self):
+        self.group, self.cells = None, None
+
+    def add(self, group, slots, counts):
+        """Yields the finished group's rows when the next one begins."""
+        if group != self.group:
+            yield from self.rows()
+            self.group, self.cells = group, np.zeros(SHARD_KEYS, np.int64)
+        if len(slots) and int(slots.max()) >= len(self.cells):
+            self.cells = np.concatenate([self.cells, np.zeros(int(slots.max()) + 1, np.int64)])
+        self.cells[slots] += counts             # slots of one row are distinct
+
+    def rows(self):
+        if self.group is not None:
+            shard, lang, source = self.group
+            at = np.flatnonzero(self.cells)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), len(at)), pa.repeat(pa.scalar(source, pa.string()), len(at)),
+                 pa.array(at + (shard << 32)), pa.array(self.cells[at])], names=["lang", "source", "slot", "n"])
+
+
+def by_slot(hits: DataFrame, parts: int) -> DataFrame:
+    """Rows by slot summed to (lang, source, slot, n), one group's dense slots of a shard at a time."""
+    def run(batches):
+        sums = _Cells()
+        for b in batches:
+            for shard, lang, source, items, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
+                yield from sums.add((shard, lang, source), np.frombuffer(items, np.int32),
+                                    np.frombuffer(counts, np.int64))
+        yield from sums.rows()
+
+    rows = hits.where("not named").select("shard", "lang", "source", "items", "counts")
+    return _streamed(rows, parts, "shard", "lang", "source").mapInArrow(run, _COUNTS)
 
 
 def resolve(hits: DataFrame, shards: DataFrame, heads: int, parts: int) -> DataFrame:
-    """Terms counted by name -> rows by slot: every shard streams through one task, its keys first,
-    then its counts group by group."""
+    """Terms counted by name -> (lang, source, slot, n): every shard streams through one task, its keys
+    first, then its counts group by group."""
     none = lambda kind: F.lit(None).cast(kind)
     keys = shards.where(F.col("shard") >= heads).select(
         "shard", F.lit(0).alias("kind"), F.lit("").alias("lang"), F.lit("").alias("source"),
-        none("string").alias("term"), F.lit(0).cast("long").alias("n"), "sizes", "bits", "ends", "keys")
-    counts = hits.where("term is not null").select(
-        "shard", F.lit(1).alias("kind"), "lang", "source", "term", "n", none("array<int>").alias("sizes"),
-        none("binary").alias("bits"), none("binary").alias("ends"), none("binary").alias("keys"))
+        "keys", "ends", "bits", "sizes")
+    counts = hits.where("named").select(
+        "shard", F.lit(1).alias("kind"), "lang", "source", F.col("items").alias("keys"), F.col("counts").alias("ends"),
+        none("binary").alias("bits"), none("array<int>").alias("sizes"))
     both = keys.unionByName(counts).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "lang", "source")
 
     def run(batches):
-        table, at, group, cells = None, None, None, None
+        table, at, sums = None, None, _Cells()
         for b in batches:
-            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            lang, source = b.column(2).dictionary_encode(), b.column(3).dictionary_encode()
-            code = np.stack([shard, kind, lang.indices.to_numpy(), source.indices.to_numpy()])
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0).any(axis=0)])) if b.num_rows else []
-            for lo, hi in zip(first, [*first[1:], b.num_rows]):
-                now = (int(shard[lo]), b.column(2)[lo].as_py(), b.column(3)[lo].as_py())
-                if kind[lo] == 0:
-                    r = b.slice(lo, 1).to_pylist()[0]
-                    if cells is not None:
-                        yield _slot_rows(*group[1:], group[0], cells)
-                    table, at, group, cells = PerfectHash(r["sizes"], r["bits"], r["ends"], r["keys"]), now[0], None, None
-                    continue
-                if at != now[0]:                # no key was dealt to this shard
-                    continue
-                if group != now:
-                    if cells is not None:
-                        yield _slot_rows(*group[1:], group[0], cells)
-                    group, cells = now, np.zeros(len(table), np.int64)
-                names = binary(_keys(now[1], _texts(b.column(4).slice(lo, hi - lo))))
-                slot = table.find(names, hashes(names))
-                # a term comes once from every write-out of a task
-                np.add.at(cells, slot[slot >= 0], b.column(5).to_numpy()[lo:hi][slot >= 0])
-        if cells is not None:
-            yield _slot_rows(*group[1:], group[0], cells)
+            for shard, kind, lang, source, items, ends, bits, sizes in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:
+                    table, at = PerfectHash(sizes, bits, ends, items), shard
+                elif shard == at:               # else no key was dealt to this shard
+                    names = binary(_keys(lang, items.split(b"\n")))
+                    slot = table.find(names, hashes(names))
+                    yield from sums.add((shard, lang, source), slot[slot >= 0],
+                                        np.frombuffer(ends, np.int64)[slot >= 0])
+        yield from sums.rows()
 
     return both.mapInArrow(run, _COUNTS)
 
@@ -281,7 +329,7 @@ def _apart(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
-def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int) -> DataFrame:
+def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int, scratch: Scratch) -> DataFrame:
     """(lang, source, part, item, value, rank) from the groups (lang, source), their positive counts
     (lang, source, slot, n) and the vocabulary (slot, lang, term)."""
     c = F.col
@@ -290,8 +338,9 @@ def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int)
     g = groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left") \
         .select("lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("total", F.lit(0)).alias("total")) \
         .withColumn("z", F.when(c("v") > 0, _share("0", "total", "v")))
-    held = counts.join(g, ["lang", "source"]).withColumn("p", _share("n", "total", "v")) \
-        .select("lang", "source", "slot", "p", "z")
+    g = scratch.keep(g, "shares-of-none")
+    held = scratch.keep(counts.join(g, ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
+                        .select("lang", "source", "slot", "p", "z"), "shares")
     a, b = ([c(x).alias(f"{x}_{side}") for x in ("source", "slot", "p", "z")] for side in "ab")
     exact = lambda e: F.sum(F.expr(e).cast("decimal(20,0)")).alias("value")
     pair = ["lang", "source_a", "source_b"]
@@ -343,12 +392,12 @@ def divergence_audit(spark: SparkSession, docs: DataFrame, min_docs: int = 3, to
     shards = scratch.keep(built, "shards")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hits = scratch.keep(recount(spark, read, shards, heads, tails), "hits")
-    slots = hits.where("slot is not null")
+    slots = by_slot(hits, parts)
     if tails:
         slots = slots.unionByName(resolve(hits, shards, heads, parts))
-    counts = scratch.keep(slots.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.keep(slots, "counts")
     for done in ("kept", "hits"):
         scratch.drop(done)
     words = scratch.keep(vocabulary(shards), "words")
     groups = scratch.keep(read.select("lang", "source").distinct(), "groups")
-    return divergence(groups, counts, words, top)
+    return divergence(groups, counts, words, top, scratch)

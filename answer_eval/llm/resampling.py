@@ -147,8 +147,7 @@ def resample(spark: SparkSession, docs: DataFrame, target: DataFrame, n: int = 2
     scored = scratch.keep(weigh(docs, gain, n, seed), "scored")
     long_enough = c("n_words") >= min_words
     draw = percent * scored.where(long_enough).count() // 100
-    ranked = number_samples(scored.where(long_enough), [c("score").desc(), c("doc_id").asc_nulls_last()],
-                            col_name="rank")
+    ranked = number_samples(scored.where(long_enough), [-c("score"), c("doc_id").isNull(), "doc_id"], col_name="rank")
     ranked = ranked.withColumn("rank", F.when(c("rank") <= draw, c("rank")))
     return ranked.unionByName(scored.where(~long_enough).withColumn("rank", F.lit(None).cast("long")))
 
