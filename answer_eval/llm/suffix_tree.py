@@ -13,11 +13,13 @@ is scored in the longest retained suffix of what stands before it.
 Nothing is learnt at the driver and no model is broadcast.  Documents lie in blocks of about
 ``BLOCK_TOKENS`` tokens, written once as hashed words.  Every count that the model needs is
 an exchange: a block asks for each distinct key it holds (word, run of tokens, context), with its own
-count; a key's rows, one per block, are summed over all blocks; and the blocks for
-which the sum is another than their own get it back.  An exchange takes two shuffles, of rows
-that the blocks have pre-aggregated.  The rounds are: words; then per context length the runs
-of that context and a next token, and the contexts' gains.  A gain is summed over the occurrences in
-documents learnt from; a run's block of least number counts it as a next token.
+values.  Its keys are sorted and cut into buckets, equal ranges of the hashes, of about
+``BUCKET_KEYS`` keys over all blocks; one row holds a block's keys of a bucket.  A task sums a bucket
+key by key (a key comes at most once from a block) and answers each row in the order of its
+keys.  The rounds are: words; then per context length the runs of that context and a next
+token, and the contexts' gains.  Each round reads the blocks with the answers so far and works out
+anew what was asked, so that nothing but answers is kept between rounds.  A gain is summed over the
+occurrences in documents learnt from; a run's first block counts it as a next token.
 
 Words and runs are compared by 64-bit hashes.  Gains are summed in whole numbers
 (``GAIN_BITS`` binary places), so a retained context does not depend on the order of rows.
@@ -34,13 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
 from answer_eval.llm.common import Scratch, WordHash, mix, prepare, utf8, word_spans
 
 BLOCK_TOKENS = 1 << 19
+BUCKET_KEYS = 1 << 20
 GAIN_BITS = 16
 _HASH = WordHash(13)
 _END = np.uint64(0x656E64656E64656E)
@@ -48,19 +50,27 @@ _START = np.uint64(0x7374617274737461)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CONTEXT = np.uint64(0x636F6E74657874)
 
-_FIXED = ("words", "tokens", "ends", "train", "known")          # one array each
-_LEVELS = ("totals", "leads", "kept", "followers")              # one array per context length
+_ASK = "bucket int, block long, keys binary, x binary, y binary"
+_ANSWER = "round int, block long, bucket int, fresh long, x binary, y binary, lead binary"
 
 
-def _state_schema(kind: str) -> str:
-    return ", ".join([f"block long, ids array<{kind}>, learnt long, fresh long", *[f"{c} binary" for c in _FIXED],
-                      *[f"{c} array<binary>" for c in _LEVELS]])
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes each that hold them all, after a byte that says how many."""
+    for kind in (np.int8, np.int16, np.int32):
+        if len(x) == 0 or (x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max):
+            return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+    return b"\x08" + x.astype(np.int64).tobytes()
 
 
-def _row(values: dict, id_type: pa.DataType) -> pa.RecordBatch:
-    types = {"block": pa.int64(), "ids": pa.list_(id_type), "learnt": pa.int64(), "fresh": pa.int64(),
-             **{c: pa.binary() for c in _FIXED}, **{c: pa.list_(pa.binary()) for c in _LEVELS}}
-    return pa.RecordBatch.from_arrays([pa.array([values[c]], t) for c, t in types.items()], names=list(types))
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64)
+
+
+def _records(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(f.split(" ") for f in schema.split(", ")))
+    values = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[t]) for v, t in zip(values, types)], names=names)
 
 
 def _lower(raw: np.ndarray) -> np.ndarray:
@@ -71,11 +81,12 @@ def _blocks(id_type: pa.DataType):
     """Rows of (doc_id, text, held_out) -> one row per block."""
     def close(part, k, ids, held, hashed, lengths):
         words, tokens = np.unique(np.concatenate(hashed), return_inverse=True)
-        return _row({"block": (part << 32) + k, "ids": ids, "learnt": 0, "fresh": 0, "words": words.tobytes(),
-                     "tokens": tokens.astype(np.int32).tobytes(),
-                     "ends": np.cumsum(np.concatenate(lengths), dtype=np.int64).tobytes(),
-                     "train": (~np.array(held, bool)).astype(np.uint8).tobytes(), "known": b"",
-                     **{c: [] for c in _LEVELS}}, id_type)
+        learnt = np.concatenate(lengths)[~np.array(held, bool)].sum()
+        values = [(part << 32) + k, ids, len(tokens), int(learnt), words.tobytes(), _pack(tokens),
+                  _pack(np.concatenate(lengths)), _pack(~np.array(held, bool))]
+        types = [pa.int64(), pa.list_(id_type), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        names = ["block", "ids", "size", "learnt", "words", "tokens", "lengths", "train"]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -111,43 +122,39 @@ def _blocks(id_type: pa.DataType):
 
 
 class Block:
-    """The arrays of one block and what follows from them for each context length.
+    """The arrays of one block, and what the answers of each round add.
 
     A run of length d + 1 is numbered among the block's distinct asked runs of that length; a context
     of length d is the run of length d that ends before the token."""
 
-    def __init__(self, row: dict, min_count: int):
-        self.row = row
+    def __init__(self, row: dict, min_count: int, cutoff: float):
+        self.ids, self.min_count, self.cutoff = row["ids"], min_count, cutoff
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
-        self.ends = np.frombuffer(row["ends"], np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]])
-        lengths = self.ends - self.starts
-        self.learnt = np.repeat(np.frombuffer(row["train"], np.uint8) == 1, lengths)
-        self.min_count = min_count
+        self.tokens = _unpack(row["tokens"])
+        self.lengths = _unpack(row["lengths"])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.train = _unpack(row["train"]) == 1
+        self.learnt = np.repeat(self.train, self.lengths)
         self.own = np.bincount(self.tokens[self.learnt], minlength=len(self.words))
-        if row["known"]:
-            end = int(np.searchsorted(self.words, _END))
-            known, own = np.frombuffer(row["known"], np.int64), self.own
-            # the start mark comes last; it stands once in every document, as the end does
-            self.counts, self.owned = [np.append(known, known[end])], [np.append(own, own[end])]
-            self.keys = [np.append(self.words, _START)]
-            self.known = known
-            context = np.concatenate([[0], self.tokens[:-1]])
-            context[self.starts] = len(known)
-            self.contexts: list = [None, context]
-            self.runs: list = [None]
-            self.asked: list = [None]
-            # what is known of each length: the runs' totals, then whether contexts are retained
-            for d in range(1, len(row["totals"]) + 1):
-                self._open(d)
-                self.counts.append(np.frombuffer(row["totals"][d - 1], np.int64))
-
-    def kept(self, d: int) -> np.ndarray:
-        return np.frombuffer(self.row["kept"][d - 1], np.uint8) == 1
-
-    def followers(self, d: int) -> np.ndarray:
-        return np.frombuffer(self.row["followers"][d - 1], np.int64)
+        # by context length: keys, own counts and counts of runs; retained contexts, their next tokens
+        self.keys, self.owned, self.counts = [], [], []
+        self.leads, self.kept, self.followers = [None], [None], [None]
+
+    # words
+    def ask_words(self):
+        return self.words, np.arange(len(self.words)), self.own, np.zeros_like(self.own)
+
+    def words_known(self, i, x, y, lead):
+        self.known = known = np.zeros(len(self.words), np.int64)
+        known[i] = x
+        end = int(np.searchsorted(self.words, _END))
+        # the start mark comes last; it stands once in every document, as the end does
+        self.counts.append(np.append(known, known[end]))
+        self.owned.append(np.append(self.own, self.own[end]))
+        self.keys.append(np.append(self.words, _START))
+        context = np.concatenate([[0], self.tokens[:-1]])
+        context[self.starts] = len(known)
+        self.contexts, self.runs = [None, context], [None]
 
     def tested(self, d: int) -> np.ndarray:
         """Positions whose context of length d may be retained."""
@@ -156,11 +163,11 @@ class Block:
         ok[ok] = self.counts[d - 1][context[ok]] >= self.min_count
         if d > 1:
             shorter = np.flatnonzero(ok)
-            ok[shorter] = self.kept(d - 1)[self.contexts[d - 1][shorter]]
+            ok[shorter] = self.kept[d - 1][self.contexts[d - 1][shorter]]
         return ok
 
-    def _open(self, d: int) -> None:
-        """Numbers the runs of d context tokens and a next one, and the contexts of length d + 1."""
+    # runs of d context tokens and a next one
+    def ask_runs(self, d: int):
         at = np.flatnonzero(self.tested(d) & (self.known[self.tokens] > 0))
         w = len(self.words)
         codes, run = np.unique(self.contexts[d][at] * w + self.tokens[at], return_inverse=True)
@@ -168,25 +175,24 @@ class Block:
         own = np.bincount(run[self.learnt[at]], minlength=len(codes))
         self.keys.append(mix(self.keys[d - 1][context] * _STEP + self.words[token]))
         self.owned.append(own)
-        # all occurrences of the context or of the token are in this block: nothing to ask
-        alone = (self.counts[d - 1][context] == self.owned[d - 1][context]) | (self.known[token] == self.own[token])
-        self.asked.append(~alone)
         place = np.full(len(self.tokens), -1)
         place[at] = run
         self.runs.append(place)
         longer = np.concatenate([[-1], place[:-1]])
         longer[self.starts] = -1
         self.contexts.append(longer)
+        # where all occurrences of the context or of the token are in this block there is nothing to ask
+        alone = (self.counts[d - 1][context] == self.owned[d - 1][context]) | (self.known[token] == self.own[token])
+        i = np.flatnonzero(~alone)
+        return self.keys[d][i], i, own[i], np.zeros(len(i), np.int64)
 
-    # what a block asks for: (keys, numbers, values x, values y)
-    def ask_words(self):
-        return self.words, np.arange(len(self.words)), self.own, None
-
-    def ask_runs(self, d: int):
-        self._open(d)
-        i = np.flatnonzero(self.asked[d])
-        return self.keys[d][i], i, self.owned[d][i], None
+    def runs_known(self, d: int, i, x, y, lead):
+        total, first = self.owned[d].astype(np.int64), self.owned[d] > 0
+        total[i], first[i] = x, lead
+        self.counts.append(total)
+        self.leads.append(first)
 
+    # contexts of length d: their gain and their distinct next tokens
     def ask_contexts(self, d: int, n: int, v: int):
         context = self.contexts[d]
         tested = np.flatnonzero(self.tested(d))
@@ -196,67 +202,104 @@ class Block:
         size = len(self.keys[d - 1])
         gain = np.zeros(size, np.int64)
         np.add.at(gain, context[at], np.rint(nats * (1 << GAIN_BITS)).astype(np.int64))
-        lead = np.frombuffer(self.row["leads"][d - 1], np.uint8) == 1
         runs, where = np.unique(self.runs[d][at], return_index=True)
-        followers = np.bincount(context[at[where]][lead[runs]], minlength=size)
+        followers = np.bincount(context[at[where]][self.leads[d][runs]], minlength=size)
         i = np.unique(context[tested])
         return mix(self.keys[d - 1][i] ^ _CONTEXT), i, gain[i], followers[i]
 
+    def contexts_known(self, d: int, i, x, y, lead):
+        size = len(self.keys[d - 1])
+        kept, follow = np.zeros(size, bool), np.zeros(size, np.int64)
+        follow[i] = y
+        kept[i] = (y > 0) & (x >= self.cutoff * y * (1 << GAIN_BITS))
+        self.kept.append(kept)
+        self.followers.append(follow)
+
     def predictions(self, depth: int, n: int, v: int) -> np.ndarray:
         """The probability of every token in its longest retained context of ``depth`` tokens at most."""
         p = (self.known[self.tokens] + 1) / (n + v + 1)
         for d in range(1, depth + 1):
             context, run = self.contexts[d], self.runs[d]
             at = np.flatnonzero(self.tested(d))
-            at = at[self.kept(d)[context[at]]]
+            at = at[self.kept[d][context[at]]]
             c = np.where(run[at] >= 0, self.counts[d][run[at]], 0)
-            more = self.followers(d)[context[at]]
+            more = self.followers[d][context[at]]
             p[at] = (c + more * p[at]) / (self.counts[d - 1][context[at]] + more)
         return p
 
     def scores(self, depth: int, n: int, v: int) -> dict:
         by = lambda x: np.add.reduceat(x, self.starts)  # noqa: E731  every document has a token
-        return {"held_out": np.frombuffer(self.row["train"], np.uint8) == 0, "n_tokens": self.ends - self.starts,
+        return {"held_out": ~self.train, "n_tokens": self.lengths,
                 "n_known": by((self.known[self.tokens] > 0).astype(np.int64)),
                 "base_score": by(np.log10((self.known[self.tokens] + 1) / (n + v + 1))),
                 "score": by(np.log10(self.predictions(depth, n, v)))}
 
 
-def _exchange(state: DataFrame, ask, give, schema: str, min_count: int, two: bool = False) -> DataFrame:
-    """``ask(block)`` names the keys of a block with its own values; ``give(block, i, x, y, lead)`` gets, for
-    the keys (by number) whose sums over all blocks are others than its own, the sums and whether the
-    block is the first with a positive x."""
-    values = ["x", "y"] if two else ["x"]
+def _ask(block: Block, step: int, depth: int, n: int, v: int):
+    """What a block asks in a round: the words, then runs and contexts of each length."""
+    if step == 0:
+        return block.ask_words()
+    d = (step + 1) // 2
+    return block.ask_runs(d) if step % 2 else block.ask_contexts(d, n, v)
+
+
+def _learn(block: Block, step: int, *answer) -> None:
+    if step == 0:
+        block.words_known(*answer)
+    elif step % 2:
+        block.runs_known((step + 1) // 2, *answer)
+    else:
+        block.contexts_known(step // 2, *answer)
+
+
+def _sorted_asks(keys: np.ndarray, buckets: int):
+    """The order of the keys, and where each bucket's begin and end in it."""
+    order = np.argsort(keys, kind="stable")
+    bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return order, [(int(bucket[a]), a, e) for a, e in zip(first, [*first[1:], len(order)])]
+
+
+def _asks(block_id: int, asked, buckets: int) -> pa.RecordBatch:
+    keys, _, x, y = asked
+    order, cuts = _sorted_asks(keys, buckets)
+    rows = [(k, block_id, keys[o].tobytes(), _pack(x[o]), _pack(y[o])) for k, o in ((k, order[a:e]) for k, a, e in cuts)]
+    return _records(_ASK, rows)
+
+
+def _sum_buckets(step: int):
+    """Rows of ``_ASK``, those of a bucket together and by block -> rows of ``_ANSWER``."""
+    def close(bucket, rows):
+        keys = np.concatenate([k for _, k, _, _ in rows])
+        x, y = (np.concatenate([r[c] for r in rows]) for c in (2, 3))
+        order = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+        all_x, all_y = np.add.reduceat(x[order], head)[of], np.add.reduceat(y[order], head)[of]
+        # the first row, by block, in which a key has a positive x
+        lead, positive = np.zeros(len(keys), bool), np.flatnonzero(x > 0)
+        lead[positive[np.unique(of[positive], return_index=True)[1]]] = True
+        out, at = [], 0
+        for block, own, _, _ in rows:
+            to = at + len(own)
+            out.append((step, block, bucket, int(lead.sum()) if at == 0 else 0, _pack(all_x[at:to]),
+                        _pack(all_y[at:to]), np.packbits(lead[at:to]).tobytes()))
+            at = to
+        return _records(_ANSWER, out)
 
-    def asks(batches):
+    def run(batches):
+        at, rows = None, []
         for b in batches:
-            for row in b.to_pylist():
-                key, i, x, y = ask(Block(row, min_count))
-                arrays = [pa.array(key.view(np.int64)), pa.array(np.full(len(key), row["block"], np.int64)),
-                          pa.array(i.astype(np.int32)), pa.array(x.astype(np.int64))]
-                if two:
-                    arrays.append(pa.array(y.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "block", "i", *values])
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left.to_pylist()[0], min_count)
-        col = lambda c: right.column(c).to_numpy()
-        return give(block, col("i"), col("x"), col("y") if two else None, col("lead"))
-
-    rows = state.mapInArrow(asks, "key long, block long, i int, " + ", ".join(f"{v} long" for v in values))
-    key = W.partitionBy("key")
-    sums = rows.select("block", "i", *values, *[F.sum(v).over(key).alias(f"all_{v}") for v in values],
-                       F.min(F.when(F.col("x") > 0, F.col("block"))).over(key).alias("first"))
-    other = F.col("all_x") != F.col("x")
-    if two:
-        other = other | (F.col("all_y") != F.col("y"))
-    sums = sums.where(other).select("block", "i", *[F.col(f"all_{v}").alias(v) for v in values],
-                                    F.coalesce(F.col("first") == F.col("block"), F.lit(False)).alias("lead"))
-    return state.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(answer, schema)
-
-
-def _table(row: dict, id_type) -> pa.Table:
-    return pa.Table.from_batches([_row(row, id_type)])
+            for bucket, block, keys, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if rows and bucket != at:
+                    yield close(at, rows)
+                    rows = []
+                at = bucket
+                rows.append((block, np.frombuffer(keys, np.uint64), _unpack(x), _unpack(y)))
+        if rows:
+            yield close(at, rows)
+    return run
 
 
 def suffix_tree_scores(spark: SparkSession, docs: DataFrame, held_out: Column, depth: int = 2, min_count: int = 8,
@@ -268,65 +311,62 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, held_out: Column, d
         raise ValueError("depth and min_count must be positive")
     prepare(spark)
     scratch = Scratch(spark, "suffix-tree")
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    kind = from_arrow_type(id_type).simpleString()
-    schema = _state_schema(kind)
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     read = docs.select("doc_id", "text", held_out.alias("held_out"))
-    state = scratch.keep(read.mapInArrow(_blocks(id_type), schema), "blocks")
-
-    def words_known(block, i, x, y, lead):
-        known, fresh = block.own.astype(np.int64), block.own > 0
-        known[i], fresh[i] = x, lead
-        return _table(block.row | {"known": known.tobytes(), "learnt": int(block.learnt.sum()),
-                                   "fresh": int(fresh.sum())}, id_type)
-
-    state, done = scratch.keep(_exchange(state, Block.ask_words, words_known, schema, min_count), "words"), "blocks"
-    scratch.drop(done)
-    sums = state.agg(F.sum("learnt").alias("n"), F.sum("fresh").alias("v")).first()
-    n, v = sums["n"] or 0, sums["v"] or 0
-
-    def runs_known(d):
-        def give(block, i, x, y, lead):
-            block._open(d)
-            total, first = block.owned[d].astype(np.int64), block.owned[d] > 0
-            total[i], first[i] = x, lead
-            row = block.row
-            return _table(row | {"totals": [*row["totals"], total.tobytes()],
-                                 "leads": [*row["leads"], first.astype(np.uint8).tobytes()]}, id_type)
-        return give
-
-    def contexts_known(d, last):
-        def give(block, i, x, y, lead):
-            _, own, gain, followers = block.ask_contexts(d, n, v)
-            size = len(block.keys[d - 1])
-            gains, follow = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            gains[own], follow[own] = gain, followers
-            gains[i], follow[i] = x, y
-            kept = (follow > 0) & (gains >= cutoff * follow * (1 << GAIN_BITS))
-            row = block.row
-            block.row = row | {"kept": [*row["kept"], kept.astype(np.uint8).tobytes()],
-                               "followers": [*row["followers"], follow.tobytes()]}
-            if not last:
-                return _table(block.row, id_type)
-            out = block.scores(d, n, v)
-            return pa.table({"doc_id": pa.array(row["ids"], id_type), "held_out": out["held_out"],
-                             "n_tokens": out["n_tokens"], "n_known": out["n_known"],
-                             "train_tokens": np.full(len(row["ids"]), n, np.int64),
-                             "base_score": out["base_score"], "score": out["score"]})
-        return give
-
-    result = (f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-              "base_score double, score double")
-    for d in range(1, depth + 1):
-        runs = scratch.keep(_exchange(state, lambda b, d=d: b.ask_runs(d), runs_known(d), schema, min_count),
-                            f"runs-{d}")
-        scratch.drop("words" if d == 1 else f"contexts-{d - 1}")
-        out = _exchange(runs, lambda b, d=d: b.ask_contexts(d, n, v), contexts_known(d, d == depth),
-                        result if d == depth else schema, min_count, two=True)
-        if d < depth:
-            state = scratch.keep(out, f"contexts-{d}")
-            scratch.drop(f"runs-{d}")
-    return out
+    blocks = scratch.keep(read.mapInArrow(
+        _blocks(id_type), f"block long, ids array<{kind}>, size long, learnt long, words binary, tokens binary, "
+                          "lengths binary, train binary"), "blocks")
+    sums = blocks.agg(F.sum("size").alias("size"), F.sum("learnt").alias("n")).first()
+    n, v = sums["n"] or 0, 0
+    buckets = max(1, -(-(sums["size"] or 0) // BUCKET_KEYS))
+    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def opened(row: dict, answers: pa.Table | None, step: int) -> Block:
+        """A block that knows the answers of all rounds before ``step``."""
+        block = Block(row, min_count, cutoff)
+        rows = sorted(answers.to_pylist(), key=lambda r: (r["round"], r["bucket"])) if answers is not None else []
+        for k in range(step):
+            keys, i, _, _ = _ask(block, k, depth, n, v)
+            own = [r for r in rows if r["round"] == k]
+            x, y = (np.concatenate([np.zeros(0, np.int64), *[_unpack(r[c]) for r in own]]) for c in "xy")
+            lead = np.concatenate([np.zeros(0, bool), *[
+                np.unpackbits(np.frombuffer(r["lead"], np.uint8), count=len(_unpack(r["x"]))) == 1 for r in own]])
+            _learn(block, k, i[_sorted_asks(keys, buckets)[0]], x, y, lead)
+        return block
+
+    def ask_first(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                yield _asks(row["block"], _ask(Block(row, min_count, cutoff), 0, depth, n, v), buckets)
+
+    def ask_again(step):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            return pa.Table.from_batches(
+                [_asks(row["block"], _ask(opened(row, right, step), step, depth, n, v), buckets)])
+        return run
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = opened(left.to_pylist()[0], right, last)
+        out = block.scores(depth, n, v)
+        return pa.table({"doc_id": pa.array(block.ids, id_type), "held_out": out["held_out"],
+                         "n_tokens": out["n_tokens"], "n_known": out["n_known"],
+                         "train_tokens": np.full(len(block.ids), n, np.int64),
+                         "base_score": out["base_score"], "score": out["score"]})
+
+    last, answers = 2 * depth + 1, None
+    for step in range(last):
+        asks = blocks.mapInArrow(ask_first, _ASK) if step == 0 else \
+            blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_again(step), _ASK)
+        sums = asks.repartition(parts, "bucket").sortWithinPartitions("bucket", "block") \
+            .mapInArrow(_sum_buckets(step), _ANSWER)
+        got = scratch.keep(sums, f"answers-{step}")
+        answers = got if step == 0 else answers.unionByName(got)
+        if step == 0:
+            v = got.agg(F.sum("fresh")).first()[0] or 0
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                "base_score double, score double")
 
 
 def held_out_rows(doc_id: str = "doc_id", modulus: int = 7, remainder: int = 2) -> Column:

@@ -77,6 +77,7 @@ def compare(got, want):
 @pytest.mark.parametrize("depth, min_count, cutoff", [(1, 2, 0.5), (2, 3, 1.0), (3, 2, 0.0)])
 def test_scores_equal_a_plain_version(spark, depth, min_count, cutoff, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(S, "BUCKET_KEYS", 900)
     rows = K.documents()
     docs = K.frame(spark, rows)
     out = S.suffix_tree_scores(spark, docs, S.held_out_rows(), depth, min_count, cutoff)
@@ -109,6 +110,12 @@ def test_predictions_sum_to_one():
         assert sum(p(context, w) for w in ["a", "b", "c", "d", "e", 1, "unknown"]) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("top", [0, 127, 128, 40000, 1 << 31, 1 << 62])
+def test_packed_numbers_come_back(top):
+    x = np.array([0, -top, top, 5], np.int64)
+    assert S._unpack(S._pack(x)).tolist() == x.tolist() and S._unpack(S._pack(x[:0])).tolist() == []
+
+
 def test_blocks_hold_whole_documents(monkeypatch):
     import pyarrow as pa
 
@@ -130,7 +137,7 @@ def test_blocks_hold_whole_documents(monkeypatch):
     rows = [r for b in S._blocks(pa.int64())([batch, batch.slice(0, 0), batch.slice(5, 2)]) for r in b.to_pylist()]
     assert [x for r in rows for x in r["ids"]] == [*range(7), 5, 6]
     assert len({r["block"] for r in rows}) == len(rows) and {r["block"] >> 32 for r in rows} == {3}
-    sizes = [np.diff(np.frombuffer(r["ends"], np.int64), prepend=0).tolist() for r in rows]
+    sizes = [S._unpack(r["lengths"]).tolist() for r in rows]
     assert [x for s in sizes for x in s] == [4, 1, 26, 5, 5, 5, 2, 5, 2]
     assert all(sum(s) <= 10 or len(s) == 1 for s in sizes)
 
