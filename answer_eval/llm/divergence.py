@@ -47,7 +47,7 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 OTHER = re.compile(rb"[^a-z\x80-\xff]")
 PIECE = 1 << 20             # bytes of a text searched at once
 HELD = 300_000              # entries counted by name before a task writes them out
-SHARD_KEYS = 10_000
+SHARD_KEYS = 20_000
 DENSE_CELLS = 24_000_000    # 96 MB of counts
 KEY_BYTES = 16              # of a key in a shard, beside its own
 ONE = 1_000_000_000
@@ -303,17 +303,31 @@ def resolve(hits: DataFrame, shards: DataFrame, heads: int, parts: int) -> DataF
         none("binary").alias("bits"), none("array<int>").alias("sizes"))
     both = keys.unionByName(counts).repartition(parts, "shard").sortWithinPartitions("shard", "kind", "lang", "source")
 
+    def counted(table, rows, sums):
+        """Looks the terms of many rows of one shard up at once."""
+        keys, bounds = [], [0]
+        for _, lang, _, items, _ in rows:
+            keys += _keys(lang, items.split(b"\n"))
+            bounds.append(len(keys))
+        keys = binary(keys)
+        slot = table.find(keys, hashes(keys))
+        for (shard, lang, source, _, counts), lo, hi in zip(rows, bounds, bounds[1:]):
+            hit = slot[lo:hi] >= 0
+            yield from sums.add((shard, lang, source), slot[lo:hi][hit], np.frombuffer(counts, np.int64)[hit])
+
     def run(batches):
         table, at, sums = None, None, _Cells()
         for b in batches:
+            rows = []
             for shard, kind, lang, source, items, ends, bits, sizes in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == 0:
-                    table, at = PerfectHash(sizes, bits, ends, items), shard
+                    if rows:
+                        yield from counted(table, rows, sums)
+                    table, at, rows = PerfectHash(sizes, bits, ends, items), shard, []
                 elif shard == at:               # else no key was dealt to this shard
-                    names = binary(_keys(lang, items.split(b"\n")))
-                    slot = table.find(names, hashes(names))
-                    yield from sums.add((shard, lang, source), slot[slot >= 0],
-                                        np.frombuffer(ends, np.int64)[slot >= 0])
+                    rows.append((shard, lang, source, items, ends))
+            if rows:
+                yield from counted(table, rows, sums)
         yield from sums.rows()
 
     return both.mapInArrow(run, _COUNTS)
@@ -329,6 +343,16 @@ def _apart(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) div ({q}))"
 
 
+def _sums(x: str, name: str) -> list[F.Column]:
+    """Sums of the high and the low half of a long, so that no sum of longs overflows."""
+    return [F.sum(F.expr(f"shiftright({x}, 32)")).alias(f"{name}_high"),
+            F.sum(F.expr(f"({x}) & 4294967295L")).alias(f"{name}_low")]
+
+
+def _sum(name: str) -> F.Column:
+    return F.expr(f"cast({name}_high as decimal(19,0)) * 4294967296 + {name}_low").cast("decimal(38,0)")
+
+
 def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int, scratch: Scratch) -> DataFrame:
     """(lang, source, part, item, value, rank) from the groups (lang, source), their positive counts
     (lang, source, slot, n) and the vocabulary (slot, lang, term)."""
@@ -342,13 +366,16 @@ def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int,
     held = scratch.keep(counts.join(g, ["lang", "source"]).withColumn("p", _share("n", "total", "v"))
                         .select("lang", "source", "slot", "p", "z"), "shares")
     a, b = ([c(x).alias(f"{x}_{side}") for x in ("source", "slot", "p", "z")] for side in "ab")
-    exact = lambda e: F.sum(F.expr(e).cast("decimal(20,0)")).alias("value")
     pair = ["lang", "source_a", "source_b"]
-    # terms that both hold, beyond what the other three parts count for them
-    common = held.select("lang", *a).join(
-        held.select(c("lang").alias("lang_b"), *b), c("slot_a") == c("slot_b")).where("source_a <> source_b") \
-        .groupBy(*pair).agg(exact(f"{_apart('p_a', 'p_b')} - {_apart('p_a', 'z_b')} - {_apart('z_a', 'p_b')} "
-                                  f"+ {_apart('z_a', 'z_b')}"))
+    # terms that both hold, beyond what the other three parts count for them; each pair once for both directions
+    beyond = lambda x, y: (f"{_apart(f'p_{x}', f'p_{y}')} - {_apart(f'p_{x}', f'z_{y}')} "
+                           f"- {_apart(f'z_{x}', f'p_{y}')} + {_apart(f'z_{x}', f'z_{y}')}")
+    both = held.select("lang", *a).join(
+        held.select(c("lang").alias("lang_b"), *b), c("slot_a") == c("slot_b")).where("source_a < source_b") \
+        .groupBy(*pair).agg(*_sums(beyond("a", "b"), "to"), *_sums(beyond("b", "a"), "back"))
+    both = scratch.keep(both.select(*pair, _sum("to").alias("to"), _sum("back").alias("back")), "common")
+    common = both.select(*pair, c("to").alias("value")).union(
+        both.select("lang", "source_b", "source_a", c("back").alias("value")))
     ga = g.select("lang", c("source").alias("source_a"), "v", c("z").alias("z_a"))
     gb = g.select("lang", c("source").alias("source_b"), c("z").alias("z_b"))
     pairs = ga.join(gb, "lang").where("source_a <> source_b")
@@ -357,10 +384,10 @@ def divergence(groups: DataFrame, counts: DataFrame, words: DataFrame, top: int,
     shares = held.groupBy("lang", "source", "p").agg(F.first("z").alias("z"), F.count("*").alias("k"))
     own = shares.select("lang", c("source").alias("source_a"), c("p").alias("p_a"), c("z").alias("z_a"), "k") \
         .join(gb, "lang").where("source_a <> source_b").groupBy(*pair) \
-        .agg(exact(f"k * ({_apart('p_a', 'z_b')} - {_apart('z_a', 'z_b')})"))
+        .agg(*_sums(f"k * ({_apart('p_a', 'z_b')} - {_apart('z_a', 'z_b')})", "s")).select(*pair, _sum("s").alias("value"))
     other = shares.select("lang", c("source").alias("source_b"), c("p").alias("p_b"), c("z").alias("z_b"), "k") \
         .join(ga, "lang").where("source_a <> source_b").groupBy(*pair) \
-        .agg(exact(f"k * ({_apart('z_a', 'p_b')} - {_apart('z_a', 'z_b')})"))
+        .agg(*_sums(f"k * ({_apart('z_a', 'p_b')} - {_apart('z_a', 'z_b')})", "s")).select(*pair, _sum("s").alias("value"))
     summed = lacking.unionByName(common).unionByName(own).unionByName(other) \
         .groupBy(*pair).agg(F.sum("value").cast("long").alias("value"))
     by = W.partitionBy("lang", "source").orderBy(c("value").desc(), c("item"))
