@@ -66,6 +66,43 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as byte planes, low bytes first: the high planes compress well."""
+    size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([size]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first one, then the steps."""
+    return keys[:1].tobytes() + _planes(np.diff(keys))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), _from_planes(data[8:])]), dtype=np.uint64)
+
+
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes in order, the place of each code among them), as np.unique gives them; codes and
+    places are sorted as one number where they fit into it."""
+    bits = len(codes).bit_length()
+    if not len(codes) or int(codes.max()).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    both = np.sort(codes << bits | np.arange(len(codes)))
+    ordered = both >> bits
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(codes), np.int64)
+    place[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 def _records(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*(f.split(" ") for f in schema.split(", ")))
@@ -81,8 +118,13 @@ def _blocks(id_type: pa.DataType):
     """Rows of (doc_id, text, held_out) -> one row per block."""
     def close(part, k, ids, held, hashed, lengths):
         words, tokens = np.unique(np.concatenate(hashed), return_inverse=True)
+        # the commonest words first, so that most tokens are small numbers
+        common = np.argsort(-np.bincount(tokens), kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[common] = np.arange(len(words))
+        words, tokens = words[common], place[tokens]
         learnt = np.concatenate(lengths)[~np.array(held, bool)].sum()
-        values = [(part << 32) + k, ids, len(tokens), int(learnt), words.tobytes(), _pack(tokens),
+        values = [(part << 32) + k, ids, len(tokens), int(learnt), words.tobytes(), _planes(tokens),
                   _pack(np.concatenate(lengths)), _pack(~np.array(held, bool))]
         types = [pa.int64(), pa.list_(id_type), pa.int64(), pa.int64(), *[pa.binary()] * 4]
         names = ["block", "ids", "size", "learnt", "words", "tokens", "lengths", "train"]
@@ -130,7 +172,7 @@ class Block:
     def __init__(self, row: dict, min_count: int, cutoff: float):
         self.ids, self.min_count, self.cutoff = row["ids"], min_count, cutoff
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = _unpack(row["tokens"])
+        self.tokens = _from_planes(row["tokens"]).astype(np.int64)
         self.lengths = _unpack(row["lengths"])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = _unpack(row["train"]) == 1
@@ -139,6 +181,7 @@ class Block:
         # by context length: keys, own counts and counts of runs; retained contexts, their next tokens
         self.keys, self.owned, self.counts = [], [], []
         self.leads, self.kept, self.followers = [None], [None], [None]
+        self.run_contexts, self.examples, self._tested = [None], [None], {}
 
     # words
     def ask_words(self):
@@ -147,7 +190,7 @@ class Block:
     def words_known(self, i, x, y, lead):
         self.known = known = np.zeros(len(self.words), np.int64)
         known[i] = x
-        end = int(np.searchsorted(self.words, _END))
+        end = int(np.flatnonzero(self.words == _END)[0])
         # the start mark comes last; it stands once in every document, as the end does
         self.counts.append(np.append(known, known[end]))
         self.owned.append(np.append(self.own, self.own[end]))
@@ -158,23 +201,30 @@ class Block:
 
     def tested(self, d: int) -> np.ndarray:
         """Positions whose context of length d may be retained."""
+        if d in self._tested:
+            return self._tested[d]
         context = self.contexts[d]
         ok = context >= 0
         ok[ok] = self.counts[d - 1][context[ok]] >= self.min_count
         if d > 1:
             shorter = np.flatnonzero(ok)
             ok[shorter] = self.kept[d - 1][self.contexts[d - 1][shorter]]
+        self._tested[d] = ok
         return ok
 
     # runs of d context tokens and a next one
     def ask_runs(self, d: int):
         at = np.flatnonzero(self.tested(d) & (self.known[self.tokens] > 0))
         w = len(self.words)
-        codes, run = np.unique(self.contexts[d][at] * w + self.tokens[at], return_inverse=True)
+        codes, run = _numbered(self.contexts[d][at] * w + self.tokens[at])
         context, token = codes // w, codes % w
         own = np.bincount(run[self.learnt[at]], minlength=len(codes))
         self.keys.append(mix(self.keys[d - 1][context] * _STEP + self.words[token]))
         self.owned.append(own)
+        self.run_contexts.append(context)
+        example = np.empty(len(codes), np.int64)
+        example[run] = at                       # a position of each run
+        self.examples.append(example)
         place = np.full(len(self.tokens), -1)
         place[at] = run
         self.runs.append(place)
@@ -193,19 +243,26 @@ class Block:
         self.leads.append(first)
 
     # contexts of length d: their gain and their distinct next tokens
+    def asked_contexts(self, d: int):
+        """(keys, numbers) of the contexts of length d that are tested."""
+        there = np.zeros(len(self.keys[d - 1]), bool)
+        there[self.contexts[d][self.tested(d)]] = True
+        i = np.flatnonzero(there)
+        return mix(self.keys[d - 1][i] ^ _CONTEXT), i
+
     def ask_contexts(self, d: int, n: int, v: int):
-        context = self.contexts[d]
-        tested = np.flatnonzero(self.tested(d))
-        at = tested[self.learnt[tested]]
-        follows = self.counts[d][self.runs[d][at]] / self.counts[d - 1][context[at]]
-        nats = np.log(follows / self.predictions(d - 1, n, v)[at])
+        own, context = self.owned[d], self.run_contexts[d]
+        learnt = own > 0
+        # all occurrences of a run have one context, so one prediction without its first token
+        at = self.examples[d][learnt]
+        follows = self.counts[d][learnt] / self.counts[d - 1][context[learnt]]
+        nats = np.rint(np.log(follows / self.predictions(d - 1, n, v, at)) * (1 << GAIN_BITS))
         size = len(self.keys[d - 1])
-        gain = np.zeros(size, np.int64)
-        np.add.at(gain, context[at], np.rint(nats * (1 << GAIN_BITS)).astype(np.int64))
-        runs, where = np.unique(self.runs[d][at], return_index=True)
-        followers = np.bincount(context[at[where]][self.leads[d][runs]], minlength=size)
-        i = np.unique(context[tested])
-        return mix(self.keys[d - 1][i] ^ _CONTEXT), i, gain[i], followers[i]
+        # whole numbers far below 2**53, so the doubles are exact
+        gain = np.bincount(context[learnt], nats * own[learnt], minlength=size).astype(np.int64)
+        followers = np.bincount(context[self.leads[d]], minlength=size)
+        keys, i = self.asked_contexts(d)
+        return keys, i, gain[i], followers[i]
 
     def contexts_known(self, d: int, i, x, y, lead):
         size = len(self.keys[d - 1])
@@ -215,16 +272,18 @@ class Block:
         self.kept.append(kept)
         self.followers.append(follow)
 
-    def predictions(self, depth: int, n: int, v: int) -> np.ndarray:
-        """The probability of every token in its longest retained context of ``depth`` tokens at most."""
-        p = (self.known[self.tokens] + 1) / (n + v + 1)
+    def predictions(self, depth: int, n: int, v: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The probability of the tokens at the given positions (all), each in its longest retained context
+        of ``depth`` tokens at most."""
+        at = np.arange(len(self.tokens)) if at is None else at
+        p = (self.known[self.tokens[at]] + 1) / (n + v + 1)
         for d in range(1, depth + 1):
-            context, run = self.contexts[d], self.runs[d]
-            at = np.flatnonzero(self.tested(d))
-            at = at[self.kept[d][context[at]]]
-            c = np.where(run[at] >= 0, self.counts[d][run[at]], 0)
-            more = self.followers[d][context[at]]
-            p[at] = (c + more * p[at]) / (self.counts[d - 1][context[at]] + more)
+            some = np.flatnonzero(self.tested(d)[at])
+            some = some[self.kept[d][self.contexts[d][at[some]]]]
+            context, run = self.contexts[d][at[some]], self.runs[d][at[some]]
+            c = np.where(run >= 0, self.counts[d][run], 0)
+            more = self.followers[d][context]
+            p[some] = (c + more * p[some]) / (self.counts[d - 1][context] + more)
         return p
 
     def scores(self, depth: int, n: int, v: int) -> dict:
@@ -235,7 +294,7 @@ class Block:
                 "score": by(np.log10(self.predictions(depth, n, v)))}
 
 
-def _ask(block: Block, step: int, depth: int, n: int, v: int):
+def _ask(block: Block, step: int, n: int, v: int):
     """What a block asks in a round: the words, then runs and contexts of each length."""
     if step == 0:
         return block.ask_words()
@@ -243,6 +302,13 @@ def _ask(block: Block, step: int, depth: int, n: int, v: int):
     return block.ask_runs(d) if step % 2 else block.ask_contexts(d, n, v)
 
 
+def _asked(block: Block, step: int):
+    """(keys, numbers) of a round that has been answered."""
+    if step == 0:
+        return block.ask_words()[:2]
+    return block.ask_runs((step + 1) // 2)[:2] if step % 2 else block.asked_contexts(step // 2)
+
+
 def _learn(block: Block, step: int, *answer) -> None:
     if step == 0:
         block.words_known(*answer)
@@ -254,7 +320,7 @@ def _learn(block: Block, step: int, *answer) -> None:
 
 def _sorted_asks(keys: np.ndarray, buckets: int):
     """The order of the keys, and where each bucket's begin and end in it."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     bucket = ((keys[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     return order, [(int(bucket[a]), a, e) for a, e in zip(first, [*first[1:], len(order)])]
@@ -263,7 +329,7 @@ def _sorted_asks(keys: np.ndarray, buckets: int):
 def _asks(block_id: int, asked, buckets: int) -> pa.RecordBatch:
     keys, _, x, y = asked
     order, cuts = _sorted_asks(keys, buckets)
-    rows = [(k, block_id, keys[o].tobytes(), _pack(x[o]), _pack(y[o])) for k, o in ((k, order[a:e]) for k, a, e in cuts)]
+    rows = [(k, block_id, _pack_keys(keys[o]), _pack(x[o]), _pack(y[o])) for k, o in ((k, order[a:e]) for k, a, e in cuts)]
     return _records(_ASK, rows)
 
 
@@ -272,7 +338,7 @@ def _sum_buckets(step: int):
     def close(bucket, rows):
         keys = np.concatenate([k for _, k, _, _ in rows])
         x, y = (np.concatenate([r[c] for r in rows]) for c in (2, 3))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         head = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
         of = np.empty(len(keys), np.int64)
         of[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
@@ -296,7 +362,7 @@ def _sum_buckets(step: int):
                     yield close(at, rows)
                     rows = []
                 at = bucket
-                rows.append((block, np.frombuffer(keys, np.uint64), _unpack(x), _unpack(y)))
+                rows.append((block, _unpack_keys(keys), _unpack(x), _unpack(y)))
         if rows:
             yield close(at, rows)
     return run
@@ -326,7 +392,7 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, held_out: Column, d
         block = Block(row, min_count, cutoff)
         rows = sorted(answers.to_pylist(), key=lambda r: (r["round"], r["bucket"])) if answers is not None else []
         for k in range(step):
-            keys, i, _, _ = _ask(block, k, depth, n, v)
+            keys, i = _asked(block, k)
             own = [r for r in rows if r["round"] == k]
             x, y = (np.concatenate([np.zeros(0, np.int64), *[_unpack(r[c]) for r in own]]) for c in "xy")
             lead = np.concatenate([np.zeros(0, bool), *[
@@ -337,13 +403,13 @@ def suffix_tree_scores(spark: SparkSession, docs: DataFrame, held_out: Column, d
     def ask_first(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield _asks(row["block"], _ask(Block(row, min_count, cutoff), 0, depth, n, v), buckets)
+                yield _asks(row["block"], _ask(Block(row, min_count, cutoff), 0, n, v), buckets)
 
     def ask_again(step):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
             return pa.Table.from_batches(
-                [_asks(row["block"], _ask(opened(row, right, step), step, depth, n, v), buckets)])
+                [_asks(row["block"], _ask(opened(row, right, step), step, n, v), buckets)])
         return run
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -116,6 +116,21 @@ def test_packed_numbers_come_back(top):
     assert S._unpack(S._pack(x)).tolist() == x.tolist() and S._unpack(S._pack(x[:0])).tolist() == []
 
 
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_packed_keys_come_back(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+    assert S._unpack_keys(S._pack_keys(keys)).tolist() == keys.tolist()
+    assert S._from_planes(S._planes(keys)).tolist() == keys.tolist()
+
+
+@pytest.mark.parametrize("top", [5, 1 << 40, 1 << 60])
+def test_codes_are_numbered_as_unique_does(top):
+    codes = np.random.default_rng(top).integers(0, top, 500)
+    for got, want in zip(S._numbered(codes), np.unique(codes, return_inverse=True)):
+        assert got.tolist() == want.tolist()
+    assert [x.tolist() for x in S._numbered(codes[:0])] == [[], []]
+
+
 def test_blocks_hold_whole_documents(monkeypatch):
     import pyarrow as pa
 
