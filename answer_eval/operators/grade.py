@@ -9,6 +9,8 @@ expected rows reuses.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +24,10 @@ from answer_eval.functions.text import (
 MSG_NO_REPLY = "No reply recorded for this sample"
 
 
-# Parts of the participants in a product with the problems.
-PRODUCT_PARTS = 16
+# Pairs of one cell of a participants x problems product.
+CELL_PAIRS = 1 << 20
+# Positions generated from one row of a participant with a limit.
+RANGE = 4096
 # Columns that name one row of the problem table, best first.
 ROW_KEYS = ("example_id", "sample_num")
 
@@ -46,18 +50,70 @@ def row_key(key, *tables: DataFrame) -> list[str]:
 
 
 # J1 -----------------------------------------------------------------------
-def expected_rows(problems: DataFrame, participants: DataFrame) -> DataFrame:
+def grid(left: int, right: int, cell: int = CELL_PAIRS) -> tuple[int, int]:
+    """Parts of both sides of a product of ``left`` x ``right`` rows: cells of about ``cell`` pairs, with
+    the fewest copies (each left row once per right part, each right row once per left part)."""
+    cells = -(-left * right // cell)
+    if cells <= 1:
+        return 1, 1
+    a = min(left, max(1, round(math.sqrt(cells * left / right))))
+    b = min(right, -(-cells // a))
+    return min(left, -(-cells // b)), b
+
+
+def _all(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def _parts(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
+def expected_rows(problems: DataFrame, participants: DataFrame, n_problems: int | None = None,
+                  n_participants: int | None = None) -> DataFrame:
     """Every participant paired with every problem: exactly P x N output rows.
 
-    One way for any number of participants: they fall into ``PRODUCT_PARTS`` parts by hash,
-    a problem has one copy per part, and an equi-join on the part pairs them, so either
-    side may be the large one and no task gets all of a side.  Nothing runs before the
-    result is used.
-    """
-    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in participants.columns]), F.lit(PRODUCT_PARTS))
-    copies = problems.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                               F.lit(PRODUCT_PARTS - 1).cast("bigint"))))
-    return copies.join(participants.withColumn("_part", part), "_part").drop("_part")
+    Both sides are counted (unless the counts are given) and cut into parts so that a pair
+    of parts is one cell of about ``CELL_PAIRS`` pairs: the tasks grow with the product.  Every row has
+    one copy per part of the other side, and an equi-join on the cell pairs them, so either
+    side may be the large one and neither is collected."""
+    n = problems.count() if n_problems is None else n_problems
+    p = participants.count() if n_participants is None else n_participants
+    rows, columns = grid(max(1, n), max(1, p))
+    left = problems.withColumn("_row", F.pmod(_all(problems), F.lit(rows))).withColumn("_column", _parts(columns))
+    right = participants.withColumn("_column", F.pmod(_all(participants), F.lit(columns))) \
+        .withColumn("_row", _parts(rows))
+    return left.join(right, ["_row", "_column"]).drop("_row", "_column")
+
+
+def limited_rows(problems: DataFrame, participants: DataFrame, n_problems: int, num_col: str = "sample_num",
+                 limit_col: str = "max_examples") -> DataFrame:
+    """Every participant paired with as many of the first problems as its limit says: missing or
+    0 = all, N > 0 = the first N, N < 0 = all but the last |N|.  ``problems`` carry dense numbers from 1.
+
+    A limit is an interval of numbers from 1.  A participant whose interval is the whole table
+    goes into the product (``expected_rows``); for all others each position of the interval becomes
+    a row, and an equi-join on the number brings the problem: no pair beyond a limit is made.  Many
+    participants ask for the same first numbers, so the join has a second key, a part of the
+    participants, and the asked problems one copy per part."""
+    keyed = participants.withColumn("_take", F.expr(
+        f"CASE WHEN coalesce({limit_col}, 0) = 0 THEN {n_problems}L WHEN {limit_col} > 0 "
+        f"THEN least({limit_col}, {n_problems}L) ELSE greatest({n_problems}L + {limit_col}, 0L) END"))
+    whole, some = F.col("_take") == n_problems, (F.col("_take") > 0) & (F.col("_take") < n_problems)
+    facts = keyed.agg(F.count_if(whole).alias("whole"), F.count_if(some).alias("some"),
+                      F.max(F.when(some, F.col("_take"))).alias("longest")).first()
+    full = expected_rows(problems, keyed.filter(whole).drop("_take"), n_problems, facts["whole"])
+    if not facts["some"]:
+        return full
+    # at most CELL_PAIRS participants meet one copy of a problem
+    parts = -(-facts["some"] // CELL_PAIRS)
+    asked = keyed.filter(some).withColumn("_part", F.pmod(_all(participants), F.lit(parts))) \
+        .withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_take"), F.lit(RANGE).cast("bigint")))) \
+        .withColumn(num_col, F.explode(F.sequence("_from", F.least(F.col("_from") + (RANGE - 1), F.col("_take"))))) \
+        .drop("_take", "_from")
+    first = problems.filter(F.col(num_col) <= facts["longest"]).withColumn("_part", _parts(parts))
+    part = first.join(asked, [num_col, "_part"]).drop("_part")
+    return full.unionByName(part.select(*full.columns))
 
 
 # T10/T11 on replies ---------------------------------------------------------

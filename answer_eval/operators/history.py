@@ -8,7 +8,7 @@ its conversation up to that turn's position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.prompts import DIRECT_SYSTEM
@@ -18,6 +18,11 @@ from answer_eval.sources.problems import number_within
 TERMINAL_STATES = ("completed", "canceled", "failed", "rejected")
 
 
+def message_tie(role_col: str, text_col: str) -> Column:
+    """What orders messages of one conversation and turn, in the batch and in the stream."""
+    return F.xxhash64(F.col(role_col), F.col(text_col))
+
+
 # W4 -----------------------------------------------------------------------
 def conversation_history(log: DataFrame, system: str = DIRECT_SYSTEM, conv_col: str = "conv_id",
                          turn_col: str = "turn", role_col: str = "role",
@@ -25,19 +30,26 @@ def conversation_history(log: DataFrame, system: str = DIRECT_SYSTEM, conv_col:
     """Long-form history: (conv_id, position, role, content, turn).
 
     The agent puts its system message first only when the history is empty, i.e.
-    when the conversation's first logged message is not already a system message;
-    then every logged message in turn order.  Positions are 0-based and dense.
+    when the conversation's first logged message is not already a system message (a message
+    without a role is none); then every logged message in turn order, messages of one turn in
+    the order of ``message_tie``.  Positions are 0-based and dense.
     The per-conversation first role is one aggregate; numbering is the skew-safe
-    ``number_within`` (no whole conversation in one task).
+    ``number_within`` (no whole conversation in one task), whose join is the only shuffle of texts.
     """
-    first_role = log.groupBy(conv_col).agg(F.min_by(F.col(role_col), F.col(turn_col)).alias("_first"))
-    system_rows = first_role.filter(F.col("_first") != F.lit("system")).select(
+    return _positions(log, system, conv_col, turn_col, role_col, text_col, F.col(text_col))
+
+
+def _positions(log, system, conv_col, turn_col, role_col, text_col, content: Column) -> DataFrame:
+    tie = message_tie(role_col, text_col)
+    first_role = log.groupBy(conv_col).agg(
+        F.min_by(F.struct(F.col(role_col).alias("role")), F.struct(F.col(turn_col), tie)).alias("_first"))
+    system_rows = first_role.filter(~F.col("_first.role").eqNullSafe(F.lit("system"))).select(
         conv_col, F.lit(0).alias("_k"), F.lit(None).cast(log.schema[turn_col].dataType).alias(turn_col),
-        F.lit("system").alias("role"), F.lit(system).alias("content"))
-    rows = log.select(conv_col, F.lit(1).alias("_k"), turn_col,
-                      F.col(role_col).alias("role"), F.col(text_col).alias("content"))
+        F.lit(0).cast("bigint").alias("_tie"), F.lit("system").alias("role"), F.lit(system).alias("content"))
+    rows = log.select(conv_col, F.lit(1).alias("_k"), turn_col, tie.alias("_tie"),
+                      F.col(role_col).alias("role"), content.alias("content"))
     both = system_rows.unionByName(rows)
-    numbered = number_within(both, [conv_col], ["_k", turn_col], col_name="position", start=0)
+    numbered = number_within(both, [conv_col], ["_k", turn_col, "_tie"], col_name="position", start=0)
     return numbered.select(conv_col, "position", "role", "content", turn_col)
 
 
@@ -47,9 +59,8 @@ def conversation_prefixes(log: DataFrame, system: str = DIRECT_SYSTEM, conv_col:
     """For every user turn: how many messages were sent with it (system first if
     the history was empty, all earlier turns, then this one) -- the prefix of the
     long-form history ending at this turn.  (conv_id, turn, position, messages_sent)."""
-    # positions need no texts: none is shuffled for them
-    slim = log.select(conv_col, turn_col, role_col, F.lit(None).cast("string").alias(text_col))
-    hist = conversation_history(slim, system, conv_col, turn_col, role_col, text_col)
+    # positions need a hash of the texts only: none is shuffled for them
+    hist = _positions(log, system, conv_col, turn_col, role_col, text_col, F.lit(None).cast("string"))
     return (hist.filter(F.col("role") == F.lit("user"))
             .select(conv_col, turn_col, "position", (F.col("position") + 1).alias("messages_sent")))
 

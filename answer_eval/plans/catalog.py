@@ -7,6 +7,7 @@ Every query reads the driver's tables (through the stand-in builders of
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +21,7 @@ from answer_eval.operators import history as H
 from answer_eval.operators import metrics as M
 from answer_eval.operators.grade import expected_rows, grade, grade_inline
 from answer_eval.operators.score import score
+from answer_eval.plans import catalog_requests
 from answer_eval.plans import inputs as I
 from answer_eval.session import ensure_checkpoint_dir
 from answer_eval.sinks import report as K
@@ -444,7 +446,7 @@ SELECT story_id, premises, conclusion, coalesce({_strip('label')}, 'nan') AS exp
 """
 
 ANSWER_ROWS_SQL = """
-SELECT r.r_name AS participant, r.r_regionkey, d.doc_id AS story_id,
+SELECT r.r_name AS participant, r.r_regionkey, d.doc_id AS story_id, d.text,
        (d.doc_id * 7 + r.r_regionkey * 3) % 12 AS res
 FROM region r CROSS JOIN documents d WHERE (d.doc_id * 7 + r.r_regionkey * 3) % 12 <> 11
 """
@@ -453,7 +455,8 @@ _ANSWER_CASE = "CASE res " + " ".join(f"WHEN {k} THEN {_lit(v)}" for k, v in I._
 
 ANSWERS_SQL = f"""
 SELECT participant, story_id, CASE WHEN res = 10 THEN 'rpc failure' END AS error_message,
-       {_ANSWER_CASE} AS answer
+       CASE WHEN res = 9 THEN '' WHEN res < 9 THEN
+         text[:length(text) // 2] || chr(10) || {_ANSWER_CASE} || chr(10) || text[length(text) // 2 + 1:] END AS answer
 FROM ({ANSWER_ROWS_SQL})
 """
 
@@ -1004,6 +1007,10 @@ QUERIES: dict[str, QueryFn] = {
     "bench_big_log_report": q_bench_big_log_report,
 }
 
+for _module in (catalog_requests,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.oracles(sys.modules[__name__])
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLES.items() if v is not None and k in QUERIES}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 if __package__ in (None, ""):  # run as a script by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from answer_eval.operators.grade import expected_rows, grade, row_key  # noqa: E402
+from answer_eval.operators.grade import grade, limited_rows, row_key  # noqa: E402
 from answer_eval.operators.metrics import report  # noqa: E402
 from answer_eval.session import configure  # noqa: E402
 from answer_eval.sinks.report import results_json, results_text, write_results  # noqa: E402
@@ -53,8 +53,9 @@ def evaluate(problems: DataFrame, requests: DataFrame, answers: DataFrame, key=N
     ``label``; ``answers`` the decoded reply columns with the same key and the
     participant: by request_id and position if it has both, else by the participant's
     name.  Problems are numbered in the order of ``order_by`` (default: the file's order
-    where the table has it, else the key), and every request's limit is applied to
-    those numbers: missing or 0 = all, N > 0 = first N, N < 0 = all but the last |N|.
+    where the table has it, else the key), and every request's limit is an interval of
+    those numbers (``limited_rows``): missing or 0 = all, N > 0 = first N, N < 0 = all but the last |N|.
+    Pairs beyond a limit are never made.
     Participants are told apart by request and position, so equal names stay apart.  A
     request without participants yields no report rows and its error row.
     ``order_col`` picks the first of several replies to one row; without it a second
@@ -69,9 +70,7 @@ def evaluate(problems: DataFrame, requests: DataFrame, answers: DataFrame, key=N
         coerce_labels(problems, order_by=order_by).select(*given, *[c for c in order_by if c not in given], "expected"),
         list(order_by))
     gold = numbered.select(*given, "sample_num", "expected")
-    n, num = F.col("max_examples"), F.col("sample_num")
-    wanted = (n == 0) | ((n > 0) & (num <= n)) | ((n < 0) & (num <= F.lit(total) + n))
-    expected = expected_rows(gold, people.drop("agent_id")).filter(wanted).drop("max_examples")
+    expected = limited_rows(gold, people.drop("agent_id"), total).drop("max_examples")
     who = REQUEST_KEY if set(REQUEST_KEY) <= set(answers.columns) else ["participant"]
     graded = grade(expected, answers, key=key, participant_col=who, mode=mode, order_col=order_col)
     people = people.drop("max_examples")

@@ -62,7 +62,7 @@ def _answer_residue() -> Column:
 def _answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x region with the residue that picks each reply's shape;
     residue 11 has no reply at all (a missing answer)."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), "text")
     region = table(spark, sf_dir, "region").select(
         F.col("r_name").alias("participant"), "r_regionkey")
     pairs = expected_rows(docs, region)
@@ -77,14 +77,17 @@ def _answer_text(res: Column) -> Column:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat answer log: (participant, story_id, error_message, answer); residue 10
-    is an error reply, residue 11 is absent."""
+    """Flat answer log: (participant, story_id, error_message, answer).  An answer is the document's whole
+    text with a line spliced into its middle; residue 9 is an empty answer, 10 an error
+    reply, 11 is absent."""
     rows = _answer_rows(spark, sf_dir)
-    res = F.col("_res")
+    res, t, half = F.col("_res"), F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    spoken = F.concat(t.substr(F.lit(1), half), F.lit("\n"), _answer_text(res), F.lit("\n"),
+                      t.substr(half + 1, F.length(t)))
     return rows.select(
         "participant", "story_id",
         F.when(res == 10, F.lit("rpc failure")).alias("error_message"),
-        _answer_text(res).alias("answer"),
+        F.when(res == 9, F.lit("")).when(res < 9, spoken).alias("answer"),
     )
 
 
@@ -108,6 +111,40 @@ def spoken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("story_id"), answer.alias("answer"), output.alias("output"))
 
 
+def exam_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The problems with three examples per story: example_id is the document's, story_id its third."""
+    p = problems(spark, sf_dir)
+    return p.select(F.expr("story_id div 3").alias("story_id"), F.col("story_id").alias("example_id"), "label")
+
+
+def exam_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier rows -> JSON requests: a named participant, or two without names; a limit of some first
+    examples, of all but the last four, or none."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("request_id"))
+    k = F.col("request_id")
+    one = F.concat(F.lit('{"name":"agent-'), _s(k % 7), F.lit('","endpoint":"http://h/'), _s(k), F.lit('"}'))
+    two = F.lit('{"endpoint":"http://a"},{"endpoint":"http://b"}')
+    limit = F.when(k % 50 == 0, F.lit("null")).when(k % 50 == 1, F.lit("-4")).otherwise(_s(k % 40 + 1))
+    body = F.concat(F.lit('{"participants":['), F.when(k % 10 == 0, two).otherwise(one),
+                    F.lit('],"config":{"max_examples":'), limit, F.lit("}}"))
+    return s.select("request_id", body.alias("body"))
+
+
+def exam_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spoken answers of seven agents and of one without a name, some with a second, later reply:
+    (participant, example_id, seq, error_message, answer)."""
+    agents = F.array(*[F.struct(F.lit(i).alias("k"), F.lit("unknown" if i == 7 else f"agent-{i}").alias("participant"))
+                       for i in range(8)])
+    i, k, seq = F.col("example_id"), F.col("k"), F.col("seq")
+    d = spoken_answers(spark, sf_dir).select(F.col("story_id").alias("example_id"), "answer", F.explode(agents).alias("a"))
+    d = d.select("example_id", "answer", "a.*").filter((i + k) % 9 != 8) \
+        .withColumn("seq", F.explode(F.when(i % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    word = F.get(F.array(*[F.lit(x) for x in SPOKEN]), ((i + k * seq) % 8).cast("int"))
+    return d.select("participant", "example_id", "seq",
+                    F.when((i + k) % 10 == 7, F.lit("rpc failure")).alias("error_message"),
+                    F.when((seq == 1) & ((i + k) % 2 == 0), F.col("answer")).otherwise(word).alias("answer"))
+
+
 def answer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spoken answers as JSON envelopes: error objects, a non-success response
     kind, non-message results, replies without a text part, and messages whose first

@@ -1,17 +1,16 @@
-"""Problem tables: scan (S1), label coercion (T16), numbering (W1), first N (L1),
-result order (L2)."""
+"""Problem tables: scan (S1), label coercion (T16), result order (L2); numbering (W1) and the
+first N (L1) are in ``numbering``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from answer_eval.functions.text import py_strip
-from answer_eval.session import ensure_checkpoint_dir
+from answer_eval.sources.numbering import first_n, number_rows, number_samples, number_within  # noqa: F401
 
 # Declared problem schema in file column order, with the file's own header names
 # (the reader renames hyphens to underscores afterwards).
@@ -36,8 +35,6 @@ PANDAS_NA_VALUES = (
 REQUIRED_COLUMNS = ("premises", "conclusion", "label")
 FILE_ORDER = ("file_path", "file_row")
 
-_LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
-
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence through the Hadoop FileSystem (works for local, HDFS, object stores)."""
@@ -125,110 +122,7 @@ def coerce_labels(df: DataFrame, label_col: str = "label", out_col: str = "expec
     return out
 
 
-def _keys(order_by) -> list[Column]:
-    if isinstance(order_by, (str, Column)):
-        order_by = [order_by]
-    return [F.col(k) if isinstance(k, str) else k for k in order_by]
-
-
-def _tie_break(df: DataFrame) -> Column:
-    """A hash of the row's plain columns: equal order keys (a hot value) are spread over range
-    partitions by it, and their order does not depend on the input's partitions."""
-    plain = [F.col(f"`{f.name}`") for f in df.schema.fields
-             if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
-    return F.xxhash64(*plain)
-
-
-def number_rows(df: DataFrame, order_by, col_name: str = "sample_num",
-                start: int = 1) -> tuple[DataFrame, int]:
-    """Distributed dense numbering in ``order_by`` order; returns (df, row count).
-
-    Range-partition and sort (Spark's sampled bounds), tag each row with
-    ``monotonically_increasing_id`` (partition index << 33 | position), freeze that
-    with a reliable checkpoint so a recomputation after executor loss cannot
-    move rows between partitions, count rows per partition (one small row per
-    partition reaches the driver) and add the running offsets.  No window without
-    a partition key, no single-task sort.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = [*_keys(order_by), _tie_break(df)]
-    tagged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .withColumn("_rid", F.monotonically_increasing_id()))
-    frozen = tagged.checkpoint(eager=True)
-    per_part = (frozen.groupBy(F.shiftright(F.col("_rid"), 33).alias("_part"))
-                .agg(F.count(F.lit(1)).alias("_n")).collect())
-    counts = {int(r["_part"]): int(r["_n"]) for r in per_part}
-    total = sum(counts.values())
-    if not counts:
-        return frozen.drop("_rid").withColumn(col_name, F.lit(None).cast("bigint")), 0
-    offsets, running = [], 0
-    for part in range(max(counts) + 1):
-        offsets.append(running)
-        running += counts.get(part, 0)
-    offset_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    part_idx = F.shiftright(F.col("_rid"), 33).cast("int")
-    num = (F.element_at(offset_arr, part_idx + F.lit(1))
-           + F.col("_rid").bitwiseAND(F.lit(_LOW_BITS)) + F.lit(start))
-    return frozen.withColumn(col_name, num.cast("bigint")).drop("_rid"), total
-
-
-# W1 -----------------------------------------------------------------------
-def number_samples(df: DataFrame, order_by, col_name: str = "sample_num",
-                   start: int = 1) -> DataFrame:
-    """1-based sample numbers in row order (``order_by`` is the order key)."""
-    return number_rows(df, order_by, col_name=col_name, start=start)[0]
-
-
-# L1 -----------------------------------------------------------------------
-def first_n(df: DataFrame, n: int | None, order_by) -> DataFrame:
-    """pandas ``head(n)`` semantics after a full read.
-
-    None or 0 -> all rows; n > 0 -> first n in order; n < 0 -> all but the last |n|.
-    One way for every n: the rows are numbered distributedly and filtered, so no task
-    merges the first rows of all partitions.
-    """
-    if not n:
-        return df
-    keys = _keys(order_by)
-    numbered, total = number_rows(df, keys, col_name="_n", start=1)
-    keep = n if n > 0 else total + n
-    return numbered.filter(F.col("_n") <= F.lit(keep)).drop("_n")
-
-
 # L2 -----------------------------------------------------------------------
 def in_sample_order(df: DataFrame, col_name: str = "sample_num") -> DataFrame:
     """Input order at the sink: sort by the carried sample number."""
     return df.orderBy(F.col(col_name).asc_nulls_last())
-
-
-
-def number_within(df: DataFrame, group, order_by, col_name: str = "position",
-                  start: int = 0) -> DataFrame:
-    """``row_number() OVER (PARTITION BY group ORDER BY order_by)`` without
-    putting a whole group into one task.
-
-    Rows are range-partitioned on (group, order) -- a hot group is spread over
-    many partitions -- sorted, tagged with ``monotonically_increasing_id`` and
-    frozen by a reliable checkpoint.  Per (partition, group) segment we count rows
-    and take the first id; a running sum over the segments of a group (at most one
-    per partition, so bounded) gives each segment's offset.  Position = offset +
-    (id - first id of the segment) + start.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    group_cols = [group] if isinstance(group, str) else list(group)
-    keys = [*_keys(group_cols), *_keys(order_by), _tie_break(df)]
-    frozen = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-              .withColumn("_rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True)
-              .withColumn("_part", F.shiftright(F.col("_rid"), 33)))
-    seg = frozen.groupBy("_part", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
-                                                   F.min("_rid").alias("_first"))
-    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # The segment table is an aggregate stage: AQE measures its materialised size
-    # and broadcasts it only when that is below the broadcast threshold.
-    out = frozen.join(seg, ["_part", *group_cols], "inner")
-    pos = F.col("_off") + (F.col("_rid") - F.col("_first")) + F.lit(start)
-    return out.withColumn(col_name, pos.cast("bigint")).drop("_rid", "_part", "_first", "_off")

@@ -1,28 +1,39 @@
-"""Structured Streaming forms of the stateful operators.
+"""Structured Streaming forms of the stateful operators (``transformWithState``).
 
 X1 ``conversation_stream``: messages arrive per conversation; the output is the
 long-form history (same rows as the batch ``conversation_history``).  The state
 per conversation is one number (the next position; its presence means the history
 is not empty), not the message list, so a long conversation does not grow it.
 
-X2 ``gate_tasks_stream``: a task message passes unless a terminal state was seen
-for its task before it; state per task is one boolean.
+X2 ``gate_tasks_stream``: a task message passes unless a terminal state was seen for its
+task at a lower sequence number; state per task is the lowest terminal number so far.
 
-Within a micro-batch rows are ordered by turn / sequence inside the function;
-ordering across micro-batches is the source's duty (as it was the caller's).
+Rows of a key are taken as they arrive.  What a micro-batch brings of one key is held in memory
+up to ``HOLD`` rows and beyond that in the key's list state, so a key with a third of all
+rows needs memory for its order numbers only.
+
+Order.  Within a micro-batch messages are ordered by turn, then by a hash of role and text (the same
+rule as in the batch operator); across micro-batches X1 keeps the order of arrival, which is the
+source's duty (as it was the caller's).  X2 needs no order: a terminal message that
+arrives after later messages have passed can not take them back, but it passes itself, so
+``gate_tasks_batch`` over the stream's output gives the same rows as over all messages, in
+whatever order and batches they came.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from answer_eval.functions.prompts import DIRECT_SYSTEM
-from answer_eval.operators.history import TERMINAL_STATES
+from answer_eval.operators.history import TERMINAL_STATES, message_tie
+
+HOLD = 10_000           # rows of a key held in memory
+
 
 def _field(df: DataFrame, name: str) -> T.StructField:
     """The column's own type: ids may be numbers or strings."""
@@ -39,39 +50,68 @@ def history_schema(src: DataFrame) -> T.StructType:
     ])
 
 
-_HISTORY_STATE = T.StructType([
-    T.StructField("next_position", T.LongType()),
-])
-
-
-def _history_fn(system: str, timeout_ms: int | None):
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-        conv = key[0]
-        pos = int(state.get[0]) if state.exists else 0
-        prefix = []
-        if not state.exists and len(pdf) and pdf["role"].iloc[0] != "system":
+class _Held:
+    """One key's rows of a micro-batch, in the order of arrival; read once."""
+
+    def __init__(self, state):
+        self.state, self.rows, self.spilled = state, [], False
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= HOLD:
+            self.state.appendList(self.rows)
+            self.rows, self.spilled = [], True
+
+    def read(self) -> Iterator[tuple]:
+        if self.spilled:
+            yield from self.state.get()
+            self.state.clear()
+        yield from self.rows
+
+
+class _History(StatefulProcessor):
+    def __init__(self, system: str, timeout_ms: int | None, turn_type: T.DataType):
+        self.system, self.timeout_ms, self.turn_type = system, timeout_ms, turn_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", T.StructType([T.StructField("position", T.LongType())]))
+        self.held = handle.getListState("held", T.StructType([
+            T.StructField("turn", self.turn_type), T.StructField("role", T.StringType()),
+            T.StructField("text", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        conv, held, turns, ties, first = key[0], _Held(self.held), [], [], None
+        for row in rows:
+            turn = row["turn"]
+            order = (turn is not None, 0 if turn is None else turn, row["_tie"])     # nulls first
+            if first is None or order < first[0]:
+                first = (order, row["role"])
+            turns.append(order[:2])
+            ties.append(order[2])
+            held.add((turn, row["role"], row["text"]))
+        known = self.next.get() if self.next.exists() else None
+        start = known[0] if known else 0
+        if not known and first[1] != "system":
             # empty history and no logged system message: the agent's goes first
-            prefix = [(conv, 0, "system", system, None)]
-            pos = 1
-        n = len(pdf)
-        out = pd.DataFrame({
-            "conv_id": [conv] * n,
-            "position": list(range(pos, pos + n)),
-            "role": pdf["role"].tolist(),
-            "content": pdf["text"].tolist(),
-            "turn": pdf["turn"].tolist(),
-        })
-        if prefix:
-            out = pd.concat([pd.DataFrame(prefix, columns=out.columns), out], ignore_index=True)
-        state.update((pos + n,))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield out.astype({"position": "int64"})
-    return fn
+            yield Row(conv_id=conv, position=0, role="system", content=self.system, turn=None)
+            start = 1
+        place = np.empty(len(turns), np.int64)
+        place[sorted(range(len(turns)), key=lambda i: (turns[i], ties[i]))] = np.arange(start, start + len(turns))
+        for i, (turn, role, text) in enumerate(held.read()):
+            yield Row(conv_id=conv, position=int(place[i]), role=role, content=text, turn=turn)
+        self.next.update((start + len(turns),))
+        if self.timeout_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.next.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def conversation_stream(stream: DataFrame, system: str = DIRECT_SYSTEM,
@@ -80,50 +120,64 @@ def conversation_stream(stream: DataFrame, system: str = DIRECT_SYSTEM,
     long-form history rows.
 
     ``timeout_ms`` forgets a conversation idle for that long (its next message
-    starts a new history).  It uses processing-time timeouts, for which Spark keeps
+    starts a new history).  It uses processing-time timers, for which Spark keeps
     scheduling (no-data) micro-batches: run such a query continuously (default or
     processing-time trigger), not with ``availableNow``, which would never end.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     src = stream.select("conv_id", "turn", "role", "text")
-    return src.groupBy("conv_id").applyInPandasWithState(
-        _history_fn(system, timeout_ms), history_schema(src), _HISTORY_STATE, "append", timeout)
-
-
-_GATE_STATE = T.StructType([T.StructField("terminal_seen", T.BooleanType())])
-
-
-def _gate_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
-    seen = bool(state.get[0]) if state.exists else False
-    final = pdf["state"].isin(TERMINAL_STATES)
-    # a message passes if no message before it was terminal
-    passes = final.cumsum() - final == 0
-    state.update((seen or bool(final.any()),))
-    yield pdf[passes & (not seen)][["task_id", "seq", "state"]]
+    processor = _History(system, timeout_ms, src.schema["turn"].dataType)
+    return src.withColumn("_tie", message_tie("role", "text")).groupBy("conv_id").transformWithState(
+        processor, history_schema(src), "Append", "ProcessingTime" if timeout_ms else "None")
+
+
+class _Gate(StatefulProcessor):
+    def __init__(self, seq_type: T.DataType):
+        self.seq_type = seq_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        seq = T.StructField("seq", self.seq_type)
+        self.first_terminal = handle.getValueState("first_terminal", T.StructType([seq]))
+        self.held = handle.getListState("held", T.StructType([seq, T.StructField("state", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.first_terminal.get()[0] if self.first_terminal.exists() else None
+        low, held = known, _Held(self.held)
+        for row in rows:
+            seq, state = row["seq"], row["state"]
+            if state in TERMINAL_STATES and seq is not None and (low is None or seq < low):
+                low = seq
+            held.add((seq, state))
+        for seq, state in held.read():
+            if low is None or (seq is not None and seq <= low):
+                yield Row(task_id=key[0], seq=seq, state=state)
+        if low != known:
+            self.first_terminal.update((low,))
+
+    def close(self) -> None:
+        pass
 
 
 def gate_tasks_stream(stream: DataFrame) -> DataFrame:
-    """X2: (task_id, seq, state) stream -> messages that pass the gate."""
+    """X2: (task_id, seq, state) stream -> messages that pass the gate as far as it is known; see the
+    module docstring for messages that come late."""
     src = stream.select("task_id", "seq", "state")
-    return src.groupBy("task_id").applyInPandasWithState(
-        _gate_fn, T.StructType([_field(src, "task_id"), _field(src, "seq"), T.StructField("state", T.StringType())]),
-        _GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    schema = T.StructType([_field(src, "task_id"), _field(src, "seq"), T.StructField("state", T.StringType())])
+    return src.groupBy("task_id").transformWithState(_Gate(src.schema["seq"].dataType), schema, "Append", "None")
 
 
-def _uses_processing_time_timeout(df: DataFrame) -> bool:
+def _uses_processing_time(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().logical().toString()
-    return "ProcessingTimeTimeout" in plan
+    return "TransformWithState" in plan and ", ProcessingTime," in plan
 
 
 def run_to_table(stream_result: DataFrame, out_path: str, checkpoint_path: str) -> None:
     """Run a stateful stream over everything available (availableNow) into a
     Parquet sink and wait for it; read the result back with ``spark.read``.
 
-    Streams with processing-time timeouts never finish under availableNow (Spark
+    Streams with processing-time timers never finish under availableNow (Spark
     schedules no-data batches for them forever) and are refused here."""
-    if _uses_processing_time_timeout(stream_result):
-        raise ValueError("processing-time timeouts need a continuously running query; "
+    if _uses_processing_time(stream_result):
+        raise ValueError("processing-time timers need a continuously running query; "
                          "start it with writeStream yourself instead of run_to_table")
     q = (stream_result.writeStream.format("parquet").outputMode("append")
          .option("path", out_path).option("checkpointLocation", checkpoint_path)

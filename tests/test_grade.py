@@ -1,10 +1,13 @@
 """Grading and metrics against a plain-Python model of the evaluator."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from answer_eval.operators import metrics as M
-from answer_eval.operators.grade import expected_rows, grade
+from answer_eval.operators import grade as G
+from answer_eval.operators.grade import CELL_PAIRS, expected_rows, grade, grid, limited_rows
 from answer_eval.sources.answers import decode_flat
 from answer_eval.sources.problems import coerce_labels
 
@@ -173,6 +176,47 @@ def test_expected_rows_of_any_number_of_participants(spark, n):
     assert all(r.participant == f"p{r.info.x}" for r in rows)
 
 
+@pytest.mark.parametrize("left, right", [(1, 1), (10, 1), (1, 5000), (2000, 3000), (10_000_000, 10_000), (3, 10 ** 9)])
+def test_cells_of_a_product_are_bounded_and_copies_few(left, right):
+    rows, columns = grid(left, right)
+    assert 1 <= rows <= left and 1 <= columns <= right
+    assert rows * columns >= left * right / (2 * CELL_PAIRS)
+    copies = left * columns + right * rows
+    assert copies <= 3 * (left + right) + 4 * math.sqrt(left * right * math.ceil(left * right / CELL_PAIRS))
+
+
+def test_a_product_of_many_cells_has_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(G, "CELL_PAIRS", 40)
+    probs, parts = spark.range(30).select(F.col("id").alias("example_id")), spark.range(50).select(F.col("id").alias("p"))
+    joined = expected_rows(probs, parts)
+    assert sorted(map(tuple, joined.collect())) == [(i, p) for i in range(30) for p in range(50)]
+    assert joined.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_limits_make_no_pair_beyond_them(spark, monkeypatch):
+    limits = [None, 0, 1, 2, 7, 10, 11, 10 ** 12, -1, -9, -10, -11] * 3
+    probs = spark.range(1, 11).selectExpr("id AS sample_num", "id * 7 AS example_id")
+    people = spark.createDataFrame(list(enumerate(limits)), "who long, max_examples long")
+    monkeypatch.setattr(G, "RANGE", 3)
+    for cell in (4, 1 << 20):
+        monkeypatch.setattr(G, "CELL_PAIRS", cell)
+        got = sorted((r.who, r.sample_num, r.example_id) for r in limited_rows(probs, people, 10).collect())
+        want = [(k, i, i * 7) for k, n in enumerate(limits)
+                for i in (range(1, 11) if not n else range(1, 11)[:n])]
+        assert got == sorted(want)
+
+
+def test_fifty_small_limits_generate_their_pairs_only(spark):
+    """50 requests of 2 examples on 2,000 problems: 100 rows leave the generator, none is filtered later."""
+    probs = spark.range(1, 2001).selectExpr("id AS sample_num", "id AS example_id")
+    people = spark.range(50).selectExpr("id AS who", "2L AS max_examples")
+    out = limited_rows(probs, people, 2000)
+    assert out.count() == 100
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    after_join = plan[:plan.index("Join")]
+    assert "Filter" not in after_join and "Cartesian" not in plan and "sample_num" in plan
+
+
 def test_dedupe_by_order_column_on_both_plans(spark, frames):
     probs, parts, answers = frames
     first = answers.withColumn("seq", F.lit(1))

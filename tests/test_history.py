@@ -94,6 +94,50 @@ def test_task_gate_batch_equals_stream_and_model(spark, tmp_dir):
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("task_id", "seq", "state").collect()) == batch
 
 
+def _stream(spark, batches, schema, folder, op):
+    """The batches as one micro-batch each, through ``op`` into a sink; its rows."""
+    import time
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(folder, "src"))
+        time.sleep(1.1)         # the file source orders by modification time
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(folder, "src"))
+    out = os.path.join(folder, "out")
+    ST.run_to_table(op(src), out, os.path.join(folder, "ck"))
+    return spark.read.parquet(out)
+
+
+def test_conversations_with_ties_and_null_roles_stream_as_in_batch(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(ST, "HOLD", 3)         # most rows of a key go through its list state
+    rows = [(1, 0, None, "no role"), (1, 1, "user", "a"), (2, 5, "user", "x"), (2, 5, "user", "y"), (2, 5, "system", "z"),
+            (3, 0, "system", "own"), (3, 1, "user", None), (4, None, "user", "no turn"), (4, 0, "assistant", "b")]
+    rows += [(7, t, ("user", "assistant")[t % 2], f"m{t}") for t in range(40, 0, -1)]
+    schema = "conv_id long, turn long, role string, text string"
+    cols = ["conv_id", "position", "role", "content", "turn"]
+    batch = H.conversation_history(spark.createDataFrame(rows, schema), "SYS").select(cols)
+    got = _stream(spark, [rows], schema, tmp_dir, lambda s: ST.conversation_stream(s, "SYS"))
+    want = sorted(map(repr, batch.collect()))
+    assert sorted(map(repr, got.select(cols).collect())) == want
+    assert "Row(conv_id=1, position=0, role='system', content='SYS', turn=None)" in want
+    pre = H.conversation_prefixes(spark.createDataFrame(rows, schema), "SYS").drop("messages_sent").collect()
+    users = [(r.conv_id, r.turn, r.position) for r in batch.collect() if r.role == "user"]
+    assert sorted(map(repr, map(tuple, pre))) == sorted(map(repr, users))
+
+
+def test_gate_of_late_and_tied_messages_settles_to_the_batch_result(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(ST, "HOLD", 2)
+    first = [(1, 4, "working"), (1, 4, "completed"), (1, 4, "submitted"), (1, 9, "failed"), (2, 7, "working"), (3, 1, "failed")]
+    second = [(2, 5, "completed"), (2, 6, "working"), (1, 2, "rejected"), (1, 3, "working"), (3, 1, "working"),
+              (4, None, "completed"), (4, 1, "working")]
+    schema = "task_id long, seq long, state string"
+    want = sorted(map(repr, H.gate_tasks_batch(spark.createDataFrame(first + second, schema)).collect()))
+    got = _stream(spark, [first, second], schema, tmp_dir, ST.gate_tasks_stream)
+    assert sorted(map(repr, H.gate_tasks_batch(got).collect())) == want
+    # what came in order needs no settling: nothing beyond a known terminal message has passed
+    rows = set(map(tuple, got.collect()))
+    assert (1, 9, "failed") not in rows and (1, 3, "working") not in rows and (2, 6, "working") not in rows
+    assert {(1, 4, "working"), (1, 4, "completed"), (1, 4, "submitted"), (3, 1, "working")} <= rows
+
+
 def test_open_and_skip_finished(spark):
     tasks = spark.createDataFrame([(1, 1, "completed"), (1, 2, "working"), (2, 1, "failed"), (3, 1, "working")],
                                   "task_id long, seq long, state string")

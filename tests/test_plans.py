@@ -39,5 +39,5 @@ def test_bench_log_scan_is_pruned(spark):
 
 def test_flagship_never_materialises_expected_rows(spark):
     plan = E.queries()["a6_report_compact"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
-    # the only Generate is the stand-in answer log's; the report itself explodes nothing
-    assert plan.count("Generate") <= 1
+    # the only Generates are the stand-in answer log's (one per side); the report itself explodes nothing
+    assert plan.count("Generate") <= 2
