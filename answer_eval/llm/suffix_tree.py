@@ -54,27 +54,39 @@ _ASK = "bucket int, block long, keys binary, x binary, y binary"
 _ANSWER = "round int, block long, bucket int, fresh long, x binary, y binary, lead binary"
 
 
+_CODEC = "zstd"
+
+
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, after its length: what is kept and shuffled are entropy-coded bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, _CODEC, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), _CODEC, asbytes=True)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers in the fewest bytes each that hold them all, after a byte that says how many."""
     for kind in (np.int8, np.int16, np.int32):
         if len(x) == 0 or (x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max):
-            return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
-    return b"\x08" + x.astype(np.int64).tobytes()
+            return bytes([np.dtype(kind).itemsize]) + _squeezed(x.astype(kind).tobytes())
+    return b"\x08" + _squeezed(x.astype(np.int64).tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(_restored(data[1:]), f"i{data[0]}").astype(np.int64)
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Whole numbers from 0 as byte planes, low bytes first: the high planes compress well."""
     size = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([size]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+    return bytes([size]) + _squeezed(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes())
 
 
 def _from_planes(data: bytes) -> np.ndarray:
     size = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1)
+    planes = np.frombuffer(_restored(data[1:]), np.uint8).reshape(size, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :size] = planes.T
     return out.reshape(-1).view("<u8")
