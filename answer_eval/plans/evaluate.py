@@ -28,9 +28,9 @@ if __package__ in (None, ""):  # run as a script by spark-submit
 from answer_eval.operators.grade import grade, limited_rows, row_key  # noqa: E402
 from answer_eval.operators.metrics import report  # noqa: E402
 from answer_eval.session import configure  # noqa: E402
-from answer_eval.sinks.report import results_json, results_text, write_results  # noqa: E402
-from answer_eval.sources.answers import decode_envelope, read_answers  # noqa: E402
-from answer_eval.sources.problems import FILE_ORDER, coerce_labels, number_rows, read_problems  # noqa: E402
+from answer_eval.sinks.report import json_parts, text_parts, write_parts, write_results  # noqa: E402
+from answer_eval.sources.answers import broken_counts, decode_envelope, read_answer_log, read_answers  # noqa: E402
+from answer_eval.sources.problems import FILE_ORDER, coerce_labels, number_rows, number_samples, read_problems  # noqa: E402
 from answer_eval.sources.requests import parse_requests  # noqa: E402
 
 
@@ -83,7 +83,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--problems-format", default="csv")
     ap.add_argument("--answers", required=True)
     ap.add_argument("--answers-format", default="parquet")
-    ap.add_argument("--request", required=True, help="file holding the request text (JSON or tags)")
+    ap.add_argument("--request", required=True, help="request texts (JSON or tags): a file, a folder of files, or a table "
+                    "(request_id, body)")
+    ap.add_argument("--request-format", default="text", help="text (one request per file) or the table's format")
     ap.add_argument("--out", required=True)
     ap.add_argument("--mode", default="substring", choices=("substring", "last_line"))
     ap.add_argument("--key", help="row key of problems and answers (default: example_id, else sample_num)")
@@ -93,9 +95,18 @@ def main(argv: list[str] | None = None) -> None:
     spark = configure(SparkSession.builder.appName("answer_eval").getOrCreate())
     problems = read_problems(spark, args.problems, fmt=args.problems_format,
                              file_order=args.problems_format == "csv")
-    request = (spark.read.text(args.request, wholetext=True)
-               .select(F.lit(0).cast("bigint").alias("request_id"), F.col("value").alias("body")))
-    answers = decode_envelope(read_answers(spark, args.answers, fmt=args.answers_format))
+    if args.request_format == "text":       # one request per file
+        files = spark.read.text(args.request, wholetext=True).select(
+            F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("body"))
+        request = number_samples(files, "file_path", col_name="request_id", start=0).select("request_id", "body")
+    else:
+        request = spark.read.format(args.request_format).load(args.request).select("request_id", "body")
+    broken = None
+    if args.answers_format == "json":
+        log, broken = read_answer_log(spark, args.answers)
+    else:
+        log = read_answers(spark, args.answers, fmt=args.answers_format)
+    answers = decode_envelope(log)
     ev = evaluate(problems, request, answers, key=args.key, mode=args.mode, order_col=args.reply_order)
     out = args.out.rstrip("/")
     # graded once: the report is made from the written rows, the documents from the written report
@@ -103,9 +114,13 @@ def main(argv: list[str] | None = None) -> None:
     graded = spark.read.schema(ev.graded.schema).parquet(f"{out}/results")
     report(graded, ev.people, by=REQUEST_KEY).write.mode("overwrite").parquet(f"{out}/report")
     written = spark.read.parquet(f"{out}/report")
-    results_json(written, order_col="position").write.mode("overwrite").text(f"{out}/report_json")
-    results_text(written, order_col="position").write.mode("overwrite").text(f"{out}/report_text")
+    write_parts(json_parts(written, REQUEST_KEY), f"{out}/report_json")
+    write_parts(text_parts(written, REQUEST_KEY), f"{out}/report_text")
     ev.errors.write.mode("overwrite").json(f"{out}/request_errors")
+    if broken is not None:
+        broken.write.mode("overwrite").json(f"{out}/answer_errors")
+        written = spark.read.schema(broken.schema).json(f"{out}/answer_errors")
+        broken_counts(written).write.mode("overwrite").json(f"{out}/answer_error_counts")
 
 
 if __name__ == "__main__":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from answer_eval.functions.text import LABELS, format_fixed, format_percent, right_align
 from answer_eval.operators.metrics import REPORT_COLUMNS
+from answer_eval.sources.numbering import number_rows
 
 # ---------------------------------------------------------------------------
 # Layout of the per-participant text block, in output order.
@@ -110,6 +111,45 @@ def results_text(report: DataFrame, order_col="id", by: str | None = None) -> Da
     return agg.select(*([by] if by else []), text.alias("text"))
 
 
+# K1 / K2 for any number of participants -----------------------------------
+def _parts(bodies: DataFrame, order: list[str], text: Column, head: Column, foot: Column) -> DataFrame:
+    """(part, text): the numbered bodies between part 0 and the last part."""
+    numbered, n = number_rows(bodies, order, col_name="part", start=1)
+    ends = bodies.sparkSession.range(2).select(
+        F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(n + 1)).cast("bigint").alias("part"),
+        F.when(F.col("id") == 0, head(n)).otherwise(foot(n)).alias("text"))
+    return numbered.select("part", text(n).alias("text")).unionByName(ends).filter(F.col("text").isNotNull())
+
+
+def json_parts(report: DataFrame, order_col="id") -> DataFrame:
+    """``results_json`` as numbered lines (part, text): an opening line, a line per participant in the order
+    of ``order_col``, a closing line.  Read in order of ``part`` they are the document; one
+    participant is its own row alone, none are an empty list."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    fields = F.struct(*[c for c in REPORT_COLUMNS if c in report.columns])
+    bodies = report.select(*order, F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+    comma = lambda n: F.when(F.col("part") < n, F.concat("json", F.lit(","))).otherwise(F.col("json"))
+    return _parts(bodies, order, comma, lambda n: F.lit(None if n == 1 else '{"data":['),
+                  lambda n: F.lit(None if n == 1 else "]}"))
+
+
+def text_parts(report: DataFrame, order_col="id") -> DataFrame:
+    """``results_text`` as numbered parts (part, text); the parts joined by line feeds are the document."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    blocks = participant_text(report, [c for c in order if c != "id"])
+    # every part ends with a line feed, which the joining one stands for
+    cut = lambda c: F.regexp_replace(c, r"\n\z", "")
+    return _parts(blocks, order, lambda n: cut(F.col("text")), lambda n: cut(F.lit(f"{TEXT_HEADER}{n}{TEXT_AGENTS}")),
+                  lambda n: cut(F.lit(TEXT_FOOTER)))
+
+
+def write_parts(parts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes parts as lines of text files: the files in the order of their names, one after the other, are
+    the document.  Parts are range-partitioned by number, so the writing is distributed."""
+    (parts.repartitionByRange("part").sortWithinPartitions("part").select("text")
+     .write.mode(mode).text(path))
+
+
 # K3 -----------------------------------------------------------------------
 def write_results(graded: DataFrame, path: str, mode: str = "overwrite",
                   participant_col: str = "participant", key: str | None = None,

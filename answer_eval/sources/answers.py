@@ -47,7 +47,8 @@ UNKNOWN_ERROR = "Unknown error"
 # S2 -----------------------------------------------------------------------
 def read_answers(spark: SparkSession, path: str, fmt: str = "parquet",
                  schema: T.StructType | None = None) -> DataFrame:
-    """Scan an answer log (Parquet by default; JSON lines with a declared schema)."""
+    """Scan an answer log (Parquet by default; JSON lines with a declared schema).  A JSON line that can not
+    be read becomes a row of nulls; ``read_answer_log`` tells such lines apart."""
     reader = spark.read
     if fmt == "json":
         reader = reader.schema(schema or ANSWER_LOG_SCHEMA)
@@ -56,6 +57,45 @@ def read_answers(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.format(fmt).load(path)
 
 
+# Our wording for log lines that give no reply.
+ERR_NOT_JSON = "The line is no JSON object of the log's schema"
+ERR_NO_PARTICIPANT = "The line names no participant"
+ERR_NO_KEY = "The line names no problem row"
+
+
+def read_answer_log(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                    key=("example_id", "sample_num", "story_id"),
+                    participant_col: str = "participant") -> tuple[DataFrame, DataFrame]:
+    """A JSON-lines answer log -> (answers, broken lines).
+
+    answers: the rows that name a participant and, in one of the ``key`` columns that the schema has, a
+    problem row.  broken lines: file_path, line (its whole text) and error, for every other line
+    that is not blank: it is cut off or otherwise no JSON, a value does not fit the schema, or it
+    can not be joined to anything.  Lines are parsed map-side, in splits of a file; nothing
+    is shuffled, and neither output fails at a broken line."""
+    schema = schema or ANSWER_LOG_SCHEMA
+    keys = [k for k in ([key] if isinstance(key, str) else key) if k in schema.names]
+    if not keys:
+        raise ValueError("the schema has no key column")
+    raw, row = "_line", "_row"
+    whole = T.StructType([*schema.fields, T.StructField(raw, T.StringType())])
+    lines = spark.read.text(path).filter(py_strip(F.col("value")) != F.lit("")).select(
+        F.col("_metadata.file_path").alias("file_path"), "value",
+        F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": raw}).alias(row))
+    r = F.col(row)
+    error = (F.when(r.isNull() | r[raw].isNotNull() | ~F.ltrim("value").startswith("{"), F.lit(ERR_NOT_JSON))
+             .when(r[participant_col].isNull(), F.lit(ERR_NO_PARTICIPANT))
+             .when(F.coalesce(*[r[k].cast("string") for k in keys]).isNull(), F.lit(ERR_NO_KEY)))
+    answers = lines.filter(error.isNull()).select(*[r[n].alias(n) for n in schema.names])
+    broken = lines.filter(error.isNotNull()).select("file_path", F.col("value").alias("line"), error.alias("error"))
+    return answers, broken
+
+
+def broken_counts(broken: DataFrame) -> DataFrame:
+    """Broken lines per file and error: (file_path, error, lines)."""
+    return broken.groupBy("file_path", "error").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def _first_text(parts: Column) -> Column:
     texts = F.filter(parts, lambda p: p["kind"] == F.lit("text"))
     return F.try_element_at(texts, F.lit(1))

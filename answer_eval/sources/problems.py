@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answer_eval.functions.text import py_strip
+from answer_eval.sources.csv_records import read_csv
 from answer_eval.sources.numbering import first_n, number_rows, number_samples, number_within  # noqa: F401
 
 # Declared problem schema in file column order, with the file's own header names
@@ -58,7 +59,7 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
                   na_values: Sequence[str] | None = None, file_order: bool = False) -> DataFrame:
     """Read the first existing candidate path as a problem table.
 
-    CSV: header row, quoted multi-line fields (``multiLine`` + ``escape='"'``), columns by
+    CSV: header row, quoted multi-line fields (``csv_records``: a file is read by many tasks), columns by
     their header names in any order, read as text and cast to the declared type
     (never inferred: a True/False label column would become BOOLEAN).  A declared
     column that the header lacks is NULL, but ``REQUIRED_COLUMNS`` must be there;
@@ -68,16 +69,16 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str], fmt: str = "c
     underscores, lower-cased (premises-FOL -> premises_fol).
 
     ``file_order`` adds the columns of ``FILE_ORDER``: the file's path and a number that
-    grows with the row's place in its file (a multi-line CSV file is read by one task),
+    grows with the row's place in its file,
     the order key for numbering and for the first N in the order of the file.
     """
     candidates = [paths] if isinstance(paths, str) else list(paths)
     path = first_existing(spark, candidates)
     reader = spark.read
     if fmt == "csv":
-        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        if file_order:
-            df = _with_file_order(df)
+        df = read_csv(spark, path)
+        if not file_order:
+            df = df.drop(*FILE_ORDER)
         if schema is not None:
             lacking = [c for c in REQUIRED_COLUMNS if c in schema.names and c not in df.columns]
             if lacking:

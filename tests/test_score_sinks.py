@@ -113,3 +113,73 @@ def test_leaderboard_and_write(spark, tmp_dir):
     K.write_results(graded, path)
     assert {"participant=a", "participant=b"} <= set(os.listdir(path))
     assert spark.read.parquet(path).count() == 2
+
+
+def _asked(folder):
+    return sorted(f.split("~")[0] for f in os.listdir(folder))
+
+
+def _noting(folder, seconds=0.0):
+    """An answerer that leaves a file per call."""
+    def answerer(prompt):
+        import os
+        import time
+        import uuid
+        open(os.path.join(folder, f"{prompt}~{uuid.uuid4().hex}"), "w").close()
+        time.sleep(seconds)
+        return prompt
+    return answerer
+
+
+def test_never_more_calls_at_once_than_the_bound(spark, tmp_dir):
+    df = spark.range(40).selectExpr("id", "concat('p', id) AS prompt").repartition(13)
+    out = score(df, _noting(tmp_dir, 0.05), calls_per_task=2, max_concurrency=5).collect()
+    assert len(out) == 40 and {r.answer for r in out} == {f"p{i}" for i in range(40)}
+    steps = sorted([(r.started_at, 1) for r in out] + [(r.ended_at, -1) for r in out])
+    at, most = 0, 0
+    for _, step in steps:
+        at += step
+        most = max(most, at)
+    assert 1 < most <= 5
+    assert score(df, _noting(tmp_dir), calls_per_task=9, max_concurrency=3).rdd.getNumPartitions() == 1
+
+
+def test_a_ledger_is_asked_before_the_answerer(spark, tmp_dir):
+    import threading
+    import types
+    notes, ledger = os.path.join(tmp_dir, "notes"), os.path.join(tmp_dir, "ledger")
+    os.makedirs(notes)
+    df = spark.range(30).selectExpr("id", "concat('p', id % 20) AS prompt", "id % 3 AS example_id")
+    cols = ["id", "prompt", "example_id", "reply_status", "answer", "error"]
+    first = score(df, _noting(notes), partitions=3, ledger=ledger, ledger_every=4).select(cols).collect()
+    assert len(first) == 30 and len(_asked(notes)) == 30             # a call per row, not per prompt
+    # a job started again, and a task that is run again, ask nothing
+    again = score(df, _noting(notes), partitions=2, ledger=ledger, ledger_every=4)
+    assert sorted(again.select(cols).collect()) == sorted(first) and len(_asked(notes)) == 30
+    # a part of the record is lost: only that is asked again
+    root = os.path.join(ledger, "replies")
+    lost = sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs)[0]
+    with open(lost) as f:
+        n = len(f.read().splitlines())
+    os.remove(lost)
+    assert sorted(again.select(cols).collect()) == sorted(first) and len(_asked(notes)) == 30 + n
+    assert threading and types
+
+
+def test_documents_in_parts_read_back_as_one(spark, tmp_dir):
+    for n in (0, 1, 7):
+        report = M.report(spark.createDataFrame(
+            [(f"p{i}", "True", "True", "ok", None, True) for i in range(n)],
+            "participant string, expected string, predicted string, status string, error string, correct boolean"))
+        whole = K.results_json(report).first().json if n else '{"data":[]}'
+        for parts, name in ((K.json_parts(report), "json"), (K.text_parts(report), "text")):
+            path = os.path.join(tmp_dir, f"{name}{n}")
+            K.write_parts(parts, path)
+            files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+            doc = "".join(open(os.path.join(path, f)).read() for f in files)
+            if name == "json":
+                assert json.loads(doc) == json.loads(whole)
+                assert [r.part for r in parts.orderBy("part").collect()] == \
+                    ([1] if n == 1 else list(range(n + 2)))
+            elif n:
+                assert doc == K.results_text(report).first().text

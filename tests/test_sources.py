@@ -6,7 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from answer_eval.sources import answers as A
 from answer_eval.sources import problems as S
+from answer_eval.sources.csv_records import read_csv
 from answer_eval.sources.answers import decode_envelope, decode_flat
 from answer_eval.sources.requests import MSG_NO_PARTICIPANTS, parse_requests
 
@@ -219,3 +221,60 @@ def test_bodies_with_very_long_strings(spark):
     parts, errors = parse_requests(spark.createDataFrame(rows, "request_id long, body string"))
     assert sorted((r.request_id, len(r.name)) for r in parts.collect()) == [(1, 1_000_000), (2, 500_000)]
     assert sorted(r.request_id for r in errors.collect()) == [3, 4]
+
+
+def test_broken_log_lines_are_kept_with_their_text(spark, tmp_path):
+    good = [json.dumps({"participant": "a", "example_id": 1, "envelope": {"response_kind": "error"}}),
+            json.dumps({"participant": "b", "sample_num": 4, "more": [1], "envelope": None}),
+            "  " + json.dumps({"participant": "", "story_id": 0}) + " "]
+    cut = good[0][:40]
+    bad = [(cut, A.ERR_NOT_JSON), ("[1, 2]", A.ERR_NOT_JSON), ('"text"', A.ERR_NOT_JSON), ("null", A.ERR_NOT_JSON),
+           ('{"participant":"a","example_id":"x"}', A.ERR_NOT_JSON), ("é{}", A.ERR_NOT_JSON),
+           ('{"example_id":3}', A.ERR_NO_PARTICIPANT), ('{"participant":"c"}', A.ERR_NO_KEY), ("{}", A.ERR_NO_PARTICIPANT)]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join(good + ["", " \t "] + [x for x, _ in bad[:4]]))
+    (tmp_path / "log" / "b.json").write_text("\n".join(x for x, _ in bad[4:]) + "\n")
+    answers, broken = A.read_answer_log(spark, str(tmp_path / "log"))
+    assert [f.name for f in answers.schema.fields] == [f.name for f in A.ANSWER_LOG_SCHEMA.fields]
+    assert sorted((r.participant, r.example_id, r.sample_num, r.story_id) for r in answers.collect()) == \
+        sorted([("a", 1, None, None), ("b", None, 4, None), ("", None, None, 0)], key=repr)
+    assert sorted((r.line, r.error) for r in broken.collect()) == sorted(bad)
+    counts = {(r.file_path[-6:], r.error): r.lines for r in A.broken_counts(broken).collect()}
+    assert counts[("a.json", A.ERR_NOT_JSON)] == 4 and sum(counts.values()) == len(bad)
+    only, _ = A.read_answer_log(spark, str(tmp_path / "log"), key="example_id")
+    assert only.count() == 1
+
+
+def _nasty_csv(rng, n):
+    fields = ["plain", "", '"quoted"', '"two\nlines"', '"a ""quote"" in\n\n""it"""', '"comma, and\r\nmore"', 'in"ner quote',
+              '""', '"\n"', "é ünï", '"junk" behind', "1"]
+    rows = [",".join(rng.choice(fields) for _ in range(3)) for _ in range(n)]
+    return "a,b-c,d\n" + "\n".join(r for r in rows) + "\n"
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_csv_in_many_splits_reads_as_in_one(spark, tmp_path, size):
+    import random
+    rng = random.Random(size)
+    (tmp_path / "f").mkdir()
+    texts = [_nasty_csv(rng, 120), "a,b-c,d\n" + '"' + "x\n" * 90 + '",1,"end"', "a,b-c,d", 'a,b-c,d\r\n1,"2\r\n3",4\r\n\r\n5,,6']
+    for k, text in enumerate(texts):
+        (tmp_path / "f" / f"{k}.csv").write_text(text, newline="")
+    path = str(tmp_path / "f")
+    want = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    want = sorted(map(repr, map(tuple, want.collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = read_csv(spark, path)
+        rows = df.collect()
+        order = [r for r in df.orderBy("file_path", "file_row").collect() if r.file_path.endswith("0.csv")]
+        splits = spark.read.text(path).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(repr(tuple(r)[:3]) for r in rows) == want
+    assert size > 64 or splits > 10
+    one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path + "/0.csv").collect()
+    assert [tuple(r)[:3] for r in order] == [tuple(r) for r in one]
+    assert len({(r.file_path, r.file_row) for r in rows}) == len(rows)
