@@ -33,6 +33,7 @@ a long text is a block of its own.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from answer_eval.llm.common import Scratch, WordHash, mix, prepare, utf8, word_spans
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20
 GAIN_BITS = 16
 _HASH = WordHash(13)
@@ -129,7 +130,7 @@ def _lower(raw: np.ndarray) -> np.ndarray:
 def _blocks(id_type: pa.DataType):
     """Rows of (doc_id, text, held_out) -> one row per block."""
     def close(part, k, ids, held, hashed, lengths):
-        words, tokens = np.unique(np.concatenate(hashed), return_inverse=True)
+        tokens, words = pd.factorize(np.concatenate(hashed))
         # the commonest words first, so that most tokens are small numbers
         common = np.argsort(-np.bincount(tokens), kind="stable")
         place = np.empty(len(words), np.int64)
