@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from answer_eval.llm.common import prepare, same
+from answer_eval.llm.common import prepare
 
 OPEN, BODY, END_BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 ASSISTANT = "assistant"
@@ -129,15 +129,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """What an output says when it is read again: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars.  The text under the mask is that of the assistant turns."""
-    c = F.col
-    line = F.concat(c("p.role"), F.lit("\n"), c("p.text"), F.lit("\n"))
-    parts = read_back(formatted).groupBy("conv_id").agg(
-        F.count("p").alias("n_turns"),
-        F.array_sort(F.collect_list(F.struct("k", line.alias("x")))).alias("lines"),
-        F.array_sort(F.collect_list(F.when(c("p.role") == ASSISTANT, F.struct("k", c("p.text").alias("x"))))).alias("loss"))
-    joined = lambda x: F.array_join(F.transform(x, lambda y: y["x"]), "")
-    sizes = formatted.select(c("conv_id").alias("id"), F.char_length("formatted").cast("long").alias("formatted_chars"))
-    return parts.join(sizes, same((c("conv_id"), c("id")))).select(
-        "conv_id", "n_turns", F.sha2(joined("lines"), 256).alias("turns_sha256"),
-        F.char_length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"),
-        "formatted_chars")
+    def digest(turns):
+        lines = F.transform(turns, lambda p: F.concat(p["role"], F.lit("\n"), p["text"], F.lit("\n")))
+        loss = F.array_join(F.transform(F.filter(turns, lambda p: p["role"] == ASSISTANT), lambda p: p["text"]), "")
+        return F.struct(
+            F.size(F.filter(turns, lambda p: p.isNotNull())).cast("long").alias("n_turns"),
+            F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+            F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"))
+
+    # a conversation is one row and stays one: its turns are parsed once, as the argument of a lambda
+    turns = F.transform(split_turns(F.col("formatted")), parse_turn)
+    return formatted.select("conv_id", F.transform(F.array(turns), digest)[0].alias("d"),
+                            F.char_length("formatted").cast("long").alias("formatted_chars")) \
+        .select("conv_id", "d.*", "formatted_chars")

@@ -31,7 +31,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """The session settings the operators rely on (idempotent)."""
     configure(spark)
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:       # a user's own setting stays
+            spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -11,8 +11,10 @@ linked if their cosine, in double precision, is at least ``threshold``.
    defaults p = 0.851 and a pair of cosine 0.93 is missed by all tables with
    probability 0.0009, one of 0.95 with 0.00003.
 3. Keys with two classes or more are compared exactly, as matrix products of blocks of
-   ``BLOCK`` members.  A pair counts in the first table that it shares, so it counts
-   once.  A block pair emits a row per member that found links: how many vectors they
+   ``BLOCK`` members.  Classes that are close share many tables, often as the same set: of keys
+   with equal members (two 64-bit checksums and the number) only the first table's is compared.
+   A pair counts in the first table that it shares, so it counts
+   once; that table's set can not be one of an earlier table.  A block pair emits a row per member that found links: how many vectors they
    stand for, and the least id they tie it to; pairs are never written.
 4. The ties give components.
 
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from answer_eval.llm.common import Scratch, mix, prepare
 from answer_eval.llm.components import components
@@ -38,21 +41,23 @@ TABLES, PROJECTIONS, WIDTH = 64, 14, 2.0
 BLOCK = 1024
 
 
-def _vectors(batches):
-    """(vec_id, label, embedding) to the components' bytes (double) and their digest, null where
-    a vector can't be linked."""
-    for b in batches:
-        vecs, digests = [], []
-        for label, v, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(0).to_pylist()):
-            x = None
-            if label is not None and key is not None and v and None not in v:
-                x = np.asarray(v, np.float64)
-                x = x.tobytes() if np.isfinite(x).all() and x.any() else None
-            vecs.append(x)
-            digests.append(hashlib.md5(x).digest() if x else None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(vecs, pa.binary()), pa.array(digests, pa.binary())],
-            names=["vec_id", "label", "vec", "digest"])
+def _vectors(kind):
+    """(vec_id, label, embedding) to the components' bytes, in their own precision, and their digest,
+    null where a vector can't be linked."""
+    def rows(batches):
+        for b in batches:
+            vecs, digests = [], []
+            for label, v, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(0).to_pylist()):
+                x = None
+                if label is not None and key is not None and v and None not in v:
+                    x = np.asarray(v, kind)
+                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
+                vecs.append(x)
+                digests.append(hashlib.md5(x).digest() if x else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(vecs, pa.binary()), pa.array(digests, pa.binary())],
+                names=["vec_id", "label", "vec", "digest"])
+    return rows
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,8 +66,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
-    return np.stack([np.frombuffer(column[int(k)].as_buffer(), np.float64) for k in rows])
+def _matrix(column: pa.Array, rows: np.ndarray, kind) -> np.ndarray:
+    return np.stack([np.frombuffer(column[int(k)].as_buffer(), kind) for k in rows]).astype(np.float64)
 
 
 def table_keys(unit: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
@@ -77,17 +82,17 @@ def table_keys(unit: np.ndarray, tables: int, projections: int, width: float) ->
     return key
 
 
-def _keys(tables: int, projections: int, width: float):
+def _keys(tables: int, projections: int, width: float, kind):
     """(cid, label, rep, m, vec) to those and the table keys, the label and size mixed in."""
     def rows(batches):
         for b in batches:
-            size = np.array([len(v) // 8 for v in b.column(4).to_pylist()], np.int64)
+            size = np.array([len(v) // np.dtype(kind).itemsize for v in b.column(4).to_pylist()], np.int64)
             label = np.array([int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little")
                               for x in b.column(1).to_pylist()], np.uint64)
             keys = np.zeros((b.num_rows, tables), np.uint64)
             for n in np.unique(size):
                 own = np.flatnonzero(size == n)
-                keys[own] = table_keys(_unit(_matrix(b.column(4), own)), tables, projections, width)
+                keys[own] = table_keys(_unit(_matrix(b.column(4), own, kind)), tables, projections, width)
             keys = mix(keys + (mix(label) ^ size.astype(np.uint64))[:, None])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables),
                                              pa.array(keys.view(np.int64).ravel()))
@@ -95,7 +100,7 @@ def _keys(tables: int, projections: int, width: float):
     return rows
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind):
     """Input sorted by (key, i, j): members (table, part, class, rep, m, vec, keys) of one block
     pair.  Emits (class, links, rep, root)."""
     def one(rows):
@@ -108,7 +113,7 @@ def _compare(threshold: float):
         left, right = every[part == i], every[part == j]
         if not len(left) or not len(right):
             return None
-        unit = _unit(_matrix(rows.column(8), every))
+        unit = _unit(_matrix(rows.column(8), every, kind))
         a, b = np.nonzero(unit[left] @ unit[right].T >= threshold)
         a, b = left[a], right[b]
         if i == j:
@@ -168,8 +173,9 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float =
     scratch = Scratch(spark, "embedding-dedup")
     c = F.col
     kind = vectors.schema["label"].dataType.simpleString()
+    number = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
     v = scratch.keep(vectors.select(c("vec_id").cast("long"), "label", "embedding").mapInArrow(
-        _vectors, f"vec_id long, label {kind}, vec binary, digest binary"), "vectors")
+        _vectors(number), f"vec_id long, label {kind}, vec binary, digest binary"), "vectors")
     usable = v.where("digest is not null")
     reps = scratch.keep(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")),
                         "reps")
@@ -177,10 +183,12 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float =
         .dropDuplicates(["label", "digest"]) \
         .select(F.xxhash64("label", "digest").alias("cid"), "label", "rep", "m", "vec")
     classes = scratch.keep(heads.mapInArrow(
-        _keys(tables, projections, width), f"cid long, label {kind}, rep long, m long, vec binary, keys array<long>"), "classes")
+        _keys(tables, projections, width, number), f"cid long, label {kind}, rep long, m long, vec binary, keys array<long>"), "classes")
 
     every = classes.select("cid", F.posexplode("keys").alias("t", "key"))
-    full = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1") \
+    sums = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"sum{k}") for k in (0, 1)]
+    full = every.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), *sums).where("n > 1") \
+        .groupBy("n", "sum0", "sum1").agg(F.min_by("key", F.struct("t", "key")).alias("key")) \
         .select("key", F.ceil(c("n") / BLOCK).cast("int").alias("parts"))
     members = every.join(scratch.keep(full, "keys"), "key") \
         .withColumn("part", F.pmod(F.xxhash64("cid"), c("parts")).cast("int")) \
@@ -189,7 +197,9 @@ def embedding_dedup(spark: SparkSession, vectors: DataFrame, threshold: float =
     pairs = members.join(classes.select("cid", "rep", "m", "vec", "keys"), "cid") \
         .select("key", "i", "j", "t", "part", "cid", "rep", "m", "vec", "keys") \
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.keep(pairs.mapInArrow(_compare(threshold), "cid long, links long, rep long, root long"), "found")
+    found = scratch.keep(pairs.mapInArrow(_compare(threshold, number), "cid long, links long, rep long, root long"), "found")
+    for t in ("classes", "keys"):
+        scratch.drop(t)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     ties = found.where("rep <> root").select(c("rep").alias("u"), c("root").alias("v"))
     # a vec_id that stands in several classes ties them together

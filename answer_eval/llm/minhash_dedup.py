@@ -317,12 +317,16 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, num: int = 80, den: int
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.keep(pairs, "second")
     more = scratch.keep(confirmed(pairs), "links-second")
+    for t in ("places", "sketches", "texts", "first", "places-comp", "open", "second"):
+        scratch.drop(t)
     joined = links.union(more)
     # rows that repeat a doc_id with other texts tie their classes together
     own = usable.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct()
     several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     ties = own.join(several, "doc_id").where("rep <> lo").select(c("lo").alias("u"), c("rep").alias("v"))
     roots = components(spark, joined.union(ties), scratch)
+    for t in ("links-first", "links-second"):
+        scratch.drop(t)
     class_root = reps.join(roots, c("rep") == c("node"), "left") \
         .select(c("digest").alias("of"), F.coalesce("root", "rep").alias("root"))
     return signed.join(class_root, (c("digest") == c("of")) & c("doc_id").isNotNull() & (c("n_shingles") > 0), "left") \

@@ -11,10 +11,11 @@ times its source's size, and the excess is reshared by weight among the others.
 * Slots.  A source with target t has slots for round(t) words: whole epochs over all
   of its blocks, then an epoch that stops at the last word due.  Every slot draws its
   output shard, so that the source counts of a shard are a multinomial draw given
-  the totals.
-* Permutation.  Slot k of an epoch holds block ``n - 1 + a (k - n + 1) mod n``, where ``a``
-  is a power of a prime above n, drawn by source and epoch: a permutation of the n
-  block numbers that leaves the short block last.
+  the totals (``mix_shards``); a document's first shard is in the report.
+* Permutation.  Slot k of an epoch holds the block that a swap-or-not shuffle maps k to: in each of
+  ``ROUNDS`` rounds, drawn by source and epoch, a block number x and its partner (key - x) mod n
+  change places or not, as a hash of the larger one says.  Every round swaps pairs, so this
+  is a permutation for any n, and its rounds backwards give the slot of the short last block.
 * Join.  Slots meet the documents' pieces by (source, block); a document's taken words
   are the sum over its pieces.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from answer_eval.llm.common import WORD, Scratch, columns, prepare, same
 
 WEIGHTS = (5, 2, 1)
-PRIME = (1 << 61) - 1
+ROUNDS = 40
 CHUNK_DOCS = 2000       # documents of a source summed together
 RANGE = 16384           # slots generated from one row
 
@@ -85,6 +86,16 @@ def layout(sized: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return d.join(sums, ["sid", "chunk"]).withColumn("start", c("base") + c("inside")).drop("base", "inside")
 
 
+def shuffled(x: Column, n: Column, *seed: Column, back: bool = False) -> Column:
+    """The place of x in a pseudorandom permutation of 0 .. n - 1 (``back``: of its inverse)."""
+    def swap(at, r):
+        partner = F.pmod(F.pmod(F.xxhash64(*seed, r), n) - at, n)
+        return F.when(F.xxhash64(F.greatest(at, partner), *seed, r) % 2 == 0, partner).otherwise(at)
+
+    rounds = F.array(*[F.lit(r) for r in (range(ROUNDS - 1, -1, -1) if back else range(ROUNDS))])
+    return F.aggregate(rounds, x.cast("long"), swap)
+
+
 def slots(sources: DataFrame, block: int, seed: int, shard_slots: int, partitions: int) -> DataFrame:
     """(sid, epoch, slot, shard, block, words): one row per slot; ``words`` is how many words of
     its block it takes."""
@@ -94,23 +105,25 @@ def slots(sources: DataFrame, block: int, seed: int, shard_slots: int, partition
     s = sources.where("source_size > 0").select(
         "sid", "source_size", n.alias("n"), F.expr("CAST(round(target) AS BIGINT) div source_size").alias("full"),
         F.pmod(quota, c("source_size")).alias("rest"))
-    s = s.withColumn("k", c("full") * c("n") + F.ceil(c("rest") / block)) \
+    draw = [F.lit(seed), c("sid")]
+    # the last epoch: one slot more may be due, where the short block is among those before
+    s = s.withColumn("k", c("full") * c("n") + F.least(c("n"), F.when(c("rest") > 0, F.ceil(c("rest") / block) + 1)
+                                                       .otherwise(0))) \
         .withColumn("shards", F.ceil(F.sum("k").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-                                     / shard_slots))
+                                     / shard_slots)) \
+        .withColumn("short_slot", shuffled(c("n") - 1, c("n"), *draw, c("full"), back=True)) \
+        .withColumn("lacking", c("n") * block - c("source_size"))
     ranges = s.where("k > 0").withColumn("r", F.explode(F.sequence(F.lit(0), F.ceil(c("k") / RANGE) - 1)))
     every = ranges.repartition(partitions, "sid", "r").withColumn(
         "slot", F.explode(F.sequence(c("r") * RANGE, F.least((c("r") + 1) * RANGE, c("k")) - 1)))
-    e = every.withColumn("epoch", F.expr("slot div n")).withColumn("t", F.pmod("slot", "n"))
-    big = lambda x: x.cast("decimal(19,0)")  # noqa: E731  products beyond 64 bits
-    power = F.pmod(F.xxhash64(F.lit(seed), "sid", "epoch"), F.lit(8)) + 1
-    a = F.aggregate(F.sequence(F.lit(1).cast("long"), power), F.lit(1).cast("decimal(19,0)"),
-                    lambda x, _: F.pmod(x * F.lit(PRIME).cast("decimal(19,0)"), big(c("n"))).cast("decimal(19,0)"))
-    at = F.pmod(big(c("n") - 1) + F.pmod(big(a) * big(c("t") - c("n") + 1), big(c("n"))), big(c("n")))
-    length = F.least(F.lit(block), c("source_size") - c("t") * block)
-    due = F.when(c("epoch") < c("full"), length).otherwise(F.least(length, c("rest") - c("t") * block))
+    e = every.withColumn("epoch", F.expr("slot div n")).withColumn("t", F.pmod("slot", "n")) \
+        .withColumn("block", shuffled(c("t"), c("n"), *draw, c("epoch")))
+    length = F.lit(block) - F.when(c("block") == c("n") - 1, c("lacking")).otherwise(0)
+    before = c("t") * block - F.when(c("t") > c("short_slot"), c("lacking")).otherwise(0)
+    due = F.when(c("epoch") < c("full"), length).otherwise(F.least(length, c("rest") - before))
     return e.select("sid", "epoch", "slot",
                     F.pmod(F.xxhash64(F.lit(seed + 1), "sid", "slot"), c("shards")).alias("shard"),
-                    at.cast("long").alias("block"), due.cast("long").alias("words"))
+                    c("block").cast("long").alias("block"), due.cast("long").alias("words")).where("words > 0")
 
 
 def pieces(laid: DataFrame, block: int) -> DataFrame:
@@ -130,6 +143,7 @@ def _plan(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int, se
     sized = scratch.keep(_sized(docs), "sized")
     sources = scratch.keep(source_targets(sized, weights, max_epochs), "sources")
     laid = scratch.keep(layout(sized, sources, block), "laid")
+    scratch.drop("sized")
     c = F.col
     p = pieces(laid, block).select("sid", "chunk", "row", "start", "block", "lo", "hi")
     s = slots(sources, block, seed, shard_slots, parts)
@@ -144,14 +158,28 @@ def _plan(spark: SparkSession, docs: DataFrame, scratch: Scratch, block: int, se
 def mix_report(spark: SparkSession, docs: DataFrame, block: int = 64, seed: int = 0, shard_slots: int = 4096,
                weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
     """One row per row of docs (doc_id, text, source): doc_id, size, source_size, target (its
-    source's) and taken, in words."""
+    source's) and taken, in words, and first_shard, the least output shard that gets words of it (null:
+    none)."""
     prepare(spark)
     scratch = Scratch(spark, "mixing")
     laid, taken = _plan(spark, docs, scratch, block, seed, shard_slots, weights, max_epochs)
     keys = ["sid", "chunk", "row"]
-    sums = taken.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    sums = taken.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("shard").alias("first_shard"))
     return laid.join(sums, keys, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "first_shard")
+
+
+def mix_shards(spark: SparkSession, docs: DataFrame, block: int = 64, seed: int = 0, shard_slots: int = 4096,
+               weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
+    """What each output shard holds of each source: (shard, source, slots, words)."""
+    prepare(spark)
+    scratch = Scratch(spark, "mixing")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sources = scratch.keep(source_targets(_sized(docs), weights, max_epochs), "sources")
+    drawn = slots(sources, block, seed, shard_slots, parts).groupBy("shard", "sid") \
+        .agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
+    return drawn.join(sources.select("sid", "source"), "sid").select("shard", "source", "slots", "words")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, block: int = 64, seed: int = 0, shard_slots: int = 4096,
@@ -171,10 +199,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, block: int = 64, seed: i
     row = docs.select(F.struct(*columns(docs)).alias("row"), docs["doc_id"].alias("id"),
                       F.xxhash64(docs["text"]).alias("t")).groupBy("id", "t").agg(F.first("row").alias("row"))
     words = F.regexp_extract_all(c("row.text"), F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform(
-        "ranges", lambda r: F.slice("words", (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " ")
-    both = due.join(row, same((c("k"), c("id")), (c("tag"), c("t")))) \
-        .withColumn("words", F.when(c("ranges").isNotNull(), words))
+    # a lambda's argument is worked out once, so a text is split once for all of its ranges
+    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
+        "ranges", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " "))[0]
+    both = due.join(row, same((c("k"), c("id")), (c("tag"), c("t"))))
     text = F.when(c("ranges").isNull(), c("row.text")).otherwise(part)
     new = {"text": text, "source": c("src")}
     return both.select(*[new.get(x, c("row").getField(x)).alias(x) for x in docs.columns])

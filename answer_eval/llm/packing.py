@@ -240,6 +240,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, tokenizer_path: str |
         .withColumn("at", place).withColumn("part", F.shiftright("at", 33).cast("int"))
         .withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), "ranked") \
         .select("doc_id", "piece", "start", "length", "ids_crc32", "part", "at")
+    scratch.drop("pieces")
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}
     sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0

@@ -1,5 +1,6 @@
 """Packing, personal data, chat, embeddings, quality, mixing and fingerprints against plain versions."""
 
+import math
 import re
 import sys
 import zlib
@@ -386,6 +387,63 @@ def test_slots_are_a_permutation_of_blocks_per_epoch(spark):
     assert len({r.shard for r in rows if r.sid == 0}) > 5 and not [r for r in rows if r.sid == 2]
 
 
+def test_block_numbers_are_shuffled_for_every_count(spark):
+    from pyspark.sql import functions as F
+    c, seed = F.col, [F.lit(3), F.col("n")]
+    sizes = [*range(1, 200), 1021, 4096, 10000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").repartition(8) \
+        .withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), c("n") - 1)))
+    df = df.withColumn("y", X.shuffled(c("x"), c("n"), *seed)).withColumn("z", X.shuffled(c("y"), c("n"), *seed, back=True))
+    out = {r.n: r for r in df.groupBy("n").agg(
+        F.count_distinct("y").alias("hit"), F.min("y").alias("low"), F.max("y").alias("high"),
+        F.count_if(c("x") == c("y")).alias("fixed"), F.count_if(c("x") == c("z")).alias("back"),
+        F.corr("x", "y").alias("corr")).collect()}
+    for n, r in out.items():
+        assert (r.hit, r.low, r.high, r.back) == (n, 0, n - 1, n)
+        assert n < 8 or r.fixed < n / 2
+        assert n < 1000 or abs(r["corr"]) < 0.15
+    # the counts of blocks whose shuffle was the identity before
+    for n in (90, 225225):
+        few = spark.range(0, n, max(1, n // 500)).withColumn("y", X.shuffled(c("id"), F.lit(n).cast("long"), F.lit(0)))
+        assert few.where("id <> y").count() > 0.9 * few.count()
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_words_taken_of_each_document_follow_the_slots(spark, block):
+    from answer_eval.llm.common import Scratch
+    docs = K.frame(spark, K.documents())
+    sized = X._sized(docs)
+    sources = Scratch(spark, "test").keep(X.source_targets(sized), "sources")
+    laid = X.layout(sized, sources, block).collect()
+    slots = X.slots(sources, block, 0, 50, 4).collect()
+    want, shards = Counter(), {}
+    for d in laid:
+        key = (d.doc_id, d["size"], d.sid)
+        got = [(min(d.start + d["size"], s.block * block + s.words) - max(d.start, s.block * block), s.shard)
+               for s in slots if s.sid == d.sid]
+        got = [(n, shard) for n, shard in got if n > 0]
+        want[key, sum(n for n, _ in got), min((x for _, x in got), default=None)] += 1
+    sid = {(r.source_size, round(r.target, 6)): r.sid for r in sources.collect()}
+    out = X.mix_report(spark, docs, block=block, shard_slots=50).collect()
+    assert Counter(((r.doc_id, r["size"], sid[r.source_size, round(r.target, 6)]), r.taken, r.first_shard)
+                   for r in out) == want
+    table = X.mix_shards(spark, docs, block=block, shard_slots=50).collect()
+    assert sum(r.slots for r in table) == len(slots) and sum(r.words for r in table) == sum(s.words for s in slots)
+    assert len({r.shard for r in table}) > 1
+
+
+def test_long_texts_are_mixed_in_linear_time(spark):
+    import time
+    seconds = []
+    for n in (20_000, 80_000):
+        rows = [(k, " ".join(f"w{i * 7 % 1000}" for i in range(n)), f"s{k % 3}") for k in range(4)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        start = time.time()
+        X.mix_documents(spark, df).write.format("noop").mode("overwrite").save()
+        seconds.append(time.time() - start)
+    assert seconds[1] < 4 * seconds[0] + 8
+
+
 def test_mixing_nothing(spark):
     assert X.mix_report(spark, K.frame(spark, [])).collect() == []
     assert X.mix_documents(spark, K.frame(spark, [])).collect() == []
@@ -393,21 +451,50 @@ def test_mixing_nothing(spark):
 
 # -- fingerprints ----------------------------------------------------------
 
+def plain_digest(text):
+    """Byte by byte: triplets of every four bytes, quartile codes, logarithmic length."""
+    data = text.encode()
+    x, counts = [2, *data, 3], [0] * 256
+    for i in range(len(x)):
+        for second, third, factor in ((1, 2, 0x9E3779B1), (1, 3, 0x85EBCA77), (2, 3, 0xC2B2AE3D)):
+            if i + third < len(x):
+                counts[((x[i] << 16 | x[i + second] << 8 | x[i + third]) * factor % 2 ** 32) >> 24] += 1
+    order = sorted(counts)
+    codes = [sum(c > order[64 * q - 1] for q in (1, 2, 3)) for c in counts]
+    size = min(255, round(math.log(len(data) + 1) / math.log(1.1)))
+    return size, codes
+
+
+def plain_hex(digest):
+    size, codes = digest
+    four = [codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, 256, 4)]
+    return bytes([size, *four]).hex()
+
+
+def plain_likeness(a, b):
+    steps = sum(abs(x - y) for x, y in zip(a[1], b[1])) + min(32, abs(a[0] - b[0]))
+    return 1 - min(steps, 320) / 320
+
+
 def test_fingerprints_of_edits(spark):
-    rows = [r for r in K.documents() if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
-    out = {r.doc_id: r for r in P.fingerprint_edits(spark, K.frame(spark, rows)).collect()}
-    docs = sorted(((r[0], r[1] or "") for r in rows), reverse=True)
+    """Null and repeated ids included: ids descending, null last, equal ids by their texts' hashes."""
+    from pyspark.sql import functions as F
+    rows = [r for r in K.documents() if len(r[1] or "") < 3000]
+    df = K.frame(spark, rows)
+    docs = [(r.doc_id, r.text or "") for r in sorted(
+        df.select("doc_id", "text", F.xxhash64("text").alias("t")).collect(),
+        key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.t, r.text or ""))]
+    want = Counter()
     for k, (i, t) in enumerate(docs):
         nxt = docs[(k + 1) % len(docs)][1]
         cut = len(t) // 3
         edited = t[:len(t) - cut] + nxt[:cut]
-        a, b, c = (P.digest(x.encode()) for x in (t, edited, nxt))
-        r = out[i]
-        assert (r.n_chars, r.edited_sha256) == (len(t), K.sha(edited))
-        assert (r.fingerprint, r.edited_fingerprint) == (a.hex(), b.hex())
-        assert (r.near_edited, r.near_next) == (P.likeness(a, b), P.likeness(a, c))
-    assert len(out) == len(docs)
+        a, b, c = (plain_digest(x) for x in (t, edited, nxt))
+        want[i, len(t), K.sha(edited), plain_hex(a), plain_hex(b), round(plain_likeness(a, b), 12),
+             round(plain_likeness(a, c), 12)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12),
+                   round(r.near_next, 12)) for r in P.fingerprint_edits(spark, df).collect())
+    assert got == want and any(k[0] is None for k in got)
 
 
 @pytest.mark.parametrize("n", [0, 1, 8])

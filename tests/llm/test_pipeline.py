@@ -92,14 +92,27 @@ def test_line_stage(spark, stages):
 
 
 def test_near_dedup_stage(stages):
-    before = rows(stages["line_dedup"])
-    sets = [(r[0], K.shingles(r[1], 5)) for r in before]
-    links = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x]
-             if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t)]
-    root = K.groups({r[0] for r in before if r[0] is not None}, links)
-    kept = {i for i, s in sets if i is not None and (not s or root[i] == i)}
-    assert Counter(rows(stages["near_dedup"])) == Counter(r for r in before if r[0] is None or r[0] in kept)
-    assert len(kept) < len(root)
+    before, after = rows(stages["line_dedup"]), rows(stages["near_dedup"])
+    sets = [K.shingles(r[1], 5) for r in before]
+    linked = lambda s, t: s and t and 100 * len(s & t) >= 80 * len(s | t)
+    links = [(x, y) for x in range(len(sets)) for y in range(x) if linked(sets[x], sets[y])]
+    root = K.groups(range(len(sets)), links)
+    want = {}
+    for k, r in enumerate(before):              # the least id of each group, null last
+        want[root[k]] = min(want.get(root[k], (True, 0)), (r[0] is None, r[0] or 0))
+    assert Counter((r[0] is None, r[0] or 0) for r in after) == Counter(want.values())
+    assert not Counter(after) - Counter(before) and len(after) < len(before)
+    kept = [K.shingles(r[1], 5) for r in after]
+    assert not any(linked(s, t) for k, s in enumerate(kept) for t in kept[:k])
+
+
+def test_near_dedup_leaves_one_row_of_equal_ids_and_of_null_ids(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(5, text), (5, text), (None, "x " + text), (None, "x " + text), (7, None), (7, None)],
+                                 "doc_id long, text string").withColumn("row_key", P.F.lit("clash"))
+    out = P.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(repr, (tuple(r)[:2] for r in out.collect()))) == sorted(map(repr, [(5, text), (7, None), (7, None)]))
 
 
 def test_mixing_stage(stages):
