@@ -16,21 +16,19 @@ from pyspark.sql import functions as F
 NA_TEXT = "nan"
 
 DIRECT_TEMPLATE = (
-    "Premises:\n\n{premises}\n\n"
-    "Question: do the premises above logically entail the conclusion below?\n\n"
-    "Conclusion: {conclusion}\n\n"
-    "Reply with exactly one word: True, False, or Uncertain\n\n"
-    "Answer:"
+    "STATEMENTS\n{premises}\n\n"
+    "CLAIM\n{conclusion}\n\n"
+    "Judge the claim by the statements alone and output a single label: True where it must "
+    "hold, False where it can not hold, Uncertain where it may or may not."
 )
 
 FORMALISE_TEMPLATE = (
-    "Translate the premises and the conclusion below into first-order logic.\n\n"
-    "Premises:\n{premises}\n\n"
-    "Conclusion:\n{conclusion}\n\n"
-    "Write your translation in two blocks, one formula per line:\n\n"
-    "PREMISES-FOL:\n<one formula per premise>\n\n"
-    "CONCLUSION-FOL:\n<the conclusion as a formula>\n\n"
-    "Translation:"
+    "Statements to formalise:\n{premises}\n"
+    "Claim to formalise:\n{conclusion}\n\n"
+    "Use first-order formulas, the same predicate for the same notion throughout, and a line "
+    "for each formula. Your output has two sections and no other text. The section headed "
+    "PREMISES-FOL: holds the statements' formulas in their order, the section headed "
+    "CONCLUSION-FOL: holds the claim's formula."
 )
 
 DIRECT_SYSTEM = (
@@ -52,10 +50,10 @@ REPAIR_SYSTEM = (
 )
 
 REPAIR_TEMPLATE = (
-    "Problem:\n{problem}\n\n"
-    "Program that failed:\n```python\n{code}\n```\n\n"
-    "Error:\n{error}\n\n"
-    "Corrected program:"
+    "An earlier run ended with this message:\n{error}\n\n"
+    "It ran this source:\n```python\n{code}\n```\n\n"
+    "It was meant to solve:\n{problem}\n\n"
+    "Send the whole source again with the fault removed."
 )
 
 _SLOT = re.compile(r"\{(\w+)\}")

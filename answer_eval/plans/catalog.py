@@ -910,7 +910,7 @@ SELECT c.participant AS id, {_pct('correct', 'total')} AS score, {_pct('correct'
   {_WIDE_RATES_SQL}
 FROM c JOIN p ON c.participant = p.participant"""
 
-def _text_sql() -> str:
+def _text_sql(report: str = REPORT_SQL, lead: str = "") -> str:
     cat = []
     for lab in X.LABELS:
         q = lab.lower()
@@ -922,7 +922,7 @@ def _text_sql() -> str:
     ratio = "CASE WHEN total > 0 THEN CAST(correct AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END"
     secs = lambda col: f"coalesce(format('{{:.2f}}', {col}) || 's', 'n/a')"
     return f"""
-SELECT id, {nl} || 'Agent: ' || agent || {nl}
+SELECT {lead}id, {nl} || 'Agent: ' || agent || {nl}
   || {b}Total Cases: ' || CAST(total AS VARCHAR) || {nl}
   || {b}Correct: ' || CAST(correct AS VARCHAR) || {nl}
   || {b}Incorrect: ' || CAST(incorrect AS VARCHAR) || {nl}
@@ -931,7 +931,7 @@ SELECT id, {nl} || 'Agent: ' || agent || {nl}
   || {b}Per-category:' || {nl} || concat_ws({nl}, {", ".join(cat)}) || {nl}
   || {b}Avg Time/Case: ' || {secs('avg_time_per_case')} || {nl}
   || {b}Total Time: ' || {secs('time_used')} || {nl} AS text
-FROM ({REPORT_SQL})"""
+FROM ({report})"""
 
 
 ORACLES["k2_participant_text"] = _text_sql()

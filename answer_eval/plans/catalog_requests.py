@@ -1,18 +1,31 @@
-"""Registered queries over whole requests: per-request limits, several examples per story, several
-replies per example and participants without a name."""
+"""Registered queries over whole requests (per-request limits, several examples per story, several replies
+per example, participants without a name), their documents in parts, broken log lines, and an answerer
+with a ledger."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from answer_eval.functions import prompts as P
 from answer_eval.operators.grade import limited_rows
+from answer_eval.operators.metrics import REPORT_COLUMNS
+from answer_eval.operators.score import score
 from answer_eval.plans import inputs as I
 from answer_eval.plans.evaluate import evaluate
+from answer_eval.session import ensure_checkpoint_dir
+from answer_eval.sinks import report as K
 from answer_eval.sources import problems as S
-from answer_eval.sources.answers import decode_flat
+from answer_eval.sources.answers import (
+    ERR_NO_KEY, ERR_NO_PARTICIPANT, ERR_NOT_JSON, decode_envelope, decode_flat, read_answer_log,
+)
 from answer_eval.sources.requests import parse_requests
 
 
+def scratch_path(spark, name):
+    """A fresh folder under the session's checkpoint dir (shared on a cluster)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def q_j1_limited_rows(spark, sf):
     """Participants of all requests, each with the first problems that its limit grants."""
     people, _ = parse_requests(I.exam_requests(spark, sf))
@@ -29,7 +42,56 @@ def q_l1_request_reports(spark, sf):
     return ev.report
 
 
-QUERIES = {"j1_limited_rows": q_j1_limited_rows, "l1_request_reports": q_l1_request_reports}
+def q_k1_json_parts(spark, sf):
+    """The reports of all requests as one JSON document in numbered parts."""
+    return K.json_parts(q_l1_request_reports(spark, sf), ["request_id", "position"])
+
+
+def q_k2_text_parts(spark, sf):
+    """The reports of all requests as one text in numbered parts."""
+    return K.text_parts(q_l1_request_reports(spark, sf), ["request_id", "position"])
+
+
+def _log_with_broken_lines(spark, sf):
+    path = scratch_path(spark, "broken-log")
+    I.log_lines(spark, sf).write.text(path)
+    return read_answer_log(spark, path)
+
+
+def q_s2_broken_lines(spark, sf):
+    """Lines of an answer log that give no reply, with their text and what is wrong with them."""
+    return _log_with_broken_lines(spark, sf)[1].select("line", "error")
+
+
+def q_s2_lines_beside_broken_ones(spark, sf):
+    """The replies of the same log, decoded."""
+    return decode_envelope(_log_with_broken_lines(spark, sf)[0]).select(
+        "participant", "example_id", "reply_status", "answer", "error")
+
+
+def _never_asked(prompt: str) -> str:
+    raise AssertionError("the ledger holds this prompt's reply")
+
+
+def q_d1_ledger(spark, sf):
+    """D1 with a ledger: answered once by eight calls at a time at most, then read from the record."""
+    from answer_eval.plans.catalog import rule_answerer
+    prompts = S.coerce_labels(I.problems(spark, sf)).select("story_id", P.direct_prompt().alias("prompt"))
+    options = {"calls_per_task": 2, "max_concurrency": 8, "timeout_s": 30, "retries": 1, "base_delay_s": 0,
+               "ledger": scratch_path(spark, "d1-ledger"), "ledger_every": 500}
+    score(prompts, rule_answerer, **options).write.format("noop").mode("overwrite").save()
+    return score(prompts, _never_asked, **options).select("story_id", "reply_status", "answer", "error")
+
+
+QUERIES = {
+    "j1_limited_rows": q_j1_limited_rows,
+    "l1_request_reports": q_l1_request_reports,
+    "k1_json_parts": q_k1_json_parts,
+    "k2_text_parts": q_k2_text_parts,
+    "s2_broken_lines": q_s2_broken_lines,
+    "s2_lines_beside_broken_ones": q_s2_lines_beside_broken_ones,
+    "d1_ledger": q_d1_ledger,
+}
 
 
 def oracles(h) -> dict[str, str]:
@@ -76,7 +138,37 @@ SELECT request_id, position, participant AS id, {h._pct('correct', 'total')} AS
   CAST(NULL AS DOUBLE) AS time_used, CAST(NULL AS DOUBLE) AS avg_time_per_case, total AS max_score,
   {h._WIDE_RATES_SQL}
 FROM c"""
+    fields = ", ".join(f"{c} := {c}" for c in REPORT_COLUMNS)
+    json_parts = f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY request_id, position) AS part, count(*) OVER () AS n FROM ({report}))
+SELECT part, CAST(to_json(struct_pack({fields})) AS VARCHAR) || CASE WHEN part < n THEN ',' ELSE '' END AS text FROM r
+UNION ALL SELECT 0, '{{"data":[' UNION ALL SELECT max(part) + 1, ']}}' FROM r"""
+    cut = lambda x: f"regexp_replace({x}, '\\n$', '')"
+    text_parts = f"""
+WITH t AS ({h._text_sql(report, "request_id, position, ")}),
+r AS (SELECT text, row_number() OVER (ORDER BY request_id, position) AS part FROM t)
+SELECT part, {cut('text')} AS text FROM r
+UNION ALL SELECT 0, {cut(f"{h._lit(K.TEXT_HEADER)} || CAST(max(part) AS VARCHAR) || {h._lit(K.TEXT_AGENTS)}")} FROM r
+UNION ALL SELECT max(part) + 1, {cut(h._lit(K.TEXT_FOOTER))} FROM r"""
+    who = """'agent-' || CAST(doc_id % 5 AS VARCHAR)"""
+    broken = f"""
+SELECT CASE WHEN doc_id % 17 = 0 THEN '{{"participant":"' || {who} || '","example_id":' || CAST(doc_id AS VARCHAR)
+         || ',"envelope":{{"respo'
+       WHEN doc_id % 19 = 0 THEN '{{"example_id":' || CAST(doc_id AS VARCHAR) || '}}'
+       WHEN doc_id % 23 = 0 THEN '{{"participant":"' || {who} || '"}}'
+       ELSE 'not json ' || CAST(doc_id AS VARCHAR) END AS line,
+  CASE WHEN doc_id % 17 = 0 THEN {h._lit(ERR_NOT_JSON)} WHEN doc_id % 19 = 0 THEN {h._lit(ERR_NO_PARTICIPANT)}
+       WHEN doc_id % 23 = 0 THEN {h._lit(ERR_NO_KEY)} ELSE {h._lit(ERR_NOT_JSON)} END AS error
+FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0"""
+    beside = f"""
+SELECT participant, story_id AS example_id, reply_status, answer, error FROM ({h.ORACLES["s3_decode_envelope"]})
+WHERE NOT (story_id % 17 = 0 OR story_id % 19 = 0 OR story_id % 23 = 0 OR story_id % 29 = 0)"""
     return {
+        "k1_json_parts": json_parts,
+        "k2_text_parts": text_parts,
+        "s2_broken_lines": broken,
+        "s2_lines_beside_broken_ones": beside,
+        "d1_ledger": h.ORACLES["d1_score"],
         "j1_limited_rows": f"SELECT request_id, position, sample_num, example_id, expected FROM ({expected})",
         "l1_request_reports": report,
     }

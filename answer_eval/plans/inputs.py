@@ -166,6 +166,19 @@ def answer_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("participant", "story_id", body.alias("envelope"))
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelopes as lines of a JSON log, some of them cut off, without a participant or row, or no JSON."""
+    rows = answer_envelopes(spark, sf_dir)
+    i, who = F.col("story_id"), F.col("participant")
+    named, numbered = F.concat(F.lit('{"participant":"'), who, F.lit('"')), F.concat(F.lit('"example_id":'), _s(i))
+    line = (F.when(i % 17 == 0, F.concat(named, F.lit(","), numbered, F.lit(',"envelope":{"respo')))
+            .when(i % 19 == 0, F.concat(F.lit("{"), numbered, F.lit("}")))
+            .when(i % 23 == 0, F.concat(named, F.lit("}")))
+            .when(i % 29 == 0, F.concat(F.lit("not json "), _s(i)))
+            .otherwise(F.concat(named, F.lit(","), numbered, F.lit(',"envelope":'), F.col("envelope"), F.lit("}"))))
+    return rows.select(line.alias("value"))
+
+
 def _user_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with a 0-based position per user in (ts, event_id) order, numbered
     skew-safely (a very active user is not one task's sort)."""

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.text import parse_tags as X_tags
+from answer_eval.session import ensure_checkpoint_dir
 
 # The tag names of the text form and the no-participant message.
 URL_TAG = "white_agent_url"
@@ -84,6 +85,11 @@ def _whole_json(body: Column) -> Column:
     return F.struct(both.alias("both"), mark.alias("mark"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_requests(requests: DataFrame, body_col: str = "body",
                    id_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """-> (participants, errors).
@@ -96,7 +102,8 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
       kept; other values dropped; tag form: one participant ``agent``.
     errors: request_id, error -- one row per rejected or empty request (S7).
 
-    One scan per output.  Per request: parse once, read the kinds of the
+    Requests are parsed once and the result is checkpointed: both outputs read it.  A table of few splits is
+    spread over all cores first, since the work is in the parsing, not in the bytes.  Per request: parse once, read the kinds of the
     participants and config values, and (only for non-JSON bodies) scan the tags
     once; the candidate entries of the one branch that applies (U2: branches are
     disjoint) are exploded, and each entry is resolved by per-row expressions.
@@ -105,7 +112,8 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     # tag scan, higher-order function) appears exactly once; later stages read it
     # by name (these projections run interpreted, without subexpression sharing).
     c = F.col
-    st = requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body"))
+    ensure_checkpoint_dir(requests.sparkSession)
+    st = _spread(requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body")))
     st = st.select("request_id", "_body", _whole_json(c("_body")).alias("_w"))
     st = st.select("request_id", "_body", F.try_variant_get(c("_w.both"), "$", "array<variant>").alias("_a"),
                    c("_w.mark").alias("_mark"))
@@ -195,6 +203,7 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
         F.when(c("_error").isNotNull(), c("_error"))
          .when(F.size(c("_cands")) == 0, F.lit(MSG_NO_PARTICIPANTS)).alias("_err"),
     )
+    per_req = per_req.checkpoint(eager=True)
     errors = per_req.select("request_id", F.explode(F.array_compact(F.array(c("_err")))).alias("error"))
 
     # inline_outer + a filter on the generated column: a plain inline would get an
