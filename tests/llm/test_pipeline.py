@@ -164,7 +164,7 @@ def test_run_gives_what_the_stages_give(spark, folder, stages):
 def test_registration():
     import __spark_entry__ as E
     q = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q if re.match(r"op\d+_", k)}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in q if re.match(r"op\d+_", k)}
     assert "pipeline" in q and set(plans.oracle_sql()) <= set(q) and P.ORACLE_SQL is None
 
 
