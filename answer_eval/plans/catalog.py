@@ -553,12 +553,13 @@ SELECT user_id AS problem_id, event_id,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS attempt,
   'print(' || props || ')' AS code,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS returncode,
-  CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'NameError ' || props ELSE '' END AS stderr,
-  CASE event_type WHEN 'view' THEN 'checking' || chr(10) || 'True'
+  CASE WHEN event_type = 'error' AND event_id % 2 = 0
+    THEN 'NameError ' || props || chr(10) || coalesce(text || chr(10), '') ELSE '' END AS stderr,
+  coalesce(text || chr(10), '') || CASE event_type WHEN 'view' THEN 'checking' || chr(10) || 'True'
     WHEN 'click' THEN 'False' || chr(10) || 'done' WHEN 'signup' THEN 'Uncertain'
     WHEN 'purchase' THEN 'no verdict' ELSE '' END AS stdout,
   'Problem of user ' || CAST(user_id AS VARCHAR) AS problem_text
-FROM events
+FROM events LEFT JOIN documents ON doc_id = event_id
 """
 
 TASKS_SQL = """

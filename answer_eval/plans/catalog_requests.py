@@ -42,6 +42,11 @@ def q_l1_request_reports(spark, sf):
     return ev.report
 
 
+def q_k1_participant_json(spark, sf):
+    """The report of every participant of every request as a JSON row of its own."""
+    return K.participant_json(q_l1_request_reports(spark, sf))
+
+
 def q_k1_json_parts(spark, sf):
     """The reports of all requests as one JSON document in numbered parts."""
     return K.json_parts(q_l1_request_reports(spark, sf), ["request_id", "position"])
@@ -86,6 +91,7 @@ def q_d1_ledger(spark, sf):
 QUERIES = {
     "j1_limited_rows": q_j1_limited_rows,
     "l1_request_reports": q_l1_request_reports,
+    "k1_participant_json": q_k1_participant_json,
     "k1_json_parts": q_k1_json_parts,
     "k2_text_parts": q_k2_text_parts,
     "s2_broken_lines": q_s2_broken_lines,
@@ -164,6 +170,8 @@ FROM documents WHERE doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0 OR do
 SELECT participant, story_id AS example_id, reply_status, answer, error FROM ({h.ORACLES["s3_decode_envelope"]})
 WHERE NOT (story_id % 17 = 0 OR story_id % 19 = 0 OR story_id % 23 = 0 OR story_id % 29 = 0)"""
     return {
+        "k1_participant_json": f"SELECT request_id, position, CAST(to_json(struct_pack({fields})) AS VARCHAR) AS json "
+                               f"FROM ({report})",
         "k1_json_parts": json_parts,
         "k2_text_parts": text_parts,
         "s2_broken_lines": broken,

@@ -209,8 +209,11 @@ def timed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> attempt log: per user (problem), events in time order are attempts
     0, 1, 2, ...; error events fail (some with stderr), others succeed with a
-    program output."""
-    ev = _user_sequence(spark, sf_dir)
+    program output.  The text of the document with the event's number, if there is one, stands
+    before the verdict of an output and behind an error's message."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("_text"))
+    ev = _user_sequence(spark, sf_dir).join(docs, "event_id", "left")
+    text = F.coalesce(F.concat(F.col("_text"), F.lit("\n")), F.lit(""))
     n = F.col("_seq")
     kind = F.col("event_type")
     is_err = kind == "error"
@@ -225,9 +228,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.cast("bigint").alias("attempt"),
         F.concat(F.lit("print("), F.col("props"), F.lit(")")).alias("code"),
         F.when(is_err, 1).otherwise(0).alias("returncode"),
-        F.when(is_err & (F.col("event_id") % 2 == 0), F.concat(F.lit("NameError "), F.col("props")))
+        F.when(is_err & (F.col("event_id") % 2 == 0), F.concat(F.lit("NameError "), F.col("props"), F.lit("\n"), text))
          .otherwise(F.lit("")).alias("stderr"),
-        stdout.alias("stdout"),
+        F.concat(text, stdout).alias("stdout"),
         F.concat(F.lit("Problem of user "), _s(F.col("user_id"))).alias("problem_text"),
     )
 
