@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 # Operators that may run Python in tasks: the user-supplied answerer, the
 # keyed-state streams (their results are read back from the sink),
 # and the tag parser (t1; the tag form of a request).
-PYTHON_ALLOWED = {"d1_score", "d1_scored_report", "t1_parse_tags", "s4_s6_request_participants",
+PYTHON_ALLOWED = {"d1_score", "d1_scored_report", "d1_ledger", "t1_parse_tags", "s4_s6_request_participants",
                   "s7_request_errors"}
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas",
                 "FlatMapGroupsInPandasWithState", "PythonUDF")
