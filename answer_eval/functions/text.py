@@ -175,7 +175,11 @@ def normalise_answer(c) -> Column:
     occurs too, and inside "untrue"); then "false".  An exact label is a special
     case of containment, and stripping does not change containment.
     """
-    low = F.lower(_col(c))
+    return label_of_lower(F.lower(_col(c)))
+
+
+def label_of_lower(low: Column) -> Column:
+    """``normalise_answer`` of a text that is in lower case already."""
     return (
         F.when(low.contains("uncertain"), F.lit("Uncertain"))
         .when(low.contains("true"), F.lit("True"))

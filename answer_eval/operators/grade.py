@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from answer_eval.functions.text import (
     MSG_COULD_NOT_PARSE, PRED_ERROR, PRED_EXCEPTION, PRED_PARSE_ERROR,
     STATUS_ERROR_RESPONSE, STATUS_EXCEPTION, STATUS_OK, STATUS_PARSE_ERROR,
-    elapsed_seconds, last_verdict_line, normalise_answer,
+    elapsed_seconds, label_of_lower, last_verdict_line, normalise_answer,
 )
 # Error text of an expected row for which the log holds no reply (our wording).
 MSG_NO_REPLY = "No reply recorded for this sample"
@@ -125,12 +125,26 @@ def prediction(reply_status: Column, answer: Column, mode: str = "substring") ->
     PARSE_ERROR / parse_error; else the label / ok.  ``mode='last_line'`` reads the
     last verdict line instead of substring containment.
     """
+    return _prediction(reply_status, _label(answer, mode))
+
+
+def _label(answer: Column, mode: str) -> Column:
     if mode == "substring":
-        label = normalise_answer(answer)
-    elif mode == "last_line":
-        label = last_verdict_line(answer, default=None)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+        return normalise_answer(answer)
+    if mode == "last_line":
+        return last_verdict_line(answer, default=None)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def _labelled(df: DataFrame, mode: str) -> DataFrame:
+    """df with ``_label``, a column of its own (as is the lower-cased text below it): the columns that follow
+    from it read it several times, and a long answer is gone through once."""
+    if mode == "substring":
+        return df.withColumn("_low", F.lower("answer")).withColumn("_label", label_of_lower(F.col("_low"))).drop("_low")
+    return df.withColumn("_label", _label(F.col("answer"), mode))
+
+
+def _prediction(reply_status: Column, label: Column) -> tuple[Column, Column, Column]:
     no_label = (reply_status == F.lit(STATUS_OK)) & label.isNull()
     predicted = (
         F.when(reply_status == F.lit(STATUS_ERROR_RESPONSE), F.lit("Uncertain"))
@@ -163,7 +177,7 @@ def prepare_replies(answers: DataFrame, key=None, participant_col: str = "partic
     if dedupe == "first" and not order_col:
         raise ValueError("dedupe='first' needs an order_col")
     keys = [*_key_list(participant_col), *row_key(key, answers)]
-    predicted, status, no_label = prediction(F.col("reply_status"), F.col("answer"), mode)
+    predicted, status, no_label = _prediction(F.col("reply_status"), F.col("_label"))
     error = F.when(no_label, F.lit(MSG_COULD_NOT_PARSE)).otherwise(F.col("error"))
     cols = answers.columns
     if "started_at" in cols and "ended_at" in cols:
@@ -175,7 +189,7 @@ def prepare_replies(answers: DataFrame, key=None, participant_col: str = "partic
     time = F.when(F.col("reply_status") == F.lit(STATUS_EXCEPTION), F.lit(0.0)).otherwise(time)
     extra = [c for c in ("started_at", "ended_at") if c in cols]
     order = [order_col] if order_col else []
-    narrow = answers.select(
+    narrow = _labelled(answers, mode).select(
         *keys, *order,
         predicted.alias("predicted"), status.alias("status"), error.alias("error"),
         time.alias("time"), *extra,
@@ -238,7 +252,7 @@ def grade_inline(log: DataFrame, key, participant_col: str = "participant",
                  expected_col: str = "expected", mode: str = "substring") -> DataFrame:
     """Grade a decoded log whose rows already carry the gold label (each row is
     one expected sample): map-side only -- no join, no shuffle."""
-    predicted, status, no_label = prediction(F.col("reply_status"), F.col("answer"), mode)
+    predicted, status, no_label = _prediction(F.col("reply_status"), F.col("_label"))
     error = F.when(no_label, F.lit(MSG_COULD_NOT_PARSE)).otherwise(F.col("error"))
     if "started_at" in log.columns and "ended_at" in log.columns:
         time = elapsed_seconds("started_at", "ended_at")
@@ -248,7 +262,7 @@ def grade_inline(log: DataFrame, key, participant_col: str = "participant",
         time = F.lit(None).cast("double")
     time = F.when(F.col("reply_status") == F.lit(STATUS_EXCEPTION), F.lit(0.0)).otherwise(time)
     extra = [c for c in ("started_at", "ended_at") if c in log.columns]
-    out = log.select(participant_col, *_key_list(key), F.col(expected_col).alias("expected"),
+    out = _labelled(log, mode).select(participant_col, *_key_list(key), F.col(expected_col).alias("expected"),
                      predicted.alias("predicted"), status.alias("status"), error.alias("error"),
                      time.alias("time"), *extra)
     return out.withColumn("correct", correctness(F.col("predicted"), F.col("expected"), F.col("status")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answer_eval.operators.grade import expected_rows
+from answer_eval.session import spread
 from answer_eval.sources.problems import number_within
 
 
@@ -65,7 +66,7 @@ def _answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("story_id"), "text")
     region = table(spark, sf_dir, "region").select(
         F.col("r_name").alias("participant"), "r_regionkey")
-    pairs = expected_rows(docs, region)
+    pairs = expected_rows(spread(docs), region, docs.count(), region.count())
     return pairs.withColumn("_res", _answer_residue()).filter(F.col("_res") != 11)
 
 

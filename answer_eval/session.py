@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators depend on for exact semantics:
 #   - UTC so TIMESTAMP_NTZ -> TIMESTAMP casts (elapsed times) do not shift;
@@ -84,6 +84,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its few splits would leave some idle (its rows are then shuffled once)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def get_session(master: str | None = None, app_name: str = "answer_eval",
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the required settings; UI stays off."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answer_eval.functions.text import parse_tags as X_tags
-from answer_eval.session import ensure_checkpoint_dir
+from answer_eval.session import ensure_checkpoint_dir, spread
 
 # The tag names of the text form and the no-participant message.
 URL_TAG = "white_agent_url"
@@ -85,11 +85,6 @@ def _whole_json(body: Column) -> Column:
     return F.struct(both.alias("both"), mark.alias("mark"))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def parse_requests(requests: DataFrame, body_col: str = "body",
                    id_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """-> (participants, errors).
@@ -113,7 +108,7 @@ def parse_requests(requests: DataFrame, body_col: str = "body",
     # by name (these projections run interpreted, without subexpression sharing).
     c = F.col
     ensure_checkpoint_dir(requests.sparkSession)
-    st = _spread(requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body")))
+    st = spread(requests.select(c(id_col).alias("request_id"), c(body_col).alias("_body")))
     st = st.select("request_id", "_body", _whole_json(c("_body")).alias("_w"))
     st = st.select("request_id", "_body", F.try_variant_get(c("_w.both"), "$", "array<variant>").alias("_a"),
                    c("_w.mark").alias("_mark"))
