@@ -26,8 +26,10 @@ MSG_NO_REPLY = "No reply recorded for this sample"
 
 # Pairs of one cell of a participants x problems product.
 CELL_PAIRS = 1 << 20
-# Positions generated from one row of a participant with a limit.
-RANGE = 4096
+# Shortest block of numbers that a participant with a limit takes as one.
+RANGE = 64
+# Participant rows up to which a product sends them to all tasks.
+SMALL_ROWS = 10_000
 # Columns that name one row of the problem table, best first.
 ROW_KEYS = ("example_id", "sample_num")
 
@@ -69,51 +71,83 @@ def _parts(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], right_rows: int) -> DataFrame:
+    """Equi-join of rows that ``explode`` has multiplied.  Spark estimates a side without its copies and would
+    send millions of them through the driver, so the counted rows say whether the right side is broadcast."""
+    return left.join(right.hint("broadcast" if right_rows <= SMALL_ROWS else "merge"), keys)
+
+
 def expected_rows(problems: DataFrame, participants: DataFrame, n_problems: int | None = None,
-                  n_participants: int | None = None) -> DataFrame:
+                  n_participants: int | None = None, on=()) -> DataFrame:
     """Every participant paired with every problem: exactly P x N output rows.
 
     Both sides are counted (unless the counts are given) and cut into parts so that a pair
     of parts is one cell of about ``CELL_PAIRS`` pairs: the tasks grow with the product.  Every row has
     one copy per part of the other side, and an equi-join on the cell pairs them, so either
-    side may be the large one and neither is collected."""
+    side may be the large one and neither is collected.  With ``on`` (columns of both) a participant meets
+    its own problems only, ``n_problems`` of them."""
     n = problems.count() if n_problems is None else n_problems
     p = participants.count() if n_participants is None else n_participants
     rows, columns = grid(max(1, n), max(1, p))
     left = problems.withColumn("_row", F.pmod(_all(problems), F.lit(rows))).withColumn("_column", _parts(columns))
     right = participants.withColumn("_column", F.pmod(_all(participants), F.lit(columns))) \
         .withColumn("_row", _parts(rows))
-    return left.join(right, ["_row", "_column"]).drop("_row", "_column")
+    return _meet(left, right, ["_row", "_column", *on], p * rows).drop("_row", "_column")
+
+
+def granted(limit: str, n_problems: int) -> Column:
+    """How many of the first ``n_problems`` a limit grants: missing or 0 = all, N > 0 = the first N, N < 0 = all
+    but the last |N|."""
+    return F.expr(f"CASE WHEN coalesce({limit}, 0) = 0 THEN {n_problems}L WHEN {limit} > 0 "
+                  f"THEN least({limit}, {n_problems}L) ELSE greatest({n_problems}L + {limit}, 0L) END")
 
 
 def limited_rows(problems: DataFrame, participants: DataFrame, n_problems: int, num_col: str = "sample_num",
-                 limit_col: str = "max_examples") -> DataFrame:
-    """Every participant paired with as many of the first problems as its limit says: missing or
-    0 = all, N > 0 = the first N, N < 0 = all but the last |N|.  ``problems`` carry dense numbers from 1.
+                 limit_col: str = "max_examples", on=()) -> DataFrame:
+    """Every participant paired with as many of the first problems as its limit says (``granted``).
+    ``problems`` carry dense numbers from 1; with ``on`` (columns of both) each value of it has its own.
 
     A limit is an interval of numbers from 1.  A participant whose interval is the whole table
-    goes into the product (``expected_rows``); for all others each position of the interval becomes
-    a row, and an equi-join on the number brings the problem: no pair beyond a limit is made.  Many
-    participants ask for the same first numbers, so the join has a second key, a part of the
+    goes into the product (``expected_rows``).  Any other interval is cut into full blocks of numbers and the
+    positions behind them, a row each, and equi-joins on block and number bring the problems: no pair beyond a
+    limit is made, and a long interval is about twice the square root of its length in rows.  Many
+    participants ask for the same numbers, so the joins have a second key, a part of the
     participants, and the asked problems one copy per part."""
-    keyed = participants.withColumn("_take", F.expr(
-        f"CASE WHEN coalesce({limit_col}, 0) = 0 THEN {n_problems}L WHEN {limit_col} > 0 "
-        f"THEN least({limit_col}, {n_problems}L) ELSE greatest({n_problems}L + {limit_col}, 0L) END"))
+    keyed = participants.withColumn("_take", granted(limit_col, n_problems))
     whole, some = F.col("_take") == n_problems, (F.col("_take") > 0) & (F.col("_take") < n_problems)
     facts = keyed.agg(F.count_if(whole).alias("whole"), F.count_if(some).alias("some"),
                       F.max(F.when(some, F.col("_take"))).alias("longest")).first()
-    full = expected_rows(problems, keyed.filter(whole).drop("_take"), n_problems, facts["whole"])
+    full = expected_rows(problems, keyed.filter(whole).drop("_take"), n_problems, facts["whole"], on)
     if not facts["some"]:
         return full
-    # at most CELL_PAIRS participants meet one copy of a problem
-    parts = -(-facts["some"] // CELL_PAIRS)
-    asked = keyed.filter(some).withColumn("_part", F.pmod(_all(participants), F.lit(parts))) \
-        .withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_take"), F.lit(RANGE).cast("bigint")))) \
-        .withColumn(num_col, F.explode(F.sequence("_from", F.least(F.col("_from") + (RANGE - 1), F.col("_take"))))) \
-        .drop("_take", "_from")
-    first = problems.filter(F.col(num_col) <= facts["longest"]).withColumn("_part", _parts(parts))
-    part = first.join(asked, [num_col, "_part"]).drop("_part")
-    return full.unionByName(part.select(*full.columns))
+    block = max(RANGE, math.isqrt(facts["longest"]))
+    keyed = keyed.filter(some).withColumn("_blocks", F.floor(F.col("_take") / block)) \
+        .withColumn("_behind", F.col("_take") % block)
+    facts = keyed.agg(F.lit(facts["longest"]).alias("longest"), F.count_if(F.col("_blocks") > 0).alias("long"),
+                      F.sum("_blocks").alias("blocks"), F.count_if(F.col("_behind") > 0).alias("some"),
+                      F.sum("_behind").alias("positions")).first()
+    number = F.col(num_col)
+
+    def pairs(rows: DataFrame, key: str, of_problem: Column, first: Column, last: Column, n_rows: int,
+              n_participants: int, width: int) -> DataFrame:
+        # as many participants meet one copy of a problem as make CELL_PAIRS pairs of a key
+        parts = -(-n_participants * width // CELL_PAIRS)
+        asked = rows.withColumn("_part", F.pmod(_all(participants), F.lit(parts))) \
+            .withColumn(key, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint")))) \
+            .drop("_take", "_blocks", "_behind")
+        given = problems.filter(number <= facts["longest"]).withColumn("_part", _parts(parts))
+        if key != num_col:
+            given = given.withColumn(key, of_problem)
+        return _meet(given, asked, [key, "_part", *on], n_rows).select(*full.columns)
+
+    out = full
+    if facts["long"]:
+        out = out.unionByName(pairs(keyed.filter("_blocks > 0"), "_block", F.floor((number - 1) / block), F.lit(0),
+                                    F.col("_blocks") - 1, facts["blocks"], facts["long"], block))
+    if facts["some"]:
+        out = out.unionByName(pairs(keyed.filter("_behind > 0"), num_col, number, F.col("_blocks") * block + 1,
+                                    F.col("_take"), facts["positions"], facts["some"], 1))
+    return out
 
 
 # T10/T11 on replies ---------------------------------------------------------

@@ -217,6 +217,26 @@ def test_fifty_small_limits_generate_their_pairs_only(spark):
     assert "Filter" not in after_join and "Cartesian" not in plan and "sample_num" in plan
 
 
+def test_rows_made_by_explode_are_not_broadcast(spark):
+    probs = spark.range(1, 11).selectExpr("id AS sample_num", "id AS example_id")
+    people = spark.range(24_000).selectExpr("id AS who", "id % 2 * 2 AS max_examples")     # all, or the first two
+    out = limited_rows(probs, people, 10)
+    assert out.count() == 12_000 * 10 + 12_000 * 2
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_intervals_are_few_rows(spark, monkeypatch):
+    """50 requests of all but the last ten of 2,000 problems: blocks and the positions behind them, not 99,500 rows."""
+    sides, meet = [], G._meet
+    monkeypatch.setattr(G, "_meet", lambda left, right, keys, n: sides.append((right, n)) or meet(left, right, keys, n))
+    probs = spark.range(1, 2001).selectExpr("id AS sample_num", "id AS example_id")
+    people = spark.range(50).selectExpr("id AS who", "-10L AS max_examples")
+    out = limited_rows(probs, people, 2000)
+    assert out.count() == out.distinct().count() == 50 * 1990
+    assert [right.count() for right, _ in sides] == [n for _, n in sides]
+    assert sum(n for _, n in sides) == 50 * (1990 // G.RANGE + 1990 % G.RANGE)
+
+
 def test_dedupe_by_order_column_on_both_plans(spark, frames):
     probs, parts, answers = frames
     first = answers.withColumn("seq", F.lit(1))
