@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 if __package__ in (None, ""):  # run as a script by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from answer_eval.operators.grade import grade, limited_rows, row_key  # noqa: E402
+from answer_eval.operators.grade import grade, granted, limited_rows, row_key  # noqa: E402
 from answer_eval.operators.metrics import report  # noqa: E402
-from answer_eval.session import configure  # noqa: E402
+from answer_eval.session import configure, ensure_checkpoint_dir  # noqa: E402
 from answer_eval.sinks.report import json_parts, text_parts, write_parts, write_results  # noqa: E402
 from answer_eval.sources.answers import broken_counts, decode_envelope, read_answer_log, read_answers  # noqa: E402
 from answer_eval.sources.problems import FILE_ORDER, coerce_labels, number_rows, number_samples, read_problems  # noqa: E402
@@ -60,6 +60,9 @@ def evaluate(problems: DataFrame, requests: DataFrame, answers: DataFrame, key=N
     request without participants yields no report rows and its error row.
     ``order_col`` picks the first of several replies to one row; without it a second
     reply fails the job.
+
+    Replies that belong to names are graded once for each name, as far as its longest limit, and kept
+    (a checkpoint of narrow rows); every request of the name then takes the graded rows of its interval.
     """
     participants, errors = parse_requests(requests)
     people = participants.select(*REQUEST_KEY, F.col("name").alias("participant"), "agent_id", "max_examples")
@@ -70,9 +73,17 @@ def evaluate(problems: DataFrame, requests: DataFrame, answers: DataFrame, key=N
         coerce_labels(problems, order_by=order_by).select(*given, *[c for c in order_by if c not in given], "expected"),
         list(order_by))
     gold = numbered.select(*given, "sample_num", "expected")
-    expected = limited_rows(gold, people.drop("agent_id"), total).drop("max_examples")
-    who = REQUEST_KEY if set(REQUEST_KEY) <= set(answers.columns) else ["participant"]
-    graded = grade(expected, answers, key=key, participant_col=who, mode=mode, order_col=order_col)
+    asked, names = people.drop("agent_id"), ["participant"]
+    if set(REQUEST_KEY) <= set(answers.columns):
+        expected = limited_rows(gold, asked, total).drop("max_examples")
+        graded = grade(expected, answers, key=key, participant_col=REQUEST_KEY, mode=mode, order_col=order_col)
+    else:
+        longest = asked.groupBy(*names).agg(F.max(granted("max_examples", total)).alias("max_examples"))
+        expected = limited_rows(gold, longest.filter("max_examples > 0"), total).drop("max_examples")
+        ensure_checkpoint_dir(problems.sparkSession)
+        own = grade(expected, answers, key=key, mode=mode, order_col=order_col).checkpoint()
+        first = [*gold.columns, *REQUEST_KEY, *names]
+        graded = limited_rows(own, asked, total, on=names).select(*first, *[c for c in own.columns if c not in first])
     people = people.drop("max_examples")
     return Evaluation(report(graded, people, by=REQUEST_KEY), graded, people, errors)
 

@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from answer_eval.operators.grade import grade
+from answer_eval.plans import evaluate as EV
 from answer_eval.plans.evaluate import evaluate, main
 from answer_eval.sinks.report import participant_json, results_json, results_text
 from answer_eval.sources.answers import decode_flat
@@ -88,3 +90,27 @@ def test_many_requests_with_unnamed_participants(spark):
     assert participant_json(ev.report).count() == 4
     text = {r.request_id: r.text for r in results_text(ev.report, "position", by="request_id").collect()}
     assert text[2].index("Agent: z") < text[2].index("Agent: a")
+
+
+def test_requests_that_share_a_name_are_graded_once(spark, monkeypatch):
+    limits = [None, 3, -4, 0, 200, 3, -1] * 4
+    requests = spark.createDataFrame(
+        [(k, json.dumps({"participants": [{"name": ("alpha", "beta", "gamma")[k % 3], "endpoint": "http://a"},
+                                          {"name": "beta", "endpoint": "http://b"}], "config": {"max_examples": n}}))
+         for k, n in enumerate(limits)], "request_id long, body string")
+    problems, _, answers = _frames(spark, "")
+    asked = []
+    monkeypatch.setattr(EV, "grade", lambda expected, *a, **b: asked.append(expected) or grade(expected, *a, **b))
+    ev = evaluate(problems, requests, answers, key="story_id")
+    assert [x.count() for x in asked] == [3 * 10]
+    replies = {(p, i): text for p, i, _, text in ANSWERS}
+    want = []
+    for k, n in enumerate(limits):
+        for place, name in enumerate((("alpha", "beta", "gamma")[k % 3], "beta")):
+            for i, (story, label) in enumerate(PROBLEMS[:n] if n else PROBLEMS):
+                said = replies.get((name, story), "").lower()
+                want.append((k, place, name, story, i + 1, said == label.lower()))
+    got = ev.graded.select("request_id", "position", "participant", "story_id", "sample_num", "correct").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {(r.request_id, r.position): r.total for r in ev.report.collect()} == \
+        {(k, p): len(PROBLEMS[:n] if n else PROBLEMS) for k, n in enumerate(limits) for p in (0, 1)}
