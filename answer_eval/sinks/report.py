@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from answer_eval.functions.text import LABELS, format_fixed, format_percent, right_align
 from answer_eval.operators.metrics import REPORT_COLUMNS
+from answer_eval.session import ensure_checkpoint_dir
 from answer_eval.sources.numbering import number_rows
 
 # ---------------------------------------------------------------------------
@@ -113,8 +114,10 @@ def results_text(report: DataFrame, order_col="id", by: str | None = None) -> Da
 
 # K1 / K2 for any number of participants -----------------------------------
 def _parts(bodies: DataFrame, order: list[str], text: Column, head: Column, foot: Column) -> DataFrame:
-    """(part, text): the numbered bodies between part 0 and the last part."""
-    numbered, n = number_rows(bodies, order, col_name="part", start=1)
+    """(part, text): the numbered bodies between part 0 and the last part.  The numbering reads them more than
+    once, so they are checkpointed and whatever makes the report runs once."""
+    ensure_checkpoint_dir(bodies.sparkSession)
+    numbered, n = number_rows(bodies.checkpoint(), order, col_name="part", start=1)
     ends = bodies.sparkSession.range(2).select(
         F.when(F.col("id") == 0, F.lit(0)).otherwise(F.lit(n + 1)).cast("bigint").alias("part"),
         F.when(F.col("id") == 0, head(n)).otherwise(foot(n)).alias("text"))
