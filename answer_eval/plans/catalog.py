@@ -53,11 +53,13 @@ def _timed_replies(spark, sf):
 
 
 def _file_stream(spark, sf, name):
-    """A file stream over one table of the test folder (the source reads folders,
-    so the folder is watched with a file-name filter)."""
-    schema = I.table(spark, sf, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf))
+    """A file stream over one table of the test folder: over the table's own folder, or, as the source reads
+    folders only, over the test folder with a file-name filter where the table is one file.  A table's
+    files are in no order of arrival, so all of them make one micro-batch."""
+    stream = spark.readStream.schema(I.table(spark, sf, name).schema)
+    if S.is_folder(spark, f"{sf}/{name}.parquet"):
+        return stream.parquet(f"{sf}/{name}.parquet")
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _scratch(spark, name):

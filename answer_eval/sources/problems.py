@@ -45,6 +45,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath)) or len(fs.globStatus(jpath) or []) > 0
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder, through the Hadoop FileSystem."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(jpath)) and bool(fs.getFileStatus(jpath).isDirectory())
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     """First path of the ordered candidates that exists; else fail naming all."""
     for p in paths:

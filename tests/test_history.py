@@ -6,6 +6,7 @@ import pandas as pd
 
 from answer_eval.operators import attempts as W
 from answer_eval.operators import history as H
+from answer_eval.plans import catalog
 from answer_eval.streaming import stateful as ST
 
 
@@ -191,3 +192,15 @@ def test_conversation_stream_timeout_forgets_idle_history(spark, tmp_dir):
     # idle through the second batch: conversation 1 restarts with a new system message
     assert (1, 0, "system", "SYS") in out["expired"] and (1, 1, "user", "d") in out["expired"]
     assert out["expired"].count((1, 0, "system", "SYS")) == 2
+
+
+def test_streams_over_tables_of_several_files(spark, tmp_dir):
+    """Later turns may lie in a file that comes first."""
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}/{t}") for c in range(4) for t in range(6)]
+    schema = "conv_id long, turn int, role string, text string"
+    path = os.path.join(tmp_dir, "conversations.parquet")
+    for part in ([r for r in turns if r[1] >= 3], [r for r in turns if r[1] < 3]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    got = sorted(map(tuple, catalog.q_x1_conversation_stream(spark, tmp_dir).collect()))
+    assert got == sorted(map(tuple, catalog.q_w4_conversation_history(spark, tmp_dir).collect()))
+    assert len(got) == 4 * 7
