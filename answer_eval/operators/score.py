@@ -7,11 +7,16 @@ whatever the cluster's size: there are then no more partitions, hence tasks, tha
 ``max_concurrency // calls_per_task``.  Without it partitions are the input's, or ``partitions`` many.
 
 ``ledger`` names a folder that driver and executors share.  The prompts are written there first, each
-with a slot and a row number, and a task records its replies as it gets them, ``ledger_every`` at a
+with a slot and a row number (a slot is ``SLOT_ROWS`` rows of one partition at most), and a task records its replies as it gets them, ``ledger_every`` at a
 time.  A task that is run again, or a job started again with the same ledger, reads
 what is recorded of its slots and asks for the rest only; what a lost task had in flight or not yet
 recorded is all that is asked again.
 
+With both, what is not recorded is asked at once, in rounds: a job of as many tasks as the bound allows over
+about ``ROUND_BYTES`` of prompts a task, so no task's input grows with the table.  The result then only reads the
+record, on all cores; a reply lost after that fails it, and the next call asks for it again.  Without a ledger
+a bounded job's few tasks share the whole input.
+
 A call runs in a daemon thread.  One that is not back after ``timeout_s`` becomes an
 ``exception`` row and is left behind: it can not be killed, but neither the task nor the
 worker's end waits for it.  A failing row becomes an ``exception`` row and never
@@ -118,16 +123,41 @@ def _file_system(root: str):
 
 
 SLOT, PLACE = "__slot", "__place"
+SLOT_ROWS = 1 << 14
+ROUND_BYTES = 64 << 20     # of prompts as written, for a task in a round
 
 
 def _recorded_prompts(df: DataFrame, ledger: str) -> DataFrame:
-    """The input as the ledger holds it; written there by the first job that uses the ledger."""
+    """The input as the ledger holds it, a folder per slot; written there by the first job that uses the ledger."""
     path = f"{ledger}/prompts"
     if not path_exists(df.sparkSession, f"{path}/_SUCCESS"):
         place = F.monotonically_increasing_id()
-        df.withColumn(SLOT, F.shiftright(place, 33)).withColumn(PLACE, place.bitwiseAND(F.lit((1 << 33) - 1))) \
-            .write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        df.withColumn(SLOT, F.floor(place / F.lit(SLOT_ROWS)).cast("bigint")) \
+            .withColumn(PLACE, place.bitwiseAND(F.lit((1 << 33) - 1))) \
+            .write.mode("overwrite").partitionBy(SLOT).parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField(PLACE, T.LongType()), T.StructField(SLOT, T.LongType())])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _rounds(asked: DataFrame, ledger: str, size: int) -> list[list[int]]:
+    """Slots with prompts that lack a recorded reply, in groups of about ``size`` bytes of prompts."""
+    spark, path = asked.sparkSession, f"{ledger}/replies"
+    slots = asked.select(SLOT, F.col("_metadata.file_size").alias("_bytes")) \
+        .groupBy(SLOT).agg(F.count(F.lit(1)).alias("_rows"), F.max("_bytes").alias("_bytes"))
+    if path_exists(spark, path):
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+        slot = F.regexp_extract("_metadata.file_path", r"/([0-9]+)/[^/]+$", 1).cast("bigint")
+        known = lines.select(slot.alias(SLOT), F.regexp_extract("value", r"^\[([0-9]+)", 1).alias("_row")).distinct()
+        slots = slots.join(known.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_known")), SLOT, "left") \
+            .filter("coalesce(_known, 0) < _rows")
+    groups, room = [], 0
+    for r in slots.orderBy(SLOT).collect():
+        if room < r["_bytes"]:
+            groups.append([])
+            room = size
+        groups[-1].append(r[SLOT])
+        room -= r["_bytes"]
+    return groups
 
 
 def score(df: DataFrame, fn: Callable[[str], str | None], prompt_col: str = "prompt",
@@ -157,7 +187,7 @@ def score(df: DataFrame, fn: Callable[[str], str | None], prompt_col: str = "pro
             out = ("exception", None, str(exc))
         return (*out, start, pd.Timestamp.now(tz="UTC"))
 
-    def replies(pool, pdf: pd.DataFrame, ledgers: dict) -> Iterator[tuple]:
+    def replies(pool, pdf: pd.DataFrame, ledgers: dict, ask: bool) -> Iterator[tuple]:
         prompts = pdf[prompt_col].tolist()
         if not ledger:
             yield from pool.map(answer, prompts)
@@ -169,18 +199,26 @@ def score(df: DataFrame, fn: Callable[[str], str | None], prompt_col: str = "pro
                 ledgers[slot] = _Ledger(ledger, slot)
             own = [(p, prompt) for (s, p), prompt in zip(places, prompts) if s == slot]
             due = [x for x in own if x[0] not in ledgers[slot].done]
+            if due and not ask:
+                raise RuntimeError(f"{len(due)} replies of slot {slot} are no longer in the ledger")
             for i in range(0, len(due), ledger_every):
                 some = due[i:i + ledger_every]
                 ledgers[slot].record(list(zip([p for p, _ in some], pool.map(answer, [x for _, x in some]))))
             for p, _ in own:
                 yield ledgers[slot].done[p]
 
+    def ask_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledgers: dict[int, _Ledger] = {}
+        with cf.ThreadPoolExecutor(max_workers=calls_per_task) as pool:
+            for pdf in batches:
+                yield pd.DataFrame({"asked": [sum(1 for _ in replies(pool, pdf, ledgers, True))]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ledgers: dict[int, _Ledger] = {}
         # every worker of the pool waits for its call no longer than the timeouts, so leaving it is bounded
         with cf.ThreadPoolExecutor(max_workers=calls_per_task) as pool:
             for pdf in batches:
-                rows = list(replies(pool, pdf, ledgers))
+                rows = list(replies(pool, pdf, ledgers, not rounds))
                 out = pdf.drop(columns=[SLOT, PLACE]) if ledger else pdf.copy()
                 for k, name in enumerate(("reply_status", "answer", "error")):
                     out[name] = pd.Series([r[k] for r in rows], index=pdf.index, dtype=object)
@@ -188,9 +226,16 @@ def score(df: DataFrame, fn: Callable[[str], str | None], prompt_col: str = "pro
                     out[name] = pd.Series([r[k] for r in rows], index=pdf.index, dtype="datetime64[us, UTC]")
                 yield out
 
+    rounds = bool(ledger) and max_concurrency is not None
     if ledger:
         asked = _recorded_prompts(df, ledger)
-        asked = asked.repartition(partitions or asked.rdd.getNumPartitions(), SLOT).sortWithinPartitions(SLOT, PLACE)
+        if rounds:
+            for slots in _rounds(asked, ledger, partitions * ROUND_BYTES):
+                asked.filter(F.col(SLOT).isin(slots)).select(prompt_col, SLOT, PLACE) \
+                    .repartitionByRange(partitions, SLOT, PLACE).sortWithinPartitions(SLOT, PLACE) \
+                    .mapInPandas(ask_only, "asked bigint").write.format("noop").mode("overwrite").save()
+        elif partitions:
+            asked = asked.repartition(partitions, SLOT).sortWithinPartitions(SLOT, PLACE)
     else:
         asked = df.repartition(partitions) if partitions else df
     return asked.mapInPandas(run, out_schema)

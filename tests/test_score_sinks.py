@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from answer_eval.operators import metrics as M
+from answer_eval.operators import score as SC
 from answer_eval.operators.score import score
 from answer_eval.sinks import report as K
 
@@ -166,6 +167,45 @@ def test_a_ledger_is_asked_before_the_answerer(spark, tmp_dir):
     assert threading and types
 
 
+def test_a_bounded_ledger_is_filled_in_rounds(spark, tmp_dir, monkeypatch):
+    notes, ledger = os.path.join(tmp_dir, "notes"), os.path.join(tmp_dir, "ledger")
+    os.makedirs(notes)
+    answerer = _noting(notes, 0.02)
+    monkeypatch.setattr(SC, "SLOT_ROWS", 8)
+    monkeypatch.setattr(SC, "ROUND_BYTES", 1)           # a slot a round
+
+    df = spark.range(0, 60, 1, 3).selectExpr("id", "concat('p', id) AS prompt")
+    options = {"calls_per_task": 2, "max_concurrency": 4, "ledger": ledger, "ledger_every": 3}
+    cols = ["id", "prompt", "reply_status", "answer", "error"]
+    out = score(df, answerer, **options)
+    assert len(_asked(notes)) == 60                     # the result only reads the record
+    first = out.collect()
+    assert len(_asked(notes)) == 60 and {r.answer for r in first} == {f"p{i}" for i in range(60)}
+    slots = [d for d in os.listdir(os.path.join(ledger, "prompts")) if "=" in d]
+    assert len(slots) == 9
+    # a round's calls begin after those of the round before have ended
+    spans = {}
+    for r in first:
+        slot = (r.id // 20, r.id % 20 // 8)
+        start, end = spans.get(slot, (r.started_at, r.ended_at))
+        spans[slot] = min(start, r.started_at), max(end, r.ended_at)
+    in_order = sorted(spans.values())
+    assert len(in_order) == 9 and all(a[1] <= b[0] for a, b in zip(in_order, in_order[1:]))
+    again = score(df, answerer, **options)
+    want = sorted(tuple(r[c] for c in cols) for r in first)
+    assert sorted(map(tuple, again.select(cols).collect())) == want and len(_asked(notes)) == 60
+    # a lost part of the record is asked again by the next call only
+    root = os.path.join(ledger, "replies")
+    lost = sorted(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".json"))[0]
+    with open(lost) as f:
+        n = len(f.read().splitlines())
+    os.remove(lost)
+    assert [len(x) for x in SC._rounds(SC._recorded_prompts(df, ledger), ledger, 1)] == [1]
+    assert score(df, answerer, **options).count() == 60 and len(_asked(notes)) == 60 + n
+    none = score(df.limit(0), answerer, **(options | {"ledger": f"{ledger}-none"}))
+    assert none.count() == 0 and none.columns == out.columns
+
+
 def test_documents_in_parts_read_back_as_one(spark, tmp_dir):
     for n in (0, 1, 7):
         report = M.report(spark.createDataFrame(
