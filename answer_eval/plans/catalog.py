@@ -354,7 +354,8 @@ def q_x1_conversation_stream(spark, sf):
 
 def _scored(spark, sf):
     prompts = _problems(spark, sf).select("story_id", "expected", P.direct_prompt().alias("prompt"))
-    return score(prompts, rule_answerer, partitions=8, timeout_s=30, retries=1, base_delay_s=0)
+    # as many tasks as the bytes need, whatever the splits of the table
+    return score(prompts.hint("rebalance"), rule_answerer, timeout_s=30, retries=1, base_delay_s=0)
 
 
 def q_d1_score(spark, sf):
@@ -366,14 +367,16 @@ AGENT_PROMPT = "Agent {agent}\n" + P.DIRECT_TEMPLATE
 
 def q_d1_scored_report(spark, sf):
     """D1 feeding the minimum slice end to end: every participant's prompt for every
-    problem is answered by the answerer, and the answers are graded and reported."""
+    problem is answered by the answerer, and the answers are graded and reported.  The problems
+    are spread by their bytes before the participants multiply them."""
     probs = _problems(spark, sf)
     parts = I.participants(spark, sf)
-    expected = expected_rows(probs.select("story_id", "premises", "conclusion"), parts.select("participant"))
+    expected = expected_rows(probs.select("story_id", "premises", "conclusion").hint("rebalance"),
+                             parts.select("participant"), probs.count())
     prompts = expected.select("participant", "story_id",
                               P.render(AGENT_PROMPT, agent="participant", premises="premises",
                                        conclusion="conclusion").alias("prompt"))
-    scored = score(prompts, rule_answerer, partitions=8, timeout_s=30, retries=1, base_delay_s=0)
+    scored = score(prompts, rule_answerer, timeout_s=30, retries=1, base_delay_s=0)
     return M.evaluate_report(probs.select("story_id", "expected"), parts,
                              scored.drop("started_at", "ended_at"), key="story_id")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from answer_eval.operators import metrics as M
 from answer_eval.operators import score as SC
 from answer_eval.operators.score import score
+from answer_eval.plans import catalog
 from answer_eval.sinks import report as K
 
 
@@ -206,6 +207,39 @@ def test_a_bounded_ledger_is_filled_in_rounds(spark, tmp_dir, monkeypatch):
     assert none.count() == 0 and none.columns == out.columns
 
 
+def _documents(spark, folder, n):
+    docs = spark.range(0, n, 1, 4).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(1, 200), i -> md5(concat(id, ':', i)))) AS text")
+    docs.write.parquet(os.path.join(folder, "documents.parquet"))
+    docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality").write.parquet(os.path.join(folder, "labels.parquet"))
+    spark.range(5).selectExpr("concat('R', id) AS r_name", "cast(id AS int) AS r_regionkey") \
+        .write.parquet(os.path.join(folder, "region.parquet"))
+
+
+def test_tasks_of_the_scorer_follow_the_bytes(spark, tmp_dir):
+    _documents(spark, tmp_dir, 600)                      # about 4 MB
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        scored = catalog.q_d1_score(spark, tmp_dir)
+        assert scored.count() == 600 and scored.rdd.getNumPartitions() > 16
+        tasks = []
+        real = catalog.score
+        catalog.score = lambda df, *a, **b: tasks.append(df) or real(df, *a, **b)
+        try:
+            assert {r.total for r in catalog.q_d1_scored_report(spark, tmp_dir).collect()} == {600}
+        finally:
+            catalog.score = real
+        assert tasks[0].rdd.getNumPartitions() > 16
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_documents_in_parts_read_back_as_one(spark, tmp_dir):
     for n in (0, 1, 7):
         report = M.report(spark.createDataFrame(
